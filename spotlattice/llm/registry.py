@@ -1,8 +1,8 @@
 """Queries and SQL of the corpus operators."""
 
-from spotlattice.llm import quality
+from spotlattice.llm import quality, tokenids, urls
 
-_MODULES = (quality,)
+_MODULES = (quality, urls, tokenids)
 
 
 def queries() -> dict:
