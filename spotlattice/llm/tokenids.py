@@ -47,10 +47,10 @@ from spotlattice.llm.common import materialise, shared_dir, table
 
 END_ID = 2
 FRAME_BYTES = 1 << 18
-LEVEL = 3
+LEVEL = 1
 _SKIP_INDEX, _SKIP_SEEK, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _NULL_ID = -(1 << 63)
-_CACHE = 250_000
+_CACHE = 500_000
 _GLUED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 
@@ -61,6 +61,19 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Parts(dict):
+    """Number of each part; parts met for the first time are queued in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        self.new.append(part)
+        return n
+
+
 class Encoder:
     """Byte-level BPE of whole texts by way of their distinct parts.
 
@@ -81,44 +94,45 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat = [np.empty(0, np.uint32)]
-        self.sizes = [np.empty(0, np.int64)]
+        self.at = _Parts()
+        self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> None:
-        """Adds parts, each taken with a space before it, to the memory."""
-        alone = [p for p in parts if not p or p[-1].isspace()]
-        joined = [p for p in parts if p and not p[-1].isspace()]
-        for p in alone + joined:
-            self.at[p] = len(self.at)
-        ids = self._ids([" " + p for p in alone])
-        self.flat += ids
-        self.sizes.append(np.array([len(x) for x in ids], np.int64))
-        blocks = [joined[i : i + 500] for i in range(0, len(joined), 500)]
-        for block, ids in zip(blocks, self._ids([" " + " ".join(b) for b in blocks]), strict=True):
+    def _learn(self) -> None:
+        """Encodes the queued parts, each with a space before it."""
+        new, self.at.new = self.at.new, []
+        open_end = np.array([not p or p[-1].isspace() for p in new], bool)
+        order = np.argsort(~open_end, kind="stable")  # those that end in white space are encoded alone
+        alone, joined = int(open_end.sum()), [p for p, x in zip(new, open_end.tolist(), strict=True) if not x]
+        ids = self._ids([" " + new[i] for i in order[:alone]])
+        sizes = [np.array([len(x) for x in ids], np.int64)]
+        blocks = [joined[i : i + 1000] for i in range(0, len(joined), 1000)]
+        for block, got in zip(blocks, self._ids([" " + " ".join(b) for b in blocks]), strict=True):
             ends = np.cumsum([len(p.encode()) + 1 for p in block])
-            upto = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
-            self.flat.append(ids)
-            self.sizes.append(np.diff(upto, prepend=0))
+            sizes.append(np.diff(np.searchsorted(np.cumsum(self.bytes[got]), ends) + 1, prepend=0))
+            ids.append(got)
+        size = np.concatenate(sizes)
+        at = np.empty((2, len(new)), np.int64)
+        at[0, order] = np.cumsum(size) - size + len(self.flat)
+        at[1, order] = size
+        self.starts, self.sizes = np.concatenate([self.starts, at[0]]), np.concatenate([self.sizes, at[1]])
+        self.flat = np.concatenate([self.flat, *ids])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts one after another, and the number of each."""
         cut = [_CUT.split(t) if _GLUED.search(t) else t.split(" ") for t in texts]
         first = self._ids([parts[0] for parts in cut])
-        rest = [p for parts in cut for p in parts[1:]]
         if len(self.at) > _CACHE:
             self._reset()
-        self._learn([p for p in dict.fromkeys(rest) if p not in self.at])
-        self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
-        at = np.fromiter(map(self.at.__getitem__, rest), np.int64, len(rest))
-        n = np.concatenate([[0], np.array([len(parts) - 1 for parts in cut], np.int64)])
-        starts = np.cumsum(self.sizes[0]) - self.sizes[0]
-        sizes = self.sizes[0][at]
+        n = np.array([0, *(len(parts) - 1 for parts in cut)], np.int64)
+        at = np.fromiter(map(self.at.__getitem__, (p for parts in cut for p in parts[1:])), np.int64, int(n.sum()))
+        if self.at.new:
+            self._learn()
+        sizes = self.sizes[at]
         ends = np.cumsum(sizes)
-        gathered = self.flat[0][np.repeat(starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        gathered = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
         edges = np.concatenate([[0], ends])[np.cumsum(n)]
         out = [x for f, a, b in zip(first, edges[:-1], edges[1:], strict=True) for x in (f, gathered[a:b])]
         total = np.array([len(f) for f in first], np.int64) + np.diff(edges)
