@@ -1,8 +1,8 @@
 """Queries and SQL of the corpus operators."""
 
-from spotlattice.llm import decontaminate, jaccard, quality, tokenids, urls
+from spotlattice.llm import decontaminate, jaccard, language, quality, tokenids, urls
 
-_MODULES = (quality, urls, decontaminate, jaccard, tokenids)
+_MODULES = (quality, language, urls, decontaminate, jaccard, tokenids)
 
 
 def queries() -> dict:
