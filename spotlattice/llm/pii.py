@@ -227,7 +227,7 @@ class Tagger:
             grads["E"] += d_table @ p[f"X{d}"].T
         return float((log_z.sum() - gold_score) * scale), grads
 
-    def train(self, codes: np.ndarray, tags: np.ndarray, steps: int = 220, batch: int = 48, rate: float = 0.012, seed: int = 7) -> float:
+    def train(self, codes: np.ndarray, tags: np.ndarray, steps: int = 600, batch: int = 32, rate: float = 0.02, seed: int = 7) -> float:
         """Adam over random batches of the windows (rows). The same rows give the same weights."""
         r = np.random.default_rng(seed)
         m, v, loss = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0.0
