@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: The six white-space characters of the contracts: U+0020 and U+0009 to U+000D.
@@ -51,41 +53,108 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered up to a bound."""
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[ord(c) for c in WS]] = False
+_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+_PIECE = 1 << 20
 
-    def __init__(self, bound: int = 400_000):
-        super().__init__()
-        self.bound = bound
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        self[word] = h
-        return h
+class _Powers:
+    """Powers of the hash base and of its inverse modulo 2^64, grown as needed."""
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.bound:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up))
+            with np.errstate(over="ignore"):
+                self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _P)]))
+                self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _INVERSE)]))
+        return self.up, self.down
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the A-Z lower-cased text, as UTF-8.
 
-    ``bytes.lower`` touches A-Z alone and ``bytes.split`` cuts at exactly these
-    six characters.
-    """
-    return text.encode("utf-8", "replace").lower().split() if text else []
+_powers = _Powers()
+
 
+def _word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts ``data[edges[i]:edges[i + 1]]``, and the number of each text.
 
-def shingle_hashes(word_hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
-    """Hash of each run of ``k`` words, in text order; fewer words give one for the whole sequence."""
-    n = len(word_hashes)
-    if n == 0:
-        return np.empty(0, np.uint64)
-    width = min(k, n)
+    A word's hash is its polynomial in a fixed odd base: one running sum over the
+    bytes gives every word by a difference, moved to a common place by the inverse.
+    """
+    inside = _IS_WORD[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    fresh = edges[:-1][edges[:-1] < edges[1:]]  # a word never runs on into the next text
+    begins[fresh] = inside[fresh]
+    at = np.flatnonzero(begins)
+    stops = inside.copy()
+    stops[:-1] &= ~inside[1:]
+    stops[fresh[1:] - 1] = inside[fresh[1:] - 1]
+    end = np.flatnonzero(stops) + 1
+    up, down = _powers.of(len(data) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
+        h = (total[end] - total[at]) * down[at] + (end - at).astype(np.uint64)
+    return mix64(h), np.diff(np.searchsorted(at, edges))
+
+
+def _shingles(words: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``k`` words of each text, in order; a shorter text gives one for all its words."""
+    counts = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
+    starts = np.cumsum(sizes) - sizes
+    first = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+    width = np.repeat(np.minimum(sizes, k), counts)
+    h = width.astype(np.uint64)
+    padded = np.concatenate([words, np.zeros(k, np.uint64)])
     with np.errstate(over="ignore"):
-        h = np.full(n - width + 1, np.uint64(width), np.uint64)
-        for i in range(width):
-            h = h * _P + word_hashes[i : n - width + 1 + i]
-    return mix64(h)
+        for i in range(k):
+            h = np.where(i < width, h * _P + padded[first + i], h)
+    return mix64(h), counts
+
+
+def shingles(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Shingle hashes of a column of texts: (first row, hashes in text order, number of each text).
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` of the A-Z lower-cased text. Works on the UTF-8
+    bytes of the column, about a megabyte at a time; null counts as empty.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    row = 0
+    while row < len(texts):
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _PIECE, "right")) - 1)
+        low, high = int(offsets[row]), int(offsets[stop])
+        if high - low <= 4 * _PIECE:
+            words, sizes = _word_hashes(data[low:high], offsets[row : stop + 1] - low)
+        else:  # one very long text, cut between words
+            found = []
+            while low < high:
+                cut = min(high, low + _PIECE)
+                gaps = np.flatnonzero(~_IS_WORD[data[low:cut]])
+                while cut < high and not len(gaps):
+                    cut = min(high, cut + _PIECE)
+                    gaps = np.flatnonzero(~_IS_WORD[data[low:cut]])
+                cut = low + int(gaps[-1]) + 1 if cut < high else high
+                found.append(_word_hashes(data[low:cut], np.array([0, cut - low]))[0])
+                low = cut
+            words, sizes = np.concatenate(found), np.array([sum(map(len, found))])
+        yield row, *_shingles(words, sizes, k)
+        row = stop
+
+
+def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct shingle hashes) of each text."""
+    for row, hashes, counts in shingles(texts, k):
+        for i, (n, end) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True)):
+            s = np.sort(hashes[end - n : end])
+            if n > 1:
+                fresh = np.ones(n, bool)
+                np.not_equal(s[1:], s[:-1], out=fresh[1:])
+                s = s[fresh]
+            yield row + i, s

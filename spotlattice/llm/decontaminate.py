@@ -34,11 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.llm.common import WordHashes, shingle_hashes, table, words_of
+from spotlattice.llm.common import shingle_sets, shingles, table
 
 BLOCK_SHINGLES = 1_000_000
 BINS = 4096
-_BATCH = 400_000
 _SHIFT, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -107,9 +106,8 @@ class Index:
 
 
 def _item_sets(rows: list[tuple[int, str | None]]) -> list[tuple[int, np.ndarray]]:
-    hashes = WordHashes()
-    sets = [(i, np.unique(shingle_hashes(hashes.of(words_of(t))))) for i, t in rows]
-    return [(i, s) for i, s in sets if len(s)]
+    found = shingle_sets(pa.array([t for _, t in rows], pa.string()))
+    return [(rows[k][0], s) for k, s in found if len(s)]
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
@@ -129,33 +127,22 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, share: float
         sent = spark.sparkContext.broadcast(_item_sets(block))
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index, hashes = Index(sent.value), WordHashes()
+            index = Index(sent.value)
             for batch in batches:
-                held: list[tuple[int, np.ndarray]] = []
-                size = 0
-                for d, t in zip(batch.column(0), batch.column(1), strict=True):
-                    held.append((d.as_py(), shingle_hashes(hashes.of(words_of(t.as_py())))))
-                    size += len(held[-1][1])
-                    if size > _BATCH:
-                        yield verify(index, held)
-                        held, size = [], 0
-                yield verify(index, held)
-
-        def verify(index: Index, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-            rows: list[tuple] = []
-            if held and index.items:
-                sizes = np.array([len(s) for _, s in held], np.int64)
-                last, whole = -1, None
-                for d, i in index.candidates(np.concatenate([s for _, s in held]), sizes).tolist():
-                    if d != last:
-                        last, whole = d, np.unique(held[d][1])
-                    item, s = index.items[i]
-                    at = np.minimum(np.searchsorted(whole, s), len(whole) - 1)
-                    common = int((whole[at] == s).sum())
-                    if 100 * common >= percent * len(s):
-                        rows.append((held[d][0], item, len(s), common))
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_item", "n_common"])
+                ids = batch.column(0).to_pylist()
+                rows: list[tuple] = []
+                for row, hashes, sizes in shingles(batch.column(1)):
+                    ends, last, whole = np.cumsum(sizes), -1, None
+                    for d, i in index.candidates(hashes, sizes).tolist():
+                        if d != last:
+                            last, whole = d, np.unique(hashes[ends[d] - sizes[d] : ends[d]])
+                        item, s = index.items[i]
+                        at = np.minimum(np.searchsorted(whole, s), len(whole) - 1)
+                        common = int((whole[at] == s).sum())
+                        if 100 * common >= percent * len(s):
+                            rows.append((ids[row + d], item, len(s), common))
+                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_item", "n_common"])
 
         found = docs.select("doc_id", "text").mapInArrow(work, "doc_id long, item_id long, n_item long, n_common long")
         out = found if out is None else out.unionByName(found)
