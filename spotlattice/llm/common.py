@@ -55,8 +55,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[[ord(c) for c in WS]] = False
+IS_WORD = np.ones(256, bool)
+IS_WORD[[ord(c) for c in WS]] = False
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _PIECE = 1 << 20
 
@@ -79,13 +79,13 @@ class _Powers:
 _powers = _Powers()
 
 
-def _word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(data: np.ndarray, edges: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts ``data[edges[i]:edges[i + 1]]``, and the number of each text.
 
     A word's hash is its polynomial in a fixed odd base: one running sum over the
     bytes gives every word by a difference, moved to a common place by the inverse.
     """
-    inside = _IS_WORD[data]
+    inside = is_word[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     fresh = edges[:-1][edges[:-1] < edges[1:]]  # a word never runs on into the next text
@@ -116,11 +116,12 @@ def _shingles(words: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix64(h), counts
 
 
-def shingles(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def shingles(texts: pa.Array, k: int = SHINGLE, is_word: np.ndarray = IS_WORD) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Shingle hashes of a column of texts: (first row, hashes in text order, number of each text).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the A-Z lower-cased text. Works on the UTF-8
     bytes of the column, about a megabyte at a time; null counts as empty.
+    ``is_word`` tells of each byte whether it belongs to a word.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     _, offsets, data = texts.buffers()
@@ -131,26 +132,26 @@ def shingles(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarra
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _PIECE, "right")) - 1)
         low, high = int(offsets[row]), int(offsets[stop])
         if high - low <= 4 * _PIECE:
-            words, sizes = _word_hashes(data[low:high], offsets[row : stop + 1] - low)
+            words, sizes = _word_hashes(data[low:high], offsets[row : stop + 1] - low, is_word)
         else:  # one very long text, cut between words
             found = []
             while low < high:
                 cut = min(high, low + _PIECE)
-                gaps = np.flatnonzero(~_IS_WORD[data[low:cut]])
+                gaps = np.flatnonzero(~is_word[data[low:cut]])
                 while cut < high and not len(gaps):
                     cut = min(high, cut + _PIECE)
-                    gaps = np.flatnonzero(~_IS_WORD[data[low:cut]])
+                    gaps = np.flatnonzero(~is_word[data[low:cut]])
                 cut = low + int(gaps[-1]) + 1 if cut < high else high
-                found.append(_word_hashes(data[low:cut], np.array([0, cut - low]))[0])
+                found.append(_word_hashes(data[low:cut], np.array([0, cut - low]), is_word)[0])
                 low = cut
             words, sizes = np.concatenate(found), np.array([sum(map(len, found))])
         yield row, *_shingles(words, sizes, k)
         row = stop
 
 
-def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(texts: pa.Array, k: int = SHINGLE, is_word: np.ndarray = IS_WORD) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text."""
-    for row, hashes, counts in shingles(texts, k):
+    for row, hashes, counts in shingles(texts, k, is_word):
         for i, (n, end) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True)):
             s = np.sort(hashes[end - n : end])
             if n > 1:
