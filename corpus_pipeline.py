@@ -4,21 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spotlattice.llm import quality
+from spotlattice.llm import decontaminate, jaccard, pieces, pii, quality
 from spotlattice.llm.common import materialise, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the threshold table rejects."""
+    """Drops the documents that the threshold table rejects (operator 1)."""
     return quality.keep(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each group of near copies (operator 9)."""
+    return jaccard.keep_one(spark, docs)
 
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item (operator 6)."""
+    return decontaminate.drop_leaks(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts (operator 8)."""
+    return pii.redact(docs, pii.fit(docs))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes the texts; per document doc_id, n_tokens, ids_crc32, round_trip and ids (operator 7)."""
+    return pieces.encode(docs, pieces.vocabulary())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("personal_data", personal_data),
+    ("sentencepiece", sentencepiece),
+]
+
+#: SQL can express neither the trained tagger nor the encoder; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -1,8 +1,8 @@
 """Queries and SQL of the corpus operators."""
 
-from spotlattice.llm import decontaminate, jaccard, language, pieces, pii, quality, tokenids, urls
+from spotlattice.llm import chat, decontaminate, jaccard, language, licenses, pieces, pii, quality, tokenids, urls
 
-_MODULES = (quality, language, urls, decontaminate, pieces, pii, jaccard, tokenids)
+_MODULES = (quality, licenses, chat, language, urls, decontaminate, pieces, pii, jaccard, tokenids)
 
 
 def queries() -> dict:
