@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from spotlattice.plans import q_claims
+
+_MODULES = (q_claims,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
