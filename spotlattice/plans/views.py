@@ -28,7 +28,7 @@ VIEWS = {
     "ledger": """SELECT CASE user_id % 3 WHEN 0 THEN 'D0' WHEN 1 THEN 'D1' ELSE 'D2' END AS dataset_id, CAST(user_id AS VARCHAR(20)) AS sample_id,
         event_type AS method_id, CASE WHEN user_id % 2 = 0 THEN 4 ELSE 6 END AS K, CAST(event_id % 4 + 1 AS INT) AS seed_count,
         CASE event_id % 3 WHEN 0 THEN 'rigor-backfill run' WHEN 1 THEN 'stage3b-full-replication' ELSE 'draft' END AS notes,
-        value / 100.0E0 AS coherence, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value / 200.0E0 END AS marker,
+        value / 97.0E0 AS coherence, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value / 131.0E0 END AS marker,
         CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'success' END AS status, value AS wall_time_sec, 40 * value AS peak_rss_mb,
         ts AS started, props, event_id AS ingest_seq FROM {events}""",
     "pixels": "SELECT p_partkey % 40 AS px, CAST(FLOOR(p_partkey / 40.0E0) AS BIGINT) AS py, p_retailprice + 7.0E0 * ((p_partkey * 31) % 17) AS gray FROM {part}",
