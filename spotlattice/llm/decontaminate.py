@@ -119,7 +119,21 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
         yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").collect()]
 
 
-def search(spark: SparkSession, docs: DataFrame, items: DataFrame, share: float = 0.75, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _hits(index: Index, texts: pa.Array, percent: int) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, n_item, n_common) of a column of texts: candidates verified against the whole text."""
+    for row, hashes, sizes in shingles(texts):
+        ends, last, whole = np.cumsum(sizes), -1, None
+        for d, i in index.candidates(hashes, sizes).tolist():
+            if d != last:
+                last, whole = d, np.unique(hashes[ends[d] - sizes[d] : ends[d]])
+            item, s = index.items[i]
+            at = np.minimum(np.searchsorted(whole, s), len(whole) - 1)
+            common = int((whole[at] == s).sum())
+            if 100 * common >= percent * len(s):
+                yield row + d, item, len(s), common
+
+
+def search(spark: SparkSession, docs: DataFrame, items: DataFrame, share: float = 0.75) -> DataFrame:
     """(doc_id, item_id, n_item, n_common): items with at least ``share`` of their shingles in a document."""
     percent = round(100 * share)
     out = None
@@ -130,29 +144,30 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, share: float
             index = Index(sent.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                rows: list[tuple] = []
-                for row, hashes, sizes in shingles(batch.column(1)):
-                    ends, last, whole = np.cumsum(sizes), -1, None
-                    for d, i in index.candidates(hashes, sizes).tolist():
-                        if d != last:
-                            last, whole = d, np.unique(hashes[ends[d] - sizes[d] : ends[d]])
-                        item, s = index.items[i]
-                        at = np.minimum(np.searchsorted(whole, s), len(whole) - 1)
-                        common = int((whole[at] == s).sum())
-                        if 100 * common >= percent * len(s):
-                            rows.append((ids[row + d], item, len(s), common))
+                rows = [(ids[row], *rest) for row, *rest in _hits(index, batch.column(1), percent)]
                 columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_item", "n_common"])
 
-        found = docs.select("doc_id", "text").mapInArrow(work, "doc_id long, item_id long, n_item long, n_common long")
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, item_id long, n_item long, n_common long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with all their columns."""
-    leaks = search(spark, docs, items).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+def drop_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, share: float = 0.75) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, with all their columns; rows stay in place, block after block."""
+    percent = round(100 * share)
+    for block in _blocks(items):
+        sent = spark.sparkContext.broadcast(_item_sets(block))
+
+        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Index(sent.value)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[row for row, *_ in _hits(index, batch.column(batch.schema.get_field_index("text")), percent)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,46 +115,45 @@ def measures(text: Column) -> Column:
     )
 
 
-def _metrics() -> dict[str, tuple[str, str]]:
-    """Metric name to numerator and denominator column; compared in thousandths, without division."""
-    return {
-        "chars_per_word": ("word_chars", "n_words"),
-        "symbols_per_word": ("n_symbols", "n_words"),
-        "shouts_per_word": ("n_shout", "n_words"),
-        "stops_per_word": ("n_stop", "n_words"),
-        "dup_lines_per_line": ("n_dup_lines", "n_lines"),
-        "stutters_per_word": ("n_stutter", "n_words"),
-    }
-
-
-def failed(rules: tuple[Rule, ...] = RULES) -> Column:
+# Each metric as numerator and denominator, compared in thousandths without division.
+METRICS = {
+    "chars_per_word": ("word_chars", "n_words"),
+    "symbols_per_word": ("n_symbols", "n_words"),
+    "shouts_per_word": ("n_shout", "n_words"),
+    "stops_per_word": ("n_stop", "n_words"),
+    "dup_lines_per_line": ("n_dup_lines", "n_lines"),
+    "stutters_per_word": ("n_stutter", "n_words"),
+}
+_PLACES = {"n_words": "w.n_words", "word_chars": "word_chars", "n_symbols": "n_symbols", "n_dup_lines": "l.n_dup_lines", "n_repeat_words": "w.n_repeat_words", "n_lines": "l.n_lines", "n_stop": "w.n_stop", "n_shout": "w.n_shout", "n_stutter": "w.n_stutter"}
+
+
+def failed(counts: dict[str, Column], rules: tuple[Rule, ...] = RULES) -> Column:
     """The threshold table as one expression: the names of broken rules, comma-joined."""
-    kinds = _metrics()
     broken = []
     for r in rules:
-        top, bottom = (F.col(c) for c in kinds[r.metric])
+        top, bottom = (counts[c] for c in METRICS[r.metric])
         holds = 1000 * top >= r.threshold * bottom if r.op == ">=" else 1000 * top <= r.threshold * bottom
         broken.append(F.when(~holds, F.lit(r.name)))
     return F.concat_ws(",", *broken)
 
 
+def _judged(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(row, counts, base_failed, failed_rules, kept): the columns of ``docs`` in a struct, so that no name clashes."""
+    out = docs.select(F.struct("*").alias("row"), measures(F.col(text)).alias("m"))
+    counts = {c: F.col(f"m.{at}") for c, at in _PLACES.items()}
+    base = (counts["n_words"] < BASE_MIN_WORDS) | (100 * counts["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * counts["n_words"])
+    out = out.select("row", F.struct(*(v.alias(c) for c, v in counts.items())).alias("counts"), base.alias("base_failed"), failed(counts, rules).alias("failed_rules"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
+
+
 def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row the columns ``keep``, the counts, ``base_failed``, ``failed_rules`` and ``kept``."""
-    out = docs.select(*keep, measures(F.col(text)).alias("_m"))
-    out = out.select(*keep, "_m.w.n_words", "_m.word_chars", "_m.n_symbols", "_m.l.n_dup_lines", "_m.w.n_repeat_words", "_m.l.n_lines", "_m.w.n_stop", "_m.w.n_shout", "_m.w.n_stutter")
-    out = out.withColumns(
-        {
-            "base_failed": (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("n_words")),
-            "failed_rules": failed(rules),
-        }
-    )
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
+    return _judged(docs, text, rules).select(*(F.col("row")[c].alias(c) for c in keep), "counts.*", "base_failed", "failed_rules", "kept")
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that every rule accepts, with their own columns only."""
-    columns = docs.columns
-    return judge(docs, text, tuple(columns), rules).filter("kept").select(*columns)
+    return _judged(docs, text, rules).filter("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +162,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle(source: str = "documents") -> str:
     """The same rows in DuckDB's SQL, from the columns of ``source``."""
-    kinds = _metrics()
+    kinds = METRICS
     broken = ", ".join(f"CASE WHEN NOT (1000 * {kinds[r.metric][0]} {r.op} {r.threshold} * {kinds[r.metric][1]}) THEN '{r.name}' END" for r in RULES)
     stop = ", ".join(f"'{w}'" for w in STOP)
     return f"""
