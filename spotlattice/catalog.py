@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spotlattice.plans import q_claims, q_graph, q_ledger
+from spotlattice.plans import q_claims, q_cluster, q_graph, q_ledger
 
-_MODULES = (q_ledger, q_claims, q_graph)
+_MODULES = (q_ledger, q_claims, q_graph, q_cluster)
 
 
 def queries() -> dict:
