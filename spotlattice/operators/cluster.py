@@ -121,33 +121,55 @@ def rb_modularity(edges: DataFrame, labels: DataFrame, gamma: float) -> DataFram
     return s.join(m, KEY).join(inner, KEY, "left").select(KEY, (F.coalesce("inner", F.lit(0.0)) - gamma * F.col("ss") / (4 * F.col("m"))).alias("modularity"))
 
 
+def _quality(e: DataFrame, comm: DataFrame, m: DataFrame, group: list[str]) -> DataFrame:
+    """(sample, gamma, q) of communities ``(sample, gamma, node, k, c)``, without the weight inside nodes."""
+    at = lambda n, name: comm.select(*group, F.col("node").alias(n), F.col("c").alias(name))
+    inner = e.join(at("src", "ca"), [*group, "src"]).join(at("dst", "cb"), [*group, "dst"]).filter("ca = cb").groupBy(*group).agg(F.sum("w").alias("inner"))
+    total = comm.groupBy(*group, "c").agg(F.sum("k").alias("s")).groupBy(*group).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
+    q = F.coalesce("inner", F.lit(0.0)) - F.col("gamma") * F.col("ss") / (4 * F.col("m"))
+    return total.join(F.broadcast(m), KEY).join(inner, group, "left").select(*group, F.round(q, 9).alias("q"))
+
+
+def _moved(both: DataFrame, comm: DataFrame, m: DataFrame, group: list[str], parity: int) -> DataFrame:
+    """One round: nodes of one hash parity move to the neighbouring community of largest gain.
+
+    Of two communities of one node each only the one of larger name may join the other, so they do not swap.
+    """
+    s = comm.groupBy(*group, "c").agg(F.sum("k").alias("s"), F.count(F.lit(1)).alias("n"))
+    named = comm.join(s.select(*group, "c", F.col("n").alias("own_n")), [*group, "c"])
+    to = both.join(comm.select(*group, F.col("node").alias("other"), F.col("c").alias("to")), [*group, "other"]).groupBy(*group, "node", "to").agg(F.sum("w").alias("w"))
+    own = comm.select(*group, "node", F.col("c").alias("to"), F.lit(0.0).alias("w"))
+    options = to.unionByName(own).groupBy(*group, "node", "to").agg(F.sum("w").alias("w")).join(named, [*group, "node"]).join(s.withColumnRenamed("c", "to"), [*group, "to"]).join(F.broadcast(m), KEY)
+    options = options.filter(~((F.col("own_n") == 1) & (F.col("n") == 1) & (F.col("to") > F.col("c"))))
+    rest = F.col("s") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
+    gain = F.round(F.col("w") - F.col("gamma") * F.col("k") * rest / (2 * F.col("m")), 9)
+    best = options.groupBy(*group, "node").agg(F.max(F.struct(gain.alias("g"), (-F.col("to")).alias("t"))).alias("b"), F.max(F.when(F.col("to") == F.col("c"), gain)).alias("stay"))
+    turn = F.pmod(F.xxhash64("node"), F.lit(2)) == parity
+    return comm.join(best, [*group, "node"]).select(*group, "node", "k", F.when(turn & (F.col("b.g") > F.col("stay")), -F.col("b.t")).otherwise(F.col("c")).alias("c"))
+
+
 def community_fit(edges: DataFrame, gammas: list[float], levels: int = 2, rounds: int = 6) -> DataFrame:
     """(sample, gamma, spot, label): local moves of all samples and resolutions at once, then again on the communities.
 
-    In each round the nodes of one hash parity move to the neighbouring community
-    of largest gain, so neighbours seldom swap at once. After ``levels`` levels
-    labels are numbered from 0.
+    A round counts for a sample and resolution only if its modularity rises.
+    After ``levels`` levels labels are numbered from 0.
     """
     group = [KEY, "gamma"]
-    spark = edges.sparkSession
-    grid = spark.createDataFrame([(g,) for g in gammas], "gamma double")
+    grid = edges.sparkSession.createDataFrame([(g,) for g in gammas], "gamma double")
     m = edges.groupBy(KEY).agg(F.sum("w").alias("m"))
     e = cut(edges.select(KEY, "src", "dst", "w").join(F.broadcast(grid)))
     node = cut(strengths(edges).join(F.broadcast(grid)))
     where = cut(node.select(*group, F.col("node").alias("spot"), "node"))
     for _ in range(levels):
-        comm = node.withColumn("c", F.col("node"))
         both = cut(e.select(*group, F.col("src").alias("node"), F.col("dst").alias("other"), "w").unionByName(e.select(*group, F.col("dst").alias("node"), F.col("src").alias("other"), "w")))
+        comm = node.withColumn("c", F.col("node"))
+        score = cut(_quality(e, comm, m, group))
         for r in range(rounds):
-            s = comm.groupBy(*group, "c").agg(F.sum("k").alias("s"))
-            to = both.join(comm.select(*group, F.col("node").alias("other"), F.col("c").alias("to")), [*group, "other"]).groupBy(*group, "node", "to").agg(F.sum("w").alias("w"))
-            own = comm.select(*group, "node", F.col("c").alias("to"), F.lit(0.0).alias("w"))
-            options = to.unionByName(own).groupBy(*group, "node", "to").agg(F.sum("w").alias("w")).join(comm, [*group, "node"]).join(s.withColumnRenamed("c", "to"), [*group, "to"]).join(F.broadcast(m), KEY)
-            rest = F.col("s") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("w") - F.col("gamma") * F.col("k") * rest / (2 * F.col("m")), 9)
-            best = options.groupBy(*group, "node").agg(F.max(F.struct(gain.alias("g"), (-F.col("to")).alias("t"))).alias("b"), F.max(F.when(F.col("to") == F.col("c"), gain)).alias("stay"))
-            turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-            comm = cut(comm.join(best, [*group, "node"]).select(*group, "node", "k", F.when(turn & (F.col("b.g") > F.col("stay")), -F.col("b.t")).otherwise(F.col("c")).alias("c")))
+            new = cut(_moved(both, comm, m, group, r % 2))
+            now = cut(_quality(e, new, m, group))
+            better = now.join(score.withColumnRenamed("q", "old"), group).select(*group, (F.col("q") > F.col("old")).alias("up"), F.greatest("q", "old").alias("q"))
+            comm = cut(new.join(comm.select(*group, "node", F.col("c").alias("before")), [*group, "node"]).join(F.broadcast(better), group).select(*group, "node", "k", F.when(F.col("up"), F.col("c")).otherwise(F.col("before")).alias("c")))
+            score = cut(better.select(*group, "q"))
         where = cut(where.join(comm.select(*group, "node", "c"), [*group, "node"]).select(*group, "spot", F.col("c").alias("node")))
         node = cut(comm.groupBy(*group, F.col("c").alias("node")).agg(F.sum("k").alias("k")))
         for c in ("src", "dst"):
