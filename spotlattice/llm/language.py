@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.llm.common import table
+from spotlattice.llm.common import least_hashes, table
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 40_000
@@ -189,11 +189,11 @@ def held_out(doc_id):
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """A bounded sample of text for each language of ``training_rows``."""
     rows = training_rows(docs)
-    names = [r[0] for r in rows.select("lang").distinct().collect()]
     samples = {}
-    for name in names:
-        some = rows.filter(F.col("lang") == name).select(F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("doc_id").alias("h"))
-        samples[name] = " ".join(r.text for r in some.orderBy("h", "text").limit(sample_docs).collect())[:sample_chars]
+    for name, total in rows.groupBy("lang").count().collect():
+        # the total is that of the language, the bound is on the hash of the id
+        some = rows.filter(F.col("lang") == name).select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, sample_chars).alias("text"))
+        samples[name] = " ".join(r.text for r in least_hashes(some, sample_docs, total))[:sample_chars]
     return samples
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.llm.common import table
+from spotlattice.llm.common import least_hashes, table
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, TRAIN_CHARS = 500, 20_000
@@ -299,8 +299,8 @@ def windows(texts: list[str], r: np.random.Generator, per_span: int = 3) -> tupl
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Tagger | None:
     """A tagger from a bounded sample of the texts that hold a digit or at sign; None if there are no spans to learn."""
-    rows = docs.filter(F.col("text").rlike("[0-9@]")).select(F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    texts = [r.text for r in rows.orderBy(F.xxhash64("text"), "text").limit(train_docs).collect()]
+    rows = docs.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    texts = [r.text for r in least_hashes(rows, train_docs, docs.count())]
     codes, tags = windows(texts, np.random.default_rng(7))
     if not tags.any():
         return None
