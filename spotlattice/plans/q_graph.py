@@ -353,7 +353,17 @@ es AS (SELECT e.sample_id, src, dst, b.f AS f, list_dot_product(a.f, {_LEFT}::DO
 ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY sample_id, src)) AS x FROM (SELECT *, CASE WHEN raw > 0 THEN raw ELSE 0.2::DOUBLE * raw END AS s FROM es)),
 aw AS (SELECT *, x / sum(x) OVER (PARTITION BY sample_id, src) AS a FROM ex)"""
 
+def _greedy_sql(k: int) -> str:
+    """The greedy alignment, its rounds written out."""
+    steps = ["g0 AS (SELECT a.sample_id, b.seed, b.label AS cur, a.label AS ref, count(*) AS n FROM v_labels a JOIN v_labels b ON a.sample_id = b.sample_id AND a.spot = b.spot AND a.seed = 11 AND b.seed <> 11 GROUP BY ALL)"]
+    for i in range(k):
+        steps.append(f"b{i} AS (SELECT sample_id, seed, cur, ref FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, seed ORDER BY n DESC, ref DESC, cur DESC) AS r FROM g{i}) WHERE r = 1)")
+        steps.append(f"g{i + 1} AS (SELECT g.* FROM g{i} g JOIN b{i} b USING (sample_id, seed) WHERE g.cur <> b.cur AND g.ref <> b.ref)")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(k))
+
+
 SQL = {
+    "label_align_greedy": with_views(_greedy_sql(4), "labels"),
     "library_size": with_views("SELECT s.sample_id, s.spot, CASE WHEN coalesce(sum(n), 0) = 0 THEN 1 ELSE sum(n) END::BIGINT AS size FROM v_spots s LEFT JOIN (SELECT * FROM v_counts WHERE gene < 20) c ON c.sample_id = s.sample_id AND c.spot = s.spot GROUP BY s.sample_id, s.spot", "spots", "counts"),
     "lognorm": with_views(f"WITH {_LN} SELECT sample_id, spot, gene, round(v, 6) AS v FROM ln_", "counts"),
     "hvg_select": with_views(f"WITH {_LN}, va AS (SELECT sample_id, gene, greatest(sum(v * v) / any_value(n) - (sum(v) / any_value(n)) * (sum(v) / any_value(n)), 0) AS variance FROM ln_ JOIN (SELECT sample_id, count(*) AS n FROM v_spots GROUP BY 1) USING (sample_id) GROUP BY 1, 2) SELECT sample_id, gene, round(variance, 6) AS variance, rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY variance DESC, gene DESC)::INT AS rank FROM va) WHERE rank <= 25", "counts"),
