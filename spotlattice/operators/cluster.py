@@ -156,6 +156,7 @@ def community_fit(edges: DataFrame, gammas: list[float], levels: int = 2, rounds
     """
     group = [KEY, "gamma"]
     grid = edges.sparkSession.createDataFrame([(g,) for g in gammas], "gamma double")
+    edges = cut(edges.select(KEY, "src", "dst", "w"))
     m = edges.groupBy(KEY).agg(F.sum("w").alias("m"))
     e = cut(edges.select(KEY, "src", "dst", "w").join(F.broadcast(grid)))
     node = cut(strengths(edges).join(F.broadcast(grid)))
@@ -166,10 +167,11 @@ def community_fit(edges: DataFrame, gammas: list[float], levels: int = 2, rounds
         score = cut(_quality(e, comm, m, group))
         for r in range(rounds):
             new = cut(_moved(both, comm, m, group, r % 2))
-            now = cut(_quality(e, new, m, group))
+            now = _quality(e, new, m, group)
             better = now.join(score.withColumnRenamed("q", "old"), group).select(*group, (F.col("q") > F.col("old")).alias("up"), F.greatest("q", "old").alias("q"))
+            better = cut(better)
             comm = cut(new.join(comm.select(*group, "node", F.col("c").alias("before")), [*group, "node"]).join(F.broadcast(better), group).select(*group, "node", "k", F.when(F.col("up"), F.col("c")).otherwise(F.col("before")).alias("c")))
-            score = cut(better.select(*group, "q"))
+            score = better.select(*group, "q")
         where = cut(where.join(comm.select(*group, "node", "c"), [*group, "node"]).select(*group, "spot", F.col("c").alias("node")))
         node = cut(comm.groupBy(*group, F.col("c").alias("node")).agg(F.sum("k").alias("k")))
         for c in ("src", "dst"):

@@ -97,7 +97,7 @@ def _grid(spark, d):
 def community_fit(spark, d):
     """Per sample and resolution: number of communities, and whether the modularity beats one community for all."""
     e = _weights(spark, d)
-    out = C.community_fit(e, [0.5, 1.0], levels=2, rounds=4)
+    out = C.community_fit(e, [0.5, 1.0], levels=2, rounds=3)
     return out.groupBy(K, "gamma").agg(F.countDistinct("label").alias("n_labels"), F.count(F.lit(1)).alias("n_spots"))
 
 
