@@ -48,7 +48,16 @@ def _gene_names(spark, d):
 
 
 def library_size(spark, d):
-    return N.library_size(_v(spark, d, "counts").filter("gene < 20"), _spots(spark, d)).select(K, "spot", F.col("size").cast("bigint").alias("size"))
+    """Held against SQL over the first 20 genes; ``library_size_whole`` takes all."""
+    return _sizes(spark, d, _v(spark, d, "counts").filter("gene < 20"))
+
+
+def library_size_whole(spark, d):
+    return _sizes(spark, d, _v(spark, d, "counts"))
+
+
+def _sizes(spark, d, counts):
+    return N.library_size(counts, _spots(spark, d)).select(K, "spot", F.col("size").cast("bigint").alias("size"))
 
 
 def lognorm(spark, d):
@@ -278,16 +287,24 @@ def edge_alignment(spark, d):
 
 
 def patch_features(spark, d):
-    out = H.patch_features(_on_image(spark, d).filter("spot % 10 = 0"), _v(spark, d, "pixels"), half=6)
+    """Held against SQL over every tenth spot and small patches; ``patch_features_whole`` takes all spots and whole patches."""
+    return _patches(H.patch_features(_on_image(spark, d).filter("spot % 10 = 0"), _v(spark, d, "pixels"), half=6))
+
+
+def patch_features_whole(spark, d):
+    return _patches(H.patch_features(_on_image(spark, d), _v(spark, d, "pixels")))
+
+
+def _patches(out):
     return out.select(K, "spot", "n_pixels", *(r6(F.col(c)).alias(c) for c in ("gray_mean", "gray_sd", "grad_mean", "grad_q95")))
 
 
 QUERIES = {f.__name__: f for f in (
-    library_size, lognorm, hvg_select, pca_variance, coords_scaled, spatial_features, knn_exact, knn_rank2to7, graph_symmetric, edges_undirected, edge_weights,
+    library_size, library_size_whole, lognorm, hvg_select, pca_variance, coords_scaled, spatial_features, knn_exact, knn_rank2to7, graph_symmetric, edges_undirected, edge_weights,
     boundary_mask, neighbor_list_agreement, affinity_mass, bandwidth_search, graph_smooth, edge_attention, spatial_coherence, marker_separation, marker_topn,
     marker_by_domain, ari, ari_seed_pairs, control_random_labels, control_shuffled_coords, label_align, label_align_greedy, unstable_spots, instability_summary,
     select_marker, signature_score, signature_contrast, signature_seed_median, group_compare, domain_heatmap, coord_label_join, image_gradient, gradient_at_spots,
-    edge_alignment, patch_features,
+    edge_alignment, patch_features, patch_features_whole,
 )}
 
 # --- oracles -------------------------------------------------------------------

@@ -61,7 +61,16 @@ def config_parse(spark, d):
 
 
 def feasibility_flags(spark, d):
-    return L.feasibility(view(spark, d, "ledger").filter("ingest_seq % 10 = 0").select("ingest_seq", (F.col("peak_rss_mb") * 2).alias("peak_rss_mb"))).select("ingest_seq", "laptop_feasible", "cloud_recommended", "recommendation")
+    """Held against SQL over every tenth row; ``feasibility_flags_whole`` takes all."""
+    return _flags(view(spark, d, "ledger").filter("ingest_seq % 10 = 0"))
+
+
+def feasibility_flags_whole(spark, d):
+    return _flags(view(spark, d, "ledger"))
+
+
+def _flags(led):
+    return L.feasibility(led.select("ingest_seq", (F.col("peak_rss_mb") * 2).alias("peak_rss_mb"))).select("ingest_seq", "laptop_feasible", "cloud_recommended", "recommendation")
 
 
 def nrep_sensitivity(spark, d):
@@ -256,7 +265,7 @@ def run_summary(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    filter_locked, lock_rows, parse_int, claim_effects, config_parse, feasibility_flags, nrep_sensitivity, quality_deltas, stability_extract, dataset_summary_medians,
+    filter_locked, lock_rows, parse_int, claim_effects, config_parse, feasibility_flags, feasibility_flags_whole, nrep_sensitivity, quality_deltas, stability_extract, dataset_summary_medians,
     dataset_coverage, hyperparam_spread, relative_to_group_median, runtime_unit, runtime_groups, box_stats, method_summary, sensitivity_long, rows_added,
     sample_discovery, mtx_read, csc_to_triplets, line_index, positions_read, spots_aligned, guard_violations, gene_dedup, tsv_read, ledger_append, dedup_exact,
     manifest_check, notes_backfill, config_union, run_summary,
