@@ -36,22 +36,27 @@ def kmeans_fit(points: DataFrame, plan: DataFrame, size: int, inits: int = 10, r
     """(labels, inertia) per (sample, K, seed): Lloyd steps of all groups and starts at once, the best start wins.
 
     ``plan`` has K and seed. A start takes the K points of least hash of (seed,
-    start, spot). All groups advance until no centroid moves.
+    start, spot). A group advances until none of its centroids moves; ``converged``
+    in the inertia table is false where the best start still moved after ``rounds``.
     """
     keys = (KEY, "K", "seed", "init")
     starts = plan.select("K", "seed", F.explode(F.sequence(F.lit(0), F.lit(inits - 1))).alias("init"))
     h = hash_number(F.concat_ws("|", "seed", "init", "spot"))
     w = Window.partitionBy(*keys).orderBy(h, "spot")
     c = cut(points.join(F.broadcast(starts)).withColumn("label", F.row_number().over(w) - 1).filter("label < K").select(*keys, "label", "f"))
+    still = cut(c.limit(0).withColumn("converged", F.lit(True)))
     for _ in range(rounds):
         new = cut(kmeans_update(points, kmeans_assign(points, c, keys), size, keys))
-        moved = new.join(c.withColumnRenamed("f", "g"), [*keys, "label"]).filter(squared_distance(F.col("f"), F.col("g")) > 1e-12)
-        c = new
-        if moved.isEmpty():
+        moved = cut(new.join(c.withColumnRenamed("f", "g"), [*keys, "label"]).filter(squared_distance(F.col("f"), F.col("g")) > 1e-12).select(*keys).distinct())
+        still = cut(still.unionByName(new.join(moved, list(keys), "left_anti").withColumn("converged", F.lit(True))))
+        c = cut(new.join(moved, list(keys), "left_semi"))
+        if c.isEmpty():
             break
+    c = cut(still.unionByName(c.withColumn("converged", F.lit(False))))
     final = kmeans_assign(points, c, keys)
     inertia = final.groupBy(*keys).agg(F.sum("d2").alias("inertia"), F.countDistinct("label").alias("n_labels"))
-    best = inertia.groupBy(KEY, "K", "seed").agg(F.min(F.struct("inertia", "init", "n_labels")).alias("b")).select(KEY, "K", "seed", "b.inertia", "b.init", "b.n_labels")
+    inertia = inertia.join(c.select(*keys, "converged").distinct(), list(keys))
+    best = inertia.groupBy(KEY, "K", "seed").agg(F.min(F.struct("inertia", "init", "n_labels", "converged")).alias("b")).select(KEY, "K", "seed", "b.inertia", "b.init", "b.n_labels", "b.converged")
     labels = final.join(F.broadcast(best.select(*keys)), list(keys)).select(KEY, "K", "seed", "spot", "label")
     return labels, best.drop("init")
 

@@ -60,10 +60,21 @@ def unit(f: Column) -> Column:
 
 
 def _orthonormal(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-    """Orthonormal columns of one sample's genes x components block."""
+    """Orthonormal columns of one sample's genes x components block ``y``, as many as it had.
+
+    After a round ``y`` is the product of the covariance and the basis ``w``; it is turned
+    towards the principal axes first, and ``ritz`` has the variances along them.
+    """
     block = block.sort_values("gene")
-    q, _ = np.linalg.qr(np.vstack(block["y"].to_numpy()))
-    return pd.DataFrame({"sample_id": key[0], "gene": block["gene"].to_numpy(), "w": list(q)})
+    y = np.vstack(block["y"].to_numpy())
+    ritz = np.zeros(y.shape[1])
+    if "w" in block:
+        inner = np.vstack(block["w"].to_numpy()).T @ y
+        value, turn = np.linalg.eigh((inner + inner.T) / 2)
+        ritz, y = value[::-1], y @ turn[:, ::-1]
+    q, _ = np.linalg.qr(y)
+    q = np.pad(q, ((0, 0), (0, y.shape[1] - q.shape[1])))
+    return pd.DataFrame({"sample_id": key[0], "gene": block["gene"].to_numpy(), "w": list(q), "ritz": [ritz] * len(q)})
 
 
 def _project(expr: DataFrame, basis: DataFrame, means: DataFrame, parts: int) -> DataFrame:
@@ -75,27 +86,41 @@ def _project(expr: DataFrame, basis: DataFrame, means: DataFrame, parts: int) ->
     return y.join(F.broadcast(offset), "sample_id").select("sample_id", "spot", F.zip_with("y", "o", lambda a, b: a - b).alias("y"))
 
 
-def pca(expr: DataFrame, spots: DataFrame, parts: int = 20, rounds: int = 6, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def pca(expr: DataFrame, spots: DataFrame, parts: int = 20, rounds: int = 300, seed: int = 0, spare: int = 20, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
     """(scores, variances) of all samples at once by subspace iteration on the long table.
 
     Each round multiplies by the centred matrix and its transpose as joins and
     sums; only a sample's genes x components block meets in one task, to be made
     orthonormal. Genes are the selected ones, so the block is small. Every spot
     with a value takes part; spots without any count as zeros in the means.
+    ``spare`` further components speed up the rounds, which end when no variance
+    moves by more than ``tolerance`` of the sample's largest, or after ``rounds``;
+    ``converged`` tells which. A sample has no more components than spots or
+    genes less one, two at least.
     """
+    asked, parts = parts, parts + spare
     expr = expr.select("sample_id", "spot", "gene", "v")
     n = spots.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
     means = expr.groupBy("sample_id", "gene").agg(F.sum("v").alias("s")).join(F.broadcast(n), "sample_id").select("sample_id", "gene", (F.col("s") / F.col("n")).alias("mean"))
     start = F.transform(F.sequence(F.lit(1), F.lit(parts)), lambda i: (F.xxhash64("gene", i, F.lit(seed)) % 1000003) / 1000003.0)
-    basis = means.select("sample_id", "gene", start.alias("y")).groupBy("sample_id").applyInPandas(_orthonormal, "sample_id string, gene long, w array<double>")
+    shape = "sample_id string, gene long, w array<double>, ritz array<double>"
+    basis = cut(means.select("sample_id", "gene", start.alias("y")).groupBy("sample_id").applyInPandas(_orthonormal, shape))
+    before: dict = {}
     full = spots.select("sample_id", "spot")
     for _ in range(rounds):
         y = full.join(_project(expr, basis, means, parts), ["sample_id", "spot"], "left")
         sums = y.groupBy("sample_id").agg(F.array(*(F.sum(F.col("y")[i]) for i in range(parts))).alias("t"))
         z = expr.join(y.filter("y IS NOT NULL"), ["sample_id", "spot"]).groupBy("sample_id", "gene").agg(F.array(*(F.sum(F.col("v") * F.col("y")[i]) for i in range(parts))).alias("z"))
         z = z.join(means, ["sample_id", "gene"]).join(F.broadcast(sums), "sample_id").select("sample_id", "gene", F.zip_with("z", F.transform("t", lambda x: x * F.col("mean")), lambda a, b: a - b).alias("y"))
-        basis = z.groupBy("sample_id").applyInPandas(_orthonormal, "sample_id string, gene long, w array<double>")
-        basis = cut(basis)
-    scores = _project(expr, basis, means, parts)
-    variance = scores.select("sample_id", F.posexplode("y").alias("part", "y")).groupBy("sample_id", "part").agg(F.var_pop("y").alias("variance"))
+        basis = cut(z.join(basis.select("sample_id", "gene", "w"), ["sample_id", "gene"]).groupBy("sample_id").applyInPandas(_orthonormal, shape))
+        # one row a sample
+        now = {r.sample_id: np.array(r.ritz[:asked]) for r in basis.groupBy("sample_id").agg(F.first("ritz").alias("ritz")).collect()}
+        moving = [s for s, v in now.items() if s not in before or np.abs(v - before[s]).max() > tolerance * max(v.max(), 1e-300)]
+        before = now
+        if not moving:
+            break
+    most = means.groupBy("sample_id").agg(F.count(F.lit(1)).alias("genes")).join(n, "sample_id")
+    most = most.select("sample_id", F.greatest(F.lit(2), F.least(F.lit(asked), F.col("n") - 1, F.col("genes") - 1)).cast("int").alias("most"), (~F.col("sample_id").isin(moving)).alias("converged"))
+    scores = _project(expr, basis, means, parts).join(F.broadcast(most), "sample_id").select("sample_id", "spot", F.slice("y", F.lit(1), F.col("most")).alias("y"))
+    variance = scores.select("sample_id", F.posexplode("y").alias("part", "y")).groupBy("sample_id", "part").agg(F.var_pop("y").alias("variance")).join(F.broadcast(most.drop("most")), "sample_id")
     return scores.withColumnRenamed("y", "f"), variance

@@ -9,6 +9,7 @@ from spotlattice.operators import claims as C
 from spotlattice.operators import stats as S
 from spotlattice.plans.views import view, with_views
 
+#: Resamples of the queries with SQL; those named _whole take the operators' own numbers.
 ROUNDS = 50
 DELTA_SQL = """deltas AS (SELECT b.method_id AS baseline, a.sample_id, avg(a.coherence - b.coherence) AS delta
   FROM v_paired a JOIN v_paired b ON a.sample_id = b.sample_id AND a.K = b.K AND a.method_id = 'focal' AND b.method_id IN ('M5', 'M0') GROUP BY 1, 2)"""
@@ -83,8 +84,12 @@ dr AS (SELECT g, b, {hash_number_sql("'11|' || b || '|' || i")} % n AS i FROM ix
 boot AS (SELECT g, b, x FROM dr JOIN ix USING (g, i))"""
 
 
-def bootstrap_ci(spark, d):
-    return S.bootstrap_ci(_deltas(spark, d), ("baseline",), "delta", "sample_id", ROUNDS).select("baseline", "n", *(r6(F.col(c)).alias(c) for c in ("median", "ci_low", "ci_high")))
+def bootstrap_ci_whole(spark, d):
+    return bootstrap_ci(spark, d, 5000)
+
+
+def bootstrap_ci(spark, d, rounds=ROUNDS):
+    return S.bootstrap_ci(_deltas(spark, d), ("baseline",), "delta", "sample_id", rounds).select("baseline", "n", *(r6(F.col(c)).alias(c) for c in ("median", "ci_low", "ci_high")))
 
 
 BOOT_SQL = with_views(
@@ -96,9 +101,13 @@ LEFT JOIN (SELECT g AS baseline, quantile_cont(m, 0.025) AS ci_low, quantile_con
 )
 
 
-def bootstrap_median_diff(spark, d):
+def bootstrap_median_diff_whole(spark, d):
+    return bootstrap_median_diff(spark, d, 1000)
+
+
+def bootstrap_median_diff(spark, d, rounds=ROUNDS):
     rows = view(spark, d, "spots").select("sample_id", (F.col("segment") == "BUILDING").alias("inside"), "x", "spot")
-    return S.bootstrap_median_diff(rows, ("sample_id",), "inside", "x", "spot", ROUNDS).select("sample_id", r6(F.col("ci_low")).alias("ci_low"), r6(F.col("ci_high")).alias("ci_high"))
+    return S.bootstrap_median_diff(rows, ("sample_id",), "inside", "x", "spot", rounds).select("sample_id", r6(F.col("ci_low")).alias("ci_low"), r6(F.col("ci_high")).alias("ci_high"))
 
 
 DIFF_SQL = with_views(
@@ -117,13 +126,17 @@ def direction_coverage(spark, d):
 _C1_COLUMNS = ("effect_median", "ci_low", "ci_high", "statistic", "p_value", "q_value", "direction_consistency", "coverage")
 
 
-def _c1(spark, d):
-    return C.gate_c1(view(spark, d, "paired"), "focal", _families(spark), "coherence", ROUNDS)
+def _c1(spark, d, rounds=ROUNDS):
+    return C.gate_c1(view(spark, d, "paired"), "focal", _families(spark), "coherence", rounds)
 
 
-def gate_c1(spark, d):
+def gate_c1_whole(spark, d):
+    return gate_c1(spark, d, 5000)
+
+
+def gate_c1(spark, d, rounds=ROUNDS):
     gates = ("gate_significance", "gate_effect", "gate_direction", "gate_coverage", "gate_overall")
-    return _c1(spark, d).select("baseline", "family", "n_samples", "n_target", *(r6(F.col(c)).alias(c) for c in _C1_COLUMNS), *gates, "tier", "decision")
+    return _c1(spark, d, rounds).select("baseline", "family", "n_samples", "n_target", *(r6(F.col(c)).alias(c) for c in _C1_COLUMNS), *gates, "tier", "decision")
 
 
 _C1_BODY = f"""fam(baseline, family) AS (VALUES ('M5', 'F1'), ('M0', 'F1_secondary'), ('M2', 'F1_ext')),
@@ -181,11 +194,15 @@ _C3_SQL = """c3 AS (SELECT *, coalesce(share >= 0.8 AND failure_free >= 1.0, fal
     SELECT dataset_id, sample_id, K, quantile_cont(wall_time_sec, 0.5) FILTER (status = 'success') AS sec, avg((status <> 'success')::INT) AS failed FROM v_ledger WHERE method_id = 'purchase' GROUP BY 1, 2, 3)))"""
 
 
-def gate_c4(spark, d):
+def gate_c4_whole(spark, d):
+    return gate_c4(spark, d, 5000)
+
+
+def gate_c4(spark, d, rounds=ROUNDS):
     """External anchor: the same paired statistics on another metric, focal against M5 only."""
     one = C.families_table(spark).filter("baseline = 'M5'")
     units = view(spark, d, "paired").withColumn("edge", F.col("coherence") * F.col("coherence"))
-    return C.gate_c1(units, "focal", one, "edge", ROUNDS).select("baseline", "n_samples", *(r6(F.col(c)).alias(c) for c in ("effect_median", "ci_low", "ci_high", "p_value", "direction_consistency")))
+    return C.gate_c1(units, "focal", one, "edge", rounds).select("baseline", "n_samples", *(r6(F.col(c)).alias(c) for c in ("effect_median", "ci_low", "ci_high", "p_value", "direction_consistency")))
 
 
 C4_SQL = with_views(
@@ -231,6 +248,7 @@ QUERIES = {
     "paired_delta": paired_delta, "wilcoxon_paired": wilcoxon_paired, "wilcoxon_greater": wilcoxon_greater, "mann_whitney": mann_whitney, "bh_fdr": bh_fdr,
     "bootstrap_ci": bootstrap_ci, "bootstrap_median_diff": bootstrap_median_diff, "direction_coverage": direction_coverage, "gate_c1": gate_c1,
     "gate_families": gate_families, "gate_c2": gate_c2, "gate_c3": gate_c3, "gate_c4": gate_c4, "claims": claims,
+    "bootstrap_ci_whole": bootstrap_ci_whole, "bootstrap_median_diff_whole": bootstrap_median_diff_whole, "gate_c1_whole": gate_c1_whole, "gate_c4_whole": gate_c4_whole,
 }
 _W = "SELECT g AS {0}, n, round(v, 6) AS v, round(z, 6) AS z, round(p, 6) AS p FROM ({1})"
 SQL = {

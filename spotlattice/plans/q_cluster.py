@@ -25,37 +25,49 @@ def _labels(spark, d):
     return view(spark, d, "labels")
 
 
-def _start(spark, d):
+#: Components of a vector. The queries with SQL take 4; those named _whole take all.
+SIZE = 64
+
+
+def _start(spark, d, size=4):
     """The vectors with known label below 4 give the first centroids of each sample."""
-    p = _points(spark, d, 4).filter("known < 4")
-    return p.groupBy(K, F.col("known").alias("label")).agg(C._mean("f", 4).alias("f"))
+    p = _points(spark, d, size).filter("known < 4")
+    return p.groupBy(K, F.col("known").alias("label")).agg(C._mean("f", size).alias("f"))
+
+
+def kmeans_assign(spark, d, size=4):
+    return C.kmeans_assign(_points(spark, d, size), _start(spark, d, size)).select(K, "spot", "label", r6(F.col("d2")).alias("d2"))
+
+
+def kmeans_assign_whole(spark, d):
+    return kmeans_assign(spark, d, SIZE)
 
 
-def kmeans_assign(spark, d):
-    return C.kmeans_assign(_points(spark, d, 4), _start(spark, d)).select(K, "spot", "label", r6(F.col("d2")).alias("d2"))
+def kmeans_update(spark, d, size=4):
+    p = _points(spark, d, size)
+    out = C.kmeans_update(p, C.kmeans_assign(p, _start(spark, d, size)), size)
+    return out.select(K, "label", *(r6(F.col("f")[i]).alias(f"f{i}") for i in range(size)))
 
 
-def kmeans_update(spark, d):
-    p = _points(spark, d, 4)
-    out = C.kmeans_update(p, C.kmeans_assign(p, _start(spark, d)), 4)
-    return out.select(K, "label", *(r6(F.col("f")[i]).alias(f"f{i}") for i in range(4)))
+def kmeans_update_whole(spark, d):
+    return kmeans_update(spark, d, SIZE)
 
 
 def _plan(spark):
-    return spark.createDataFrame([(4, 11), (4, 23)], "K int, seed int")
+    return spark.createDataFrame([(k, seed) for k in (4, 6) for seed, _ in _SEEDS], "K int, seed int")
 
 
 def kmeans_fit(spark, d):
-    """Per sample, K and seed: inertia and number of labels after convergence."""
-    _, best = C.kmeans_fit(_points(spark, d, 8), _plan(spark), 8, inits=2, rounds=12)
-    return best.select(K, "K", "seed", r6(F.col("inertia")).alias("inertia"), "n_labels")
+    """Per sample, K and seed: inertia and number of labels, and whether the best start converged."""
+    _, best = C.kmeans_fit(_points(spark, d), _plan(spark), SIZE)
+    return best.select(K, "K", "seed", r6(F.col("inertia")).alias("inertia"), "n_labels", "converged")
 
 
 def kmeans_fit_spatial(spark, d):
-    p = _points(spark, d, 8)
+    p = _points(spark, d)
     f = N.spatial_features(p.select(K, "spot", "f"), N.coords_scaled(p).select(K, "spot", "xs", "ys"))
-    _, best = C.kmeans_fit(f, _plan(spark), 10, inits=2, rounds=12)
-    return best.select(K, "K", "seed", r6(F.col("inertia")).alias("inertia"), "n_labels")
+    _, best = C.kmeans_fit(f, _plan(spark), SIZE + 2)
+    return best.select(K, "K", "seed", r6(F.col("inertia")).alias("inertia"), "n_labels", "converged")
 
 
 def _coarse(spark, d):
@@ -115,18 +127,26 @@ def _selected(customers):
     return C.resolution_select(c, 6).select(K, r6(F.col("gamma")).alias("gamma"), "n_labels", "exact")
 
 
-def _soft(spark, d):
-    p = _points(spark, d, 4)
-    centroids = p.filter("known < 4").groupBy(F.col("known").alias("label")).agg(C._mean("f", 4).alias("f"))
+def _soft(spark, d, size=4):
+    p = _points(spark, d, size)
+    centroids = p.filter("known < 4").groupBy(F.col("known").alias("label")).agg(C._mean("f", size).alias("f"))
     return C.soft_assign(p, centroids)
 
 
-def dec_soft_assign(spark, d):
-    return _soft(spark, d).select(K, "spot", "label", r6(F.col("q")).alias("q"), r6(F.col("p")).alias("p"))
+def dec_soft_assign(spark, d, size=4):
+    return _soft(spark, d, size).select(K, "spot", "label", r6(F.col("q")).alias("q"), r6(F.col("p")).alias("p"))
+
+
+def dec_soft_assign_whole(spark, d):
+    return dec_soft_assign(spark, d, SIZE)
+
+
+def dec_kl(spark, d, size=4):
+    return C.kl(_soft(spark, d, size)).withColumn("kl", r6(F.col("kl")))
 
 
-def dec_kl(spark, d):
-    return C.kl(_soft(spark, d)).withColumn("kl", r6(F.col("kl")))
+def dec_kl_whole(spark, d):
+    return dec_kl(spark, d, SIZE)
 
 
 def label_change_rate(spark, d):
@@ -166,7 +186,8 @@ def domain_map_export(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    kmeans_assign, kmeans_update, kmeans_fit, kmeans_fit_spatial, ward_round, ward_fit, rb_modularity, community_fit, resolution_select, resolution_select_whole, dec_soft_assign, dec_kl,
+    kmeans_assign, kmeans_assign_whole, kmeans_update, kmeans_update_whole, kmeans_fit, kmeans_fit_spatial, ward_round, ward_fit, rb_modularity, community_fit, resolution_select, resolution_select_whole, dec_soft_assign,
+    dec_soft_assign_whole, dec_kl, dec_kl_whole,
     label_change_rate, exact_k_check, run_plan, reference_seed, domain_map_import, domain_map_export,
 )}
 

@@ -64,16 +64,20 @@ def lognorm(spark, d):
     return _expr(spark, d).select(K, "spot", "gene", r6(F.col("v")).alias("v"))
 
 
-def hvg_select(spark, d):
-    return N.hvg_select(_expr(spark, d), _spots(spark, d), 25).select(K, "gene", r6(F.col("variance")).alias("variance"), "rank")
+def hvg_select(spark, d, most=25):
+    return N.hvg_select(_expr(spark, d), _spots(spark, d), most).select(K, "gene", r6(F.col("variance")).alias("variance"), "rank")
+
+
+def hvg_select_whole(spark, d):
+    return hvg_select(spark, d, 2000)
 
 
 def pca_variance(spark, d):
-    """Variances of the first components per sample, in falling order."""
+    """Variances of the first components per sample, in falling order, and whether they had stopped moving."""
     e = _expr(spark, d)
-    top = N.hvg_select(e, _spots(spark, d), 40).select(K, "gene")
-    _, variance = N.pca(e.join(F.broadcast(top), [K, "gene"], "left_semi"), _spots(spark, d), parts=5, rounds=4)
-    return variance.select(K, "part", r6(F.col("variance")).alias("variance"))
+    top = N.hvg_select(e, _spots(spark, d)).select(K, "gene")
+    _, variance = N.pca(e.join(F.broadcast(top), [K, "gene"], "left_semi"), _spots(spark, d))
+    return variance.select(K, "part", r6(F.col("variance")).alias("variance"), "converged")
 
 
 def coords_scaled(spark, d):
@@ -138,24 +142,35 @@ def bandwidth_search(spark, d):
     return G.bandwidth_search(_spots(spark, d), 0.5).select(K, r6(F.col("l")).alias("l"), r6(F.col("mass")).alias("mass"))
 
 
-def _features(spark, d):
-    return _embed(spark, d).select(K, "spot", F.posexplode(F.slice("f", 1, 4)).alias("feature", "v"))
+def _features(spark, d, size):
+    return _embed(spark, d).select(K, "spot", F.posexplode(F.slice("f", 1, size)).alias("feature", "v"))
 
 
-def graph_smooth(spark, d):
+def graph_smooth(spark, d, size=4):
     w = _weights(spark, d)
-    return G.smooth(w, _features(spark, d)).select(K, "spot", "feature", r6(F.col("v")).alias("v"))
+    return G.smooth(w, _features(spark, d, size)).select(K, "spot", "feature", r6(F.col("v")).alias("v"))
+
+
+def graph_smooth_whole(spark, d):
+    return graph_smooth(spark, d, SIZE)
 
 
 _LEFT, _RIGHT = [0.5, -0.25, 1.0, 0.75], [-0.5, 0.3, 0.2, 0.1]
+#: Components of a vector. The queries with SQL take 4; those named _whole take all.
+SIZE = 64
 
 
-def edge_attention(spark, d):
-    e = _embed(spark, d).select(K, "spot", "x", "y", F.slice("f", 1, 4).alias("f"))
-    out = G.edge_attention(G.symmetric_graph(G.knn(e, 6), e), e, _LEFT, _RIGHT)
+def edge_attention(spark, d, size=4):
+    """The given weights repeat where more than four components are taken."""
+    e = _embed(spark, d).select(K, "spot", "x", "y", F.slice("f", 1, size).alias("f"))
+    out = G.edge_attention(G.symmetric_graph(G.knn(e, 6), e), e, _LEFT * (size // 4), _RIGHT * (size // 4))
     return out.select(K, "spot", "part", r6(F.col("v")).alias("v"))
 
 
+def edge_attention_whole(spark, d):
+    return edge_attention(spark, d, SIZE)
+
+
 def spatial_coherence(spark, d):
     labels = _v(spark, d, "labels")
     return Q.agreement(G.coherence_neighbours(_spots(spark, d)), labels, ("seed",)).withColumn("coherence", r6(F.col("coherence")))
@@ -300,8 +315,8 @@ def _patches(out):
 
 
 QUERIES = {f.__name__: f for f in (
-    library_size, library_size_whole, lognorm, hvg_select, pca_variance, coords_scaled, spatial_features, knn_exact, knn_rank2to7, graph_symmetric, edges_undirected, edge_weights,
-    boundary_mask, neighbor_list_agreement, affinity_mass, bandwidth_search, graph_smooth, edge_attention, spatial_coherence, marker_separation, marker_topn,
+    library_size, library_size_whole, lognorm, hvg_select, hvg_select_whole, pca_variance, coords_scaled, spatial_features, knn_exact, knn_rank2to7, graph_symmetric, edges_undirected, edge_weights,
+    boundary_mask, neighbor_list_agreement, affinity_mass, bandwidth_search, graph_smooth, graph_smooth_whole, edge_attention, edge_attention_whole, spatial_coherence, marker_separation, marker_topn,
     marker_by_domain, ari, ari_seed_pairs, control_random_labels, control_shuffled_coords, label_align, label_align_greedy, unstable_spots, instability_summary,
     select_marker, signature_score, signature_contrast, signature_seed_median, group_compare, domain_heatmap, coord_label_join, image_gradient, gradient_at_spots,
     edge_alignment, patch_features, patch_features_whole,

@@ -3,10 +3,11 @@
 import math
 import statistics
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from spotlattice import catalog
+from spotlattice.operators import cluster, normalize, stats
 from spotlattice.plans.views import view
 
 DIR = "/root/testdata/sf0.001"
@@ -59,3 +60,50 @@ def test_patches_of_all_spots(spark):
         assert one.gray_mean == pytest.approx(statistics.fmean(patch.values()), abs=2e-6) and one.gray_sd == pytest.approx(statistics.pstdev(patch.values()), abs=2e-6)
         assert one.grad_mean == (pytest.approx(statistics.fmean(steps), abs=2e-6) if steps else None)
     assert n == len(got)
+
+
+def vectors(spark):
+    known = {r.vec_id: ([float(v) for v in r.embedding], r.label) for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()}
+    out = {}
+    for r in view(spark, DIR, "spots").collect():
+        if r.spot in known:
+            out.setdefault(r.sample_id, []).append((r.spot, *known[r.spot]))
+    return out
+
+
+def test_assignment_uses_whole_vectors(spark):
+    want = {}
+    for s, rows in vectors(spark).items():
+        means = {k: np.mean([f for _, f, l in rows if l == k], axis=0) for k in sorted({l for *_, l in rows}) if k < 4}
+        for spot, f, _ in rows:
+            want[s, spot] = min((float(((np.array(f) - m) ** 2).sum()), k) for k, m in means.items())
+    got = {(r.sample_id, r.spot): (r.d2, r.label) for r in run(spark, "kmeans_assign_whole")}
+    assert got.keys() == want.keys() and all(len(f) == 64 for rows in vectors(spark).values() for _, f, _ in rows)
+    assert all(got[k][0] == pytest.approx(want[k][0], abs=2e-6) and got[k][1] == want[k][1] for k in want)
+
+
+def test_kmeans_tells_whether_it_converged(spark):
+    p = spark.createDataFrame([("s", i, [float(i**2 % 37), float(i)]) for i in range(40)], "sample_id string, spot long, f array<double>")
+    plan = spark.createDataFrame([(3, 11)], "K int, seed int")
+    assert cluster.kmeans_fit(p, plan, 2, inits=1, rounds=1)[1].first().converged is False
+    labels, best = cluster.kmeans_fit(p, plan, 2, inits=2)
+    assert best.first().converged is True
+    rows = labels.join(p, ["sample_id", "spot"]).collect()
+    means = {k: np.mean([r.f for r in rows if r.label == k], axis=0) for k in {r.label for r in rows}}
+    assert all(r.label == min(means, key=lambda k: ((np.array(r.f) - means[k]) ** 2).sum()) for r in rows)
+
+
+def test_pca_converges_to_the_whole_spectrum(spark):
+    x = np.random.default_rng(3).random((60, 50))
+    e = spark.createDataFrame([("s", i, j, float(x[i, j])) for i in range(60) for j in range(50)], "sample_id string, spot long, gene long, v double")
+    _, variance = normalize.pca(e, e.select("sample_id", "spot").distinct())
+    rows = variance.orderBy("part").collect()
+    want = np.sort(np.linalg.eigvalsh(np.cov(x.T, bias=True)))[::-1][:20]
+    assert all(r.converged for r in rows) and [r.variance for r in rows] == pytest.approx(want.tolist(), rel=1e-6)
+
+
+def test_resamples_are_whole(spark):
+    deltas = spark.createDataFrame([("g", i, float(i * i % 17)) for i in range(12)], "baseline string, sample_id int, delta double")
+    a, b = (stats.bootstrap_ci(deltas, ("baseline",), "delta", "sample_id", *n).first() for n in ((), (5000,)))
+    assert tuple(a) == tuple(b)
+    assert {r.baseline for r in run(spark, "bootstrap_ci_whole")} == {"M5", "M0"} and len(run(spark, "hvg_select_whole")) > 5 * 25
