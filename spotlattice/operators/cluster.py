@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,23 +74,29 @@ def ward_costs(clusters: DataFrame, adjacency: DataFrame) -> DataFrame:
     return pairs.select(KEY, "a", "b", (F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * squared_distance(F.col("fa"), F.col("fb"))).alias("cost"))
 
 
-def ward_round(costs: DataFrame) -> DataFrame:
-    """(sample, a, b, cost): pairs a < b that are each other's cheapest partner; ties to the lower id."""
+def ward_round(costs: DataFrame, spread: bool = False) -> DataFrame:
+    """(sample, a, b, cost): pairs a < b that are each other's cheapest partner; ties to the lower id.
+
+    With ``spread`` ties go to the pair of least hash, the same seen from both sides, so that of many
+    pairs of one cost a fair part is reciprocal in each round.
+    """
     both = costs.select(KEY, F.col("a").alias("x"), F.col("b").alias("y"), "cost").unionByName(costs.select(KEY, F.col("b").alias("x"), F.col("a").alias("y"), "cost"))
-    best = both.groupBy(KEY, "x").agg(F.min(F.struct("cost", "y")).alias("m")).select(KEY, "x", "m.y", "m.cost")
+    tie = F.xxhash64(F.least("x", "y"), F.greatest("x", "y")) if spread else F.lit(0)
+    best = both.groupBy(KEY, "x").agg(F.min(F.struct("cost", tie.alias("tie"), "y")).alias("m")).select(KEY, "x", "m.y", "m.cost")
     back = best.select(KEY, F.col("x").alias("y"), F.col("y").alias("x"))
     return best.join(back, [KEY, "x", "y"]).filter("x < y").select(KEY, F.col("x").alias("a"), F.col("y").alias("b"), "cost")
 
 
-def ward_fit(points: DataFrame, edges: DataFrame, k: int, size: int, rounds: int = 200) -> DataFrame:
+def ward_fit(points: DataFrame, edges: DataFrame, k: int, size: int) -> DataFrame:
     """(sample, spot, label) with exactly k labels (or one a spot): rounds of reciprocal merges over the edges.
 
     The cheapest merges of a round go first, as many as still leave k clusters.
-    A sample whose clusters have no edges left may merge across.
+    A sample whose clusters have no edges left may merge across. Ends when no
+    sample has spare clusters: each round merges a pair in every other one.
     """
     member = cut(points.select(KEY, "spot", F.col("spot").alias("id")))
     adjacency = cut(edges.select(KEY, "a", "b").filter("a < b").distinct())
-    for _ in range(rounds):
+    while True:
         clusters = member.join(points.select(KEY, "spot", "f"), [KEY, "spot"]).groupBy(KEY, "id").agg(F.count(F.lit(1)).alias("n"), _mean("f", size).alias("f"))
         clusters = cut(clusters)
         left = clusters.groupBy(KEY).agg((F.count(F.lit(1)) - k).alias("spare")).filter("spare > 0")
@@ -97,7 +105,7 @@ def ward_fit(points: DataFrame, edges: DataFrame, k: int, size: int, rounds: int
         stuck = left.join(adjacency.select(KEY).distinct(), KEY, "left_anti").select(KEY)
         ids = clusters.join(F.broadcast(stuck), KEY, "left_semi").select(KEY, "id")
         across = ids.select(KEY, F.col("id").alias("a")).join(ids.select(KEY, F.col("id").alias("b")), KEY).filter("a < b")
-        merges = ward_round(ward_costs(clusters, adjacency.unionByName(across))).join(F.broadcast(left), KEY)
+        merges = ward_round(ward_costs(clusters, adjacency.unionByName(across)), spread=True).join(F.broadcast(left), KEY)
         w = Window.partitionBy(KEY).orderBy("cost", "a")
         merges = cut(merges.withColumn("r", F.row_number().over(w)).filter("r <= spare").select(KEY, F.col("b").alias("id"), F.col("a").alias("into")))
         member = cut(member.join(F.broadcast(merges), [KEY, "id"], "left").select(KEY, "spot", F.coalesce("into", "id").alias("id")))
@@ -153,30 +161,44 @@ def _moved(both: DataFrame, comm: DataFrame, m: DataFrame, group: list[str], par
     return comm.join(best, [*group, "node"]).select(*group, "node", "k", F.when(turn & (F.col("b.g") > F.col("stay")), -F.col("b.t")).otherwise(F.col("c")).alias("c"))
 
 
-def community_fit(edges: DataFrame, gammas: list[float], levels: int = 2, rounds: int = 6) -> DataFrame:
+def community_fit(edges: DataFrame, gammas: list[float] | DataFrame, levels: int | None = None, rounds: int | None = None) -> DataFrame:
     """(sample, gamma, spot, label): local moves of all samples and resolutions at once, then again on the communities.
 
-    A round counts for a sample and resolution only if its modularity rises.
-    After ``levels`` levels labels are numbered from 0.
+    A round counts for a sample and resolution only if its modularity rises. A
+    level ends when no round of either parity has raised any, all end with a level that moves nothing;
+    ``levels`` and ``rounds`` may stop it sooner. Labels are numbered from 0.
+    ``gammas`` are the resolutions of all samples, or a table ``(sample, gamma)``.
     """
     group = [KEY, "gamma"]
-    grid = edges.sparkSession.createDataFrame([(g,) for g in gammas], "gamma double")
+    if isinstance(gammas, DataFrame):
+        grid, on = gammas.select(KEY, "gamma").distinct(), KEY
+    else:
+        grid, on = edges.sparkSession.createDataFrame([(g,) for g in gammas], "gamma double"), None
     edges = cut(edges.select(KEY, "src", "dst", "w"))
     m = edges.groupBy(KEY).agg(F.sum("w").alias("m"))
-    e = cut(edges.select(KEY, "src", "dst", "w").join(F.broadcast(grid)))
-    node = cut(strengths(edges).join(F.broadcast(grid)))
+    e = cut(edges.select(KEY, "src", "dst", "w").join(F.broadcast(grid), on))
+    node = cut(strengths(edges).join(F.broadcast(grid), on))
     where = cut(node.select(*group, F.col("node").alias("spot"), "node"))
-    for _ in range(levels):
+    for level in itertools.count():
+        if level == levels:
+            break
         both = cut(e.select(*group, F.col("src").alias("node"), F.col("dst").alias("other"), "w").unionByName(e.select(*group, F.col("dst").alias("node"), F.col("src").alias("other"), "w")))
         comm = node.withColumn("c", F.col("node"))
         score = cut(_quality(e, comm, m, group))
-        for r in range(rounds):
+        risen, idle = False, 0
+        for r in itertools.count():
+            if r == rounds or idle == 2:
+                break
             new = cut(_moved(both, comm, m, group, r % 2))
             now = _quality(e, new, m, group)
             better = now.join(score.withColumnRenamed("q", "old"), group).select(*group, (F.col("q") > F.col("old")).alias("up"), F.greatest("q", "old").alias("q"))
             better = cut(better)
             comm = cut(new.join(comm.select(*group, "node", F.col("c").alias("before")), [*group, "node"]).join(F.broadcast(better), group).select(*group, "node", "k", F.when(F.col("up"), F.col("c")).otherwise(F.col("before")).alias("c")))
             score = better.select(*group, "q")
+            up = not better.filter("up").isEmpty()
+            risen, idle = risen or up, 0 if up else idle + 1
+        if not risen:
+            break
         where = cut(where.join(comm.select(*group, "node", "c"), [*group, "node"]).select(*group, "spot", F.col("c").alias("node")))
         node = cut(comm.groupBy(*group, F.col("c").alias("node")).agg(F.sum("k").alias("k")))
         for c in ("src", "dst"):

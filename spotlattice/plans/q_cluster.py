@@ -8,6 +8,7 @@ from spotlattice.functions.expr import r6
 from spotlattice.operators import cluster as C
 from spotlattice.operators import graph as G
 from spotlattice.operators import normalize as N
+from spotlattice.operators.lineage import cut
 from spotlattice.plans.views import view, with_views
 
 K = "sample_id"
@@ -107,10 +108,15 @@ def _grid(spark, d):
 
 
 def community_fit(spark, d):
-    """Per sample and resolution: number of communities, and whether the modularity beats one community for all."""
+    """Per sample and resolution: numbers of communities and spots, and whether the modularity beats one community for all."""
     e = _weights(spark, d)
-    out = C.community_fit(e, [0.5, 1.0], levels=2, rounds=3)
-    return out.groupBy(K, "gamma").agg(F.countDistinct("label").alias("n_labels"), F.count(F.lit(1)).alias("n_spots"))
+    out = cut(C.community_fit(e, [0.5, 1.0]))
+    found = out.groupBy(K, "gamma").agg(F.countDistinct("label").alias("n_labels"), F.count(F.lit(1)).alias("n_spots"))
+    # one community for all has the inner weight m less gamma (2m)^2 / 4m
+    total = e.groupBy(K).agg(F.sum("w").alias("m"))
+    scores = [C.rb_modularity(e, out.filter(F.col("gamma") == g), g).withColumn("gamma", F.lit(g)) for g in (0.5, 1.0)]
+    beats = scores[0].unionByName(scores[1]).join(total, K).select(K, "gamma", (F.col("modularity") > F.col("m") * (1 - F.col("gamma"))).alias("beats_one"))
+    return found.join(beats, [K, "gamma"])
 
 
 def resolution_select(spark, d):

@@ -5,6 +5,7 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spotlattice import catalog
 from spotlattice.operators import cluster, normalize, stats
@@ -107,3 +108,28 @@ def test_resamples_are_whole(spark):
     a, b = (stats.bootstrap_ci(deltas, ("baseline",), "delta", "sample_id", *n).first() for n in ((), (5000,)))
     assert tuple(a) == tuple(b)
     assert {r.baseline for r in run(spark, "bootstrap_ci_whole")} == {"M5", "M0"} and len(run(spark, "hvg_select_whole")) > 5 * 25
+
+
+def test_ward_merges_a_plateau_down_to_k(spark):
+    # every spot equal, in a chain with skips: the lowest id is each spot's first partner
+    p = spark.createDataFrame([("s", i, [0.0]) for i in range(320)], "sample_id string, spot long, f array<double>")
+    edges = spark.createDataFrame([("s", i, i + j) for i in range(320) for j in (1, 2) if i + j < 320], "sample_id string, a long, b long")
+    every = edges.withColumn("cost", F.lit(0.0))
+    assert cluster.ward_round(every).count() == 1 and cluster.ward_round(every, spread=True).count() > 32
+    out = cluster.ward_fit(p, edges, 4, 1)
+    assert out.count() == 320 and out.select("label").distinct().count() == 4
+
+
+def test_communities_end_where_no_level_moves(spark):
+    # a ring of 81 nodes wants levels of merging
+    e = spark.createDataFrame([("s", i, (i + 1) % 81, 1.0) for i in range(81)], "sample_id string, src long, dst long, w double").select("sample_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w")
+    q = lambda out: cluster.rb_modularity(e, out.select("sample_id", "spot", "label"), 1.0).first().modularity
+    short, whole = cluster.community_fit(e, [1.0], 1, 2), cluster.community_fit(e, [1.0])
+    assert q(whole) > q(short)
+    # nothing is left: joining any two neighbouring communities does not raise it
+    label = {r.spot: r.label for r in whole.collect()}
+    for a, b in {(label[i], label[(i + 1) % 81]) for i in range(81)}:
+        if a != b:
+            na, nb = (sum(v == c for v in label.values()) for c in (a, b))
+            between = sum({label[i], label[(i + 1) % 81]} == {a, b} for i in range(81))
+            assert between - (2 * na) * (2 * nb) / (2 * 81) <= 1e-9
