@@ -214,6 +214,51 @@ def resolution_select(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy(KEY).agg(F.min_by(F.struct("gamma", "n_labels"), best).alias("b")).select(KEY, "b.gamma", "b.n_labels", (F.col("b.n_labels") == k).alias("exact"))
 
 
+CANDIDATES = (0.01, 0.02, 0.05, 0.10, 0.20, 0.50, 1.0, 2.0, 5.0, 10.0)
+
+
+def _between(bounds: DataFrame, n: int, ends: bool) -> DataFrame:
+    """(sample, gamma, step): ``n`` resolutions in equal ratios between ``low`` and ``high``, the ends among them or not."""
+    steps = F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if ends else F.sequence(F.lit(1), F.lit(n))).alias("step")
+    share = F.col("step") / F.lit(n - 1 if ends else n + 1)
+    return bounds.select(KEY, "low", "high", steps).select(KEY, (F.col("low") * F.pow(F.col("high") / F.col("low"), share)).alias("gamma"), "step")
+
+
+def resolution_search(edges: DataFrame, k: int, fit=community_fit) -> tuple[DataFrame, DataFrame]:
+    """(choice, labels): per sample the resolution whose communities number ``k``, else the nearest, and its labels.
+
+    The candidates come first. A sample without an exact one is searched between
+    its last resolution below ``k`` and its first above: six rounds of seven
+    inner resolutions (as 18 bisections, 2^18), then 60 in the last bracket.
+    A sample without such a bracket is scanned at 90 resolutions of [0.005, 10].
+    Each round is one fit of all samples that are still open.
+    """
+    edges = cut(edges.select(KEY, "src", "dst", "w"))
+    samples = cut(edges.select(KEY).distinct())
+    grid = samples.select(KEY, F.posexplode(F.array(*map(F.lit, CANDIDATES))).alias("step", "gamma"))
+    found = labels = None
+    for r in range(8):
+        grid = cut(grid.select(KEY, "gamma", (F.lit(100 * r) + F.col("step")).alias("place")))
+        if grid.isEmpty():
+            break
+        now = cut(fit(edges.join(F.broadcast(grid.select(KEY).distinct()), KEY, "left_semi"), grid.select(KEY, "gamma")))
+        counts = now.groupBy(KEY, "gamma").agg(F.countDistinct("label").alias("n_labels")).join(grid, [KEY, "gamma"])
+        found = cut(counts if found is None else found.unionByName(counts))
+        chosen = resolution_select(found, k)
+        labels = now if labels is None else labels.unionByName(now)
+        labels = cut(labels.join(F.broadcast(chosen.select(KEY, "gamma")), [KEY, "gamma"], "left_semi"))
+        open_ = chosen.filter("NOT exact").select(KEY)
+        w = Window.partitionBy(KEY).orderBy("gamma")
+        gap = F.col("n_labels") - k
+        pairs = found.join(F.broadcast(open_), KEY).select(KEY, F.col("gamma").alias("low"), gap.alias("gap"), F.lead("gamma").over(w).alias("high"), F.lead(gap).over(w).alias("next"))
+        crossed = pairs.filter(F.col("gap") * F.col("next") < 0).groupBy(KEY).agg(F.min_by(F.struct("low", "high"), F.struct(F.col("gap") > 0, F.col("low"))).alias("b")).select(KEY, "b.low", "b.high")
+        grid = _between(crossed, 60, True) if r == 6 else _between(crossed, 7, False)
+        if r == 0:
+            wide = open_.join(crossed, KEY, "left_anti").select(KEY, F.lit(0.005).alias("low"), F.lit(10.0).alias("high"))
+            grid = grid.unionByName(_between(wide, 90, True))
+    return resolution_select(found, k), labels
+
+
 # --- soft assignment -----------------------------------------------------------
 
 

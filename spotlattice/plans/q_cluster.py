@@ -133,6 +133,13 @@ def _selected(customers):
     return C.resolution_select(c, 6).select(K, r6(F.col("gamma")).alias("gamma"), "n_labels", "exact")
 
 
+def resolution_search(spark, d):
+    """Per sample the resolution whose communities number 6, or come nearest, of measured label counts, and its spots."""
+    choice, labels = C.resolution_search(_weights(spark, d), 6)
+    n = labels.groupBy(K, "gamma").agg(F.count(F.lit(1)).alias("n_spots"))
+    return choice.join(n, [K, "gamma"]).select(K, r6(F.col("gamma")).alias("gamma"), "n_labels", "exact", "n_spots")
+
+
 def _soft(spark, d, size=4):
     p = _points(spark, d, size)
     centroids = p.filter("known < 4").groupBy(F.col("known").alias("label")).agg(C._mean("f", size).alias("f"))
@@ -192,7 +199,7 @@ def domain_map_export(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    kmeans_assign, kmeans_assign_whole, kmeans_update, kmeans_update_whole, kmeans_fit, kmeans_fit_spatial, ward_round, ward_fit, rb_modularity, community_fit, resolution_select, resolution_select_whole, dec_soft_assign,
+    kmeans_assign, kmeans_assign_whole, kmeans_update, kmeans_update_whole, kmeans_fit, kmeans_fit_spatial, ward_round, ward_fit, rb_modularity, community_fit, resolution_select, resolution_select_whole, resolution_search, dec_soft_assign,
     dec_soft_assign_whole, dec_kl, dec_kl_whole,
     label_change_rate, exact_k_check, run_plan, reference_seed, domain_map_import, domain_map_export,
 )}

@@ -133,3 +133,34 @@ def test_communities_end_where_no_level_moves(spark):
             na, nb = (sum(v == c for v in label.values()) for c in (a, b))
             between = sum({label[i], label[(i + 1) % 81]} == {a, b} for i in range(81))
             assert between - (2 * na) * (2 * nb) / (2 * 81) <= 1e-9
+
+
+def test_resolution_search_narrows_to_exact_k(spark):
+    edges = spark.createDataFrame([(s, i, i + 1, 1.0) for s in ("near", "between", "jump", "low") for i in range(12)], "sample_id string, src long, dst long, w double")
+    asked = []
+
+    def fit(e, grid):
+        """So many labels as the resolution says: 6 only in a narrow range, never, or below the candidates."""
+        asked.append({r.sample_id: r["count"] for r in grid.groupBy("sample_id").count().collect()})
+        g = F.col("gamma")
+        n = F.when(F.col("sample_id") == "near", F.when(g < 0.3, 2).when(g < 0.9, 5).when(g < 3, 6).otherwise(9))
+        n = n.when(F.col("sample_id") == "between", F.when(g < 0.7321, 3).when(g < 0.7322, 6).otherwise(12)).when(F.col("sample_id") == "jump", F.when(g < 0.3, 4).otherwise(8))
+        n = n.otherwise(F.when(g < 0.006, 6).otherwise(9))
+        spots = e.select("sample_id", F.col("src").alias("spot")).distinct()
+        return spots.join(grid, "sample_id").select("sample_id", "gamma", "spot", (F.col("spot") % n).alias("label"))
+
+    choice, labels = cluster.resolution_search(edges, 6, fit)
+    rows = {r.sample_id: r for r in choice.collect()}
+    assert rows["near"].gamma == 1.0 and rows["near"].exact and asked[0]["near"] == 10 and all("near" not in a for a in asked[1:])
+    assert rows["between"].exact and 0.7321 <= rows["between"].gamma < 0.7322
+    assert rows["low"].exact and rows["low"].gamma < 0.006 and asked[1]["low"] == 90
+    assert not rows["jump"].exact and rows["jump"].n_labels == 4 and asked[-1] == {"jump": 60} and len(asked) == 8
+    got = {r.sample_id: (r.n, r.spots) for r in labels.groupBy("sample_id").agg(F.countDistinct("label").alias("n"), F.count("*").alias("spots")).collect()}
+    assert got == {s: (r.n_labels, 12) for s, r in rows.items()}
+
+
+def test_resolution_search_over_communities(spark):
+    e = spark.createDataFrame([("s", a, b, 1.0) for a, b in ((0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (2, 3))], "sample_id string, src long, dst long, w double")
+    choice, labels = cluster.resolution_search(e, 2)
+    r = choice.first()
+    assert r.exact and r.n_labels == 2 and labels.count() == 6 and labels.select("label").distinct().count() == 2
