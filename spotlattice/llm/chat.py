@@ -7,9 +7,11 @@ probabilities are counts over all labelled turns that may be learned from,
 with one added to each, and a part ``NAMED`` of the marker's is fixed by its name; a conversation is decoded by Viterbi and each turn is
 rendered in one canonical form.
 
-A conversation may hold any share of the rows, so nothing needs all of it at
-once: turns are grouped in blocks of ``BLOCK`` turn numbers. Each block gives a
-role-by-role matrix of best path scores; the matrices of a conversation, one for
+A conversation may hold any share of the rows, so no task needs the texts of all
+of it: turns get places in the order of (conversation, turn, text) by a range
+partition, and blocks are runs of at most ``BLOCK`` places, whatever the turn
+numbers are. Only small numbers are collected in blocks; texts meet their roles
+again by place. Each block gives a role-by-role matrix of best path scores; the matrices of a conversation, one for
 ``BLOCK`` turns, are chained to find the roles at the borders of its blocks; then
 each block is decoded between its borders. The path is the exact Viterbi path.
 
@@ -154,10 +156,12 @@ def decode(model: Model, e: np.ndarray, first: int, last: int) -> list[int]:
 def recover(spark: SparkSession, turns: DataFrame, model: Model) -> DataFrame:
     """Per row of ``turns(conv_id, turn, text)``: conv_id, turn, role_pred, rendered."""
     turns = turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), *(c.alias(n) for n, c in features(F.col("text")).items()))
-    block = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK)
-    # struct order is the order of turns
-    blocks = turns.groupBy("conv_id", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("turn", "text", *_SIZES))).alias("rows"))
-    blocks = materialise(spark, blocks, "chat-blocks")
+    # the salt lets the range partition cut between equal rows, whose order does not matter
+    spread = turns.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange("conv_id", "turn", "text", "salt").sortWithinPartitions("conv_id", "turn", "text")
+    # rises along the partitions and the rows of each; a partition starts at a multiple of BLOCK
+    placed = materialise(spark, spread.drop("salt").withColumn("place", F.monotonically_increasing_id()), "chat-places")
+    block = F.floor(F.col("place") / BLOCK)
+    blocks = placed.groupBy("conv_id", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("place", *_SIZES))).alias("rows"))
     sent = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +169,7 @@ def recover(spark: SparkSession, turns: DataFrame, model: Model) -> DataFrame:
             ms = [best_matrix(sent.value, emissions(sent.value, rows)).ravel().tolist() for rows in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ms, pa.list_(pa.float64()))], ["conv_id", "block", "m"])
 
-    narrow = blocks.select("conv_id", "block", F.transform("rows", lambda r: F.struct(*(r[n].alias(n) for n in _SIZES))).alias("rows"))
-    scored = narrow.mapInArrow(score, "conv_id long, block long, m array<double>")
+    scored = blocks.mapInArrow(score, "conv_id long, block long, m array<double>")
     chains = scored.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("chain"))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,17 +186,16 @@ def recover(spark: SparkSession, turns: DataFrame, model: Model) -> DataFrame:
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            convs, ns, texts, roles = [], [], [], []
-            for conv, rows, i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            places, roles = [], []
+            for rows, i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for r, s in zip(rows, decode(sent.value, emissions(sent.value, rows), i, j), strict=True):
-                    convs.append(conv)
-                    ns.append(r["turn"])
-                    texts.append(r["text"])
+                    places.append(r["place"])
                     roles.append(ROLES[s])
-            yield pa.RecordBatch.from_arrays([pa.array(convs, pa.int64()), pa.array(ns, pa.int64()), pa.array(texts, pa.string()), pa.array(roles, pa.string())], ["conv_id", "turn", "text", "role_pred"])
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(roles, pa.string())], ["place", "role_pred"])
 
-    out = both.select("conv_id", "rows", "i", "j").mapInArrow(paths, "conv_id long, turn long, text string, role_pred string")
-    return out.select("conv_id", "turn", "role_pred", F.concat(F.lit("<|"), "role_pred", F.lit("|>\n"), body(F.col("text")), F.lit("\n<|end|>")).alias("rendered"))
+    found = both.select("rows", "i", "j").mapInArrow(paths, "place long, role_pred string")
+    out = placed.select("place", "conv_id", "turn", "text").join(found, "place")
+    return out.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role_pred", F.concat(F.lit("<|"), "role_pred", F.lit("|>\n"), body(F.col("text")), F.lit("\n<|end|>")).alias("rendered"))
 
 
 def turns_of(transcripts: DataFrame) -> DataFrame:
