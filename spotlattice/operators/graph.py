@@ -108,30 +108,53 @@ def affinity_mass(spots: DataFrame, lengths: list[float]) -> DataFrame:
     return mass.select(KEY, "l", (F.col("s") / F.col("n") - 1).alias("mass"))
 
 
-def bandwidth_search(spots: DataFrame, target: float, low: float = 0.01, high: float = 1000.0, tolerance: float = 0.05, width: int = 8, rounds: int = 4) -> DataFrame:
+def _masses(pairs: DataFrame, grid: DataFrame, n: DataFrame) -> DataFrame:
+    """(sample_id, l, mass) of the lengths ``grid(sample_id, l)``; a sample without pairs has none."""
+    mass = pairs.join(F.broadcast(grid), KEY).groupBy(KEY, "l").agg(F.sum(F.exp(-F.col("d2") / (2 * F.col("l") * F.col("l")))).alias("s"))
+    return grid.join(mass, [KEY, "l"], "left").join(n, KEY).select(KEY, "l", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mass"))
+
+
+def bandwidth_search(spots: DataFrame, target: float, low: float = 0.01, high: float = 1000.0, tolerance: float = 0.01, width: int = 8, rounds: int = 8) -> DataFrame:
     """(sample_id, l, mass): the length whose mass is nearest to ``target``, all samples at once.
 
     Mass grows with length and is about ``2 pi l^2`` times the density, which
-    gives each sample its bounds and a reach of a few spots. Each round evaluates
-    ``width`` lengths in equal ratios between the bounds and narrows them. A
-    sample that misses the target by more than the tolerance (a share of it)
-    takes the 5 % quantile of its positive distances.
+    gives each sample its first bounds and a reach of a few spots. Bounds that do
+    not enclose the target are widened, and the reach with them, until they do or
+    are ``low`` and ``high``. Each round then evaluates ``width`` lengths in equal
+    ratios between the bounds and narrows them. A sample that misses the target by
+    more than the tolerance takes the 5 % quantile of all its positive distances;
+    only for such samples are all pairs made.
     """
     e = spots.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("dx"), (F.max("y") - F.min("y")).alias("dy"))
     guess = F.sqrt(target * F.greatest(F.col("dx") * F.col("dy"), F.lit(1e-12)) / (6.283185307179586 * F.col("n")))
-    bounds = e.select(KEY, F.greatest(F.lit(low), guess / 20).alias("lo"), F.greatest(F.lit(2 * low), F.least(F.lit(high), guess * 4)).alias("hi"))
-    n = spots.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    pairs = cut(_within(spots, bounds.select(KEY, (6 * F.col("hi")).alias("c"))).filter("spot <> other"))
+    n = cut(spots.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")))
+    open_ = cut(e.select(KEY, F.least(F.lit(high / 2), F.greatest(F.lit(low), guess / 20)).alias("lo"), F.greatest(F.lit(2 * low), F.least(F.lit(high), guess * 4)).alias("hi")))
+    bounds = pairs = None
+    while True:
+        near = cut(_within(spots, open_.select(KEY, (6 * F.col("hi")).alias("c"))).filter("spot <> other"))
+        mass = _masses(near, open_.select(KEY, F.explode(F.array("lo", "hi")).alias("l")), n)
+        ends = open_.join(mass.select(KEY, F.col("l").alias("lo"), F.col("mass").alias("at_lo")), [KEY, "lo"]).join(mass.select(KEY, F.col("l").alias("hi"), F.col("mass").alias("at_hi")), [KEY, "hi"])
+        up, down = (F.col("at_hi") < target) & (F.col("hi") < high), (F.col("at_lo") > target) & (F.col("lo") > low)
+        ends = cut(ends.withColumns({"up": up, "down": down}))
+        done = ends.filter("NOT up AND NOT down").select(KEY, "lo", "hi")
+        kept = near.join(F.broadcast(done.select(KEY)), KEY, "left_semi")
+        bounds, pairs = (done, kept) if bounds is None else (bounds.unionByName(done), pairs.unionByName(kept))
+        lo = F.when(F.col("down"), F.greatest(F.lit(low), F.col("lo") / 20)).when(F.col("up"), F.col("hi")).otherwise(F.col("lo"))
+        open_ = cut(ends.filter("up OR down").select(KEY, lo.alias("lo"), F.when(F.col("up"), F.least(F.lit(high), F.col("hi") * 4)).otherwise(F.col("hi")).alias("hi")))
+        if open_.isEmpty():
+            break
     best = None
     for _ in range(rounds):
         grid = bounds.select(KEY, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("i")).select(KEY, (F.col("lo") * F.pow(F.col("hi") / F.col("lo"), F.col("i") / width)).alias("l"))
-        mass = pairs.join(F.broadcast(grid), KEY).groupBy(KEY, "l").agg(F.sum(F.exp(-F.col("d2") / (2 * F.col("l") * F.col("l")))).alias("s"))
-        best = cut(grid.join(mass, [KEY, "l"], "left").join(n, KEY).select(KEY, "l", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mass")))
+        best = cut(_masses(pairs, grid.distinct(), n))
         bounds = best.groupBy(KEY).agg(F.coalesce(F.max(F.when(F.col("mass") <= target, F.col("l"))), F.min("l")).alias("lo"), F.coalesce(F.min(F.when(F.col("mass") >= target, F.col("l"))), F.max("l")).alias("hi"))
-    near = best.groupBy(KEY).agg(F.min_by(F.struct("l", "mass"), F.struct(F.abs(F.col("mass") - target), F.col("l"))).alias("b")).select(KEY, "b.l", "b.mass")
-    fallback = pairs.filter("d2 > 0").groupBy(KEY).agg(F.percentile(F.sqrt("d2"), 0.05).alias("q"))
-    reached = F.abs(F.col("mass") - target) <= tolerance * target
-    return near.join(fallback, KEY, "left").select(KEY, F.when(reached, F.col("l")).otherwise(F.coalesce("q", "l")).alias("l"), "mass")
+    near = cut(best.groupBy(KEY).agg(F.min_by(F.struct("l", "mass"), F.struct(F.abs(F.col("mass") - target), F.col("l"))).alias("b")).select(KEY, "b.l", "b.mass"))
+    missed = near.filter(F.abs(F.col("mass") - target) > tolerance).select(KEY)
+    a = spots.join(F.broadcast(missed), KEY, "left_semi")
+    b = a.select(KEY, F.col("spot").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
+    fallback = a.join(b, KEY).select(KEY, d2.alias("d2")).filter("d2 > 0").groupBy(KEY).agg(F.percentile(F.sqrt("d2"), 0.05).alias("q"))
+    return near.join(fallback, KEY, "left").select(KEY, F.coalesce("q", "l").alias("l"), "mass")
 
 
 def smooth(edges: DataFrame, features: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotlattice import catalog
-from spotlattice.operators import cluster, normalize, stats
+from spotlattice.operators import cluster, graph, normalize, stats
 from spotlattice.plans.views import view
 
 DIR = "/root/testdata/sf0.001"
@@ -164,3 +164,22 @@ def test_resolution_search_over_communities(spark):
     choice, labels = cluster.resolution_search(e, 2)
     r = choice.first()
     assert r.exact and r.n_labels == 2 and labels.count() == 6 and labels.select("label").distinct().count() == 2
+
+
+def test_bandwidth_is_found_outside_the_first_bounds(spark):
+    r = np.random.default_rng(2)
+    places = {
+        # two tight clumps far apart, spots on one line, and spots too far apart for any length
+        "clumps": [tuple(c + r.random(2) * 0.5) for c in (0.0, 9000.0) for _ in range(20)],
+        "line": [(3.0 * i, 5.0) for i in range(30)],
+        "far": [(50000.0 * i, 70000.0 * (i % 3)) for i in range(12)],
+    }
+    rows = [(s, i, float(x), float(y)) for s, ps in places.items() for i, (x, y) in enumerate(ps)]
+    got = {q.sample_id: q for q in graph.bandwidth_search(spark.createDataFrame(rows, "sample_id string, spot long, x double, y double"), 0.5).collect()}
+    for s, ps in places.items():
+        p = np.array(ps)
+        d2 = ((p[:, None] - p[None]) ** 2).sum(-1)
+        if s == "far":
+            assert got[s].l == pytest.approx(np.quantile(np.sqrt(d2[d2 > 0]), 0.05))
+        else:
+            assert np.exp(-d2 / (2 * got[s].l ** 2)).sum() / len(p) - 1 == pytest.approx(0.5, abs=0.01)
