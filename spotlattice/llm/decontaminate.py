@@ -12,7 +12,9 @@ falls in one of ``BINS`` bins by its low bits, each bin keeps the least value of
 its high bits. An item is a candidate for a document when any bin of any of its
 windows agrees. There are so many bins that a shared shingle is the
 least of its bin in either set with high probability (``miss`` bounds what is
-lost: below 1e-5 for every class). Candidates are verified by exact containment
+lost: below 1e-5 for every class). Items of the first ``DIRECT`` classes, at most
+three shingles, have too few for that: each of their shingles is looked up as it
+is, and none is lost. Candidates are verified by exact containment
 of the item's shingles in the whole document.
 
 The items are a stated query set. They go to the tasks in blocks of
@@ -38,6 +40,7 @@ from spotlattice.llm.common import shingle_sets, shingles, table
 
 BLOCK_SHINGLES = 1_000_000
 BINS = 4096
+DIRECT = 2
 _SHIFT, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -48,11 +51,14 @@ def miss(c: int, share: float = 0.75) -> float:
     or the item's (below ``2 * 2^c``) shares its bin and is less; both windows
     must miss all ``share * 2^c`` shared shingles. Sets larger than ``BINS``
     fill the bins, and each agrees with the Jaccard similarity of item and window.
+    Classes that are looked up directly lose nothing.
     """
+    if c < DIRECT:
+        return 0.0
     if 2**c >= BINS:
         return (1 - share / (6 - share)) ** (BINS // 2)
     lost = min(1.0, (4 * 2**c + 2 * 2**c) / 2 / BINS)
-    return min(lost ** max(2, int(np.ceil(share * 2**c))), (1 - share / (6 - share)) ** (2**c // 2))
+    return min(lost ** int(np.ceil(share * 2**c)), (1 - share / (6 - share)) ** (2**c // 2))
 
 
 def _sketch(bins: np.ndarray, values: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -71,7 +77,12 @@ class Index:
         self.items = items
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         sizes = np.array([int(np.log2(len(s))) for _, s in items], np.int64)
-        for c in np.unique(sizes).tolist():
+        few = np.flatnonzero(sizes < DIRECT)
+        plain = np.concatenate([np.empty(0, np.uint64), *(items[i][1] for i in few)])
+        order = np.argsort(plain, kind="stable")
+        self.direct = plain[order], np.repeat(few, [len(items[i][1]) for i in few])[order], np.zeros(1 << 16, bool)
+        self.direct[2][(plain & np.uint64(0xFFFF)).astype(np.int64)] = True
+        for c in np.unique(sizes[sizes >= DIRECT]).tolist():
             members = np.flatnonzero(sizes == c)
             shingles = np.concatenate([items[i][1] for i in members])
             owner = np.repeat(np.arange(len(members), dtype=np.uint64), [len(items[i][1]) for i in members])
@@ -86,6 +97,13 @@ class Index:
         """Distinct (document, item) pairs; ``shingles`` of the documents stand one after another in text order."""
         found = [np.empty((0, 2), np.int64)]
         place = np.arange(len(shingles)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        keys, owners, maybe = self.direct
+        if len(keys):
+            seen = np.flatnonzero(maybe[(shingles & np.uint64(0xFFFF)).astype(np.int64)])
+            low, high = np.searchsorted(keys, shingles[seen], "left"), np.searchsorted(keys, shingles[seen], "right")
+            hits = high - low
+            at = np.repeat(low, hits) + np.arange(int(hits.sum())) - np.repeat(np.cumsum(hits) - hits, hits)
+            found.append(np.stack([np.repeat(np.repeat(np.arange(len(sizes)), sizes)[seen], hits), owners[at]], axis=1))
         for c, (keys, owners, maybe) in self.classes.items():
             stride = 2 << c
             windows = -(-sizes // stride)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from spotlattice.llm import chat
+from spotlattice.llm import chat, decontaminate
 
 
 def test_chat_cuts_a_conversation_of_null_and_repeated_turns(spark, monkeypatch):
@@ -26,3 +26,16 @@ def test_chat_cuts_a_conversation_of_null_and_repeated_turns(spark, monkeypatch)
             role = chat.ROLES[s]
             want.append((r["conv_id"] or 0, r["turn"] or 0, role, f"<|{role}|>\n{r['body']}\n<|end|>"))
     assert got == sorted(want) and len(np.unique([r[2] for r in got])) > 1
+
+
+def test_one_shingle_items_are_never_missed():
+    # the item's shingle meets a lesser one of its bin in the same block of two
+    mine, lesser, other = (np.uint64(h << 32 | 5) for h in (900, 100, 700))
+    index = decontaminate.Index([(7, np.array([mine])), (8, np.sort(np.array([mine, other])))])
+    docs = np.array([lesser, mine, other, lesser], np.uint64)
+    assert index.candidates(docs, np.array([2, 2])).tolist() == [[0, 0], [0, 1], [1, 1]]
+    assert decontaminate.Index([]).candidates(docs, np.array([4])).tolist() == []
+    r = np.random.default_rng(1)
+    texts = r.integers(0, 1 << 63, 40_000, dtype=np.uint64)
+    items = [(i, texts[i : i + 1]) for i in range(40_000)]
+    assert len(decontaminate.Index(items).candidates(texts, np.array([20_000, 20_000]))) == 40_000
