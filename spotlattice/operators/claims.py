@@ -31,28 +31,54 @@ def families_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FAMILIES.items()), "baseline string, family string")
 
 
-def paired_delta(units: DataFrame, focal: str, baselines: DataFrame, metric: str) -> DataFrame:
-    """(baseline, sample_id, delta): focal minus baseline at the same sample and K, averaged over K."""
-    a = units.filter((F.col("method_id") == focal) & F.col(metric).isNotNull()).select("sample_id", "K", F.col(metric).alias("_f"))
-    b = units.filter(F.col(metric).isNotNull()).join(baselines.select(F.col("baseline").alias("method_id")), "method_id").select(F.col("method_id").alias("baseline"), "sample_id", "K", F.col(metric).alias("_b"))
-    return a.join(b, ["sample_id", "K"]).groupBy("baseline", "sample_id").agg(F.avg(F.col("_f") - F.col("_b")).alias("delta"))
+#: What makes a comparison: the baseline and the metric on which it is held against the focal method.
+COMPARISON = ("baseline", "metric")
+
+
+def _comparisons(families: DataFrame, metrics: str | tuple[str, ...]) -> DataFrame:
+    """(baseline, family, metric): the families with their endpoints; all ``metrics`` where the table names none."""
+    if "metric" in families.columns:
+        return families
+    names = (metrics,) if isinstance(metrics, str) else metrics
+    return families.withColumn("metric", F.explode(F.array(*map(F.lit, names))))
+
+
+def paired_delta(units: DataFrame, focal: str, baselines: DataFrame, metric: str | tuple[str, ...]) -> DataFrame:
+    """(baseline, metric, sample_id, delta): focal minus baseline at the same sample and K, averaged over K."""
+    names = (metric,) if isinstance(metric, str) else metric
+    long = units.select("method_id", "sample_id", "K", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in names))).alias("m"))
+    long = long.select("method_id", "sample_id", "K", "m.metric", "m.v").filter("v IS NOT NULL")
+    a = long.filter(F.col("method_id") == focal).select("sample_id", "K", "metric", F.col("v").alias("_f"))
+    b = long.join(baselines.select(F.col("baseline").alias("method_id")).distinct(), "method_id").select(F.col("method_id").alias("baseline"), "sample_id", "K", "metric", F.col("v").alias("_b"))
+    return a.join(b, ["sample_id", "K", "metric"]).groupBy(*COMPARISON, "sample_id").agg(F.avg(F.col("_f") - F.col("_b")).alias("delta"))
 
 
 def direction_coverage(deltas: DataFrame, targets: DataFrame) -> DataFrame:
     """Share of positive differences and of the target samples that have one; ``targets`` has one row, n_target."""
-    g = deltas.groupBy("baseline").agg(F.count(F.lit(1)).alias("n_samples"), F.avg((F.col("delta") > 0).cast("double")).alias("direction_consistency"))
+    g = deltas.groupBy(*COMPARISON).agg(F.count(F.lit(1)).alias("n_samples"), F.avg((F.col("delta") > 0).cast("double")).alias("direction_consistency"))
     return g.crossJoin(F.broadcast(targets)).withColumn("coverage", F.col("n_samples") / F.col("n_target"))
 
 
-def gate_c1(units: DataFrame, focal: str, families: DataFrame, metric: str, rounds: int = 5000, bars: dict | None = None) -> DataFrame:
-    """One row per comparison: test, q value within its family, gates and tier; a comparison without overlap fails all."""
-    bars = bars or GATES["c1"]
-    deltas = paired_delta(units, focal, families, metric)
-    targets = units.filter(F.col("method_id") == focal).agg(F.countDistinct("sample_id").alias("n_target"))
-    test = wilcoxon(deltas, ("baseline",)).select("baseline", F.col("v").alias("statistic"), F.col("p").alias("p_value"))
-    stats = direction_coverage(deltas, targets).join(test, "baseline", "left").join(bootstrap_ci(deltas, ("baseline",), "delta", "sample_id", rounds).select("baseline", F.col("median").alias("effect_median"), "ci_low", "ci_high"), "baseline", "left")
-    q = bh_fdr(families.join(test, "baseline"), ("family",), "p_value", "baseline").select("baseline", F.col("q").alias("q_value"))
-    out = families.join(stats, "baseline", "left").join(q, "baseline", "left")
+def gate_c1(units: DataFrame, focal: str, families: DataFrame, metric: str | tuple[str, ...], rounds: int = 5000, bars: dict | None = None) -> DataFrame:
+    """One row per baseline and metric: test, q value, gates and tier; a comparison without overlap fails all.
+
+    A family corrects over all of its comparisons, on every metric: with two
+    metrics and one baseline it holds two tests, with two baselines four.
+    """
+    families = _comparisons(families, metric)
+    names = tuple(sorted(r.metric for r in families.select("metric").distinct().collect()))  # a few names of columns
+    return gate_deltas(paired_delta(units, focal, families, names), families, units.filter(F.col("method_id") == focal).agg(F.countDistinct("sample_id").alias("n_target")), rounds, bars)
+
+
+def gate_deltas(deltas: DataFrame, families: DataFrame, targets: DataFrame, rounds: int = 5000, bars: dict | None = None) -> DataFrame:
+    """``gate_c1`` from differences ``(baseline, metric, sample_id, delta)`` and comparisons ``(baseline, family, metric)``."""
+    bars, on = bars or GATES["c1"], list(COMPARISON)
+    test = wilcoxon(deltas, COMPARISON).select(*on, F.col("v").alias("statistic"), F.col("p").alias("p_value"))
+    ci = bootstrap_ci(deltas, COMPARISON, "delta", "sample_id", rounds).select(*on, F.col("median").alias("effect_median"), "ci_low", "ci_high")
+    stats = direction_coverage(deltas, targets).join(test, on, "left").join(ci, on, "left")
+    # equal p values of a family get equal q values, so the order of ties is free
+    q = bh_fdr(families.join(test, on).withColumn("_at", F.concat_ws("|", *on)), ("family",), "p_value", "_at").select(*on, F.col("q").alias("q_value"))
+    out = families.join(stats, on, "left").join(q, on, "left")
     gates = {
         "gate_significance": F.col("q_value") < bars["q"],
         "gate_effect": F.col("effect_median") >= bars["effect"],

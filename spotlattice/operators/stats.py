@@ -66,17 +66,27 @@ def _indexed(rows: DataFrame, keys: tuple[str, ...], value: str, order: str) ->
     )
 
 
-def _draws(rows: DataFrame, keys: tuple[str, ...], rounds: int, seed: int) -> DataFrame:
-    """(keys, b, x): each of ``rounds`` resamples draws n values by a portable hash of (seed, round, place)."""
-    drawn = rows.select(*keys, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
-    at = hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("b"), F.col("i"))) % F.col("n")
-    return drawn.select(*keys, "b", at.alias("i")).join(rows.select(*keys, "i", "x"), [*keys, "i"]).select(*keys, "b", "x")
+def _medians(rows: DataFrame, keys: tuple[str, ...], rounds: int, seed: int) -> DataFrame:
+    """(keys, b, m): the median of each of ``rounds`` resamples, each of n values drawn by a portable hash of (seed, round, place).
+
+    Values are numbered in their order, so the median of a resample is at the median of the
+    numbers drawn. A draw is one row with n numbers; only its middle ones meet the values.
+    """
+    groups = rows.groupBy(*keys).agg(F.first("n").alias("n"))
+    drawn = groups.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
+    # dealt out before the draws are made, for a few groups give many rounds
+    drawn = drawn.repartition(*keys, "b")
+    number = lambda i: hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("b"), i)) % F.col("n")
+    drawn = drawn.select(*keys, "n", "b", F.sort_array(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), number)).alias("drawn"))
+    at = lambda shift: F.get("drawn", F.floor((F.col("n") - shift) / 2).cast("int"))
+    middle = drawn.select(*keys, "b", F.explode(F.array(at(1), at(0))).alias("i"))
+    return middle.join(rows.select(*keys, "i", "x"), [*keys, "i"]).groupBy(*keys, "b").agg(F.avg("x").alias("m"))
 
 
 def bootstrap_ci(rows: DataFrame, keys: tuple[str, ...], value: str, order: str, rounds: int = 5000, seed: int = 11) -> DataFrame:
     """Percentile interval of the median; null with fewer than two values."""
     indexed = _indexed(rows, keys, value, order)
-    medians = _draws(indexed.filter("n > 1"), keys, rounds, seed).groupBy(*keys, "b").agg(F.percentile("x", 0.5).alias("m"))
+    medians = _medians(indexed.filter("n > 1"), keys, rounds, seed)
     ci = medians.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(*keys, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
     return indexed.groupBy(*keys).agg(F.percentile("x", 0.5).alias("median"), F.count(F.lit(1)).alias("n")).join(ci, list(keys), "left")
 
@@ -84,7 +94,5 @@ def bootstrap_ci(rows: DataFrame, keys: tuple[str, ...], value: str, order: str,
 def bootstrap_median_diff(rows: DataFrame, keys: tuple[str, ...], side: str, value: str, order: str, rounds: int = 1000, seed: int = 11) -> DataFrame:
     """Percentile interval of median(true side) - median(false side), both sides resampled."""
     both = (*keys, side)
-    medians = _draws(_indexed(rows, both, value, order), both, rounds, seed).groupBy(*keys, "b").agg(
-        F.percentile(F.when(F.col(side), F.col("x")), 0.5).alias("m1"), F.percentile(F.when(~F.col(side), F.col("x")), 0.5).alias("m0")
-    )
+    medians = _medians(_indexed(rows, both, value, order), both, rounds, seed).groupBy(*keys, "b").agg(F.max(F.when(F.col(side), F.col("m"))).alias("m1"), F.max(F.when(~F.col(side), F.col("m"))).alias("m0"))
     return medians.groupBy(*keys).agg(F.percentile(F.col("m1") - F.col("m0"), F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(*keys, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))

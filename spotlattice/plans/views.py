@@ -32,10 +32,11 @@ VIEWS = {
         CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'success' END AS status, value AS wall_time_sec, 40 * value AS peak_rss_mb,
         ts AS started, props, event_id AS ingest_seq FROM {events}""",
     "pixels": "SELECT p_partkey % 40 AS px, CAST(FLOOR(p_partkey / 40.0E0) AS BIGINT) AS py, p_retailprice + 7.0E0 * ((p_partkey * 31) % 17) AS gray FROM {part}",
-    "paired": """SELECT n_name AS sample_id, CASE c_custkey % 3 WHEN 0 THEN 'focal' WHEN 1 THEN 'M5' ELSE 'M0' END AS method_id,
-        CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 6 END AS K, AVG(c_acctbal / 10000.0E0) AS coherence
-        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name, CASE c_custkey % 3 WHEN 0 THEN 'focal' WHEN 1 THEN 'M5' ELSE 'M0' END,
-        CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 6 END""",
+    # one baseline of the families, M4, has no rows
+    "paired": """SELECT sample_id, method_id, K, AVG(acctbal / 10000.0E0) AS coherence, AVG((custkey * 37 % 1009) / 1009.0E0) AS marker FROM (
+        SELECT n_name AS sample_id, c_acctbal AS acctbal, c_custkey AS custkey, CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 6 END AS K,
+        CASE FLOOR(c_custkey / 2.0E0) % 6 WHEN 0 THEN 'focal' WHEN 1 THEN 'M5' WHEN 2 THEN 'M0' WHEN 3 THEN 'M1' WHEN 4 THEN 'M2' ELSE 'M3' END AS method_id
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey) GROUP BY sample_id, method_id, K""",
 }
 
 
