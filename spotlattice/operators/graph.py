@@ -11,49 +11,76 @@ from spotlattice.operators.normalize import dot, unit
 KEY = "sample_id"
 
 
-def _bins(spots: DataFrame, per_cell: float) -> DataFrame:
-    """Cell size of each sample: about ``per_cell`` spots in a cell of its extent."""
-    e = spots.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("dx"), (F.max("y") - F.min("y")).alias("dy"))
-    side = F.sqrt(F.greatest(F.col("dx"), F.lit(1e-9)) * F.greatest(F.col("dy"), F.lit(1e-9)) * per_cell / F.col("n"))
-    return e.select(KEY, F.greatest(side, F.lit(1e-6)).alias("c"))
-
-
 def _cell(v: str) -> Column:
     return F.floor(F.col(v) / F.col("c"))
 
 
-def _near(queries: DataFrame, spots: DataFrame, cells: DataFrame, k: int) -> DataFrame:
-    """The k nearest among the 3 x 3 cells about each query; ``sure`` where the k-th is no farther than a cell."""
-    points = spots.select(KEY, F.col("spot").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")).join(F.broadcast(cells), KEY)
-    points = points.select(KEY, "other", "ox", "oy", _cell("ox").alias("cx"), _cell("oy").alias("cy"))
-    ring = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    q = queries.select(KEY, "spot", "x", "y").join(F.broadcast(cells), KEY).withColumn("o", F.explode(ring))
-    q = q.select(KEY, "spot", "x", "y", "c", (_cell("x") + F.col("o.i")).alias("cx"), (_cell("y") + F.col("o.j")).alias("cy"))
-    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    pairs = q.join(points, [KEY, "cx", "cy"]).filter("spot <> other").withColumn("d2", d2)
-    w = Window.partitionBy(KEY, "spot")
-    out = pairs.withColumn("rank", F.row_number().over(w.orderBy("d2", "other"))).filter(F.col("rank") <= k)
-    return out.withColumn("sure", (F.count(F.lit(1)).over(w) == k) & (F.max("d2").over(w) < F.col("c") * F.col("c"))).select(KEY, "spot", "other", "rank", "d2", "sure")
+def _ring() -> Column:
+    """The offsets of a cell and its eight neighbours."""
+    return F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+
+
+def _places(spots: DataFrame, k: int) -> DataFrame:
+    """(sample_id, ox, oy, ids): every place once, with the k + 1 least ids of its spots; no search needs more of them."""
+    w = Window.partitionBy(KEY, "x", "y").orderBy("spot")
+    least = spots.select(KEY, "spot", "x", "y").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
+    return least.groupBy(KEY, F.col("x").alias("ox"), F.col("y").alias("oy")).agg(F.sort_array(F.collect_list("spot")).alias("ids"))
+
+
+def _first_cells(places: DataFrame, per_cell: float) -> DataFrame:
+    """(sample_id, c, extent): the cell size that would hold ``per_cell`` places if they lay evenly."""
+    e = places.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), (F.max("ox") - F.min("ox")).alias("dx"), (F.max("oy") - F.min("oy")).alias("dy"))
+    extent = F.greatest("dx", "dy")
+    even = F.greatest(F.sqrt(F.col("dx") * F.col("dy") * per_cell / F.col("n")), extent * per_cell / F.col("n"))
+    return e.select(KEY, F.when(even > 0, even).otherwise(1.0).alias("c"), (extent * 1.0001 + 1e-300).alias("extent"))
+
+
+def _nearest(queries: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """Of each query the k + 1 nearest spots in the 3 x 3 cells about it, and whether none farther off can be nearer."""
+    q = queries.withColumn("o", _ring()).select(*queries.columns, (_cell("x") + F.col("o.i")).alias("cx"), (_cell("y") + F.col("o.j")).alias("cy"))
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    pairs = q.join(cells, [KEY, "c", "cx", "cy"]).select(*queries.columns, (dx * dx + dy * dy).alias("d2"), F.explode("ids").alias("other"))
+    w = Window.partitionBy(KEY, "x", "y").orderBy("d2", "other")
+    best = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
+    near = best.groupBy(KEY, "x", "y").agg(*(F.first(c).alias(c) for c in ("c", "extent", "full")), F.sort_array(F.collect_list(F.struct("d2", "other"))).alias("near"))
+    reach = F.when(F.size("near") > k, F.element_at("near", -1)["d2"])
+    return near.withColumn("sure", (F.col("c") >= F.col("extent")) | F.coalesce(reach < F.col("c") * F.col("c"), F.lit(False)))
 
 
 def knn(spots: DataFrame, k: int, per_cell: float | None = None) -> DataFrame:
     """(sample_id, spot, other, rank, d2): the exact k nearest other spots, ties by spot id.
 
-    Grid buckets turn the search into an equi join. Spots whose k-th neighbour is
-    not proven by the cell size are searched again in cells of 64 times the area,
-    and the few that are left in cells as large as the sample. Samples with k
-    spots or fewer give all there are.
+    Places, not spots, are searched, so any number of spots at one place costs one
+    search. Grid cells turn it into an equi join; every place has a cell size of its own.
+    A place next to a cell of more than ``32 per_cell`` places is searched in cells
+    of an eighth of the size; one whose last neighbour is not proven by the cell size, in
+    cells eight times as large. Each pass is written once; evenly spread spots take two,
+    clusters and outliers a few more. Samples with k spots or fewer give all there are.
     """
     per_cell = per_cell or max(2.0, 0.7 * k)
-    cells = _bins(spots, per_cell)
-    found, open_ = None, spots
-    for grow in (1.0, 8.0):
-        got = _near(open_, spots, cells.withColumn("c", F.col("c") * grow), k)
-        sure = got.filter("sure")
+    places = cut(_places(spots, k))
+    open_ = places.select(KEY, F.col("ox").alias("x"), F.col("oy").alias("y")).join(_first_cells(places, per_cell), KEY).withColumn("full", F.lit(False))
+    found = None
+    while True:
+        sizes = open_.select(KEY, "c").distinct()
+        cells = places.join(sizes, KEY).select(KEY, "c", "ox", "oy", "ids", _cell("ox").alias("cx"), _cell("oy").alias("cy"))
+        crowded = cells.groupBy(KEY, "c", "cx", "cy").count().filter(F.col("count") > 32 * per_cell).select(KEY, "c", "cx", "cy")
+        about = crowded.withColumn("o", _ring()).select(KEY, "c", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")).distinct()
+        # a place that was not proven in smaller cells, or whose cells are as fine as numbers go, is searched in full ones
+        at = open_.select("*", _cell("x").alias("cx"), _cell("y").alias("cy"), (F.col("full") | (F.col("c") < 1e-12 * F.col("extent"))).alias("take"))
+        at = at.join(about.withColumn("crowd", F.lit(True)), [KEY, "c", "cx", "cy"], "left").withColumn("take", F.col("take") | F.col("crowd").isNull())
+        got = _nearest(at.filter("take").select(KEY, "x", "y", "c", "extent", "full"), cells, k)
+        finer = at.filter("NOT take").select(KEY, "x", "y", (F.col("c") / 8).alias("c"), "extent", "full", F.lit(None).cast("array<struct<d2:double,other:bigint>>").alias("near"), F.lit(False).alias("sure"))
+        step = cut(got.select(KEY, "x", "y", F.when(F.col("sure"), F.col("c")).otherwise(F.least(F.col("c") * 8, "extent")).alias("c"), "extent", F.lit(True).alias("full"), F.col("near").cast("array<struct<d2:double,other:bigint>>").alias("near"), "sure").unionByName(finer))
+        sure = step.filter("sure").select(KEY, "x", "y", "near")
         found = sure if found is None else found.unionByName(sure)
-        open_ = open_.join(sure.select(KEY, "spot").distinct(), [KEY, "spot"], "left_anti")
-    extent = spots.groupBy(KEY).agg((F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) + 1).alias("c"))
-    return found.unionByName(_near(open_, spots, extent, k)).drop("sure")
+        open_ = step.filter("NOT sure").select(KEY, "x", "y", "c", "extent", "full")
+        if open_.isEmpty():
+            break
+    both = spots.select(KEY, "spot", "x", "y").join(found, [KEY, "x", "y"])
+    others = F.slice(F.filter("near", lambda s: s["other"] != F.col("spot")), 1, k)
+    out = both.select(KEY, "spot", F.posexplode(others).alias("rank", "n"))
+    return out.select(KEY, "spot", F.col("n.other").cast(spots.schema["spot"].dataType).alias("other"), (F.col("rank") + 1).alias("rank"), F.col("n.d2").alias("d2"))
 
 
 def coherence_neighbours(spots: DataFrame) -> DataFrame:
@@ -88,9 +115,8 @@ def lattice_neighbours(lists: DataFrame, spots: DataFrame) -> DataFrame:
 
 def _within(spots: DataFrame, reach: DataFrame) -> DataFrame:
     """(sample_id, spot, other, d2) of pairs no farther than ``reach(sample_id, c)``, by cells of that size."""
-    points = spots.select(KEY, F.col("spot").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")).join(F.broadcast(reach), KEY).select(KEY, "other", "ox", "oy", _cell("ox").alias("cx"), _cell("oy").alias("cy"))
-    ring = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    q = spots.select(KEY, "spot", "x", "y").join(F.broadcast(reach), KEY).withColumn("o", F.explode(ring)).select(KEY, "spot", "x", "y", "c", (_cell("x") + F.col("o.i")).alias("cx"), (_cell("y") + F.col("o.j")).alias("cy"))
+    points = spots.select(KEY, F.col("spot").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")).join(reach, KEY).select(KEY, "other", "ox", "oy", _cell("ox").alias("cx"), _cell("oy").alias("cy"))
+    q = spots.select(KEY, "spot", "x", "y").join(reach, KEY).withColumn("o", _ring()).select(KEY, "spot", "x", "y", "c", (_cell("x") + F.col("o.i")).alias("cx"), (_cell("y") + F.col("o.j")).alias("cy"))
     d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
     return q.join(points, [KEY, "cx", "cy"]).withColumn("d2", d2).filter(F.col("d2") <= F.col("c") * F.col("c")).select(KEY, "spot", "other", "d2")
 

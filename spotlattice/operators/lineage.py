@@ -1,20 +1,30 @@
-"""Cutting the lineage of iterative operators."""
+"""Tables in the shared folder: cutting the lineage of iterative operators."""
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder that the cluster names in ``spark.checkpoint.dir`` and reads it back.
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    A table in the shared folder outlives the executors that made it. Only where
-    the setting is missing (tests on one machine) a folder under /tmp is used.
+    Without that setting a session on one machine (tests) takes a folder of its
+    own there; on a cluster it is an error, for executors would not see such a folder.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spotlattice-shared"
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        base = f"file://{tempfile.gettempdir()}/spotlattice-{spark.sparkContext.applicationId}"
+    if not base:
+        raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: a table there outlives the executors that made it."""
+    path = shared_dir(df.sparkSession, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
