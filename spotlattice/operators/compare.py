@@ -102,14 +102,17 @@ def patch_features(spots: DataFrame, pixels: DataFrame, half: int = 24, least: i
     width = 2 * half + 1
     tile = lambda c: F.floor(c / width)
     size = pixels.agg(F.max("px").alias("mx"), F.max("py").alias("my"))
-    p = pixels.select("px", "py", "gray", tile(F.col("px")).alias("tx"), tile(F.col("py")).alias("ty"))
+    # the neighbours of a pixel are the same in every patch that holds them
+    row, col = Window.partitionBy("py").orderBy("px"), Window.partitionBy("px").orderBy("py")
+    beside = {"x0": F.lag("px").over(row), "x1": F.lead("px").over(row), "y0": F.lag("py").over(col), "y1": F.lead("py").over(col)}
+    steep = {"gx": F.lead("gray").over(row) - F.lag("gray").over(row), "gy": F.lead("gray").over(col) - F.lag("gray").over(col)}
+    p = pixels.select("px", "py", "gray").withColumns(beside | steep)
+    p = p.select("px", "py", "gray", *beside, F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("steep"), tile(F.col("px")).alias("tx"), tile(F.col("py")).alias("ty"))
     c = spots.select(KEY, "spot", F.rint("x").cast("bigint").alias("cx"), F.rint("y").cast("bigint").alias("cy")).crossJoin(F.broadcast(size)).filter("cx >= 0 AND cy >= 0 AND cx <= mx AND cy <= my")
     tiles = lambda v: F.explode(F.sequence(tile(F.col(v) - half), tile(F.col(v) + half)))
     c = c.withColumn("tx", tiles("cx")).withColumn("ty", tiles("cy"))
     inside = (F.abs(F.col("px") - F.col("cx")) <= half) & (F.abs(F.col("py") - F.col("cy")) <= half)
-    patch = c.join(p, ["tx", "ty"]).filter(inside).select(KEY, "spot", "px", "py", "gray")
-    row, col = Window.partitionBy(KEY, "spot", "py").orderBy("px"), Window.partitionBy(KEY, "spot", "px").orderBy("py")
-    part = lambda w: F.lead("gray").over(w) - F.lag("gray").over(w)
-    patch = patch.withColumns({"gx": part(row), "gy": part(col)}).withColumn("g", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
+    whole = (F.col("x0") >= F.col("cx") - half) & (F.col("x1") <= F.col("cx") + half) & (F.col("y0") >= F.col("cy") - half) & (F.col("y1") <= F.col("cy") + half)
+    patch = c.join(p, ["tx", "ty"]).filter(inside).select(KEY, "spot", "gray", F.when(whole, F.col("steep")).alias("g"))
     g = patch.groupBy(KEY, "spot").agg(F.count(F.lit(1)).alias("n_pixels"), F.avg("gray").alias("gray_mean"), F.stddev_pop("gray").alias("gray_sd"), F.avg("g").alias("grad_mean"), F.percentile("g", 0.95).alias("grad_q95"))
     return g.filter(F.col("n_pixels") >= least)

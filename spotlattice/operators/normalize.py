@@ -77,13 +77,14 @@ def _orthonormal(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sample_id": key[0], "gene": block["gene"].to_numpy(), "w": list(q), "ritz": [ritz] * len(q)})
 
 
-def _project(expr: DataFrame, basis: DataFrame, means: DataFrame, parts: int) -> DataFrame:
-    """Scores of each spot on the basis, centred without making the matrix dense."""
+def _project(expr: DataFrame, full: DataFrame, basis: DataFrame, means: DataFrame, parts: int) -> DataFrame:
+    """Scores of all spots ``full`` on the basis, centred without making the matrix dense; a spot without values lies at minus the offset."""
     total = lambda c: F.array(*(F.sum(F.col(c)[i]) for i in range(parts)))
     scaled = lambda a, b: F.transform(a, lambda x: x * b)
     y = expr.join(basis, ["sample_id", "gene"]).select("sample_id", "spot", scaled(F.col("w"), F.col("v")).alias("p")).groupBy("sample_id", "spot").agg(total("p").alias("y"))
     offset = means.join(basis, ["sample_id", "gene"]).select("sample_id", scaled(F.col("w"), F.col("mean")).alias("p")).groupBy("sample_id").agg(total("p").alias("o"))
-    return y.join(F.broadcast(offset), "sample_id").select("sample_id", "spot", F.zip_with("y", "o", lambda a, b: a - b).alias("y"))
+    zero = F.array_repeat(F.lit(0.0), parts)
+    return full.join(offset, "sample_id").join(y, ["sample_id", "spot"], "left").select("sample_id", "spot", F.zip_with(F.coalesce("y", zero), "o", lambda a, b: a - b).alias("y"))
 
 
 def pca(expr: DataFrame, spots: DataFrame, parts: int = 20, rounds: int = 300, seed: int = 0, spare: int = 20, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +93,7 @@ def pca(expr: DataFrame, spots: DataFrame, parts: int = 20, rounds: int = 300, s
     Each round multiplies by the centred matrix and its transpose as joins and
     sums; only a sample's genes x components block meets in one task, to be made
     orthonormal. Genes are the selected ones, so the block is small. Every spot
-    with a value takes part; spots without any count as zeros in the means.
+    takes part and has scores; one without counts is a row of zeros.
     ``spare`` further components speed up the rounds, which end when no variance
     moves by more than ``tolerance`` of the sample's largest, or after ``rounds``;
     ``converged`` tells which. A sample has no more components than spots or
@@ -108,10 +109,9 @@ def pca(expr: DataFrame, spots: DataFrame, parts: int = 20, rounds: int = 300, s
     before: dict = {}
     full = spots.select("sample_id", "spot")
     for _ in range(rounds):
-        y = full.join(_project(expr, basis, means, parts), ["sample_id", "spot"], "left")
-        sums = y.groupBy("sample_id").agg(F.array(*(F.sum(F.col("y")[i]) for i in range(parts))).alias("t"))
-        z = expr.join(y.filter("y IS NOT NULL"), ["sample_id", "spot"]).groupBy("sample_id", "gene").agg(F.array(*(F.sum(F.col("v") * F.col("y")[i]) for i in range(parts))).alias("z"))
-        z = z.join(means, ["sample_id", "gene"]).join(F.broadcast(sums), "sample_id").select("sample_id", "gene", F.zip_with("z", F.transform("t", lambda x: x * F.col("mean")), lambda a, b: a - b).alias("y"))
+        y = _project(expr, full, basis, means, parts)
+        # scores are centred, so the means of the genes add nothing to their product with the counts
+        z = expr.join(y, ["sample_id", "spot"]).groupBy("sample_id", "gene").agg(F.array(*(F.sum(F.col("v") * F.col("y")[i]) for i in range(parts))).alias("y"))
         basis = cut(z.join(basis.select("sample_id", "gene", "w"), ["sample_id", "gene"]).groupBy("sample_id").applyInPandas(_orthonormal, shape))
         # one row a sample
         now = {r.sample_id: np.array(r.ritz[:asked]) for r in basis.groupBy("sample_id").agg(F.first("ritz").alias("ritz")).collect()}
@@ -121,6 +121,6 @@ def pca(expr: DataFrame, spots: DataFrame, parts: int = 20, rounds: int = 300, s
             break
     most = means.groupBy("sample_id").agg(F.count(F.lit(1)).alias("genes")).join(n, "sample_id")
     most = most.select("sample_id", F.greatest(F.lit(2), F.least(F.lit(asked), F.col("n") - 1, F.col("genes") - 1)).cast("int").alias("most"), (~F.col("sample_id").isin(moving)).alias("converged"))
-    scores = _project(expr, basis, means, parts).join(F.broadcast(most), "sample_id").select("sample_id", "spot", F.slice("y", F.lit(1), F.col("most")).alias("y"))
+    scores = _project(expr, full, basis, means, parts).join(F.broadcast(most), "sample_id").select("sample_id", "spot", F.slice("y", F.lit(1), F.col("most")).alias("y"))
     variance = scores.select("sample_id", F.posexplode("y").alias("part", "y")).groupBy("sample_id", "part").agg(F.var_pop("y").alias("variance")).join(F.broadcast(most.drop("most")), "sample_id")
     return scores.withColumnRenamed("y", "f"), variance
