@@ -26,34 +26,26 @@ def _labels(spark, d):
     return view(spark, d, "labels")
 
 
-#: Components of a vector. The queries with SQL take 4; those named _whole take all.
+#: Components of a vector.
 SIZE = 64
 
 
-def _start(spark, d, size=4):
+def _start(spark, d, size=SIZE):
     """The vectors with known label below 4 give the first centroids of each sample."""
     p = _points(spark, d, size).filter("known < 4")
     return p.groupBy(K, F.col("known").alias("label")).agg(C._mean("f", size).alias("f"))
 
 
-def kmeans_assign(spark, d, size=4):
+def kmeans_assign(spark, d, size=SIZE):
     return C.kmeans_assign(_points(spark, d, size), _start(spark, d, size)).select(K, "spot", "label", r6(F.col("d2")).alias("d2"))
 
 
-def kmeans_assign_whole(spark, d):
-    return kmeans_assign(spark, d, SIZE)
-
-
-def kmeans_update(spark, d, size=4):
+def kmeans_update(spark, d, size=SIZE):
     p = _points(spark, d, size)
     out = C.kmeans_update(p, C.kmeans_assign(p, _start(spark, d, size)), size)
     return out.select(K, "label", *(r6(F.col("f")[i]).alias(f"f{i}") for i in range(size)))
 
 
-def kmeans_update_whole(spark, d):
-    return kmeans_update(spark, d, SIZE)
-
-
 def _plan(spark):
     return spark.createDataFrame([(k, seed) for k in (4, 6) for seed, _ in _SEEDS], "K int, seed int")
 
@@ -120,11 +112,6 @@ def community_fit(spark, d):
 
 
 def resolution_select(spark, d):
-    """Held against SQL over every seventh candidate; ``resolution_select_whole`` takes all."""
-    return _selected(view(spark, d, "customer").filter("c_custkey % 7 = 0"))
-
-
-def resolution_select_whole(spark, d):
     return _selected(view(spark, d, "customer"))
 
 
@@ -140,28 +127,20 @@ def resolution_search(spark, d):
     return choice.join(n, [K, "gamma"]).select(K, r6(F.col("gamma")).alias("gamma"), "n_labels", "exact", "n_spots")
 
 
-def _soft(spark, d, size=4):
+def _soft(spark, d, size=SIZE):
     p = _points(spark, d, size)
     centroids = p.filter("known < 4").groupBy(F.col("known").alias("label")).agg(C._mean("f", size).alias("f"))
     return C.soft_assign(p, centroids)
 
 
-def dec_soft_assign(spark, d, size=4):
+def dec_soft_assign(spark, d, size=SIZE):
     return _soft(spark, d, size).select(K, "spot", "label", r6(F.col("q")).alias("q"), r6(F.col("p")).alias("p"))
 
 
-def dec_soft_assign_whole(spark, d):
-    return dec_soft_assign(spark, d, SIZE)
-
-
-def dec_kl(spark, d, size=4):
+def dec_kl(spark, d, size=SIZE):
     return C.kl(_soft(spark, d, size)).withColumn("kl", r6(F.col("kl")))
 
 
-def dec_kl_whole(spark, d):
-    return dec_kl(spark, d, SIZE)
-
-
 def label_change_rate(spark, d):
     l = _labels(spark, d)  # noqa: E741
     return C.change_rate(l.filter("seed = 11"), l.filter("seed = 23")).withColumn("rate", r6(F.col("rate")))
@@ -199,23 +178,24 @@ def domain_map_export(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    kmeans_assign, kmeans_assign_whole, kmeans_update, kmeans_update_whole, kmeans_fit, kmeans_fit_spatial, ward_round, ward_fit, rb_modularity, community_fit, resolution_select, resolution_select_whole, resolution_search, dec_soft_assign,
-    dec_soft_assign_whole, dec_kl, dec_kl_whole,
+    kmeans_assign, kmeans_update, kmeans_fit, kmeans_fit_spatial, ward_round, ward_fit, rb_modularity, community_fit, resolution_select, resolution_search, dec_soft_assign,
+    dec_kl,
     label_change_rate, exact_k_check, run_plan, reference_seed, domain_map_import, domain_map_export,
 )}
 
-_EMB = "emb AS (SELECT sample_id, spot, (embedding::DOUBLE[])[1:4] AS f, label AS known FROM v_spots JOIN embeddings ON vec_id = spot)"
-_MEANS = "avg(f[1]) AS c1, avg(f[2]) AS c2, avg(f[3]) AS c3, avg(f[4]) AS c4"
-_D2 = "(f[1] - c1) * (f[1] - c1) + (f[2] - c2) * (f[2] - c2) + (f[3] - c3) * (f[3] - c3) + (f[4] - c4) * (f[4] - c4)"
+_EMB = "emb AS (SELECT sample_id, spot, embedding::DOUBLE[] AS f, label AS known FROM v_spots JOIN embeddings ON vec_id = spot)"
+_MEANS = ", ".join(f"avg(f[{i}]) AS c{i}" for i in range(1, SIZE + 1))
+_D2 = " + ".join(f"(f[{i}] - c{i}) * (f[{i}] - c{i})" for i in range(1, SIZE + 1))
+_ROUNDED = ", ".join(f"round(avg(f[{i + 1}]), 6) AS f{i}" for i in range(SIZE))
 _ASSIGN = f"""{_EMB}, ct AS (SELECT sample_id, known AS label, {_MEANS} FROM emb WHERE known < 4 GROUP BY ALL),
-ag AS (SELECT sample_id, spot, label, d2, f FROM (SELECT emb.sample_id, spot, label, f, {_D2} AS d2, row_number() OVER (PARTITION BY emb.sample_id, spot ORDER BY {_D2}, label) AS r FROM emb JOIN ct USING (sample_id)) WHERE r = 1)"""
+ag AS (SELECT sample_id, spot, label, d2, f FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, spot ORDER BY d2, label) AS r FROM (SELECT emb.sample_id, spot, label, f, {_D2} AS d2 FROM emb JOIN ct USING (sample_id))) WHERE r = 1)"""
 _SOFT = f"""{_EMB}, ct AS (SELECT known AS label, {_MEANS} FROM emb WHERE known < 4 GROUP BY ALL),
 q0 AS (SELECT sample_id, spot, label, pow(1 / (1 + ({_D2}) / 0.2::DOUBLE + 0.00000001::DOUBLE), 0.6::DOUBLE) AS raw FROM emb, ct),
 q1 AS (SELECT sample_id, spot, label, raw / sum(raw) OVER (PARTITION BY sample_id, spot) AS q FROM q0), q2 AS (SELECT *, q * q / sum(q) OVER (PARTITION BY sample_id, label) AS t FROM q1),
 so AS (SELECT *, t / sum(t) OVER (PARTITION BY sample_id, spot) AS p FROM q2)"""
 SQL = {
     "kmeans_assign": with_views(f"WITH {_ASSIGN} SELECT sample_id, spot, label, round(d2, 6) AS d2 FROM ag", "spots"),
-    "kmeans_update": with_views(f"WITH {_ASSIGN} SELECT sample_id, label, round(avg(f[1]), 6) AS f0, round(avg(f[2]), 6) AS f1, round(avg(f[3]), 6) AS f2, round(avg(f[4]), 6) AS f3 FROM ag GROUP BY 1, 2", "spots"),
+    "kmeans_update": with_views(f"WITH {_ASSIGN} SELECT sample_id, label, {_ROUNDED} FROM ag GROUP BY 1, 2", "spots"),
     "ward_round": with_views("""WITH c AS (SELECT sample_id, spot % 12 AS id, count(*) AS n, avg(x / 1000) AS a, avg(y / 1000) AS b FROM v_spots GROUP BY 1, 2),
 co AS (SELECT p.sample_id, p.id AS x, q.id AS y, p.n * q.n / (p.n + q.n) * ((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) AS cost FROM c p JOIN c q ON p.sample_id = q.sample_id AND p.id <> q.id AND abs(p.id - q.id) <= 3),
 be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, x ORDER BY cost, y) AS r FROM co) WHERE r = 1)
@@ -225,7 +205,7 @@ st AS (SELECT sample_id, label, sum(w) AS s FROM (SELECT sample_id, src AS spot,
 i AS (SELECT e.sample_id, sum(w) FILTER (a.label = b.label) AS inner_w, sum(w) AS m FROM e JOIN l a ON a.sample_id = e.sample_id AND a.spot = src JOIN l b ON b.sample_id = e.sample_id AND b.spot = dst GROUP BY 1)
 SELECT sample_id, round(coalesce(any_value(inner_w), 0) - sum(s * s) / (4 * any_value(m)), 6) AS modularity FROM st JOIN i USING (sample_id) GROUP BY 1""", "spots", "labels"),
     "resolution_select": """SELECT sample_id, round(gamma, 6) AS gamma, n_labels, n_labels = 6 AS exact FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY abs(n_labels - 6), CASE WHEN n_labels = 6 THEN place ELSE 0 END, gamma) AS r
-FROM (SELECT (c_nationkey % 5)::VARCHAR AS sample_id, c_custkey / 100.0::DOUBLE AS gamma, c_custkey % 23 + 2 AS n_labels, c_custkey AS place FROM customer WHERE c_custkey % 7 = 0)) WHERE r = 1""",
+FROM (SELECT (c_nationkey % 5)::VARCHAR AS sample_id, c_custkey / 100.0::DOUBLE AS gamma, c_custkey % 23 + 2 AS n_labels, c_custkey AS place FROM customer)) WHERE r = 1""",
     "dec_soft_assign": with_views(f"WITH {_SOFT} SELECT sample_id, spot, label, round(q, 6) AS q, round(p, 6) AS p FROM so", "spots"),
     "dec_kl": with_views(f"WITH {_SOFT} SELECT sample_id, round(avg(dd), 6) AS kl FROM (SELECT sample_id, spot, sum(p * ln(p / (q + 0.000001::DOUBLE))) AS dd FROM so GROUP BY 1, 2) GROUP BY 1", "spots"),
     "label_change_rate": with_views("SELECT sample_id, round(avg((a.label <> b.label)::INT), 6) AS rate, avg((a.label <> b.label)::INT) < 0.005 AS stop FROM v_labels a JOIN v_labels b USING (sample_id, spot) WHERE a.seed = 11 AND b.seed = 23 GROUP BY 1", "labels"),
@@ -235,3 +215,7 @@ FROM (SELECT (c_nationkey % 5)::VARCHAR AS sample_id, c_custkey / 100.0::DOUBLE
     "domain_map_import": with_views("SELECT dataset_id, s.sample_id, 'ext' AS method_id, 4::INT AS K, 'BC-' || spot AS barcode, x, label::INT AS domain_label FROM v_spots s JOIN v_labels l USING (sample_id, spot) WHERE seed = 11 AND label >= 1", "spots", "labels"),
     "domain_map_export": with_views("SELECT l.sample_id, seed, spot, x, y, label + 1 AS domain_label FROM v_labels l JOIN v_spots s USING (sample_id, spot) WHERE seed = CASE WHEN l.sample_id = 'ASIA' THEN 37 ELSE 11 END", "spots", "labels"),
 }
+# the names under which earlier versions registered the whole vectors and tables
+WHOLE = ("kmeans_assign", "kmeans_update", "dec_soft_assign", "dec_kl", "resolution_select")
+QUERIES |= {f"{n}_whole": QUERIES[n] for n in WHOLE}
+SQL |= {f"{n}_whole": SQL[n] for n in WHOLE}

@@ -48,28 +48,15 @@ def _gene_names(spark, d):
 
 
 def library_size(spark, d):
-    """Held against SQL over the first 20 genes; ``library_size_whole`` takes all."""
-    return _sizes(spark, d, _v(spark, d, "counts").filter("gene < 20"))
-
-
-def library_size_whole(spark, d):
-    return _sizes(spark, d, _v(spark, d, "counts"))
-
-
-def _sizes(spark, d, counts):
-    return N.library_size(counts, _spots(spark, d)).select(K, "spot", F.col("size").cast("bigint").alias("size"))
+    return N.library_size(_v(spark, d, "counts"), _spots(spark, d)).select(K, "spot", F.col("size").cast("bigint").alias("size"))
 
 
 def lognorm(spark, d):
     return _expr(spark, d).select(K, "spot", "gene", r6(F.col("v")).alias("v"))
 
 
-def hvg_select(spark, d, most=25):
-    return N.hvg_select(_expr(spark, d), _spots(spark, d), most).select(K, "gene", r6(F.col("variance")).alias("variance"), "rank")
-
-
-def hvg_select_whole(spark, d):
-    return hvg_select(spark, d, 2000)
+def hvg_select(spark, d):
+    return N.hvg_select(_expr(spark, d), _spots(spark, d)).select(K, "gene", r6(F.col("variance")).alias("variance"), "rank")
 
 
 def pca_variance(spark, d):
@@ -142,35 +129,26 @@ def bandwidth_search(spark, d):
     return G.bandwidth_search(_spots(spark, d), 0.5).select(K, r6(F.col("l")).alias("l"), r6(F.col("mass")).alias("mass"))
 
 
-def _features(spark, d, size):
-    return _embed(spark, d).select(K, "spot", F.posexplode(F.slice("f", 1, size)).alias("feature", "v"))
+def _features(spark, d):
+    return _embed(spark, d).select(K, "spot", F.posexplode("f").alias("feature", "v"))
 
 
-def graph_smooth(spark, d, size=4):
+def graph_smooth(spark, d):
     w = _weights(spark, d)
-    return G.smooth(w, _features(spark, d, size)).select(K, "spot", "feature", r6(F.col("v")).alias("v"))
-
-
-def graph_smooth_whole(spark, d):
-    return graph_smooth(spark, d, SIZE)
+    return G.smooth(w, _features(spark, d)).select(K, "spot", "feature", r6(F.col("v")).alias("v"))
 
 
 _LEFT, _RIGHT = [0.5, -0.25, 1.0, 0.75], [-0.5, 0.3, 0.2, 0.1]
-#: Components of a vector. The queries with SQL take 4; those named _whole take all.
+#: Components of a vector; the four given weights repeat over them.
 SIZE = 64
 
 
-def edge_attention(spark, d, size=4):
-    """The given weights repeat where more than four components are taken."""
-    e = _embed(spark, d).select(K, "spot", "x", "y", F.slice("f", 1, size).alias("f"))
-    out = G.edge_attention(G.symmetric_graph(G.knn(e, 6), e), e, _LEFT * (size // 4), _RIGHT * (size // 4))
+def edge_attention(spark, d):
+    e = _embed(spark, d)
+    out = G.edge_attention(G.symmetric_graph(G.knn(e, 6), e), e, _LEFT * (SIZE // 4), _RIGHT * (SIZE // 4))
     return out.select(K, "spot", "part", r6(F.col("v")).alias("v"))
 
 
-def edge_attention_whole(spark, d):
-    return edge_attention(spark, d, SIZE)
-
-
 def spatial_coherence(spark, d):
     labels = _v(spark, d, "labels")
     return Q.agreement(G.coherence_neighbours(_spots(spark, d)), labels, ("seed",)).withColumn("coherence", r6(F.col("coherence")))
@@ -297,29 +275,22 @@ _EDGE = ("edge_boundary", "edge_within", "delta_edge", "spot_boundary", "spot_in
 
 def edge_alignment(spark, d):
     values = H.gradient_at_spots(_gradient(spark, d), _on_image(spark, d).filter(F.col(K) != "ASIA"))
-    out = H.edge_alignment(G.undirected(G.coherence_neighbours(_spots(spark, d))), _labels(spark, d), values, 20)
+    out = H.edge_alignment(G.undirected(G.coherence_neighbours(_spots(spark, d))), _labels(spark, d), values)
     return out.select(K, "n_spots", "n_edges", "n_boundary_edges", *(r6(F.col(c)).alias(c) for c in _EDGE), "status")
 
 
 def patch_features(spark, d):
-    """Held against SQL over every tenth spot and small patches; ``patch_features_whole`` takes all spots and whole patches."""
-    return _patches(H.patch_features(_on_image(spark, d).filter("spot % 10 = 0"), _v(spark, d, "pixels"), half=6))
-
-
-def patch_features_whole(spark, d):
-    return _patches(H.patch_features(_on_image(spark, d), _v(spark, d, "pixels")))
-
-
-def _patches(out):
-    return out.select(K, "spot", "n_pixels", *(r6(F.col(c)).alias(c) for c in ("gray_mean", "gray_sd", "grad_mean", "grad_q95")))
+    out = H.patch_features(_on_image(spark, d), _v(spark, d, "pixels"))
+    # prices have two decimals, so means often end in a five at the seventh place: a billionth settles how it is rounded
+    return out.select(K, "spot", "n_pixels", r6(F.col("gray_mean") + 1e-9).alias("gray_mean"), *(r6(F.col(c)).alias(c) for c in ("gray_sd", "grad_mean", "grad_q95")))
 
 
 QUERIES = {f.__name__: f for f in (
-    library_size, library_size_whole, lognorm, hvg_select, hvg_select_whole, pca_variance, coords_scaled, spatial_features, knn_exact, knn_rank2to7, graph_symmetric, edges_undirected, edge_weights,
-    boundary_mask, neighbor_list_agreement, affinity_mass, bandwidth_search, graph_smooth, graph_smooth_whole, edge_attention, edge_attention_whole, spatial_coherence, marker_separation, marker_topn,
+    library_size, lognorm, hvg_select, pca_variance, coords_scaled, spatial_features, knn_exact, knn_rank2to7, graph_symmetric, edges_undirected, edge_weights,
+    boundary_mask, neighbor_list_agreement, affinity_mass, bandwidth_search, graph_smooth, edge_attention, spatial_coherence, marker_separation, marker_topn,
     marker_by_domain, ari, ari_seed_pairs, control_random_labels, control_shuffled_coords, label_align, label_align_greedy, unstable_spots, instability_summary,
     select_marker, signature_score, signature_contrast, signature_seed_median, group_compare, domain_heatmap, coord_label_join, image_gradient, gradient_at_spots,
-    edge_alignment, patch_features, patch_features_whole,
+    edge_alignment, patch_features,
 )}
 
 # --- oracles -------------------------------------------------------------------
@@ -379,9 +350,9 @@ def _agree(edges: str, labels: str, keys: str) -> str:
     return f"SELECT {', '.join('a.' + k for k in keys.split(', '))}, round(avg((a.label = b.label)::INT), 6) AS coherence, count(*) AS n_pairs FROM {edges} e JOIN {labels} a ON a.sample_id = e.sample_id AND a.spot = e.src JOIN {labels} b ON {on} AND b.spot = e.dst GROUP BY ALL"
 
 
-_ATT = f"""{_EMB.replace('embedding::DOUBLE[]', '(embedding::DOUBLE[])[1:4]')},
+_ATT = f"""{_EMB},
 ee AS (SELECT * FROM {_graph_sql('emb')} UNION ALL SELECT sample_id, spot, spot FROM emb),
-es AS (SELECT e.sample_id, src, dst, b.f AS f, list_dot_product(a.f, {_LEFT}::DOUBLE[]) + list_dot_product(b.f, {_RIGHT}::DOUBLE[]) AS raw FROM ee e JOIN emb a ON a.sample_id = e.sample_id AND a.spot = src JOIN emb b ON b.sample_id = e.sample_id AND b.spot = dst),
+es AS (SELECT e.sample_id, src, dst, b.f AS f, list_dot_product(a.f, {_LEFT * (SIZE // 4)}::DOUBLE[]) + list_dot_product(b.f, {_RIGHT * (SIZE // 4)}::DOUBLE[]) AS raw FROM ee e JOIN emb a ON a.sample_id = e.sample_id AND a.spot = src JOIN emb b ON b.sample_id = e.sample_id AND b.spot = dst),
 ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY sample_id, src)) AS x FROM (SELECT *, CASE WHEN raw > 0 THEN raw ELSE 0.2::DOUBLE * raw END AS s FROM es)),
 aw AS (SELECT *, x / sum(x) OVER (PARTITION BY sample_id, src) AS a FROM ex)"""
 
@@ -396,9 +367,9 @@ def _greedy_sql(k: int) -> str:
 
 SQL = {
     "label_align_greedy": with_views(_greedy_sql(4), "labels"),
-    "library_size": with_views("SELECT s.sample_id, s.spot, CASE WHEN coalesce(sum(n), 0) = 0 THEN 1 ELSE sum(n) END::BIGINT AS size FROM v_spots s LEFT JOIN (SELECT * FROM v_counts WHERE gene < 20) c ON c.sample_id = s.sample_id AND c.spot = s.spot GROUP BY s.sample_id, s.spot", "spots", "counts"),
+    "library_size": with_views("SELECT s.sample_id, s.spot, CASE WHEN coalesce(sum(n), 0) = 0 THEN 1 ELSE sum(n) END::BIGINT AS size FROM v_spots s LEFT JOIN v_counts c ON c.sample_id = s.sample_id AND c.spot = s.spot GROUP BY s.sample_id, s.spot", "spots", "counts"),
     "lognorm": with_views(f"WITH {_LN} SELECT sample_id, spot, gene, round(v, 6) AS v FROM ln_", "counts"),
-    "hvg_select": with_views(f"WITH {_LN}, va AS (SELECT sample_id, gene, greatest(sum(v * v) / any_value(n) - (sum(v) / any_value(n)) * (sum(v) / any_value(n)), 0) AS variance FROM ln_ JOIN (SELECT sample_id, count(*) AS n FROM v_spots GROUP BY 1) USING (sample_id) GROUP BY 1, 2) SELECT sample_id, gene, round(variance, 6) AS variance, rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY variance DESC, gene DESC)::INT AS rank FROM va) WHERE rank <= 25", "counts"),
+    "hvg_select": with_views(f"WITH {_LN}, va AS (SELECT sample_id, gene, greatest(sum(v * v) / any_value(n) - (sum(v) / any_value(n)) * (sum(v) / any_value(n)), 0) AS variance FROM ln_ JOIN (SELECT sample_id, count(*) AS n FROM v_spots GROUP BY 1) USING (sample_id) GROUP BY 1, 2) SELECT sample_id, gene, round(variance, 6) AS variance, rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY variance DESC, gene DESC)::INT AS rank FROM va) WHERE rank <= 2000", "counts"),
     "coords_scaled": with_views("SELECT sample_id, spot, round((x - avg(x) OVER (PARTITION BY sample_id)) / (stddev_pop(x) OVER (PARTITION BY sample_id) + 0.000001::DOUBLE), 6) AS xs, round((y - avg(y) OVER (PARTITION BY sample_id)) / (stddev_pop(y) OVER (PARTITION BY sample_id) + 0.000001::DOUBLE), 6) AS ys FROM v_spots", "spots"),
     "spatial_features": with_views(f"WITH {_EMB} SELECT sample_id, spot, (len(f) + 2)::INT AS n, round(f[1], 6) AS f0, round(0.5 * (x - avg(x) OVER (PARTITION BY sample_id)) / (stddev_pop(x) OVER (PARTITION BY sample_id) + 0.000001::DOUBLE), 6) AS fx, round(0.5 * (y - avg(y) OVER (PARTITION BY sample_id)) / (stddev_pop(y) OVER (PARTITION BY sample_id) + 0.000001::DOUBLE), 6) AS fy FROM emb", "spots"),
     "knn_exact": with_views(f"SELECT sample_id, spot, other, rank, round(d2, 6) AS d2 FROM ({_knn_sql('v_spots', 7)})", "spots"),
@@ -409,8 +380,8 @@ SQL = {
     "boundary_mask": with_views(f"WITH {_L11} SELECT k.sample_id, k.spot, max((a.label <> b.label)::INT)::INT AS is_boundary FROM ({_knn_sql('v_spots', 6)}) k JOIN l11 a ON a.sample_id = k.sample_id AND a.spot = k.spot JOIN l11 b ON b.sample_id = k.sample_id AND b.spot = k.other GROUP BY k.sample_id, k.spot", "spots", "labels"),
     "neighbor_list_agreement": with_views(f"WITH {_L11}, le AS (SELECT a.sample_id, a.spot AS src, b.spot AS dst FROM v_spots a JOIN v_spots b ON a.sample_id = b.sample_id AND b.spot - a.spot IN (1, 5, -7)) {_agree('le', 'l11', 'sample_id')}", "spots", "labels"),
     "affinity_mass": with_views("SELECT a.sample_id, l, round(sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / (2 * l * l))) / count(DISTINCT a.spot) - 1, 6) AS mass FROM v_spots a JOIN v_spots b ON a.sample_id = b.sample_id JOIN (SELECT unnest([100.0::DOUBLE, 250.0::DOUBLE]) AS l) ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36 * l * l GROUP BY a.sample_id, l", "spots"),
-    "graph_smooth": with_views(f"WITH {_EMB}, {_W} SELECT wt.sample_id, src AS spot, feature, round(sum(w * f[feature + 1]), 6) AS v FROM wt JOIN emb ON emb.sample_id = wt.sample_id AND emb.spot = dst, (SELECT unnest(range(4))::INT AS feature) GROUP BY ALL", "spots"),
-    "edge_attention": with_views(f"WITH {_ATT} SELECT sample_id, src AS spot, part, round(sum(a * f[part + 1]), 6) AS v FROM aw, (SELECT unnest(range(4))::INT AS part) GROUP BY ALL", "spots"),
+    "graph_smooth": with_views(f"WITH {_EMB}, {_W} SELECT wt.sample_id, src AS spot, feature, round(sum(w * f[feature + 1]), 6) AS v FROM wt JOIN emb ON emb.sample_id = wt.sample_id AND emb.spot = dst, (SELECT unnest(range({SIZE}))::INT AS feature) GROUP BY ALL", "spots"),
+    "edge_attention": with_views(f"WITH {_ATT} SELECT sample_id, src AS spot, part, round(sum(a * f[part + 1]), 6) AS v FROM aw, (SELECT unnest(range({SIZE}))::INT AS part) GROUP BY ALL", "spots"),
     "spatial_coherence": with_views(f"WITH {_COH} {_agree('coh', 'v_labels', 'sample_id, seed')}", "spots", "labels"),
     "marker_separation": with_views(f"WITH {_DIFF} SELECT sample_id, round(quantile_cont(mean, 0.5), 6) AS separation, count(*) AS n_clusters FROM tp WHERE top_n = 20 GROUP BY 1", "counts", "labels"),
     "marker_topn": with_views(f"WITH {_DIFF} SELECT sample_id, top_n::INT AS top_n, round(quantile_cont(mean, 0.5), 6) AS separation FROM tp GROUP BY 1, 2", "counts", "labels"),
@@ -437,9 +408,13 @@ n AS (SELECT sample_id, count(*) AS n_spots, count(g) AS nv FROM sv GROUP BY 1),
 ea AS (SELECT sample_id, count(*) AS n_edges, sum(c::INT)::BIGINT AS n_boundary_edges, avg(g) FILTER (c) AS edge_boundary, avg(g) FILTER (NOT c) AS edge_within FROM e GROUP BY 1),
 bs AS (SELECT sample_id, spot, max(c::INT) AS o FROM (SELECT sample_id, a AS spot, c FROM e UNION ALL SELECT sample_id, b, c FROM e) GROUP BY 1, 2),
 sp AS (SELECT sv.sample_id, avg(g) FILTER (o = 1) AS spot_boundary, avg(g) FILTER (coalesce(o, 0) = 0) AS spot_interior FROM sv LEFT JOIN bs ON bs.sample_id = sv.sample_id AND bs.spot = sv.spot GROUP BY 1)
-SELECT sample_id, n_spots, n_edges, n_boundary_edges, round(edge_boundary, 6) AS edge_boundary, round(edge_within, 6) AS edge_within, round(edge_boundary - edge_within, 6) AS delta_edge, round(spot_boundary, 6) AS spot_boundary, round(spot_interior, 6) AS spot_interior, round(spot_boundary - spot_interior, 6) AS delta_spot, CASE WHEN nv > 0 THEN 'ok' ELSE 'missing_image' END AS status FROM n JOIN ea USING (sample_id) JOIN sp USING (sample_id) WHERE n_spots >= 20""", "pixels", "spots", "labels"),
-    "patch_features": with_views("""WITH sz AS (SELECT max(px) AS mx, max(py) AS my FROM v_pixels), c AS (SELECT sample_id, spot, round_even((x + 1000) / 250, 0)::BIGINT AS cx, round_even(y / 100, 0)::BIGINT AS cy FROM v_spots WHERE spot % 10 = 0),
-p AS (SELECT sample_id, spot, px, py, gray FROM c, sz, v_pixels WHERE cx >= 0 AND cy >= 0 AND cx <= mx AND cy <= my AND abs(px - cx) <= 6 AND abs(py - cy) <= 6),
+SELECT sample_id, n_spots, n_edges, n_boundary_edges, round(edge_boundary, 6) AS edge_boundary, round(edge_within, 6) AS edge_within, round(edge_boundary - edge_within, 6) AS delta_edge, round(spot_boundary, 6) AS spot_boundary, round(spot_interior, 6) AS spot_interior, round(spot_boundary - spot_interior, 6) AS delta_spot, CASE WHEN nv > 0 THEN 'ok' ELSE 'missing_image' END AS status FROM n JOIN ea USING (sample_id) JOIN sp USING (sample_id) WHERE n_spots >= 50""", "pixels", "spots", "labels"),
+    "patch_features": with_views("""WITH sz AS (SELECT max(px) AS mx, max(py) AS my FROM v_pixels), c AS (SELECT sample_id, spot, round_even((x + 1000) / 250, 0)::BIGINT AS cx, round_even(y / 100, 0)::BIGINT AS cy FROM v_spots),
+p AS (SELECT sample_id, spot, px, py, gray FROM c, sz, v_pixels WHERE cx >= 0 AND cy >= 0 AND cx <= mx AND cy <= my AND abs(px - cx) <= 24 AND abs(py - cy) <= 24),
 g AS (SELECT *, lead(gray) OVER (PARTITION BY sample_id, spot, py ORDER BY px) - lag(gray) OVER (PARTITION BY sample_id, spot, py ORDER BY px) AS gx, lead(gray) OVER (PARTITION BY sample_id, spot, px ORDER BY py) - lag(gray) OVER (PARTITION BY sample_id, spot, px ORDER BY py) AS gy FROM p)
-SELECT sample_id, spot, count(*) AS n_pixels, round(avg(gray), 6) AS gray_mean, round(stddev_pop(gray), 6) AS gray_sd, round(avg(sqrt(gx * gx + gy * gy)), 6) AS grad_mean, round(quantile_cont(sqrt(gx * gx + gy * gy), 0.95), 6) AS grad_q95 FROM g GROUP BY 1, 2 HAVING count(*) >= 25""", "pixels", "spots"),
+SELECT sample_id, spot, count(*) AS n_pixels, round(avg(gray) + 0.000000001::DOUBLE, 6) AS gray_mean, round(stddev_pop(gray), 6) AS gray_sd, round(avg(sqrt(gx * gx + gy * gy)), 6) AS grad_mean, round(quantile_cont(sqrt(gx * gx + gy * gy), 0.95), 6) AS grad_q95 FROM g GROUP BY 1, 2 HAVING count(*) >= 25""", "pixels", "spots"),
 }
+# the names under which earlier versions registered the whole tables and vectors
+WHOLE = ("library_size", "hvg_select", "graph_smooth", "edge_attention", "patch_features")
+QUERIES |= {f"{n}_whole": QUERIES[n] for n in WHOLE}
+SQL |= {f"{n}_whole": SQL[n] for n in WHOLE}

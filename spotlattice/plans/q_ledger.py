@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from spotlattice.functions.expr import number, r6
 from spotlattice.functions.parse import config, first_integer, noted_count
 from spotlattice.operators import ledger as L
+from spotlattice.operators.lineage import shared_dir
 from spotlattice.sources import io
 from spotlattice.plans.views import view, with_views
 
@@ -27,8 +26,7 @@ def _locked(spark, d):
 
 
 def _folder(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spotlattice-shared"
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return shared_dir(spark, "files")
 
 
 def filter_locked(spark, d):
@@ -61,11 +59,6 @@ def config_parse(spark, d):
 
 
 def feasibility_flags(spark, d):
-    """Held against SQL over every tenth row; ``feasibility_flags_whole`` takes all."""
-    return _flags(view(spark, d, "ledger").filter("ingest_seq % 10 = 0"))
-
-
-def feasibility_flags_whole(spark, d):
     return _flags(view(spark, d, "ledger"))
 
 
@@ -94,7 +87,7 @@ def dataset_summary_medians(spark, d):
 def dataset_coverage(spark, d):
     led = view(spark, d, "ledger")
     declared = led.groupBy("dataset_id").agg((F.countDistinct("sample_id") + 1).alias("n_declared"))
-    return _rounded(L.coverage(declared, _locked(spark, d).filter("K = 4"), FOCAL), "focal_coverage")
+    return _rounded(L.coverage(declared, _locked(spark, d), FOCAL), "focal_coverage")
 
 
 def hyperparam_spread(spark, d):
@@ -265,7 +258,7 @@ def run_summary(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    filter_locked, lock_rows, parse_int, claim_effects, config_parse, feasibility_flags, feasibility_flags_whole, nrep_sensitivity, quality_deltas, stability_extract, dataset_summary_medians,
+    filter_locked, lock_rows, parse_int, claim_effects, config_parse, feasibility_flags, nrep_sensitivity, quality_deltas, stability_extract, dataset_summary_medians,
     dataset_coverage, hyperparam_spread, relative_to_group_median, runtime_unit, runtime_groups, box_stats, method_summary, sensitivity_long, rows_added,
     sample_discovery, mtx_read, csc_to_triplets, line_index, positions_read, spots_aligned, guard_violations, gene_dedup, tsv_read, ledger_append, dedup_exact,
     manifest_check, notes_backfill, config_union, run_summary,
@@ -293,12 +286,12 @@ SQL = {
     "parse_int": "SELECT c_custkey, regexp_extract(c_name, '(-?[0-9]+)', 1)::BIGINT AS number FROM customer",
     "claim_effects": "SELECT event_id, event_type AS claim_id, round(value, 6) AS effect, CASE event_id % 3 WHEN 0 THEN user_id WHEN 1 THEN 7 END::BIGINT AS n FROM events",
     "config_parse": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'stagate_d' || user_id || '_e500' WHEN 1 THEN 'spagcn_p0.' || (user_id % 9 + 1) ELSE 'other' END AS config_id, CASE event_id % 3 WHEN 0 THEN 'stagate' WHEN 1 THEN 'spagcn' ELSE 'unknown' END AS family, CASE WHEN event_id % 3 = 0 THEN user_id END::BIGINT AS latent, CASE WHEN event_id % 3 = 0 THEN 500 END::BIGINT AS epochs, CASE WHEN event_id % 3 = 1 THEN ('0.' || (user_id % 9 + 1))::DOUBLE END AS p FROM events",
-    "feasibility_flags": _led("SELECT ingest_seq, (peak_rss_mb * 2 < 6000)::INT AS laptop_feasible, (peak_rss_mb * 2 >= 6000)::INT AS cloud_recommended, CASE WHEN peak_rss_mb * 2 < 6000 THEN 'laptop' ELSE 'cloud' END AS recommendation FROM v_ledger WHERE ingest_seq % 10 = 0"),
+    "feasibility_flags": _led("SELECT ingest_seq, (peak_rss_mb * 2 < 6000)::INT AS laptop_feasible, (peak_rss_mb * 2 >= 6000)::INT AS cloud_recommended, CASE WHEN peak_rss_mb * 2 < 6000 THEN 'laptop' ELSE 'cloud' END AS recommendation FROM v_ledger"),
     "nrep_sensitivity": _led(f"SELECT a.dataset_id, a.sample_id, a.K, round(a.coherence - b.coherence, 6) AS delta_depth, round(a.coherence - c.coherence, 6) AS delta_reference, round(CASE WHEN b.wall_time_sec <> 0 THEN a.wall_time_sec / b.wall_time_sec END, 6) AS time_ratio FROM {_last('purchase')} a JOIN {_last('view')} b USING (dataset_id, sample_id, K) LEFT JOIN {_last('click')} c USING (dataset_id, sample_id, K)"),
     "quality_deltas": _led(f"WITH {LOCKED} SELECT a.dataset_id, a.sample_id, a.K, b.method_id AS baseline, round(a.coherence - b.coherence, 6) AS delta_coherence, round(a.marker - b.marker, 6) AS delta_marker FROM locked a JOIN locked b ON a.dataset_id = b.dataset_id AND a.sample_id = b.sample_id AND a.K = b.K AND a.method_id = '{FOCAL}' AND b.method_id <> '{FOCAL}' WHERE a.marker - b.marker IS NOT NULL AND a.coherence - b.coherence IS NOT NULL"),
     "stability_extract": _led(f"WITH {LOCKED} SELECT dataset_id, sample_id, K, seed_count, round(coherence, 6) AS coherence, round(marker, 6) AS marker FROM locked WHERE dataset_id IN ('D0', 'D1') AND method_id = '{FOCAL}'"),
     "dataset_summary_medians": _led(f"WITH {LOCKED} SELECT dataset_id, method_id, K, count(DISTINCT sample_id) AS n_samples, round(quantile_cont(coherence, 0.5), 6) AS median_coherence, round(quantile_cont(marker, 0.5), 6) AS median_marker FROM locked GROUP BY dataset_id, method_id, K"),
-    "dataset_coverage": _led(f"WITH {LOCKED}, dec AS (SELECT dataset_id, count(DISTINCT sample_id) + 1 AS n_declared FROM v_ledger GROUP BY 1), s AS (SELECT dataset_id, count(DISTINCT sample_id) AS n_benchmarked, string_agg(DISTINCT method_id, ',' ORDER BY method_id) AS methods, count(DISTINCT sample_id) FILTER (method_id = '{FOCAL}') AS n_focal, count(*) FILTER (method_id = '{FOCAL}') AS focal_rows FROM locked WHERE K = 4 GROUP BY 1) SELECT dataset_id, n_declared, coalesce(n_benchmarked, 0) AS n_benchmarked, coalesce(methods, '') AS methods, coalesce(n_focal, 0) AS n_focal, coalesce(focal_rows, 0) AS focal_rows, round(coalesce(n_focal, 0) / n_declared, 6) AS focal_coverage FROM dec LEFT JOIN s USING (dataset_id)"),
+    "dataset_coverage": _led(f"WITH {LOCKED}, dec AS (SELECT dataset_id, count(DISTINCT sample_id) + 1 AS n_declared FROM v_ledger GROUP BY 1), s AS (SELECT dataset_id, count(DISTINCT sample_id) AS n_benchmarked, string_agg(DISTINCT method_id, ',' ORDER BY method_id) AS methods, count(DISTINCT sample_id) FILTER (method_id = '{FOCAL}') AS n_focal, count(*) FILTER (method_id = '{FOCAL}') AS focal_rows FROM locked GROUP BY 1) SELECT dataset_id, n_declared, coalesce(n_benchmarked, 0) AS n_benchmarked, coalesce(methods, '') AS methods, coalesce(n_focal, 0) AS n_focal, coalesce(focal_rows, 0) AS focal_rows, round(coalesce(n_focal, 0) / n_declared, 6) AS focal_coverage FROM dec LEFT JOIN s USING (dataset_id)"),
     "hyperparam_spread": _led("WITH l AS (SELECT dataset_id, sample_id, method_id, K, 'coherence' AS metric, coherence AS value FROM v_ledger WHERE coherence IS NOT NULL UNION ALL SELECT dataset_id, sample_id, method_id, K, 'marker', marker FROM v_ledger WHERE marker IS NOT NULL), u AS (SELECT dataset_id, sample_id, method_id, K, metric, quantile_cont(value, 0.5) AS m, max(value) - min(value) AS r, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS i FROM l GROUP BY ALL) SELECT method_id, K, metric, count(*) AS n_units, round(quantile_cont(m, 0.5), 6) AS median, round(quantile_cont(r, 0.5), 6) AS range, round(quantile_cont(i, 0.5), 6) AS iqr FROM u GROUP BY method_id, K, metric"),
     "relative_to_group_median": _led("SELECT ingest_seq, sample_id, K, round(abs(coherence), 6) AS abs_value, round(CASE WHEN m <> 0 THEN abs(coherence) / m END, 6) AS relative FROM (SELECT *, quantile_cont(abs(coherence), 0.5) OVER (PARTITION BY sample_id, K) AS m FROM v_ledger)"),
     "runtime_unit": _led(f"WITH {_RT} SELECT method_id, dataset_id, sample_id, K, round(runtime, 6) AS runtime FROM rt"),
@@ -323,3 +316,5 @@ SQL = {
     "config_union": _led("SELECT method_id AS config_id, ingest_seq, sample_id FROM v_ledger"),
     "run_summary": _led("SELECT method_id AS stage_id, dataset_id, count(*) AS discovered, count(*) FILTER (status = 'success') AS processed, epoch_us(max(started)) + 1000000 - epoch_us(min(started)) AS micros, CASE WHEN count(*) FILTER (status = 'success') = count(*) THEN 'success' WHEN count(*) FILTER (status = 'success') > 0 THEN 'partial' ELSE 'failed' END AS status FROM v_ledger GROUP BY 1, 2"),
 }
+# the name under which an earlier version registered the whole table
+QUERIES["feasibility_flags_whole"], SQL["feasibility_flags_whole"] = QUERIES["feasibility_flags"], SQL["feasibility_flags"]
