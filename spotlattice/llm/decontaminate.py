@@ -18,13 +18,16 @@ is, and none is lost. Candidates are verified by exact containment
 of the item's shingles in the whole document.
 
 The items are a stated query set. They go to the tasks in blocks of
-``BLOCK_SHINGLES`` shingles at most, so what is broadcast has a fixed bound; the
-documents are read once for each block and never shuffled.
+``BLOCK_SHINGLES`` words at most (an item of more is a block of its own), one block at a
+time, so what is broadcast has a fixed bound; the documents are read once for each block
+and never shuffled.
 
 Defined cases: null or wordless texts and items match nothing; an item of fewer
-than five words is one shingle, found only in a text of exactly these words;
-repeated rows are judged alike; empty tables give an empty result; extra columns
-are ignored by ``search`` and kept by ``drop_leaks``.
+than five words is one shingle, found only in a text of exactly these words; very long
+texts are searched whole. Rows of equal id and text count once, on either side: an item
+and a document repeated any number of times give one row of ``search``. Rows that share
+an id but not the text are judged one by one. Empty tables give an empty result; extra
+columns are ignored by ``search``; ``drop_leaks`` keeps them and judges repeated rows alike.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.llm.common import shingle_sets, shingles, table
+from spotlattice.llm.common import materialise, shingle_sets, shingles, table
 
 BLOCK_SHINGLES = 1_000_000
 BINS = 4096
@@ -128,45 +131,55 @@ def _item_sets(rows: list[tuple[int, str | None]]) -> list[tuple[int, np.ndarray
     return [(rows[k][0], s) for k, s in found if len(s)]
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of bounded size, so that neither driver nor task ever holds more than one."""
-    words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
-    total = items.agg(F.sum(words)).first()[0] or 0
-    n = -(-total // (BLOCK_SHINGLES // 2)) or 1
-    for k in range(n):
-        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").collect()]
+def _blocks(items: DataFrame) -> list[DataFrame]:
+    """The distinct items in blocks of ``BLOCK_SHINGLES`` words at most, or of one item."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = items.withColumns({"words": F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")), "h": F.xxhash64("item_id", "text")})
+    total = items.agg(F.sum("words")).first()[0] or 0
+    n = max(1, -(-total // BLOCK_SHINGLES))
+    while n > 1:
+        sizes = items.groupBy(F.pmod("h", F.lit(n))).agg(F.sum("words").alias("words"), F.count_distinct("h").alias("many"))
+        if sizes.filter((F.col("words") > BLOCK_SHINGLES) & (F.col("many") > 1)).isEmpty():
+            break
+        n *= 2
+    return [items.filter(F.pmod("h", F.lit(n)) == k).select("item_id", "text") for k in range(n)]
 
 
 def _hits(index: Index, texts: pa.Array, percent: int) -> Iterator[tuple[int, int, int, int]]:
-    """(row, item, n_item, n_common) of a column of texts: candidates verified against the whole text."""
+    """(row, place of the item, n_item, n_common) of a column of texts: candidates verified against the whole text."""
     for row, hashes, sizes in shingles(texts):
         ends, last, whole = np.cumsum(sizes), -1, None
         for d, i in index.candidates(hashes, sizes).tolist():
             if d != last:
                 last, whole = d, np.unique(hashes[ends[d] - sizes[d] : ends[d]])
-            item, s = index.items[i]
+            s = index.items[i][1]
             at = np.minimum(np.searchsorted(whole, s), len(whole) - 1)
             common = int((whole[at] == s).sum())
             if 100 * common >= percent * len(s):
-                yield row + d, item, len(s), common
+                yield row + d, i, len(s), common
 
 
 def search(spark: SparkSession, docs: DataFrame, items: DataFrame, share: float = 0.75) -> DataFrame:
     """(doc_id, item_id, n_item, n_common): items with at least ``share`` of their shingles in a document."""
     percent = round(100 * share)
-    out = None
-    for block in _blocks(items):
-        sent = spark.sparkContext.broadcast(_item_sets(block))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    out, blocks = None, _blocks(items)
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(_item_sets([tuple(r) for r in block.collect()]))
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value)
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                rows = [(ids[row], *rest) for row, *rest in _hits(index, batch.column(1), percent)]
-                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_item", "n_common"])
-
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, item_id long, n_item long, n_common long")
+                ids, hs = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+                rows = [(ids[row], hs[row], i, index.items[i][0], *rest) for row, i, *rest in _hits(index, batch.column(1), percent)]
+                columns = list(zip(*rows, strict=True)) or [(), (), (), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "h", "place", "item_id", "n_item", "n_common"])
+
+        # equal ids and texts give equal rows; the place tells apart items that share an id
+        found = docs.mapInArrow(work, "doc_id long, h long, place long, item_id long, n_item long, n_common long").distinct().drop("h", "place")
+        if len(blocks) > 1:
+            found = materialise(spark, found, "decontaminate")
+            sent.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -174,8 +187,9 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, share: float
 def drop_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, share: float = 0.75) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with all their columns; rows stay in place, block after block."""
     percent = round(100 * share)
-    for block in _blocks(items):
-        sent = spark.sparkContext.broadcast(_item_sets(block))
+    blocks = _blocks(items)
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(_item_sets([tuple(r) for r in block.collect()]))
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value)
@@ -185,6 +199,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, share: fl
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(work, docs.schema)
+        if len(blocks) > 1:
+            docs = materialise(spark, docs, "decontaminate")
+            sent.unpersist()
     return docs
 
 
@@ -194,16 +211,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle(documents: str = "documents") -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    shingles = f"""(SELECT DISTINCT id, array_to_string(w[i:i + least(4, len(w) - 1)], ' ') AS s, least(5, len(w)) AS k
-  FROM (SELECT id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i
-    FROM (SELECT id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {{}})
+    shingles = f"""(SELECT DISTINCT k, id, array_to_string(w[i:i + least(4, len(w) - 1)], ' ') AS s, least(5, len(w)) AS width
+  FROM (SELECT k, id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i
+    FROM (SELECT row_number() OVER () AS k, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {{}})
     WHERE len(w) > 0))"""
     return f"""
-WITH d AS {shingles.format(f"(SELECT doc_id AS id, text FROM {documents})")},
-b AS {shingles.format("(SELECT item_id AS id, text FROM benchmark)")},
-n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id)
-SELECT d.id AS doc_id, b.id AS item_id, any_value(n_item)::BIGINT AS n_item, count(*)::BIGINT AS n_common
-FROM b JOIN d USING (s, k) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING 100 * count(*) >= 75 * any_value(n_item)"""
+WITH d AS {shingles.format(f"(SELECT DISTINCT doc_id AS id, text FROM {documents})")},
+b AS {shingles.format("(SELECT DISTINCT item_id AS id, text FROM benchmark)")},
+n AS (SELECT k, count(*) AS n_item FROM b GROUP BY k)
+SELECT any_value(d.id) AS doc_id, any_value(b.id) AS item_id, any_value(n_item)::BIGINT AS n_item, count(*)::BIGINT AS n_common
+FROM b JOIN d USING (s, width) JOIN n ON n.k = b.k GROUP BY d.k, b.k HAVING 100 * count(*) >= 75 * any_value(n_item)"""
 
 
 QUERIES = {"op6_benchmark_decontamination": query}

@@ -171,6 +171,11 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.search(spark, empty, items).count() == 0 and decontaminate.search(spark, odd, items.limit(0)).count() == 0
     assert decontaminate.drop_leaks(spark, odd, items.limit(0)).count() == 13
     assert max(decontaminate.miss(c) for c in range(15)) < 1e-5
+    twice = decontaminate.search(spark, more.union(more).filter("doc_id = 100"), items.union(items)).collect()
+    assert [tuple(r)[:2] for r in twice] == [(100, 0)]
+    one = spark.createDataFrame([(1, text), (1, text + " and more"), (1, text)], "doc_id long, text string")
+    same = spark.createDataFrame([(7, text), (7, text.upper())], "item_id long, text string")
+    assert decontaminate.search(spark, one, same).count() == 4 and decontaminate.drop_leaks(spark, one, same).count() == 0
     old, decontaminate.BLOCK_SHINGLES = decontaminate.BLOCK_SHINGLES, 600
     try:  # many blocks of items give the same pairs
         assert sorted(map(tuple, decontaminate.search(spark, more, items).collect()), key=str) == sorted((tuple(r) for r in got), key=str)
@@ -283,8 +288,9 @@ def components(rows):
     return {i: (len(s), min(least[at[s]]) if s and least[at[s]] else i) for i, s in sets}
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_jaccard_join(spark, odd, docs, parts):
+@pytest.mark.parametrize(("parts", "small"), [(5, 32), (1, 2)])
+def test_jaccard_join(spark, odd, docs, parts, small, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", small)
     r = random.Random(4)
     words = [f"w{i}" for i in range(60)]
     group, rows = [r.choice(words) for _ in range(60)], list(zip(docs.doc_id.tolist(), docs.text.tolist()))
@@ -295,15 +301,37 @@ def test_jaccard_join(spark, odd, docs, parts):
         rows.append((10_000 + i, " ".join(copy)))
     rows += [(20_000 + i, " ".join(r.choice("ab") for _ in range(r.randint(0, 12)))) for i in range(80)] + [(x.doc_id, x.text) for x in odd.select((F.col("doc_id") + 30_000).alias("doc_id"), "text").collect() if x.doc_id]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-    want = components(rows)
     got = jaccard.join(spark, df).collect()
-    assert len(got) == len(rows) and {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
-    if parts == 1:
-        old, jaccard.QUICK_ROUNDS = jaccard.QUICK_ROUNDS, 0
-        try:
-            assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(spark, df).collect()} == want
-        finally:
-            jaccard.QUICK_ROUNDS = old
+    assert len(got) == len(rows) and {x.doc_id: (x.n_shingles, x.component_id) for x in got} == components(rows)
+
+
+@pytest.mark.parametrize("small", [32, 2])
+def test_jaccard_large_groups(spark, small, monkeypatch):
+    """Copies of two texts whose distances to their text lie around 0.25, and a chain; the groups share a passage and do not link."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    compared = []
+    plain = jaccard.linked
+    monkeypatch.setattr(jaccard, "linked", lambda pairs, sets: compared.append(pairs.count()) or plain(pairs, sets))
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for g in range(2):
+        text = [f"g{g}x{i}" for i in range(60)] + passage
+        rows.append((1000 * g, " ".join(text)))
+        for k in range(1, 200):
+            copy = list(text)
+            for _ in range(r.choice([1, 2, 3, 4, 4, 5, 5, 6])):
+                copy[r.randrange(120)] = f"new{r.randrange(400)}"
+            rows.append((1000 * g + k, " ".join(copy)))
+    chain = [f"c{i}" for i in range(100)]
+    for k in range(40):
+        rows.append((5000 + k, " ".join(chain)))
+        chain = chain[3:] + [f"c{100 + 3 * k + i}" for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(spark, df).collect()}
+    want = components(rows)
+    assert got == want and 10 < len({c for _, c in want.values()}) < 300
+    assert sum(compared) < 15 * len(rows)
 
 
 def test_jaccard_cases(spark, odd, empty):
@@ -312,6 +340,21 @@ def test_jaccard_cases(spark, odd, empty):
     kept = jaccard.keep_one(spark, odd)
     assert kept.columns == odd.columns and sorted(x.doc_id for x in kept.collect()) == [1, 2, 3, 4, 5, 8, 9, 10, 11]
     assert jaccard.join(spark, empty).count() == 0 and jaccard.keep_one(spark, empty).count() == 0
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = spark.createDataFrame([(1, one, 5), (1, two, 6), (2, two, 7), (1, one, 4), (None, one, 1), (None, "u v w x y z", 2), (3, None, 0), (3, None, 0)], "doc_id long, text string, key int")
+    kept = sorted((x.doc_id or 0, x.text or "") for x in jaccard.keep_one(spark, rows).collect())
+    assert kept == [(0, "u v w x y z"), (1, one), (1, two), (3, ""), (3, "")]
+
+
+def test_token_ids_of_the_whole_table(spark, docs):
+    from tokenizers import Tokenizer
+
+    t, start, want = Tokenizer.from_file(tokenids.vocabulary()), 0, []
+    for d in docs.sort_values("doc_id").itertuples():
+        ids = [*t.encode(d.text or "", add_special_tokens=False).ids, 2]
+        want.append((d.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, tokenids.query(spark, DIR).collect())) == want
 
 
 def test_token_files(spark, odd, empty, docs, tmp_path):
@@ -346,4 +389,13 @@ def test_token_files(spark, odd, empty, docs, tmp_path):
     (tmp_path / "out" / "bad.tok").write_bytes(bytes(broken))
     with pytest.raises((ValueError, zstandard.ZstdError)):
         list(tokenids.Reader(open(tmp_path / "out" / "bad.tok", "rb")))
+    least = -(1 << 63)
+    hot = spark.createDataFrame([(5, f"text {i % 40}") for i in range(300)] + [(None, "a b"), (least, "c")], "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these rows are too few for several files
+    files = tokenids.write(spark, hot, f"file://{tmp_path}/hot", tokenids.vocabulary())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = tokenids.read(files, f"file://{tmp_path}/hot")
+    assert files.count() > 2 and back.rdd.getNumPartitions() == files.count()
+    back = back.orderBy("start").collect()
+    assert [x.doc_id for x in back] == [None, least] + [5] * 300 and back[-1].start == sum(x.n_tokens for x in back[:-1])
     assert tokenids.read(tokenids.write(spark, empty, f"file://{tmp_path}/none", tokenids.vocabulary()), f"file://{tmp_path}/none").count() == 0
