@@ -19,7 +19,9 @@ Defined cases: a null text counts as empty; a null turn comes first; turns with
 one number follow each other by text; roles other than the known names are not
 learned from but still recovered; ties go to the role first in ``ROLES``; if
 nothing can be learned all probabilities are even; a null conversation is one
-conversation; an empty table gives an empty result; extra columns are ignored.
+conversation; ids of conversations may be of any type that has an order; very long turns
+are rendered whole; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -94,12 +96,16 @@ def fit(turns: DataFrame) -> Model:
         for n in _SIZES:
             emit[n][r.s, r[n]] += r["count"]
     first = rows.groupBy("conv_id").agg(F.min_by("s", "turn").alias("s")).groupBy("s").count().collect()
-    after = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("s").alias("a")).join(rows.select("conv_id", "turn", "s"), ["conv_id", "turn"]).groupBy("a", "s").count().collect()
+    # a step from one turn number to the next counts once, shared among the roles of rows that repeat a number
+    shares = rows.groupBy("conv_id", "turn", "s").count()
+    shares = shares.join(shares.groupBy("conv_id", "turn").agg(F.sum("count").alias("all")), ["conv_id", "turn"]).select("conv_id", "turn", "s", (F.col("count") / F.col("all")).alias("p"))
+    before = shares.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("s").alias("a"), F.col("p").alias("q"))
+    after = before.join(shares, ["conv_id", "turn"]).groupBy("a", "s").agg(F.sum(F.col("p") * F.col("q")).alias("p")).collect()
     start, move = np.ones(len(ROLES)), np.ones((len(ROLES), len(ROLES)))
     for r in first:
         start[r.s] += r["count"]
     for r in after:
-        move[r.a, r.s] += r["count"]
+        move[r.a, r.s] += r.p
     log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
     named = np.full((len(ROLES), _SIZES["marker"]), 0.01)
     named[np.arange(len(ROLES)), np.arange(len(ROLES)) + 1] = 1
@@ -163,13 +169,14 @@ def recover(spark: SparkSession, turns: DataFrame, model: Model) -> DataFrame:
     block = F.floor(F.col("place") / BLOCK)
     blocks = placed.groupBy("conv_id", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("place", *_SIZES))).alias("rows"))
     sent = spark.sparkContext.broadcast(model)
+    kind = turns.schema["conv_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ms = [best_matrix(sent.value, emissions(sent.value, rows)).ravel().tolist() for rows in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ms, pa.list_(pa.float64()))], ["conv_id", "block", "m"])
 
-    scored = blocks.mapInArrow(score, "conv_id long, block long, m array<double>")
+    scored = blocks.mapInArrow(score, f"conv_id {kind}, block long, m array<double>")
     chains = scored.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("chain"))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +186,9 @@ def recover(spark: SparkSession, turns: DataFrame, model: Model) -> DataFrame:
                 found = borders(sent.value, [np.array(x["m"]).reshape(len(ROLES), -1) for x in links])
                 out += [(conv, x["block"], i, j) for x, (i, j) in zip(links, found, strict=True)]
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["c", "b", "i", "j"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.column(0).type), *(pa.array(c, pa.int64()) for c in columns[1:])], ["c", "b", "i", "j"])
 
-    ends = chains.mapInArrow(chain, "c long, b long, i long, j long")
+    ends = chains.mapInArrow(chain, f"c {kind}, b long, i long, j long")
     both = blocks.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +202,7 @@ def recover(spark: SparkSession, turns: DataFrame, model: Model) -> DataFrame:
 
     found = both.select("rows", "i", "j").mapInArrow(paths, "place long, role_pred string")
     out = placed.select("place", "conv_id", "turn", "text").join(found, "place")
-    return out.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role_pred", F.concat(F.lit("<|"), "role_pred", F.lit("|>\n"), body(F.col("text")), F.lit("\n<|end|>")).alias("rendered"))
+    return out.select("conv_id", F.col("turn").cast("long"), "role_pred", F.concat(F.lit("<|"), "role_pred", F.lit("|>\n"), body(F.col("text")), F.lit("\n<|end|>")).alias("rendered"))
 
 
 def turns_of(transcripts: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ sample; text of the same language needs fewer of them. With ``c`` phrases for
 
 Texts are lower-cased, runs of other characters than letters become one space,
 and the parse starts anew every ``BLOCK`` characters, so blocks of one batch
-advance together in numpy, one character a step, over dense transition tables.
+advance together in numpy, one character a step, over transition tables that are dense
+in the letters of their own language; letters that its sample lacks share one column.
 
 Learned from: texts with a label that ``training_rows`` lets in, at most
 ``SAMPLE_DOCS`` documents and ``SAMPLE_CHARS`` characters a language, chosen by
@@ -16,9 +17,9 @@ the hash of their ids. Everything else runs over all whole texts, without a
 shuffle. Label, source and id are never inputs of a prediction.
 
 Defined cases: null texts and texts without a letter get ``und`` and score 0, as
-all do if nothing can be learned; a single learned language wins with score 1;
+all do if nothing can be learned; very long texts are parsed whole; an empty table gives an empty result; a single learned language wins with score 1;
 ties go to the language first in alphabetical order; repeated rows are judged
-alike; extra columns are ignored.
+alike; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -106,10 +107,15 @@ class Model:
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
         self.alphabet = Alphabet(list(samples.values()))
-        a = self.alphabet.size
-        self.tables, self.bits = [], []
+        self.tables, self.bits, self.columns = [], [], []
         for name in self.names:
             codes = self.alphabet.encode(samples[name])
+            # columns of this language's table: its own letters, and one for all others
+            own = np.unique(np.concatenate([codes, np.array([_SPACE, _OTHER], codes.dtype)]))
+            column = np.full(self.alphabet.size, _OTHER, np.int32)
+            column[own] = np.arange(len(own))
+            codes, a = column[codes], len(own)
+            self.columns.append(column)
             go = suffix_automaton(codes.tolist())
             # entries hold the row's offset; 0, the root, stands for no transition
             dense = np.zeros(len(go) * a, np.int32)
@@ -135,14 +141,14 @@ class Model:
         grid = np.ascontiguousarray(grid.T)
         active = np.searchsorted(-length[order], -np.arange(BLOCK), "left")
         out = np.zeros((len(texts), len(self.names)), np.int64)
-        for k, dense in enumerate(self.tables):
-            root = dense[: self.alphabet.size]
+        for k, (dense, column) in enumerate(zip(self.tables, self.columns, strict=True)):
+            root = dense[: int(column.max()) + 1]
             state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
             for t in range(BLOCK):
                 n = active[t]
                 if n == 0:
                     break
-                c, s = grid[t, :n], state[:n]
+                c, s = column.take(grid[t, :n]), state[:n]
                 to = dense.take(s + c)
                 fresh = to == 0
                 count[:n] += fresh | (s == 0)

@@ -9,15 +9,21 @@ Templates are partitioned by their number of shingles; for a class of ``2^c`` to
 ``2^(c+1) - 1`` a text becomes windows of ``4 * 2^c`` shingles that start every
 ``2 * 2^c``, so a license passage lies whole in one of them, with a Jaccard
 similarity to its template of ``3/17`` at least. ``BANDS`` bands of one row
-each collide with probability ``1 - (14/17)^64``, above 0.99999. The few
-templates retrieved are verified by exact containment in the text.
-
-The templates are a fixed list in the code, sent with the tasks. Texts are read
-in place, without a shuffle.
-
-Defined cases: null and wordless texts hold no license; repeated rows are judged
-alike; several licenses are joined in alphabetical order; an empty table gives
-an empty result; extra columns are ignored.
+each collide with probability ``1 - (14/17)^64``, above 0.99999. The sorted MinHash
+values of a band are its index: a window looks its own value up among those of all
+templates of the class, so the cost grows with the logarithm of their number. The
+templates retrieved are verified by exact containment in the text. (The bound holds for a
+passage in one piece; shingles scattered over a text that is far longer than the template
+may fall in windows of too little similarity.)
+
+The templates are a query set of the caller, a dictionary or a table of names and texts,
+whole license texts if wanted; they are sent with the tasks. Texts are read in place,
+without a shuffle.
+
+Defined cases: null and wordless texts hold no license; very long texts are read whole;
+repeated rows are judged alike; several licenses are joined in alphabetical order; two
+templates of one text are both found; an empty table gives an empty result; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,13 +66,21 @@ class Index:
     """Templates by shingle length and size class, with their MinHash values by band."""
 
     def __init__(self, templates: dict[str, str]):
-        self.classes: dict[int, dict[int, list[tuple[str, np.ndarray, np.ndarray]]]] = {}
+        #: by shingle length: the sets of the templates, and by size class their names and, for each band, sorted values and owners
+        self.sets: dict[int, dict[str, np.ndarray]] = {}
+        self.classes: dict[int, dict[int, tuple[list[str], np.ndarray, np.ndarray]]] = {}
+        members: dict[tuple[int, int], list[tuple[str, np.ndarray]]] = {}
         for name, text in sorted(templates.items()):
             k = min(SHINGLE, _words(text))
             if k == 0:
                 raise ValueError(f"template {name!r} has no words")
             ((_, s),) = shingle_sets(pa.array([text]), k, _IS_WORD)
-            self.classes.setdefault(k, {}).setdefault(int(np.log2(len(s))), []).append((name, s, np.min(s[None, :] * _SEEDS[:, None], axis=1)))
+            self.sets.setdefault(k, {})[name] = s
+            members.setdefault((k, int(np.log2(len(s)))), []).append((name, np.min(s[None, :] * _SEEDS[:, None], axis=1)))
+        for (k, c), some in members.items():
+            mins = np.stack([m for _, m in some])
+            owner = np.argsort(mins, axis=0, kind="stable")
+            self.classes.setdefault(k, {})[c] = [n for n, _ in some], np.take_along_axis(mins, owner, 0).T.copy(), owner.T
 
     def candidates(self, k: int, hashes: np.ndarray, counts: np.ndarray) -> set[tuple[int, str]]:
         """(text, template) pairs that collide in a band of a window; ``hashes`` in text order."""
@@ -75,28 +89,34 @@ class Index:
             return out
         place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
         text = np.repeat(np.arange(len(counts)), counts)
-        for c, members in self.classes[k].items():
+        for c, (names, keys, owners) in self.classes[k].items():
             edge = np.flatnonzero(place % (2 << c) == 0)  # blocks of half a window; a block never crosses texts
             joined = np.concatenate([text[edge[1:]] == text[edge[:-1]], [False]])
             for band, seed in enumerate(_SEEDS):
                 low = np.minimum.reduceat(hashes * seed, edge)
                 window = np.where(joined, np.minimum(low, np.append(low[1:], low[-1])), low)
-                for name, _, mins in members:
-                    hit = np.flatnonzero(window == mins[band])
-                    out |= {(t, name) for t in text[edge[hit]].tolist()}
+                first = np.searchsorted(keys[band], window, "left")
+                hit = np.flatnonzero((first < len(names)) & (keys[band][np.minimum(first, len(names) - 1)] == window))
+                last = np.searchsorted(keys[band], window[hit], "right")
+                for t, low, high in zip(text[edge[hit]].tolist(), first[hit].tolist(), last.tolist(), strict=True):
+                    out |= {(t, names[i]) for i in owners[band, low:high].tolist()}
         return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, share: float = 0.75) -> DataFrame:
-    """Per row: doc_id, licenses (names, comma-joined), n_licenses, n_common (shingles shared with them in all)."""
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, share: float = 0.75) -> DataFrame:
+    """Per row: doc_id, licenses (names, comma-joined), n_licenses, n_common (shingles shared with them in all).
+
+    ``templates`` maps names to texts, or is a table ``(name, text)`` of the same.
+    """
     percent = round(100 * share)
+    if isinstance(templates, DataFrame):
+        templates = {r.name: r.text for r in templates.select("name", "text").collect()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates)
         for batch in batches:
             names: list[list[tuple[str, int]]] = [[] for _ in range(batch.num_rows)]
-            for k, classes in index.classes.items():
-                sets = {name: s for members in classes.values() for name, s, _ in members}
+            for k, sets in index.sets.items():
                 for row, hashes, counts in shingles(batch.column(1), k, _IS_WORD):
                     ends = np.cumsum(counts)
                     for t, name in index.candidates(k, hashes, counts):

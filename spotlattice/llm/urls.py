@@ -7,12 +7,14 @@ its rarest one. The index is a constant map ``token -> rules`` inside the
 projection: the tokens of a URL fetch candidate rules from it, and only those run
 their regular expression. No row moves, so a hot host costs nothing extra.
 
-The index holds rules that the caller passes in as a list, never rows of a
-table; ``MAX_RULES`` bounds it.
+Up to ``MAX_RULES`` rules go into the projection. More of them, or rules that come as a
+table, are joined instead (``judge_by_table``): each distinct URL meets the rules filed
+under its tokens in an equi join, and the longest that fits comes back to the pages.
 
 Defined cases: null URLs and URLs without ``://`` have empty host and path, fit
-no rule and are allowed; repeated rows are judged alike; extra columns are kept
-away from the result by name.
+no rule and are allowed; very long URLs are read whole; of fitting rules of one length the
+greater text wins, of equal rules the one that blocks; repeated rows are judged alike; an
+empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,8 +67,26 @@ BASE_RULES = (
     Rule("org", "/es/", "block"),
 )
 
-# Host patterns of advertising, gambling, adult and spam sites.
+# Host patterns of advertising, tracking, gambling, adult, spam and piracy sites.
 SITE_RULES = (
+    Rule("doubleclick.net", "", "block", False),
+    Rule("googlesyndication.com", "", "block", False),
+    Rule("googleadservices.com", "", "block", False),
+    Rule("google-analytics.com", "", "block", False),
+    Rule("scorecardresearch.com", "", "block", False),
+    Rule("adnxs.com", "", "block", False),
+    Rule("taboola.com", "", "block", False),
+    Rule("outbrain.com", "", "block", False),
+    Rule("criteo.*.*", "", "block", False),
+    Rule("ads.*.*", "", "block", False),
+    Rule("adserver.*.*", "", "block", False),
+    Rule("tracker.*.*", "", "block", False),
+    Rule("casino.*.*", "", "block", False),
+    Rule("poker.*.*", "", "block", False),
+    Rule("betting.*.*", "", "block", False),
+    Rule("porn.*.*", "", "block", False),
+    Rule("warez.*.*", "", "block", False),
+    Rule("torrent.*.*", "", "block", False),
     Rule("ads-track.*.*", "", "block", False),
     Rule("casino-win.*.*", "", "block", False),
     Rule("spam-farm.*.*", "", "block", False),
@@ -118,7 +138,7 @@ def judge(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id"
     pattern does; without that the verdict is ``default``.
     """
     if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the index in the projection holds {MAX_RULES} at most")
+        return judge_by_table(pages, pages.sparkSession.createDataFrame(rules, "host string, path string, verdict string, base boolean"), url, keep, default)
     out = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     index = rarest(out.select(F.concat("host", "path").alias("target")), rules)
     entries = []
@@ -142,6 +162,33 @@ def judge(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id"
     )
 
 
+def judge_by_table(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
+    """``judge`` for any number of rules ``(host, path, verdict, base)``; the rows of the pages meet one row a URL."""
+    inside = F.concat("host", F.when(F.col("path") == "", "/").otherwise(F.col("path")))
+    escape = lambda c: F.regexp_replace(c, r"([^A-Za-z0-9*])", r"\\$1")
+    regex = F.concat(F.lit(r"^([^/]*\.)?"), F.replace(escape(F.col("host")), F.lit("*"), F.lit("[^/.]*")), F.when(F.col("path") == "", "(/|$)").otherwise(F.replace(escape(F.col("path")), F.lit("*"), F.lit("\\*"))))
+    text = F.concat("host", "path")
+    # whole tokens: not next to a star, not cut off at the end of the path
+    filed = rules.distinct().select("base", F.length(text).alias("n"), text.alias("text"), "verdict", regex.alias("regex"), F.explode(F.array_distinct(F.regexp_extract_all(inside, F.lit(r"(?<![a-z0-9*])([a-z0-9]+)(?=[^a-z0-9*])"), F.lit(1)))).alias("token"))
+    out = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    targets = out.select("host", "path").distinct()
+    tokens = targets.select("host", "path", F.explode(tokens_of(F.concat("host", "path"))).alias("token"))
+    counts = tokens.join(filed.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    rule = ("base", "n", "text", "verdict", "regex")
+    rarest_ = filed.join(counts, "token", "left").groupBy(*rule).agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
+    fits = tokens.join(rarest_, "token").filter(F.rlike(F.concat("host", "path"), F.col("regex")))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(*rule)).alias("best"))
+    out = out.join(best, ["host", "path"], "left")
+    return out.select(
+        *keep,
+        "host",
+        "path",
+        F.when(F.col("best.base"), F.col("best.text")).alias("rule"),
+        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        F.when(~F.col("best.base"), F.col("best.text")).alias("pattern"),
+    )
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
