@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spotlattice.functions.expr import hash_number
 from spotlattice.operators.graph import KEY, coherence_neighbours
+from spotlattice.operators.lineage import cut
 
 
 def agreement(edges: DataFrame, labels: DataFrame, by: tuple[str, ...] = (KEY,)) -> DataFrame:
@@ -100,11 +101,12 @@ def _overlap(labels: DataFrame, reference: int) -> DataFrame:
 def align(labels: DataFrame, reference: int, k: int) -> DataFrame:
     """(sample, seed, cur, ref): the relabelling to the reference seed with most overlap.
 
-    All permutations of 0..k-1 (k <= 7) are scored in one join; of equal ones the
-    first in lexicographic order wins.
+    All permutations of 0..k-1 are scored in one join up to 7 labels; with more, the best
+    assignment of the first labels is found for each set of reference labels that they
+    take, label by label. Of equal ones the first in lexicographic order wins.
     """
     if k > 7:
-        raise ValueError("more than 7 labels: use align_greedy")
+        return _align_by_sets(labels, reference, k)
     spark = labels.sparkSession
     perms = spark.range(1).select(F.array().cast("array<int>").alias("perm"))
     for _ in range(k):
@@ -117,6 +119,19 @@ def align(labels: DataFrame, reference: int, k: int) -> DataFrame:
     return best.select(KEY, "seed", F.posexplode("perm").alias("cur", "ref"))
 
 
+def _align_by_sets(labels: DataFrame, reference: int, k: int) -> DataFrame:
+    """``align`` by the sets of reference labels in use: 2^k rows a seed at most, in k rounds."""
+    o = cut(_overlap(labels, reference))
+    every = F.sequence(F.lit(0), F.lit(k - 1))
+    best = o.select(KEY, "seed").distinct().select(KEY, "seed", F.lit(0).cast("bigint").alias("s"), F.array().cast("array<int>").alias("perm"))
+    for cur in range(k):
+        more = best.select(KEY, "seed", "s", "perm", F.explode(F.array_except(every, "perm")).alias("ref")).join(o.filter(F.col("cur") == cur).select(KEY, "seed", "ref", "n"), [KEY, "seed", "ref"], "left")
+        more = more.select(KEY, "seed", (F.col("s") + F.coalesce("n", F.lit(0))).alias("s"), F.concat("perm", F.array("ref")).alias("perm"))
+        first = more.groupBy(KEY, "seed", F.array_sort("perm").alias("used")).agg(F.min(F.struct((-F.col("s")).alias("s"), "perm")).alias("b"))
+        best = cut(first.select(KEY, "seed", (-F.col("b.s")).alias("s"), "b.perm"))
+    return best.select(KEY, "seed", F.posexplode("perm").alias("cur", "ref"))
+
+
 def align_greedy(labels: DataFrame, reference: int, k: int) -> DataFrame:
     """The same by taking the pair of largest (overlap, ref, cur) among unused labels, k times, in one pass per group's table."""
     left = _overlap(labels, reference)
@@ -131,7 +146,7 @@ def align_greedy(labels: DataFrame, reference: int, k: int) -> DataFrame:
 def aligned(labels: DataFrame, mapping: DataFrame, reference: int) -> DataFrame:
     """Labels of the other seeds in the reference's names, with the reference label."""
     ref = labels.filter(F.col("seed") == reference).select(KEY, "spot", F.col("label").alias("reference_label"))
-    cur = labels.filter(F.col("seed") != reference).withColumnRenamed("label", "cur").join(F.broadcast(mapping), [KEY, "seed", "cur"])
+    cur = labels.filter(F.col("seed") != reference).withColumnRenamed("label", "cur").join(mapping, [KEY, "seed", "cur"])
     return ref.join(cur.select(KEY, "spot", "seed", F.col("ref").alias("label")), [KEY, "spot"])
 
 

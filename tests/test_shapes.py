@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotlattice.functions.expr import erfc, normal_tail
-from spotlattice.operators import claims, graph, normalize, stats
+from spotlattice.operators import claims, graph, metrics, normalize, stats
 
 # Published paired differences of 13 samples, averaged over both numbers of clusters.
 DELTAS = {
@@ -100,3 +100,17 @@ def test_normal_tail_is_exact_and_generates_code(spark):
     finally:
         spark.conf.unset("spark.sql.codegen.factoryMode")
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_alignment_of_nine_labels(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    k, spots = 9, 400
+    ref = r.integers(0, k, spots)
+    turned = r.permutation(k)
+    cur = np.where(r.random(spots) < 0.6, turned[ref], r.integers(0, k, spots))
+    rows = [("s", i, seed, int(x)) for seed, v in ((11, ref), (23, cur)) for i, x in enumerate(v)]
+    labels = spark.createDataFrame(rows, "sample_id string, spot long, seed int, label int")
+    got = {q.cur: q.ref for q in metrics.align(labels, 11, k).collect()}
+    assert got == {int(c): i for i, c in enumerate(turned)}
+    few = labels.filter("label < 4")
+    assert sorted(map(tuple, metrics._align_by_sets(few, 11, 4).collect())) == sorted(map(tuple, metrics.align(few, 11, 4).collect()))
