@@ -45,7 +45,9 @@ def kmeans_fit(points: DataFrame, plan: DataFrame, size: int, inits: int = 10, r
     starts = plan.select("K", "seed", F.explode(F.sequence(F.lit(0), F.lit(inits - 1))).alias("init"))
     h = hash_number(F.concat_ws("|", "seed", "init", "spot"))
     w = Window.partitionBy(*keys).orderBy(h, "spot")
-    c = cut(points.join(F.broadcast(starts)).withColumn("label", F.row_number().over(w) - 1).filter("label < K").select(*keys, "label", "f"))
+    most = plan.agg(F.max("K")).first()[0] or 0  # a bound for every group, so that no task sorts more of a group than it needs
+    chosen = points.select(KEY, "spot").join(F.broadcast(starts)).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).filter("r <= K")
+    c = cut(chosen.join(points.select(KEY, "spot", "f"), [KEY, "spot"]).select(*keys, (F.col("r") - 1).alias("label"), "f"))
     still = cut(c.limit(0).withColumn("converged", F.lit(True)))
     for _ in range(rounds):
         new = cut(kmeans_update(points, kmeans_assign(points, c, keys), size, keys))
@@ -102,13 +104,15 @@ def ward_fit(points: DataFrame, edges: DataFrame, k: int, size: int) -> DataFram
         left = clusters.groupBy(KEY).agg((F.count(F.lit(1)) - k).alias("spare")).filter("spare > 0")
         if left.isEmpty():
             break
-        stuck = left.join(adjacency.select(KEY).distinct(), KEY, "left_anti").select(KEY)
-        ids = clusters.join(F.broadcast(stuck), KEY, "left_semi").select(KEY, "id")
-        across = ids.select(KEY, F.col("id").alias("a")).join(ids.select(KEY, F.col("id").alias("b")), KEY).filter("a < b")
-        merges = ward_round(ward_costs(clusters, adjacency.unionByName(across)), spread=True).join(F.broadcast(left), KEY)
+        stuck = cut(left.join(adjacency.select(KEY).distinct(), KEY, "left_anti").select(KEY))
+        near = adjacency
+        if not stuck.isEmpty():
+            ids = clusters.join(stuck, KEY, "left_semi").select(KEY, "id")
+            near = near.unionByName(ids.select(KEY, F.col("id").alias("a")).join(ids.select(KEY, F.col("id").alias("b")), KEY).filter("a < b"))
+        merges = ward_round(ward_costs(clusters, near), spread=True).join(left, KEY)
         w = Window.partitionBy(KEY).orderBy("cost", "a")
         merges = cut(merges.withColumn("r", F.row_number().over(w)).filter("r <= spare").select(KEY, F.col("b").alias("id"), F.col("a").alias("into")))
-        member = cut(member.join(F.broadcast(merges), [KEY, "id"], "left").select(KEY, "spot", F.coalesce("into", "id").alias("id")))
+        member = cut(member.join(merges, [KEY, "id"], "left").select(KEY, "spot", F.coalesce("into", "id").alias("id")))
         for c in "ab":
             adjacency = adjacency.join(merges.select(KEY, F.col("id").alias(c), "into"), [KEY, c], "left").withColumn(c, F.coalesce("into", c)).drop("into")
         adjacency = cut(adjacency.select(KEY, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())

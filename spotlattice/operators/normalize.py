@@ -39,9 +39,9 @@ def hvg_select(expr: DataFrame, spots: DataFrame, most: int = 2000) -> DataFrame
 
 def coords_scaled(spots: DataFrame) -> DataFrame:
     """xs, ys: coordinates less their mean over their population deviation plus 1e-6."""
-    w = Window.partitionBy("sample_id")
-    one = lambda c: (F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + 1e-6)
-    return spots.withColumns({"xs": one("x"), "ys": one("y")})
+    of = spots.groupBy("sample_id").agg(*(f(c).alias(f"{n}_{c}") for n, f in (("mean", F.avg), ("sd", F.stddev_pop)) for c in "xy"))
+    one = lambda c: (F.col(c) - F.col(f"mean_{c}")) / (F.col(f"sd_{c}") + 1e-6)
+    return spots.join(of, "sample_id").withColumns({"xs": one("x"), "ys": one("y")}).drop("mean_x", "mean_y", "sd_x", "sd_y")
 
 
 def spatial_features(embedding: DataFrame, scaled: DataFrame, weight: float = 0.5) -> DataFrame:

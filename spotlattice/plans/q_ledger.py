@@ -252,6 +252,12 @@ def config_union(spark, d):
     return rows.select(F.regexp_replace("config_id", "^method_id=", "").alias("config_id"), F.col("ingest_seq").cast("bigint").alias("ingest_seq"), "sample_id")
 
 
+def failure_rows(spark, d):
+    led = view(spark, d, "ledger")
+    message = F.concat(F.lit("step "), "ingest_seq", F.lit("\n\tat "), "method_id", F.lit("\r\n"), F.repeat(F.lit("x"), (F.col("ingest_seq") % 700).cast("int")))
+    return io.failure_rows(led.select("ingest_seq", "status", message.alias("message"))).select("ingest_seq", "message")
+
+
 def run_summary(spark, d):
     led = view(spark, d, "ledger").withColumns({"stage_id": F.col("method_id"), "finished": F.col("started") + F.expr("INTERVAL 1 SECOND")})
     return io.run_summary(led).select("stage_id", "dataset_id", "discovered", "processed", "micros", "status")
@@ -261,7 +267,7 @@ QUERIES = {f.__name__: f for f in (
     filter_locked, lock_rows, parse_int, claim_effects, config_parse, feasibility_flags, nrep_sensitivity, quality_deltas, stability_extract, dataset_summary_medians,
     dataset_coverage, hyperparam_spread, relative_to_group_median, runtime_unit, runtime_groups, box_stats, method_summary, sensitivity_long, rows_added,
     sample_discovery, mtx_read, csc_to_triplets, line_index, positions_read, spots_aligned, guard_violations, gene_dedup, tsv_read, ledger_append, dedup_exact,
-    manifest_check, notes_backfill, config_union, run_summary,
+    manifest_check, notes_backfill, config_union, failure_rows, run_summary,
 )}
 
 _ALIGNED = "aligned AS (SELECT sample_id, 'BC-' || spot AS barcode, spot AS spot_idx, x, y FROM v_spots WHERE spot % 7 <> 0 AND spot % 5 <> 0)"
@@ -314,6 +320,7 @@ SQL = {
     "manifest_check": "SELECT s_suppkey AS id, 'bundle_' || s_suppkey || '.tar' AS file_name, s_suppkey * 100 AS expected_bytes, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey * 100 + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END END AS found_bytes, s_suppkey % 4 <> 0 AND s_suppkey % 3 <> 0 AS size_ok FROM supplier",
     "notes_backfill": _led("SELECT ingest_seq, CASE WHEN ingest_seq % 4 > 1 THEN notes ELSE coalesce(CASE dataset_id WHEN 'D0' THEN 'stage3a' WHEN 'D1' THEN 'stage3b' END || '-full-replication' || CASE method_id WHEN 'view' THEN '-base' WHEN 'click' THEN '' END, CASE WHEN ingest_seq % 4 = 0 THEN '  ' END) END AS notes FROM v_ledger"),
     "config_union": _led("SELECT method_id AS config_id, ingest_seq, sample_id FROM v_ledger"),
+    "failure_rows": _led("SELECT ingest_seq, substr(regexp_replace('step ' || ingest_seq || chr(10) || chr(9) || 'at ' || method_id || chr(13) || chr(10) || repeat('x', ingest_seq % 700), '[\\t\\r\\n]+', ' ', 'g'), 1, 500) AS message FROM v_ledger WHERE status <> 'success'"),
     "run_summary": _led("SELECT method_id AS stage_id, dataset_id, count(*) AS discovered, count(*) FILTER (status = 'success') AS processed, epoch_us(max(started)) + 1000000 - epoch_us(min(started)) AS micros, CASE WHEN count(*) FILTER (status = 'success') = count(*) THEN 'success' WHEN count(*) FILTER (status = 'success') > 0 THEN 'partial' ELSE 'failed' END AS status FROM v_ledger GROUP BY 1, 2"),
 }
 # the name under which an earlier version registered the whole table

@@ -155,7 +155,7 @@ def write_tsv(df: DataFrame, path: str, columns: list[str]) -> None:
 def new_rows(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rows of ``batch``, cast to the ledger's columns, that neither the ledger nor an earlier row of the batch holds."""
     cast = batch.select(*((F.col(c) if c in batch.columns else F.lit(None)).cast(ledger.schema[c].dataType).alias(c) for c in ledger.columns)).dropDuplicates()
-    return cast.exceptAll(cast.join(ledger.dropDuplicates(), _same(cast, ledger), "left_semi"))
+    return cast.join(ledger, _same(cast, ledger), "left_anti")
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -166,7 +166,10 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 
 def append_new(batch: DataFrame, path: str) -> None:
-    """Appends what is new to a Parquet ledger; also the body of the streaming sink."""
+    """Appends what is new to a Parquet ledger; also the body of the streaming sink.
+
+    One writer at a time: reading and appending are two steps, and two writers could add the same row.
+    """
     spark = batch.sparkSession
     new_rows(batch, spark.read.parquet(path)).write.mode("append").parquet(path)
 

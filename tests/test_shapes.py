@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spotlattice.functions.expr import erfc, normal_tail
 from spotlattice.operators import claims, graph, metrics, normalize, stats
+from spotlattice.sources import io
 
 # Published paired differences of 13 samples, averaged over both numbers of clusters.
 DELTAS = {
@@ -114,3 +115,29 @@ def test_alignment_of_nine_labels(spark, monkeypatch):
     assert got == {int(c): i for i, c in enumerate(turned)}
     few = labels.filter("label < 4")
     assert sorted(map(tuple, metrics._align_by_sets(few, 11, 4).collect())) == sorted(map(tuple, metrics.align(few, 11, 4).collect()))
+
+
+def test_discovery_of_the_three_layouts(spark):
+    nested = ["a/raw/S1/filtered/matrix.mtx.gz", "a/raw/S1/filtered/barcodes.tsv.gz", "a/tissue_positions_list.csv", "b/raw/S5/filtered/matrix.mtx"]
+    flat = ["S2_matrix.mtx.gz", "S2_barcodes.tsv.gz", "S2_tissue_positions_list.csv.gz"]
+    h5 = ["S3_filtered_feature_bc_matrix.h5", "S3_tissue_positions.csv", "S3_tissue_positions_list.csv"]
+    files = spark.createDataFrame([(f"file:/data/x/{p}",) for p in nested + flat + h5], "path string")
+    got = {r.sample_id: (r.layout, r.matrix.rsplit("/", 1)[1]) for r in io.discover(files, "/data/x").collect()}
+    assert got == {"S1": ("mtx", "matrix.mtx.gz"), "S2": ("flat", "S2_matrix.mtx.gz"), "S3": ("h5", "S3_filtered_feature_bc_matrix.h5")}  # S5 has no barcodes
+
+
+def test_tsv_sink_fixes_the_columns_and_overwrites(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    for n in (3, 2):
+        io.write_tsv(spark.createDataFrame([(i, "NA" if i else "b", 1.5) for i in range(n)], "b int, a string, c double"), path, ["a", "b"])
+    back = io.read_tsv(spark, path)
+    assert back.columns == ["a", "b"] and sorted((r.a or "-", r.b) for r in back.collect()) == [("-", "1"), ("b", "0")]
+
+
+def test_ledger_takes_each_row_once(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    rows = [(1, None, 0.5), (1, None, 0.5), (2, "x", None)]
+    spark.createDataFrame(rows[:1], "k int, s string, v double").write.parquet(path)
+    for _ in range(2):
+        io.append_new(spark.createDataFrame(rows, "k int, s string, v double"), path)
+    assert sorted((r.k, r.s) for r in spark.read.parquet(path).collect()) == [(1, None), (2, "x")]
