@@ -20,6 +20,10 @@ def _ring() -> Column:
     return F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
 
 
+def _key() -> Column:
+    return F.xxhash64(KEY, "c", "cx", "cy")
+
+
 def _places(spots: DataFrame, k: int) -> DataFrame:
     """(sample_id, ox, oy, ids): every place once, with the k + 1 least ids of its spots; no search needs more of them."""
     w = Window.partitionBy(KEY, "x", "y").orderBy("spot")
@@ -37,12 +41,16 @@ def _first_cells(places: DataFrame, per_cell: float) -> DataFrame:
 
 def _nearest(queries: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     """Of each query the k + 1 nearest spots in the 3 x 3 cells about it, and whether none farther off can be nearer."""
-    q = queries.withColumn("o", _ring()).select(*queries.columns, (_cell("x") + F.col("o.i")).alias("cx"), (_cell("y") + F.col("o.j")).alias("cy"))
+    # a hash comes first in every key, for it is compared faster than a name and two numbers
+    place = ["q", KEY, "x", "y", "c", "extent", "full", "crowd"]
+    q = queries.select(F.xxhash64(KEY, "x", "y").alias("q"), *place[1:], _ring().alias("o"))
+    q = q.select(*place, (_cell("x") + F.col("o.i")).alias("cx"), (_cell("y") + F.col("o.j")).alias("cy")).withColumn("h", _key())
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    pairs = q.join(cells, [KEY, "c", "cx", "cy"]).select(*queries.columns, (dx * dx + dy * dy).alias("d2"), F.explode("ids").alias("other"))
-    w = Window.partitionBy(KEY, "x", "y").orderBy("d2", "other")
-    best = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
-    near = best.groupBy(KEY, "x", "y").agg(*(F.first(c).alias(c) for c in ("c", "extent", "full")), F.sort_array(F.collect_list(F.struct("d2", "other"))).alias("near"))
+    pairs = q.join(cells.withColumn("h", _key()), ["h", KEY, "c", "cx", "cy"]).select(*place, (dx * dx + dy * dy).alias("d2"), F.explode("ids").alias("other"))
+    # cells that are not crowded give a bounded list, others are ranked first
+    w = Window.partitionBy(*place).orderBy("d2", "other")
+    few = pairs.filter("crowd").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).drop("r")
+    near = pairs.filter("NOT crowd").unionByName(few).groupBy(*place).agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "other"))), 1, k + 1).alias("near"))
     reach = F.when(F.size("near") > k, F.element_at("near", -1)["d2"])
     return near.withColumn("sure", (F.col("c") >= F.col("extent")) | F.coalesce(reach < F.col("c") * F.col("c"), F.lit(False)))
 
@@ -68,8 +76,9 @@ def knn(spots: DataFrame, k: int, per_cell: float | None = None) -> DataFrame:
         about = crowded.withColumn("o", _ring()).select(KEY, "c", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")).distinct()
         # a place that was not proven in smaller cells, or whose cells are as fine as numbers go, is searched in full ones
         at = open_.select("*", _cell("x").alias("cx"), _cell("y").alias("cy"), (F.col("full") | (F.col("c") < 1e-12 * F.col("extent"))).alias("take"))
-        at = at.join(about.withColumn("crowd", F.lit(True)), [KEY, "c", "cx", "cy"], "left").withColumn("take", F.col("take") | F.col("crowd").isNull())
-        got = _nearest(at.filter("take").select(KEY, "x", "y", "c", "extent", "full"), cells, k)
+        at = at.join(about.withColumn("crowd", F.lit(True)), [KEY, "c", "cx", "cy"], "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+        at = at.withColumn("take", F.col("take") | ~F.col("crowd"))
+        got = _nearest(at.filter("take").select(KEY, "x", "y", "c", "extent", "full", "crowd"), cells, k)
         finer = at.filter("NOT take").select(KEY, "x", "y", (F.col("c") / 8).alias("c"), "extent", "full", F.lit(None).cast("array<struct<d2:double,other:bigint>>").alias("near"), F.lit(False).alias("sure"))
         step = cut(got.select(KEY, "x", "y", F.when(F.col("sure"), F.col("c")).otherwise(F.least(F.col("c") * 8, "extent")).alias("c"), "extent", F.lit(True).alias("full"), F.col("near").cast("array<struct<d2:double,other:bigint>>").alias("near"), "sure").unionByName(finer))
         sure = step.filter("sure").select(KEY, "x", "y", "near")
