@@ -6,21 +6,24 @@ labelled spans, adds spans in forms that the patterns miss: phone numbers
 without a plus sign, cards with other separators, addresses with spaces about
 the at sign. Base spans always stay; added ones never overlap them.
 
-The tagger reads windows of ``WINDOW`` characters that start every ``STRIDE``. A
-span that touches the inner border of a window is left to the neighbour that
-sees it whole; what the windows of a text find is put together by score into
-one set without overlaps. Every kind holds a digit or an at sign, so windows
-with neither are skipped without loss. Added spans must pass the checks of
-their kind (Luhn sum, address parts, number of digits).
-
-The model learns from at most ``TRAIN_DOCS`` documents, at most ``TRAIN_CHARS``
-characters each, labelled by the base patterns and varied by ``_vary``.
-Finding runs over all whole texts in place: no shuffle, and equal results at
-any partitioning. Offsets count code points, ends are exclusive.
-
-Defined cases: null and empty texts have no spans; repeated rows are treated
-alike; an empty table gives an empty result; extra columns are ignored by
-``find`` and kept by ``redact``.
+Every kind holds a digit or an at sign, so a text is read in the stretches about these
+and the rest is skipped without loss. The network reads a stretch in windows of ``WINDOW``
+characters that start every ``STRIDE``; of each character the emissions count that the
+window makes in whose middle it lies. One Viterbi pass over the whole stretch, however
+long, then decodes these emissions with the transitions: the windows are reconciled
+by the best tag sequence of all, and a span may be longer than a window. Added spans must
+pass the checks of their kind (``added``), which turn away dates, decimals and plain numbers.
+
+The model learns from at most ``TRAIN_DOCS`` different texts, at most ``TRAIN_CHARS``
+characters each, by way of ``TRAIN_WINDOWS`` windows. Labelled spans are those of the base patterns, as they stand or written
+in another form (``_vary``), and numbers that are no personal data (``_number``) as
+what to leave alone. Finding runs over all whole texts in place: no shuffle, and equal
+results at any partitioning. Offsets count code points, ends are exclusive.
+
+Defined cases: null and empty texts have no spans; very long texts are read whole;
+repeated rows are treated alike; of tags with equal scores the first in the order of
+``KINDS`` wins; an empty table gives an empty result; extra columns are ignored by
+``find`` and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from spotlattice.llm.common import least_hashes, table
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS, TRAIN_CHARS = 500, 20_000
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOWS = 500, 20_000, 12_000
 WINDOW, STRIDE = 96, 48
 Span = tuple[str, int, int]
 
@@ -74,6 +77,25 @@ def valid(kind: str, s: str) -> bool:
     return 16 <= len(d) <= 19 and luhn(d) if kind == "card" else 8 <= len(d) <= 15
 
 
+# Shapes of numbers that are no phone number: dates, years from and to, grouped and decimal numbers, plain runs.
+_NUMBER = re.compile(
+    r"[0-9]{4}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}|[0-9]{1,2}[-/. ][0-9]{1,2}[-/. ][0-9]{2,4}|[0-9]{4} ?[-/] ?[0-9]{4}"
+    r"|[0-9]{1,3}(?:[ .,][0-9]{3})+(?:[.,][0-9]+)?|[0-9]*[.,]?[0-9]+"
+)
+_LOOSE_PHONE = re.compile(r"\+?[(0-9][0-9 ()./-]+[0-9]")
+_LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+\s{0,2}@\s{0,2}[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+
+
+def added(kind: str, text: str, a: int, b: int) -> bool:
+    """Whether a stretch that only the tagger finds may be one of its kind: no part of a longer word or number, and in a form of its kind."""
+    s = text[a:b]
+    if text[max(0, a - 1) : a].isalnum() or text[b : b + 1].isalnum() or not valid(kind, s):
+        return False
+    if kind == "email":
+        return bool(_LOOSE_EMAIL.fullmatch(s))
+    return kind != "phone" or bool(_LOOSE_PHONE.fullmatch(s)) and not _NUMBER.fullmatch(s) and len(_digits(s)) >= 9
+
+
 def base_spans(text: str) -> list[Span]:
     """Leftmost matches that do not overlap within a kind, by kind, then start."""
     out: list[Span] = []
@@ -163,25 +185,28 @@ class Tagger:
         both = np.concatenate([self._run(codes, "f"), self._run(codes[::-1], "b")[::-1]], axis=2)
         return both @ self.p["O"] + self.p["o"]
 
-    def decode(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags (steps, batch) and how far each leads its position's best other tag."""
-        e = self.emissions(codes)
-        steps, n, _ = e.shape
+    def decode(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Best tags of stretches whose emissions ``e`` (characters, TAGS) stand one after another; all advance together."""
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes = starts[order], sizes[order]
         trans = self.p["T"] + self.mask
-        score = e[0] + np.where(np.arange(TAGS) % 2 == 0, np.where(np.arange(TAGS) > 0, -1e4, 0), 0).astype(np.float32)
-        back = np.empty((steps, n, TAGS), np.int8)
+        back = np.zeros((len(e), TAGS), np.int8)
+        # a stretch begins outside or with the begin of a span
+        score = e[starts] + np.where((np.arange(TAGS) % 2 == 0) & (np.arange(TAGS) > 0), -1e4, 0).astype(np.float32)
+        tags, steps = np.zeros(len(e), np.int8), int(sizes[0]) if len(sizes) else 0
+        active = np.searchsorted(-sizes, -np.arange(steps + 1), "left")  # stretches longer than t
         for t in range(1, steps):
-            paths = score[:, :, None] + trans
-            back[t] = paths.argmax(axis=1)
-            score = paths.max(axis=1) + e[t]
-        tags = np.empty((steps, n), np.int8)
-        tags[-1] = score.argmax(axis=1)
-        rows = np.arange(n)
-        for t in range(steps - 1, 0, -1):
-            tags[t - 1] = back[t][rows, tags[t]]
-        mine = np.take_along_axis(e, tags[:, :, None].astype(np.int64), 2)[:, :, 0]
-        np.put_along_axis(e, tags[:, :, None].astype(np.int64), -1e4, 2)
-        return tags, mine - e.max(axis=2)
+            n = active[t]
+            paths = score[:n, :, None] + trans
+            back[starts[:n] + t] = paths.argmax(axis=1)
+            score[:n] = paths.max(axis=1) + e[starts[:n] + t]
+        now = score.argmax(axis=1).astype(np.int8)
+        for t in range(steps - 1, -1, -1):
+            n = active[t]
+            tags[starts[:n] + t] = now[:n]
+            now[:n] = back[starts[:n] + t, now[:n]]
+        return tags
 
     def _step(self, codes: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradients of one batch: CRF negative log-likelihood per character."""
@@ -245,62 +270,92 @@ class Tagger:
         return loss
 
 
+def _deal(form: str, digits: str) -> str:
+    """The form with its marks ``d`` replaced by digits."""
+    at = iter(digits)
+    return "".join(next(at) if c == "d" else c for c in form)
+
+
+# Forms of phone numbers without a plus sign, and of numbers that are no personal data.
+PHONES = ("(ddd) ddd-dddd", "ddd-ddd-dddd", "ddd.ddd.dddd", "ddd ddd dddd", "1-ddd-ddd-dddd", "00dd ddd ddd dddd", "00dd-ddd-ddddddd", "0ddd/ddddddd", "(0dd) dddd dddd")
+NUMBERS = ("20dd-dd-dd", "19dd/dd/dd", "dd.dd.20dd", "d/dd/19dd", "20dd-dd-ddTdd:dd:dd", "dd:dd:dd", "d.dddddddd", "dd.dddd", "d,ddd,ddd.dd", "d ddd ddd", "19dd-20dd", "v d.d.dd", "dd.d.d", "No. dddddd", "#dddddddd", "INV-20dd-ddddd", "dddddddddd", "dddd", "dd", "d", "dd%", "$dd.dd", "ddxdd", "978-d-dd-dddddd-d", "10.dddd/dddddd", "user@", "@dddd", "p. ddd-ddd")
+
+
 def _vary(kind: str, s: str, r: np.random.Generator) -> str:
     """A labelled span, as it stands or in a form that the base patterns miss."""
-    form = int(r.integers(0, 5))
-    if kind == "phone" and form < 3:
+    some = "".join(map(str, r.integers(0, 10, 20)))
+    if kind == "phone" and r.random() < 0.75:
+        return s.lstrip("+") if r.random() < 0.15 else _deal(PHONES[int(r.integers(0, len(PHONES)))], some)
+    if kind == "card" and r.random() < 0.5:
         d = _digits(s)
-        return [s.lstrip("+"), f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}"][form]
-    if kind == "card" and form < 2:
-        return (". /"[int(r.integers(0, 3))] if form else " ").join(_digits(s)[i : i + 4] for i in range(0, len(_digits(s)), 4))
-    if kind == "email" and form < 1:
-        return s.replace("@", " @ ")
+        return ("  ", ".", "/", "_", " - ")[int(r.integers(0, 5))].join(d[i : i + 4] for i in range(0, len(d), 4))
+    if kind == "email" and r.random() < 0.7:
+        word = lambda: "".join(map(chr, r.integers(97, 123, int(r.integers(2, 9)))))
+        local, domain = s.rsplit("@", 1)
+        if r.random() < 0.5:  # other names than those of the sample
+            local, domain = (word(), f"{word()}.{word()[0]}", f"{word()}_{word()}")[int(r.integers(0, 3))], f"{word()}.{('com', 'org', 'net', 'de', 'co.uk')[int(r.integers(0, 5))]}"
+        return local + ("@", " @ ", " @", "@ ")[int(r.integers(0, 4))] + domain
     return s
 
 
-def windows(texts: list[str], r: np.random.Generator, per_span: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Training windows: each labelled span at random places, and as many stretches with digits but no span."""
-    codes, tags = [], []
+def _number(r: np.random.Generator) -> str:
+    return _deal(NUMBERS[int(r.integers(0, len(NUMBERS)))], "".join(map(str, r.integers(0, 10, 20))))
 
-    def add(left: str, kind: str | None, s: str, right: str) -> None:
-        left = left[-int(r.integers(0, WINDOW)) :] if left else left
-        row = (left + s + right)[:WINDOW]
-        c, g = np.full(WINDOW, _PAD, np.int64), np.zeros(WINDOW, np.int64)
-        c[: len(row)] = _codes(row)
-        if kind and len(left) + len(s) <= WINDOW:
-            g[len(left)] = 1 + 2 * KINDS.index(kind)
-            g[len(left) + 1 : len(left) + len(s)] = 2 + 2 * KINDS.index(kind)
-        elif kind:
-            return
-        codes.append(c)
-        tags.append(g)
 
+def windows(texts: list[str], r: np.random.Generator, many: int = TRAIN_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
+    """``many`` training windows of one or two labelled spans or other numbers between stretches of the texts, and stretches with digits but no span."""
+    by_kind: dict[str, list[str]] = {}
+    plain, quiet = [], []
     for text in texts:
         spans = base_spans(text)
         taken = np.zeros(len(text) + 1, bool)
-        for _, a, b in spans:
-            taken[a:b] = True
         for kind, a, b in spans:
-            around = text[max(0, a - WINDOW) : a], text[b : b + WINDOW]
-            if not (taken[max(0, a - WINDOW) : a].any() or taken[b : b + WINDOW].any()):
-                for _ in range(per_span):
-                    add(around[0], kind, _vary(kind, text[a:b], r), around[1])
-        plain = [m.start() for m in _ASK.finditer(text) if not taken[max(0, m.start() - WINDOW) : m.start() + WINDOW].any()]
-        for a in plain[:: max(1, len(plain) // 6)]:
-            add(text[max(0, a - WINDOW) : a], None, "", text[a : a + WINDOW])
-        if spans:  # numbers of other kinds: years, counts, versions
-            other = [str(int(r.integers(0, 10 ** int(r.integers(1, 8))))), f"{r.integers(0, 20)}.{r.integers(0, 20)}.{r.integers(0, 20)}"][int(r.integers(0, 2))]
-            at = int(r.integers(0, len(text)))
-            left, right = text[max(0, at - WINDOW) : at], text[at : at + WINDOW]
-            if not (_ASK.search(left) or _ASK.search(right)):
-                add(left, None, f" {other} ", right)
-    return np.array(codes, np.int64).reshape(-1, WINDOW), np.array(tags, np.int64).reshape(-1, WINDOW)
+            taken[a:b] = True
+            by_kind.setdefault(kind, []).append(text[a:b])
+        hits = [m.start() for m in _ASK.finditer(text)]
+        free = [a for a in hits if not taken[max(0, a - WINDOW) : a + WINDOW].any()]
+        plain += [(text[max(0, a - WINDOW) : a], text[a : a + WINDOW]) for a in free[:: max(1, len(free) // 6)]]
+        edges = [-1, *hits, len(text)]
+        quiet += [text[a + 1 : b] for a, b in zip(edges, edges[1:], strict=False) if b - a > WINDOW]
+    if not by_kind:
+        return np.empty((0, WINDOW), np.int64), np.empty((0, WINDOW), np.int64)
+    kinds, quiet = sorted(by_kind), quiet or [" "]
+
+    def stretch() -> str:
+        some = quiet[int(r.integers(0, len(quiet)))]
+        at = int(r.integers(0, max(1, len(some) - WINDOW)))
+        return some[at : at + WINDOW]
+
+    codes, tags = np.full((many, WINDOW), _PAD, np.int64), np.zeros((many, WINDOW), np.int64)
+    for c, g in zip(codes, tags, strict=True):
+        if plain and r.random() < 0.1:
+            left, right = plain[int(r.integers(0, len(plain)))]
+            row = (left[len(left) - int(r.integers(0, len(left) + 1)) :] + right)[:WINDOW]
+        else:
+            row = stretch()[: int(r.integers(0, WINDOW // 2))]
+            for _ in range(int(r.integers(1, 3))):
+                row += (" ", " ", " (", ": ", "\n", "")[int(r.integers(0, 6))] if not row or row[-1].isalnum() else ""
+                row += " " if row and row[-1].isalnum() else ""
+                if r.random() < 0.6:
+                    kind = kinds[int(r.integers(0, len(kinds)))]
+                    span = _vary(kind, by_kind[kind][int(r.integers(0, len(by_kind[kind])))], r)
+                    if len(row) + len(span) > WINDOW:
+                        break
+                    g[len(row)] = 1 + 2 * KINDS.index(kind)
+                    g[len(row) + 1 : len(row) + len(span)] = 2 + 2 * KINDS.index(kind)
+                    row += span
+                else:
+                    row += _number(r)
+                row += (" ", " ", ", ", ". ", ") ", "\n", ": ", " or ")[int(r.integers(0, 8))] + stretch()[: int(r.integers(0, WINDOW // 3))]
+            row = row[:WINDOW]
+        c[: len(row)] = _codes(row)
+    return codes, tags
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Tagger | None:
     """A tagger from a bounded sample of the texts that hold a digit or at sign; None if there are no spans to learn."""
     rows = docs.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    texts = [r.text for r in least_hashes(rows, train_docs, docs.count())]
+    texts = [r.text for r in least_hashes(rows, train_docs, docs.count(), 40)]
     codes, tags = windows(texts, np.random.default_rng(7))
     if not tags.any():
         return None
@@ -309,48 +364,79 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Tagger | None:
     return model
 
 
-def _starts(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or at sign."""
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """The parts of a text within ``STRIDE`` characters of a digit or at sign."""
     hit = np.array([m.start() for m in _ASK.finditer(text)], np.int64)
     if not len(hit):
         return []
-    k = np.unique(np.concatenate([hit // STRIDE, hit // STRIDE - 1]))
-    return (k[(k >= 0) & (k <= last)] * STRIDE).tolist()
+    cut = np.flatnonzero(np.diff(hit) > 2 * STRIDE)
+    first, last = hit[np.concatenate([[0], cut + 1])], hit[np.concatenate([cut, [len(hit) - 1]])]
+    return list(zip(np.maximum(first - STRIDE, 0).tolist(), np.minimum(last + STRIDE, len(text)).tolist(), strict=True))
+
+
+def _stretch_emissions(model: Tagger, pieces: list[str], lanes: int) -> np.ndarray:
+    """Emissions of all characters of the stretches, one after another, each from the window in whose middle it lies."""
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    many = np.maximum(1, -(-(sizes - STRIDE) // STRIDE))
+    first = np.cumsum(many) - many
+    offset = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    own = np.clip((offset - STRIDE // 2) // STRIDE, 0, np.repeat(many, sizes) - 1)
+    window, place = np.repeat(first, sizes) + own, offset - own * STRIDE
+    out = np.empty((len(offset), TAGS), np.float32)
+    flat = np.concatenate([_codes(p) for p in pieces])
+    start = np.repeat(np.cumsum(sizes) - sizes, many) + (np.arange(int(many.sum())) - np.repeat(first, many)) * STRIDE
+    end = np.repeat(np.cumsum(sizes), many)
+    edges = np.searchsorted(window, np.arange(0, len(start) + lanes, lanes))
+    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        at = start[k * lanes : (k + 1) * lanes, None] + np.arange(WINDOW)
+        codes = np.where(at < end[k * lanes : (k + 1) * lanes, None], flat[np.minimum(at, len(flat) - 1)], _PAD)
+        e = model.emissions(np.ascontiguousarray(codes.T))
+        out[low:high] = e[place[low:high], window[low:high] - k * lanes]
+    return out
+
+
+def _whole(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
+    """The span with what belongs to its first and last word or number, without signs about it."""
+    inside = _LOCAL if kind == "email" else "0123456789"
+    while a < b and not (text[a] in inside or text[a] in "(+"):
+        a += 1
+    while b > a and not text[b - 1].isalnum():
+        b -= 1
+    while a > 0 and text[a - 1] in inside:
+        a -= 1
+    while b < len(text) and text[b] in "0123456789":
+        b += 1
+    if kind == "email" and (m := _LOOSE_EMAIL.match(text, a)) and m.end() >= b - 1:
+        b = m.end()
+    return a, b
 
 
 def tagged_spans(model: Tagger, texts: list[str], lanes: int = 2048) -> list[list[Span]]:
-    """Spans that the tagger finds in each text, reconciled over its windows."""
-    jobs = [(i, s) for i, t in enumerate(texts) for s in _starts(t)]
-    found: list[list[tuple[float, Span]]] = [[] for _ in texts]
-    for j in range(0, len(jobs), lanes):
-        some = jobs[j : j + lanes]
-        codes = np.full((len(some), WINDOW), _PAD, np.int64)
-        for row, (i, s) in zip(codes, some, strict=True):
-            c = _codes(texts[i][s : s + WINDOW])
-            row[: len(c)] = c
-        tags, lead = (x.T for x in model.decode(np.ascontiguousarray(codes.T)))
-        begin = (tags % 2 == 1) & (tags > 0)
-        for row, a in zip(*np.nonzero(begin), strict=True):
-            i, s = some[row]
-            inside, b = tags[row, a] + 1, a + 1
-            while b < WINDOW and tags[row, b] == inside:
-                b += 1
-            whole = (a > 0 or s == 0) and (b < WINDOW or s + WINDOW >= len(texts[i]))
-            if whole and s + b <= len(texts[i]):
-                found[i].append((float(lead[row, a:b].mean()), (KINDS[(inside - 1) // 2], s + int(a), s + int(b))))
-    out = []
-    for text, spans in zip(texts, found, strict=True):
-        taken: list[Span] = []
-        for _, s in sorted(set(spans), key=lambda x: (-x[0], x[1][1], x[1][2], x[1][0])):
-            a, b = s[1], s[2]
-            while a < b and text[a].isspace():
-                a += 1
-            while b > a and text[b - 1].isspace():
-                b -= 1
-            if valid(s[0], text[a:b]) and all(b <= x or y <= a for _, x, y in taken):
-                taken.append((s[0], a, b))
-        out.append(taken)
+    """Spans that the tagger finds in each text, decoded over its whole stretches."""
+    jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in _stretches(t)]
+    out: list[list[Span]] = [[] for _ in texts]
+    at = 0
+    while at < len(jobs):  # about ``lanes`` windows at a time, a long stretch by itself
+        stop, size = at, 0
+        while stop < len(jobs) and (stop == at or size + jobs[stop][2] - jobs[stop][1] <= lanes * STRIDE):
+            size += jobs[stop][2] - jobs[stop][1]
+            stop += 1
+        some = jobs[at:stop]
+        at = stop
+        pieces = [texts[i][a:b] for i, a, b in some]
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        tags = model.decode(_stretch_emissions(model, pieces, lanes), sizes)
+        starts = np.cumsum(sizes) - sizes
+        for x in np.flatnonzero(tags % 2 == 1).tolist():
+            k = int(np.searchsorted(starts, x, "right")) - 1
+            inside, y, stop_at = tags[x] + 1, x + 1, int(starts[k] + sizes[k])
+            while y < stop_at and tags[y] == inside:
+                y += 1
+            i, a, _ = some[k]
+            text, kind, a, b = texts[i], KINDS[(inside - 1) // 2], a + x - int(starts[k]), a + y - int(starts[k])
+            a, b = _whole(kind, text, a, b)
+            if added(kind, text, a, b) and (not out[i] or out[i][-1][2] <= a):
+                out[i].append((kind, a, b))
     return out
 
 

@@ -34,3 +34,21 @@ def test_stages_keep_the_columns(spark):
         docs = stage(spark, docs, DIR)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "b"]
     assert docs.count() > 0
+
+
+def test_stages_on_odd_tables(spark):
+    base = "The cat and the dog went to the market in the morning, and it was a good day for all of them at home."
+    rows = [(1, None), (2, ""), (3, "one two"), (4, base), (4, base), (4, base + " Call +1 212 555 0147."), (None, base), (None, None), (9, "The house of the old man is on the hill by the sea, and it was built in the year of the great storm. " * 900)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key int, row string, kept_id int, h int"
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "r", 2, 3) for i, t in rows], schema)
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DIR)
+        assert docs.columns == odd.columns
+    assert sorted((r.doc_id, r.key) for r in docs.collect()) == [(4, 1)]
+    docs = corpus_pipeline.near_duplicates(spark, odd, DIR)
+    assert sorted((r.doc_id or 0, (r.text or "")[:7]) for r in docs.collect()) == [(0, ""), (1, ""), (2, ""), (3, "one two"), (4, "The cat"), (9, "The hou")]
+    docs = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DIR)
+        assert docs.count() == 0
