@@ -4,24 +4,27 @@ One file (``.tok``) follows the public zstandard seekable format:
 
 * data frames, each compressed on its own with a content checksum. A frame holds
   whole documents: ``u32 n``, then ``n`` document ids (``i64``), ``n`` lengths
-  (``u32``) and all token ids (``u32``), little-endian;
-* a skippable frame with the document index: ``(i64 doc_id, u32 frame, u32 place)``;
+  (``u32``), ``n`` flags (``u8``, 1 where the id is null) and all token ids (``u32``),
+  little-endian;
+* a skippable frame with the index of the documents that have an id:
+  ``(i64 doc_id, u32 frame, u32 place)``;
 * the seek table, a skippable frame with compressed size, decompressed size and
   the low half of the XXH64 of each frame, and the footer.
 
 Any zstandard reader decodes the file in order. ``read_documents`` decompresses
 only the frames that hold the requested documents.
 
-Documents are range-partitioned and sorted by id, so the order of the files is
-the order of ids; one file per task. A task writes under a name of its own
+Documents are range-partitioned and sorted by id, then by the hash of the text, so the
+order of the files is the order of ids, and the rows of one id that many share are cut
+into several files; one file per task. A task writes under a name of its own
 attempt and reports it in the manifest, so a task that runs again after a lost
 executor leaves an unlisted file at worst. Token totals of the files, summed in
-file order, give every document its global start.
+file order, give every document its global start. Files are read back one in a task.
 
-Defined cases: null text counts as empty and holds only the end id; a null id
-is written as the smallest id and comes back as null; rows with one id follow
-each other, ordered by text; an empty table gives an empty result; extra columns
-are ignored.
+Defined cases: null text counts as empty and holds only the end id; rows with a null id
+come first, carry a flag and come back as null; rows with one id follow each other,
+ordered by the hash of the text; very long texts are written whole, as a frame of their
+own; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +53,6 @@ END_ID = 2
 FRAME_BYTES = 1 << 18
 LEVEL = 1
 _SKIP_INDEX, _SKIP_SEEK, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-_NULL_ID = -(1 << 63)
 _CACHE = 500_000
 _GLUED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
@@ -110,7 +113,9 @@ class Encoder:
         sizes = [np.array([len(x) for x in ids], np.int64)]
         blocks = [joined[i : i + 1000] for i in range(0, len(joined), 1000)]
         for block, got in zip(blocks, self._ids([" " + " ".join(b) for b in blocks]), strict=True):
-            ends = np.cumsum([len(p.encode()) + 1 for p in block])
+            spaces = np.flatnonzero(np.frombuffer((" ".join(block) + " ").encode(), np.uint8) == 32)
+            # a part ends at the next space, unless parts hold spaces themselves
+            ends = spaces + 1 if len(spaces) == len(block) else np.cumsum([len(p.encode()) + 1 for p in block])
             sizes.append(np.diff(np.searchsorted(np.cumsum(self.bytes[got]), ends) + 1, prepend=0))
             ids.append(got)
         size = np.concatenate(sizes)
@@ -127,7 +132,7 @@ class Encoder:
         if len(self.at) > _CACHE:
             self._reset()
         n = np.array([0, *(len(parts) - 1 for parts in cut)], np.int64)
-        at = np.fromiter(map(self.at.__getitem__, (p for parts in cut for p in parts[1:])), np.int64, int(n.sum()))
+        at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(parts[1:] for parts in cut)), np.int64, int(n.sum()))
         if self.at.new:
             self._learn()
         sizes = self.sizes[at]
@@ -153,14 +158,15 @@ class Writer:
 
     def __init__(self, out):
         self.out, self.frames, self.index = out, [], []
-        self.docs: list[tuple[int, np.ndarray]] = []
+        self.docs: list[tuple[int | None, np.ndarray]] = []
         self.bytes = 0
         self.squeeze = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         if self.docs and self.bytes + 4 * len(ids) > FRAME_BYTES:
             self._flush()
-        self.index.append((doc_id, len(self.frames), len(self.docs)))
+        if doc_id is not None:
+            self.index.append((doc_id, len(self.frames), len(self.docs)))
         self.docs.append((doc_id, ids))
         self.bytes += 4 * len(ids)
 
@@ -169,8 +175,9 @@ class Writer:
         raw = b"".join(
             [
                 struct.pack("<I", n),
-                np.array([d for d, _ in self.docs], "<i8").tobytes(),
+                np.array([d or 0 for d, _ in self.docs], "<i8").tobytes(),
                 np.array([len(x) for _, x in self.docs], "<u4").tobytes(),
+                np.array([d is None for d, _ in self.docs], "u1").tobytes(),
                 *(x.astype("<u4", copy=False).tobytes() for _, x in self.docs),
             ]
         )
@@ -216,7 +223,7 @@ class Reader:
             raise ValueError("no document index")
         return list(struct.iter_unpack("<qII", self.stream.read(size)))
 
-    def frame(self, k: int) -> list[tuple[int, np.ndarray]]:
+    def frame(self, k: int) -> list[tuple[int | None, np.ndarray]]:
         packed, size, check = self.frames[k]
         self.stream.seek(int(self.starts[k]))
         raw = self.expand.decompress(self.stream.read(packed), max_output_size=size)
@@ -225,11 +232,12 @@ class Reader:
         (n,) = struct.unpack_from("<I", raw)
         docs = np.frombuffer(raw, "<i8", n, 4)
         sizes = np.frombuffer(raw, "<u4", n, 4 + 8 * n).astype(np.int64)
-        ids = np.frombuffer(raw, "<u4", int(sizes.sum()), 4 + 12 * n)
+        null = np.frombuffer(raw, "u1", n, 4 + 12 * n)
+        ids = np.frombuffer(raw, "<u4", int(sizes.sum()), 4 + 13 * n)
         ends = np.cumsum(sizes)
-        return [(int(d), ids[e - s : e]) for d, s, e in zip(docs, sizes, ends, strict=True)]
+        return [(None if x else int(d), ids[e - s : e]) for d, x, s, e in zip(docs, null, sizes, ends, strict=True)]
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for k in range(len(self.frames)):
             yield from self.frame(k)
 
@@ -254,7 +262,10 @@ def read_documents(folder: str, file: str, doc_ids: Iterable[int]) -> dict[int,
 
 def write(spark: SparkSession, docs: DataFrame, folder: str, path: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes ``folder`` and returns its manifest: file_no, file, n_docs, n_tokens and start of each file."""
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    # the salt lets the range partition cut between equal rows, whose order does not matter
+    rows = rows.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange("doc_id", "h", "salt")
+    ordered = rows.sortWithinPartitions("doc_id", "h", "salt").select("doc_id", "text")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
@@ -270,7 +281,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, path: str, end_id:
                     writer = Writer(fs.open_output_stream(f"{base}/{name}", compression=None))
                 at = 0
                 for d, n in zip(some.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
-                    writer.add(_NULL_ID if d is None else d, np.append(ids[at : at + n], np.uint32(end_id)))
+                    writer.add(d, np.append(ids[at : at + n], np.uint32(end_id)))
                     at += n
                     n_docs += 1
                     n_tokens += n + 1
@@ -294,14 +305,15 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 rows: list[tuple] = []
                 with fs.open_input_file(f"{base}/{file}") as stream:
                     for d, ids in Reader(stream):
-                        rows.append((None if d == _NULL_ID else d, start, len(ids), zlib.crc32(ids.tobytes())))
+                        rows.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
                         start += len(ids)
                         if len(rows) == 10_000:
                             yield _rows(rows)
                             rows = []
                 yield _rows(rows)
 
-    return manifest.repartition("file").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a stated number of partitions is never coalesced: one file in a task
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
