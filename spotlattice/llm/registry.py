@@ -1,8 +1,8 @@
 """Queries and SQL of the corpus operators."""
 
-from spotlattice.llm import centroids, chat, decontaminate, fim, jaccard, language, licenses, pieces, pii, quality, tokenids, urls
+from spotlattice.llm import centroids, chat, compressed, decontaminate, fim, jaccard, language, licenses, pieces, pii, quality, tokenids, urls
 
-_MODULES = (quality, licenses, chat, language, urls, decontaminate, pieces, pii, jaccard, tokenids, fim, centroids)
+_MODULES = (quality, licenses, chat, language, urls, decontaminate, pieces, pii, jaccard, tokenids, fim, centroids, compressed)
 
 
 def queries() -> dict:
