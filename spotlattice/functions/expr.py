@@ -89,3 +89,7 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
+
+
+def r12(c: Column) -> Column:
+    return F.round(c, 12)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spotlattice.operators.lineage import cut
 from spotlattice.operators.stats import bh_fdr, bootstrap_ci, wilcoxon
 
 # Thresholds of the gates.
@@ -73,6 +74,7 @@ def gate_c1(units: DataFrame, focal: str, families: DataFrame, metric: str | tup
 def gate_deltas(deltas: DataFrame, families: DataFrame, targets: DataFrame, rounds: int = 5000, bars: dict | None = None) -> DataFrame:
     """``gate_c1`` from differences ``(baseline, metric, sample_id, delta)`` and comparisons ``(baseline, family, metric)``."""
     bars, on = bars or GATES["c1"], list(COMPARISON)
+    deltas = cut(deltas)  # read by three statistics
     test = wilcoxon(deltas, COMPARISON).select(*on, F.col("v").alias("statistic"), F.col("p").alias("p_value"))
     ci = bootstrap_ci(deltas, COMPARISON, "delta", "sample_id", rounds).select(*on, F.col("median").alias("effect_median"), "ci_low", "ci_high")
     stats = direction_coverage(deltas, targets).join(test, on, "left").join(ci, on, "left")

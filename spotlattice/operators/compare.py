@@ -97,7 +97,7 @@ def patch_features(spots: DataFrame, pixels: DataFrame, half: int = 24, least: i
     """Gray mean, deviation, mean and 95 % quantile of the un-halved inner gradient of the patch about each spot.
 
     A range join by tiles of the patch's width: a spot looks in the tiles that its
-    patch touches. Spots outside the image and patches with fewer than ``least`` pixels go.
+    patch touches. Grays are added as decimals of six places, so a mean is the same in any order. Spots outside the image and patches with fewer than ``least`` pixels go.
     """
     width = 2 * half + 1
     tile = lambda c: F.floor(c / width)
@@ -114,5 +114,5 @@ def patch_features(spots: DataFrame, pixels: DataFrame, half: int = 24, least: i
     inside = (F.abs(F.col("px") - F.col("cx")) <= half) & (F.abs(F.col("py") - F.col("cy")) <= half)
     whole = (F.col("x0") >= F.col("cx") - half) & (F.col("x1") <= F.col("cx") + half) & (F.col("y0") >= F.col("cy") - half) & (F.col("y1") <= F.col("cy") + half)
     patch = c.join(p, ["tx", "ty"]).filter(inside).select(KEY, "spot", "gray", F.when(whole, F.col("steep")).alias("g"))
-    g = patch.groupBy(KEY, "spot").agg(F.count(F.lit(1)).alias("n_pixels"), F.avg("gray").alias("gray_mean"), F.stddev_pop("gray").alias("gray_sd"), F.avg("g").alias("grad_mean"), F.percentile("g", 0.95).alias("grad_q95"))
+    g = patch.groupBy(KEY, "spot").agg(F.count(F.lit(1)).alias("n_pixels"), F.avg(F.col("gray").cast("decimal(18,6)")).cast("double").alias("gray_mean"), F.stddev_pop("gray").alias("gray_sd"), F.avg("g").alias("grad_mean"), F.percentile("g", 0.95).alias("grad_q95"))
     return g.filter(F.col("n_pixels") >= least)

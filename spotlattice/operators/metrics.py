@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spotlattice.functions.expr import hash_number
 from spotlattice.operators.graph import KEY, coherence_neighbours
 from spotlattice.operators.lineage import cut
+from spotlattice.operators.ranks import numbered
 
 
 def agreement(edges: DataFrame, labels: DataFrame, by: tuple[str, ...] = (KEY,)) -> DataFrame:
@@ -82,8 +83,8 @@ def random_labels(spots: DataFrame, k: int, seed: int) -> DataFrame:
 def shuffled_coords(spots: DataFrame, seed: int) -> DataFrame:
     """The sample's coordinates dealt out anew: the i-th spot by id gets those of the i-th by hash."""
     h = hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("spot")))
-    by_id = spots.select(KEY, "spot", F.row_number().over(Window.partitionBy(KEY).orderBy("spot")).alias("i"))
-    by_hash = spots.select(KEY, "x", "y", F.row_number().over(Window.partitionBy(KEY).orderBy(h, "spot")).alias("i"))
+    by_id = numbered(spots.select(KEY, "spot"), (KEY,), ("spot",)).select(KEY, "spot", F.col("before").alias("i"))
+    by_hash = numbered(spots.select(KEY, h.alias("h"), "spot", "x", "y"), (KEY,), ("h", "spot")).select(KEY, "x", "y", F.col("before").alias("i"))
     return by_id.join(by_hash, [KEY, "i"]).select(KEY, "spot", "x", "y")
 
 

@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotlattice.functions.expr import hash_number, normal_tail
+from spotlattice.operators.ranks import distinct_ranks, least_from_here, numbered
 
 
-def _midrank(keys: tuple[str, ...], value: Column) -> tuple[Column, Column]:
-    """Middle rank within the group and the number of ties of each value."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return F.rank().over(order) + (ties - 1) / 2.0, ties
+def _ties() -> Column:
+    """Sum of t^3 - t over the groups of t equal values."""
+    n = F.col("n").cast("double")
+    return F.sum(n * n * n - n)
 
 
 def wilcoxon(rows: DataFrame, keys: tuple[str, ...], delta: str = "delta", alternative: str = "two-sided", against: float = 0.0) -> DataFrame:
     """Signed-rank test per group: zeros dropped, middle ranks, tie correction, continuity 0.5, normal tail.
 
-    Differences are rounded to 12 decimals first, so that float noise breaks no ties.
+    Differences are rounded to 12 decimals first, so that float noise breaks no ties. Equal sizes
+    are counted first and ranked once, so a group may be of any size.
     """
     d = F.round(F.col(delta) - against, 12)
-    rows = rows.select(*keys, d.alias("d")).filter("d <> 0").withColumn("m", F.abs("d"))
-    rank, ties = _midrank(keys, F.col("m"))
-    rows = rows.withColumns({"r": rank, "t": ties})
-    # each tied value adds (t^3 - t) once: its t rows add t^2 - 1 each
-    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("v"), F.sum(F.col("t") * F.col("t") - 1).alias("tie"))
+    rows = rows.select(*keys, d.alias("d")).filter("d <> 0")
+    ranked = distinct_ranks(rows, keys, F.abs("d"), up=(F.col("d") > 0).cast("bigint"))
+    g = ranked.groupBy(*keys).agg(F.sum("n").alias("n_all"), F.sum(F.col("up") * F.col("mid")).alias("v"), _ties().alias("tie")).withColumnRenamed("n_all", "n")
     n = F.col("n").cast("double")
     sigma = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48.0)
     z = F.col("v") - n * (n + 1) / 4
@@ -35,35 +36,81 @@ def wilcoxon(rows: DataFrame, keys: tuple[str, ...], delta: str = "delta", alter
     return g.select(*keys, "n", "v", "z", p.alias("p"))
 
 
-def mann_whitney(rows: DataFrame, keys: tuple[str, ...], side: str, value: str) -> DataFrame:
-    """Two-sided U test per group; ``side`` is true for the first sample. U counts its wins."""
+#: A side of so many values or fewer, without ties, is tested by the exact distribution.
+EXACT_SIDE = 8
+
+
+def rank_sum_tail(small: int, large: int, most: int) -> float:
+    """P(U <= most) without ties: orders are counted by the product of (1 - q^(large + i)) / (1 - q^i) over the smaller side."""
+    ways = np.zeros(most + 1)
+    ways[0] = 1.0
+    for i in range(1, small + 1):
+        if large + i <= most:
+            ways[large + i :] -= ways[: most + 1 - large - i].copy()
+        folded = np.zeros((-(-(most + 1) // i), i))
+        folded.flat[: most + 1] = ways
+        ways = np.cumsum(folded, axis=0).ravel()[: most + 1]
+    total = 1.0
+    for i in range(1, small + 1):
+        total = total * (large + i) / i
+    return float(ways.sum() / total)
+
+
+def _exact_p(small: pd.Series, large: pd.Series, most: pd.Series) -> pd.Series:
+    """Two-sided p of each group; groups of equal sizes and U are counted once."""
+    known: dict[tuple[int, int, int], float] = {}
+    out = []
+    for key in zip(small.astype(int), large.astype(int), most.astype(int), strict=True):
+        if key not in known:
+            known[key] = min(1.0, 2 * rank_sum_tail(*key))
+        out.append(known[key])
+    return pd.Series(out, dtype="float64")
+
+
+def mann_whitney(rows: DataFrame, keys: tuple[str, ...], side: str, value: str, exact_side: int = EXACT_SIDE) -> DataFrame:
+    """Two-sided U test per group; ``side`` is true for the first sample. U counts its wins.
+
+    The exact distribution where a side has ``exact_side`` values or fewer and no two values
+    are equal, else the normal tail with tie correction and continuity 0.5. A group
+    without values on one of the sides has no z and p 1.
+    """
     rows = rows.select(*keys, F.col(side).alias("b"), F.col(value).cast("double").alias("x")).filter("x IS NOT NULL")
-    rank, ties = _midrank(keys, F.col("x"))
-    rows = rows.withColumns({"r": rank, "t": ties})
-    first = F.col("b")
-    g = rows.groupBy(*keys).agg(F.sum(first.cast("bigint")).alias("n1"), F.sum((~first).cast("bigint")).alias("n2"), F.sum(F.when(first, F.col("r")).otherwise(0.0)).alias("r1"), F.sum(F.col("t") * F.col("t") - 1).alias("tie"))
+    ranked = distinct_ranks(rows, keys, F.col("x"), first=F.col("b").cast("bigint"))
+    g = ranked.groupBy(*keys).agg(
+        F.sum("first").alias("n1"), F.sum(F.col("n") - F.col("first")).alias("n2"), F.sum(F.col("first") * F.col("mid")).alias("r1"), _ties().alias("tie")
+    )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie") / (n * (n - 1))))
+    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.coalesce(F.try_divide(F.col("tie"), n * (n - 1)), F.lit(0.0))))
     g = g.withColumn("u", u).withColumn("z", F.try_divide(F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2 - 0.5, sigma))
-    return g.select(*keys, "n1", "n2", "u", "z", F.least(F.lit(1.0), 2 * normal_tail(F.col("z"))).alias("p"))
+    g = g.withColumn("normal", F.least(F.lit(1.0), 2 * normal_tail(F.col("z"))))
+    few = (F.least("n1", "n2") <= exact_side) & (F.least("n1", "n2") > 0) & (F.col("tie") == 0)
+    # groups that need no exact count are passed as the smallest one
+    at = lambda c: F.when(few, c).otherwise(F.lit(1)).cast("bigint")
+    exact = F.pandas_udf(_exact_p, "double")(at(F.least("n1", "n2")), at(F.greatest("n1", "n2")), at(F.least(F.col("u"), n1 * n2 - F.col("u"))))
+    return g.select(*keys, "n1", "n2", "u", "z", F.when(few, exact).otherwise(F.col("normal")).alias("p"))
 
 
 def bh_fdr(rows: DataFrame, keys: tuple[str, ...], p: str, order: str) -> DataFrame:
-    """Step-up q values within the family ``keys``; ``order`` makes equal p values stand in a fixed order."""
-    w = Window.partitionBy(*keys).orderBy(p, order)
-    n = F.count(p).over(Window.partitionBy(*keys))
-    raw = rows.filter(F.col(p).isNotNull()).withColumn("_raw", F.col(p) * n / F.row_number().over(w))
-    upward = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return raw.withColumn("q", F.least(F.min("_raw").over(upward), F.lit(1.0))).drop("_raw")
+    """Step-up q values within the family ``keys``; rows without p go. Equal p values have equal q values, whatever their ``order``.
+
+    The last of equal p values gives the smallest of their quotients, so each value is needed once.
+    """
+    some = rows.filter(F.col(p).isNotNull())
+    values = distinct_ranks(some, keys, F.col(p))
+    values = values.select(*keys, "x", (F.col("x") * F.col("total") / (F.col("before") + F.col("n"))).alias("raw"))
+    q = least_from_here(values, keys, ("x",), "raw").select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("x").alias("_x"), F.least("least", F.lit(1.0)).alias("q"))
+    same = F.col(p) == F.col("_x")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return some.join(q, same).select(*rows.columns, "q")
 
 
 def _indexed(rows: DataFrame, keys: tuple[str, ...], value: str, order: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return rows.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("x"), (F.row_number().over(w.orderBy(value, order)) - 1).cast("bigint").alias("i"), F.count(F.lit(1)).over(w).alias("n")
-    )
+    """(keys, x, i, n): the values of a group numbered in their order."""
+    some = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"), F.col(order).alias("_o"))
+    return numbered(some, keys, ("x", "_o")).select(*keys, "x", F.col("before").alias("i"), F.col("total").alias("n"))
 
 
 def _medians(rows: DataFrame, keys: tuple[str, ...], rounds: int, seed: int) -> DataFrame:

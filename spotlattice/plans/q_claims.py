@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spotlattice.functions.expr import erfc_sql, hash_number_sql, r6
+from spotlattice.functions.expr import erfc_sql, hash_number_sql, r6, r12
 from spotlattice.operators import claims as C
 from spotlattice.operators import stats as S
 from spotlattice.plans.views import view, with_views
@@ -22,7 +22,7 @@ def _deltas(spark, d):
 
 
 def paired_delta(spark, d):
-    return _deltas(spark, d).withColumn("delta", r6(F.col("delta")))
+    return _deltas(spark, d).withColumn("delta", r12(F.col("delta")))
 
 
 def _rank_sql(keys: str, rows: str) -> str:
@@ -83,13 +83,13 @@ boot AS (SELECT g, b, x FROM dr JOIN ix USING (g, i))"""
 
 
 def bootstrap_ci(spark, d):
-    return S.bootstrap_ci(_deltas(spark, d), C.COMPARISON, "delta", "sample_id", ROUNDS).select("baseline", "metric", "n", *(r6(F.col(c)).alias(c) for c in ("median", "ci_low", "ci_high")))
+    return S.bootstrap_ci(_deltas(spark, d), C.COMPARISON, "delta", "sample_id", ROUNDS).select("baseline", "metric", "n", *(r12(F.col(c)).alias(c) for c in ("median", "ci_low", "ci_high")))
 
 
 BOOT_SQL = with_views(
     f"""WITH {DELTA_SQL}, {_draw_sql("SELECT g, delta AS x, sample_id AS o FROM deltas", ROUNDS)},
 m AS (SELECT g, b, quantile_cont(x, 0.5) AS m FROM boot GROUP BY g, b)
-SELECT baseline, metric, n, round(median, 6) AS median, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM (SELECT baseline, metric, g, count(*) AS n, quantile_cont(delta, 0.5) AS median FROM deltas GROUP BY ALL)
+SELECT baseline, metric, n, round(median, 12) AS median, round(ci_low, 12) AS ci_low, round(ci_high, 12) AS ci_high FROM (SELECT baseline, metric, g, count(*) AS n, quantile_cont(delta, 0.5) AS median FROM deltas GROUP BY ALL)
 LEFT JOIN (SELECT g, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM m WHERE g IN (SELECT g FROM ix WHERE n > 1) GROUP BY g) USING (g)""",
     "paired",
 )
@@ -113,9 +113,20 @@ def direction_coverage(spark, d):
     return C.direction_coverage(_deltas(spark, d), targets).select("baseline", "metric", "n_samples", "n_target", r6(F.col("direction_consistency")).alias("direction_consistency"), r6(F.col("coverage")).alias("coverage"))
 
 
+# Differences of two-decimal balances over 10,000 and their quantiles end in at most ten decimals, often in a five at the
+# seventh: they are rounded where no such value is halfway. Other numbers are rounded to six places.
+EXACT = ("effect_median", "ci_low", "ci_high")
 _C1_COLUMNS = ("effect_median", "ci_low", "ci_high", "statistic", "p_value", "q_value", "direction_consistency", "coverage")
 
 
+def _places(c):
+    return 12 if c in EXACT else 6
+
+
+def _rounded(c):
+    return F.round(c, _places(c))
+
+
 def _c1(spark, d):
     return C.gate_c1(view(spark, d, "paired"), "focal", C.families_table(spark), METRICS, ROUNDS)
 
@@ -123,7 +134,7 @@ def _c1(spark, d):
 def gate_c1(spark, d):
     """All six baselines on both metrics, corrected within each family."""
     gates = ("gate_significance", "gate_effect", "gate_direction", "gate_coverage", "gate_overall")
-    return _c1(spark, d).select("baseline", "metric", "family", "n_samples", "n_target", *(r6(F.col(c)).alias(c) for c in _C1_COLUMNS), *gates, "tier", "decision")
+    return _c1(spark, d).select("baseline", "metric", "family", "n_samples", "n_target", *(_rounded(c).alias(c) for c in _C1_COLUMNS), *gates, "tier", "decision")
 
 
 def _gate_sql(families: str, metrics: str, rounds: int) -> str:
@@ -145,7 +156,7 @@ c1 AS (SELECT *, gate_significance AND gate_effect AND gate_direction AND gate_c
 
 _TARGET = "tg AS (SELECT count(DISTINCT sample_id) AS n_target FROM v_paired WHERE method_id = 'focal')"
 _C1_BODY = f"{DELTA_SQL}, {_TARGET}, " + _gate_sql(", ".join(f"('{b}', '{f}')" for b, f in C.FAMILIES.items()), "['coherence', 'marker']", ROUNDS)
-_C1_SELECT = f"""SELECT baseline, metric, family, n_samples, n_target, {", ".join(f"round({c}, 6) AS {c}" for c in _C1_COLUMNS)},
+_C1_SELECT = f"""SELECT baseline, metric, family, n_samples, n_target, {", ".join(f"round({c}, {_places(c)}) AS {c}" for c in _C1_COLUMNS)},
 gate_significance, gate_effect, gate_direction, gate_coverage, gate_overall, tier, CASE WHEN gate_overall THEN 'pass' ELSE 'fail' END AS decision FROM c1"""
 C1_SQL = with_views(f"WITH {_C1_BODY} {_C1_SELECT}", "paired")
 
@@ -186,13 +197,13 @@ def gate_c4(spark, d):
     """External anchor: the same paired statistics on another metric, focal against M5 only."""
     one = C.families_table(spark).filter("baseline = 'M5'")
     units = view(spark, d, "paired").withColumn("edge", F.col("coherence") * F.col("coherence"))
-    return C.gate_c1(units, "focal", one, "edge", ROUNDS).select("baseline", "n_samples", *(r6(F.col(c)).alias(c) for c in ("effect_median", "ci_low", "ci_high", "p_value", "direction_consistency")))
+    return C.gate_c1(units, "focal", one, "edge", ROUNDS).select("baseline", "n_samples", *(_rounded(c).alias(c) for c in ("effect_median", "ci_low", "ci_high", "p_value", "direction_consistency")))
 
 
 _C4_BODY = f"""deltas AS (SELECT b.method_id AS baseline, 'edge' AS metric, b.method_id || '|edge' AS g, a.sample_id, avg(a.coherence * a.coherence - b.coherence * b.coherence) AS delta
   FROM v_paired a JOIN v_paired b ON a.sample_id = b.sample_id AND a.K = b.K AND a.method_id = 'focal' AND b.method_id = 'M5' GROUP BY 1, 2, 3, 4), {_TARGET}, """ + _gate_sql("('M5', 'F1')", "['edge']", ROUNDS)
 C4_SQL = with_views(
-    f"""WITH {_C4_BODY} SELECT baseline, n_samples, round(effect_median, 6) AS effect_median, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p_value, 6) AS p_value, round(direction_consistency, 6) AS direction_consistency FROM c1""",
+    f"""WITH {_C4_BODY} SELECT baseline, n_samples, round(effect_median, 12) AS effect_median, round(ci_low, 12) AS ci_low, round(ci_high, 12) AS ci_high, round(p_value, 6) AS p_value, round(direction_consistency, 6) AS direction_consistency FROM c1""",
     "paired",
 )
 
@@ -202,7 +213,7 @@ def claims(spark, d):
     parts = {"C1": c1, "C2": _c2(spark, d).withColumn("metric", F.lit("stability")), "C3": _c3(spark, d).withColumn("metric", F.lit("runtime"))}
     out = C.assemble(parts)
     doubles = {c for c, k in out.dtypes if k == "double"}
-    return out.select(*(r6(F.col(c)).alias(c) if c in doubles else F.col(c) for c in C.CLAIM_COLUMNS))
+    return out.select(*(_rounded(c).alias(c) if c in doubles else F.col(c) for c in C.CLAIM_COLUMNS))
 
 
 _FILL = {"claim_id", "family", "comparison", "metric", "tier", "decision", "notes"}
@@ -213,14 +224,14 @@ def _claim_row(source: str, have: dict[str, str]) -> str:
     return "SELECT " + ", ".join(f"({have.get(c, 'NULL')})::{kind(c)} AS {c}" for c in C.CLAIM_COLUMNS) + f" FROM {source}"
 
 
-_NUM = {c: f"round({c}, 6)" for c in _C1_COLUMNS}
+_NUM = {c: f"round({c}, {_places(c)})" for c in _C1_COLUMNS}
 CLAIM_SQL = with_views(
     f"WITH {_C1_BODY}, {_C2_SQL}, {_C3_SQL} "
     + _claim_row("c1", {"claim_id": "'C1'", "comparison": "'focal_vs_' || baseline", "metric": "metric", "family": "family", "n_samples": "n_samples", "n_target": "n_target", **_NUM, **{g: g for g in ("gate_significance", "gate_effect", "gate_direction", "gate_coverage", "gate_overall", "tier")}, "decision": "CASE WHEN gate_overall THEN 'pass' ELSE 'fail' END"})
     + " UNION ALL "
-    + _claim_row("c2", {"claim_id": "'C2'", "metric": "'stability'", "n_samples": "n_samples", **{c: f"round({c}, 6)" for c in ("effect_median", "share", "iqr_share", "p_value")}, "gate_overall": "gate_overall"})
+    + _claim_row("c2", {"claim_id": "'C2'", "metric": "'stability'", "n_samples": "n_samples", **{c: f"round({c}, {_places(c)})" for c in ("effect_median", "share", "iqr_share", "p_value")}, "gate_overall": "gate_overall"})
     + " UNION ALL "
-    + _claim_row("c3", {"claim_id": "'C3'", "metric": "'runtime'", "n_samples": "n_samples", **{c: f"round({c}, 6)" for c in ("effect_median", "share")}, "gate_overall": "gate_overall", "tier": "tier"}),
+    + _claim_row("c3", {"claim_id": "'C3'", "metric": "'runtime'", "n_samples": "n_samples", **{c: f"round({c}, {_places(c)})" for c in ("effect_median", "share")}, "gate_overall": "gate_overall", "tier": "tier"}),
     "paired", "ledger",
 )
 
@@ -233,7 +244,7 @@ QUERIES = {
 }
 _W = "SELECT g AS {0}, n, round(v, 6) AS v, round(z, 6) AS z, round(p, 6) AS p FROM ({1})"
 SQL = {
-    "paired_delta": with_views(f"WITH {DELTA_SQL} SELECT baseline, metric, sample_id, round(delta, 6) AS delta FROM deltas", "paired"),
+    "paired_delta": with_views(f"WITH {DELTA_SQL} SELECT baseline, metric, sample_id, round(delta, 12) AS delta FROM deltas", "paired"),
     "wilcoxon_paired": with_views(f"WITH {DELTA_SQL} " + "SELECT split_part(g, '|', 1) AS baseline, split_part(g, '|', 2) AS metric, n, round(v, 6) AS v, round(z, 6) AS z, round(p, 6) AS p FROM (" + _wilcoxon_sql("SELECT g, delta AS d FROM deltas", False) + ")", "paired"),
     "wilcoxon_greater": with_views(_W.format("K", _wilcoxon_sql("SELECT K AS g, coherence - 0.4::DOUBLE AS d FROM v_paired WHERE method_id = 'focal'", True)), "paired"),
     "mann_whitney": MANN_SQL,

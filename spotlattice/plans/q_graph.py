@@ -281,8 +281,7 @@ def edge_alignment(spark, d):
 
 def patch_features(spark, d):
     out = H.patch_features(_on_image(spark, d), _v(spark, d, "pixels"))
-    # prices have two decimals, so means often end in a five at the seventh place: a billionth settles how it is rounded
-    return out.select(K, "spot", "n_pixels", r6(F.col("gray_mean") + 1e-9).alias("gray_mean"), *(r6(F.col(c)).alias(c) for c in ("gray_sd", "grad_mean", "grad_q95")))
+    return out.select(K, "spot", "n_pixels", *(r6(F.col(c)).alias(c) for c in ("gray_mean", "gray_sd", "grad_mean", "grad_q95")))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -412,7 +411,7 @@ SELECT sample_id, n_spots, n_edges, n_boundary_edges, round(edge_boundary, 6) AS
     "patch_features": with_views("""WITH sz AS (SELECT max(px) AS mx, max(py) AS my FROM v_pixels), c AS (SELECT sample_id, spot, round_even((x + 1000) / 250, 0)::BIGINT AS cx, round_even(y / 100, 0)::BIGINT AS cy FROM v_spots),
 p AS (SELECT sample_id, spot, px, py, gray FROM c, sz, v_pixels WHERE cx >= 0 AND cy >= 0 AND cx <= mx AND cy <= my AND abs(px - cx) <= 24 AND abs(py - cy) <= 24),
 g AS (SELECT *, lead(gray) OVER (PARTITION BY sample_id, spot, py ORDER BY px) - lag(gray) OVER (PARTITION BY sample_id, spot, py ORDER BY px) AS gx, lead(gray) OVER (PARTITION BY sample_id, spot, px ORDER BY py) - lag(gray) OVER (PARTITION BY sample_id, spot, px ORDER BY py) AS gy FROM p)
-SELECT sample_id, spot, count(*) AS n_pixels, round(avg(gray) + 0.000000001::DOUBLE, 6) AS gray_mean, round(stddev_pop(gray), 6) AS gray_sd, round(avg(sqrt(gx * gx + gy * gy)), 6) AS grad_mean, round(quantile_cont(sqrt(gx * gx + gy * gy), 0.95), 6) AS grad_q95 FROM g GROUP BY 1, 2 HAVING count(*) >= 25""", "pixels", "spots"),
+SELECT sample_id, spot, count(*) AS n_pixels, (2 * sum((gray * 1000000)::DECIMAL(18,0))::HUGEINT + count(*)) // (2 * count(*)) / 1000000.0::DOUBLE AS gray_mean, round(stddev_pop(gray), 6) AS gray_sd, round(avg(sqrt(gx * gx + gy * gy)), 6) AS grad_mean, round(quantile_cont(sqrt(gx * gx + gy * gy), 0.95), 6) AS grad_q95 FROM g GROUP BY 1, 2 HAVING count(*) >= 25""", "pixels", "spots"),
 }
 # the names under which earlier versions registered the whole tables and vectors
 WHOLE = ("library_size", "hvg_select", "graph_smooth", "edge_attention", "patch_features")
