@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotlattice.functions.expr import hash_number, squared_distance
@@ -138,38 +138,91 @@ def rb_modularity(edges: DataFrame, labels: DataFrame, gamma: float) -> DataFram
     return s.join(m, KEY).join(inner, KEY, "left").select(KEY, (F.coalesce("inner", F.lit(0.0)) - gamma * F.col("ss") / (4 * F.col("m"))).alias("modularity"))
 
 
-def _quality(e: DataFrame, comm: DataFrame, m: DataFrame, group: list[str]) -> DataFrame:
-    """(sample, gamma, q) of communities ``(sample, gamma, node, k, c)``, without the weight inside nodes."""
-    at = lambda n, name: comm.select(*group, F.col("node").alias(n), F.col("c").alias(name))
-    inner = e.join(at("src", "ca"), [*group, "src"]).join(at("dst", "cb"), [*group, "dst"]).filter("ca = cb").groupBy(*group).agg(F.sum("w").alias("inner"))
-    total = comm.groupBy(*group, "c").agg(F.sum("k").alias("s")).groupBy(*group).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
-    q = F.coalesce("inner", F.lit(0.0)) - F.col("gamma") * F.col("ss") / (4 * F.col("m"))
-    return total.join(F.broadcast(m), KEY).join(inner, group, "left").select(*group, F.round(q, 9).alias("q"))
+def _class(name: Column, turn: int) -> Column:
+    """0 or 1, dealt anew each turn."""
+    return F.pmod(F.xxhash64(name, F.lit(turn)), F.lit(2))
 
 
-def _moved(both: DataFrame, comm: DataFrame, m: DataFrame, group: list[str], parity: int) -> DataFrame:
-    """One round: nodes of one hash parity move to the neighbouring community of largest gain.
+def _earlier(rows: DataFrame, group: list[str], by: str) -> Column:
+    """Strength of the rows that come before in the order of falling gain, among those with the same ``by``."""
+    w = Window.partitionBy(*group, by).orderBy(F.desc("g"), "node").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("k").over(w), F.lit(0.0))
 
-    Of two communities of one node each only the one of larger name may join the other, so they do not swap.
+
+def _move_round(both: DataFrame, comm: DataFrame, m: DataFrame, group: list[str], turn: int) -> DataFrame:
+    """(group, node, k, c, moved, open): nodes of one half of the communities move into the other half.
+
+    A node goes to the neighbouring community of largest gain, if the gain outlasts
+    the strength of all that move before it into that community or out of its own. Then every
+    move taken one after the other raises the modularity, and none has to be undone. ``open``
+    tells whether any move, of whatever half, would raise it.
     """
-    s = comm.groupBy(*group, "c").agg(F.sum("k").alias("s"), F.count(F.lit(1)).alias("n"))
-    named = comm.join(s.select(*group, "c", F.col("n").alias("own_n")), [*group, "c"])
-    to = both.join(comm.select(*group, F.col("node").alias("other"), F.col("c").alias("to")), [*group, "other"]).groupBy(*group, "node", "to").agg(F.sum("w").alias("w"))
+    s = comm.groupBy(*group, "c").agg(F.sum("k").alias("s"))
+    to = both.join(comm.select(*group, F.col("node").alias("other"), F.col("c").alias("to")), [*group, "other"]).select(*group, "node", "to", "w")
     own = comm.select(*group, "node", F.col("c").alias("to"), F.lit(0.0).alias("w"))
-    options = to.unionByName(own).groupBy(*group, "node", "to").agg(F.sum("w").alias("w")).join(named, [*group, "node"]).join(s.withColumnRenamed("c", "to"), [*group, "to"]).join(F.broadcast(m), KEY)
-    options = options.filter(~((F.col("own_n") == 1) & (F.col("n") == 1) & (F.col("to") > F.col("c"))))
-    rest = F.col("s") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
-    gain = F.round(F.col("w") - F.col("gamma") * F.col("k") * rest / (2 * F.col("m")), 9)
-    best = options.groupBy(*group, "node").agg(F.max(F.struct(gain.alias("g"), (-F.col("to")).alias("t"))).alias("b"), F.max(F.when(F.col("to") == F.col("c"), gain)).alias("stay"))
-    turn = F.pmod(F.xxhash64("node"), F.lit(2)) == parity
-    return comm.join(best, [*group, "node"]).select(*group, "node", "k", F.when(turn & (F.col("b.g") > F.col("stay")), -F.col("b.t")).otherwise(F.col("c")).alias("c"))
+    options = to.unionByName(own).groupBy(*group, "node", "to").agg(F.sum("w").alias("w")).join(comm.select(*group, "node", "k", "c"), [*group, "node"]).join(s.withColumnRenamed("c", "to"), [*group, "to"]).join(m, KEY)
+    stays = F.col("to") == F.col("c")
+    gain = F.round(F.col("w") - F.col("gamma") * F.col("k") * (F.col("s") - F.when(stays, F.col("k")).otherwise(0.0)) / (2 * F.col("m")), 9)
+    options = options.withColumn("gain", gain)
+    turns = ~stays & (_class(F.col("c"), turn) == 0) & (_class(F.col("to"), turn) == 1)
+    best = options.groupBy(*group, "node").agg(
+        F.max("k").alias("k"), F.max("c").alias("c"), F.max("m").alias("m"), F.max(F.when(stays, F.col("gain"))).alias("stay"),
+        F.max(F.when(~stays, F.col("gain"))).alias("most"), F.max(F.when(turns, F.struct("gain", (-F.col("to")).alias("t")))).alias("b"),
+    )
+    wish = best.filter(F.col("b.gain") > F.col("stay")).select(*group, "node", "k", "c", "m", (-F.col("b.t")).alias("to"), (F.col("b.gain") - F.col("stay")).alias("g"))
+    before = _earlier(wish, group, "to") + _earlier(wish, group, "c")
+    taken = wish.withColumn("before", before).filter(F.col("g") > F.col("gamma") * F.col("k") * F.col("before") / (2 * F.col("m"))).select(*group, "node", "to")
+    return best.join(taken, [*group, "node"], "left").select(*group, "node", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved"), (F.coalesce(F.col("most") > F.col("stay"), F.lit(False))).alias("open"))
+
+
+def _refine_round(inside: DataFrame, parts: DataFrame, m: DataFrame, group: list[str], turn: int) -> DataFrame:
+    """(group, node, k, c, part, open): nodes that are still alone join well-connected parts of their community.
+
+    ``inside`` has the edges within communities, in both directions. A part is well
+    connected if its weight to the rest of the community reaches what chance would give it. Parts of
+    several nodes stay, of the single ones one half moves and the other half waits, so a node always joins
+    a part that keeps the neighbour through which it came: parts are connected.
+    """
+    sizes = parts.groupBy(*group, "c", "part").agg(F.sum("k").alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy(*group, "c").agg(F.sum("k").alias("all"))
+    at = lambda node, name: parts.select(*group, F.col("node").alias(node), F.col("part").alias(name))
+    ends = inside.join(at("node", "part"), [*group, "node"]).join(at("other", "to"), [*group, "other"]).filter("part <> to")
+    outward = ends.groupBy(*group, "part").agg(F.sum("w").alias("out"))
+    by_chance = F.col("gamma") * F.col("s") * (F.col("all") - F.col("s")) / (2 * F.col("m"))
+    well = sizes.join(whole, [*group, "c"]).join(outward, [*group, "part"]).join(m, KEY).filter(F.round(F.col("out") - by_chance, 9) >= 0).select(*group, "part", "s", "n", "m")
+    alone = well.filter("n = 1").select(*group, "part", F.col("s").alias("k"))
+    options = ends.groupBy(*group, "part", "to").agg(F.sum("w").alias("w")).join(alone, [*group, "part"]).join(well.select(*group, F.col("part").alias("to"), "s", "n", "m"), [*group, "to"])
+    options = options.withColumn("gain", F.round(F.col("w") - F.col("gamma") * F.col("k") * F.col("s") / (2 * F.col("m")), 9)).filter("gain > 0")
+    turns = (_class(F.col("part"), turn) == 0) & ((F.col("n") > 1) | (_class(F.col("to"), turn) == 1))
+    best = options.groupBy(*group, F.col("part").alias("node")).agg(F.max("k").alias("k"), F.max("m").alias("m"), F.max(F.when(turns, F.struct("gain", (-F.col("to")).alias("t")))).alias("b"))
+    wish = best.select(*group, "node", "k", "m", (-F.col("b.t")).alias("to"), F.col("b.gain").alias("g"))
+    taken = wish.filter("to IS NOT NULL").withColumn("before", _earlier(wish, group, "to")).filter(F.col("g") > F.col("gamma") * F.col("k") * F.col("before") / (2 * F.col("m")))
+    named = wish.select(*group, "node").join(taken.select(*group, "node", "to"), [*group, "node"], "left")
+    return parts.select(*group, "node", "k", "c", "part").join(named.withColumn("open", F.lit(True)), [*group, "node"], "left").select(*group, "node", "k", "c", F.coalesce("to", "part").alias("part"), F.coalesce("open", F.lit(False)).alias("open"))
+
+
+def _components(inside: DataFrame, nodes: DataFrame, group: list[str]) -> DataFrame:
+    """(group, node, part): the least node of each connected piece of the edges ``inside``; names spread and are followed to their own."""
+    named = cut(nodes.select(*group, "node", F.col("node").alias("part")))
+    while True:
+        other = named.select(*group, F.col("node").alias("other"), F.col("part").alias("near"))
+        least = inside.join(other, [*group, "other"]).groupBy(*group, "node").agg(F.min("near").alias("near"))
+        spread = named.join(least, [*group, "node"], "left").select(*group, "node", F.col("part").alias("before"), F.least("part", "near").alias("part"))
+        far = spread.select(*group, F.col("node").alias("part"), F.col("part").alias("farther"))
+        new = cut(spread.join(far, [*group, "part"], "left").select(*group, "node", "before", F.least("part", "farther").alias("part")))
+        named = new.drop("before")
+        if new.filter("part <> before").isEmpty():
+            return named
 
 
 def community_fit(edges: DataFrame, gammas: list[float] | DataFrame, levels: int | None = None, rounds: int | None = None) -> DataFrame:
-    """(sample, gamma, spot, label): local moves of all samples and resolutions at once, then again on the communities.
+    """(sample, gamma, spot, label): communities of all samples and resolutions at once, each of them connected.
 
-    A round counts for a sample and resolution only if its modularity rises. A
-    level ends when no round of either parity has raised any, all end with a level that moves nothing;
+    A level moves nodes between communities while any move raises the modularity. Each
+    community is then refined into well-connected parts by merges inside it, and
+    the graph is aggregated by the parts, which start the next level in their community. A sample where
+    nothing moves and nothing merges is aggregated by the connected pieces of its
+    communities. It is done when each community is one node and none would gain by another.
     ``levels`` and ``rounds`` may stop it sooner. Labels are numbered from 0.
     ``gammas`` are the resolutions of all samples, or a table ``(sample, gamma)``.
     """
@@ -179,36 +232,47 @@ def community_fit(edges: DataFrame, gammas: list[float] | DataFrame, levels: int
     else:
         grid, on = edges.sparkSession.createDataFrame([(g,) for g in gammas], "gamma double"), None
     edges = cut(edges.select(KEY, "src", "dst", "w"))
-    m = edges.groupBy(KEY).agg(F.sum("w").alias("m"))
-    e = cut(edges.select(KEY, "src", "dst", "w").join(F.broadcast(grid), on))
-    node = cut(strengths(edges).join(F.broadcast(grid), on))
-    where = cut(node.select(*group, F.col("node").alias("spot"), "node"))
+    m = cut(edges.groupBy(KEY).agg(F.sum("w").alias("m")))
+    e = edges.join(grid, on) if on else edges.crossJoin(F.broadcast(grid))  # a list of resolutions is a parameter
+    e = cut(e.filter("src <> dst").groupBy(*group, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w")))
+    node = strengths(edges)
+    comm = cut((node.join(grid, on) if on else node.crossJoin(F.broadcast(grid))).select(*group, "node", "k", F.col("node").alias("c")))
+    where = cut(comm.select(*group, F.col("node").alias("spot"), "node"))
     for level in itertools.count():
-        if level == levels:
-            break
         both = cut(e.select(*group, F.col("src").alias("node"), F.col("dst").alias("other"), "w").unionByName(e.select(*group, F.col("dst").alias("node"), F.col("src").alias("other"), "w")))
-        comm = node.withColumn("c", F.col("node"))
-        score = cut(_quality(e, comm, m, group))
-        risen, idle = False, 0
-        for r in itertools.count():
-            if r == rounds or idle == 2:
+        start = comm
+        for turn in itertools.count():
+            comm = cut(_move_round(both, comm, m, group, turn))
+            if turn + 1 == rounds or comm.filter("open").isEmpty():
+                break
+        at = lambda n, name: comm.select(*group, F.col("node").alias(n), F.col("c").alias(name))  # noqa: B023, E731
+        inside = cut(both.join(at("node", "ca"), [*group, "node"]).join(at("other", "cb"), [*group, "other"]).filter("ca = cb").select(*group, "node", "other", "w"))
+        last = level + 1 == levels
+        parts = comm.select(*group, "node", "k", "c", F.col("node").alias("part"))
+        for turn in itertools.count():
+            if last:
+                break
+            parts = cut(_refine_round(inside, parts, m, group, turn))
+            if parts.filter("open").isEmpty():
                 break
-            new = cut(_moved(both, comm, m, group, r % 2))
-            now = _quality(e, new, m, group)
-            better = now.join(score.withColumnRenamed("q", "old"), group).select(*group, (F.col("q") > F.col("old")).alias("up"), F.greatest("q", "old").alias("q"))
-            better = cut(better)
-            comm = cut(new.join(comm.select(*group, "node", F.col("c").alias("before")), [*group, "node"]).join(F.broadcast(better), group).select(*group, "node", "k", F.when(F.col("up"), F.col("c")).otherwise(F.col("before")).alias("c")))
-            score = better.select(*group, "q")
-            up = not better.filter("up").isEmpty()
-            risen, idle = risen or up, 0 if up else idle + 1
-        if not risen:
+        state = parts.join(start.select(*group, "node", F.col("c").alias("before")), [*group, "node"]).groupBy(*group).agg(
+            F.max((F.col("c") != F.col("before")).cast("int")).alias("moved"), F.max((F.col("part") != F.col("node")).cast("int")).alias("merged"), (F.count_distinct("c") < F.count(F.lit(1))).alias("several")
+        )
+        state = cut(state)
+        still = state.filter("moved = 0 AND merged = 0" if not last else "true")
+        pieces = _components(inside.join(still, group, "left_semi"), comm.join(still, group, "left_semi"), group)
+        pieces = pieces.select(*group, "node", F.col("part").alias("piece"))
+        named = cut(parts.join(pieces, [*group, "node"], "left").select(*group, "node", "k", F.coalesce("piece", "part").alias("name"), F.coalesce("piece", "c").alias("c")))
+        where = cut(where.join(named.select(*group, "node", "name"), [*group, "node"]).select(*group, "spot", F.col("name").alias("node")))
+        if last or state.filter("moved = 1 OR merged = 1 OR several").isEmpty():
             break
-        where = cut(where.join(comm.select(*group, "node", "c"), [*group, "node"]).select(*group, "spot", F.col("c").alias("node")))
-        node = cut(comm.groupBy(*group, F.col("c").alias("node")).agg(F.sum("k").alias("k")))
+        comm = cut(named.groupBy(*group, F.col("name").alias("node")).agg(F.sum("k").alias("k"), F.max("c").alias("c")))
         for c in ("src", "dst"):
-            e = e.join(comm.select(*group, F.col("node").alias(c), "c"), [*group, c]).drop(c).withColumnRenamed("c", c)
+            e = e.join(named.select(*group, F.col("node").alias(c), "name"), [*group, c]).drop(c).withColumnRenamed("name", c)
         e = cut(e.filter("src <> dst").groupBy(*group, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w")))
-    return where.select(*group, "spot", (F.dense_rank().over(Window.partitionBy(*group).orderBy("node")) - 1).alias("label"))
+    # the communities are numbered, not their spots
+    label = where.select(*group, "node").distinct().withColumn("label", F.row_number().over(Window.partitionBy(*group).orderBy("node")) - 1)
+    return where.join(label, [*group, "node"]).select(*group, "spot", "label")
 
 
 def resolution_select(found: DataFrame, k: int) -> DataFrame:
