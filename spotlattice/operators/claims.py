@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlattice.operators.lineage import cut
+from spotlattice.operators.lineage import cut, tidy
 from spotlattice.operators.stats import bh_fdr, bootstrap_ci, wilcoxon
 
 # Thresholds of the gates.
@@ -71,6 +71,7 @@ def gate_c1(units: DataFrame, focal: str, families: DataFrame, metric: str | tup
     return gate_deltas(paired_delta(units, focal, families, names), families, units.filter(F.col("method_id") == focal).agg(F.countDistinct("sample_id").alias("n_target")), rounds, bars)
 
 
+@tidy
 def gate_deltas(deltas: DataFrame, families: DataFrame, targets: DataFrame, rounds: int = 5000, bars: dict | None = None) -> DataFrame:
     """``gate_c1`` from differences ``(baseline, metric, sample_id, delta)`` and comparisons ``(baseline, family, metric)``."""
     bars, on = bars or GATES["c1"], list(COMPARISON)

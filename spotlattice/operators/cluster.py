@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spotlattice.functions.expr import hash_number, squared_distance
 from spotlattice.operators.graph import KEY
-from spotlattice.operators.lineage import cut
+from spotlattice.operators.lineage import cut, tidy
 
 
 def _mean(c: str, n: int):
@@ -34,6 +34,7 @@ def kmeans_update(points: DataFrame, assigned: DataFrame, size: int, keys: tuple
     return assigned.join(points.select(KEY, "spot", "f"), [KEY, "spot"]).groupBy(*keys, "label").agg(_mean("f", size).alias("f"))
 
 
+@tidy
 def kmeans_fit(points: DataFrame, plan: DataFrame, size: int, inits: int = 10, rounds: int = 300) -> tuple[DataFrame, DataFrame]:
     """(labels, inertia) per (sample, K, seed): Lloyd steps of all groups and starts at once, the best start wins.
 
@@ -89,6 +90,7 @@ def ward_round(costs: DataFrame, spread: bool = False) -> DataFrame:
     return best.join(back, [KEY, "x", "y"]).filter("x < y").select(KEY, F.col("x").alias("a"), F.col("y").alias("b"), "cost")
 
 
+@tidy
 def ward_fit(points: DataFrame, edges: DataFrame, k: int, size: int) -> DataFrame:
     """(sample, spot, label) with exactly k labels (or one a spot): rounds of reciprocal merges over the edges.
 
@@ -215,6 +217,7 @@ def _components(inside: DataFrame, nodes: DataFrame, group: list[str]) -> DataFr
             return named
 
 
+@tidy
 def community_fit(edges: DataFrame, gammas: list[float] | DataFrame, levels: int | None = None, rounds: int | None = None) -> DataFrame:
     """(sample, gamma, spot, label): communities of all samples and resolutions at once, each of them connected.
 
@@ -292,6 +295,7 @@ def _between(bounds: DataFrame, n: int, ends: bool) -> DataFrame:
     return bounds.select(KEY, "low", "high", steps).select(KEY, (F.col("low") * F.pow(F.col("high") / F.col("low"), share)).alias("gamma"), "step")
 
 
+@tidy
 def resolution_search(edges: DataFrame, k: int, fit=community_fit) -> tuple[DataFrame, DataFrame]:
     """(choice, labels): per sample the resolution whose communities number ``k``, else the nearest, and its labels.
 

@@ -47,7 +47,17 @@ def domain_heatmap(expr: DataFrame, labels: DataFrame, genes: list[int]) -> Data
 
 
 def heatmap_wide(heat: DataFrame, labels: list[int]) -> DataFrame:
-    return heat.groupBy(KEY, "gene").pivot("label", labels).agg(F.first("z"))
+    """One row a gene: its mean and its z in each domain, null where the sample has no such domain."""
+    one = lambda c, x: F.max(F.when(F.col("label") == x, F.col(c)))
+    return heat.groupBy(KEY, "gene").agg(*(one("mean", x).alias(f"domain_{x}_mean_log1p") for x in labels), *(one("z", x).alias(f"domain_{x}_z") for x in labels))
+
+
+def heatmap_guard(expr: DataFrame, genes: list[int], least: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(kept, failures): the expression of the samples with ``least`` of the genes, and a row for each other sample."""
+    n = expr.groupBy(KEY).agg(F.count_distinct(F.when(F.col("gene").isin(genes), F.col("gene"))).alias("n_genes"))
+    few = n.filter(F.col("n_genes") < least)
+    failures = few.withColumns({"failure_type": F.lit("marker_genes"), "error_message": F.concat(F.lit("too few marker genes found: "), "n_genes")})
+    return expr.join(few, KEY, "left_anti"), failures
 
 
 def coord_label_join(labels: DataFrame, spots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,6 +69,21 @@ def coord_label_join(labels: DataFrame, spots: DataFrame) -> tuple[DataFrame, Da
     return joined.filter("spot IS NOT NULL").drop("ix", "iy"), joined.groupBy(KEY).agg(F.avg(F.col("spot").isNotNull().cast("double")).alias("match_rate"))
 
 
+def coord_guard(labels: DataFrame, spots: DataFrame, least: float = 0.95) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(joined, rates, failures): ``coord_label_join`` for the samples in which ``least`` of the spots found a label.
+
+    ``rates`` has for each sample n_spots and n_matched, ``failures`` a row for each sample that falls short.
+    """
+    at = lambda c: F.bround(c).cast("bigint")
+    places = labels.select(KEY, at("x").alias("ix"), at("y").alias("iy")).distinct().withColumn("found", F.lit(1))
+    seen = spots.select(KEY, at("x").alias("ix"), at("y").alias("iy")).join(places, [KEY, "ix", "iy"], "left")
+    rates = seen.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_spots"), F.count("found").alias("n_matched"))
+    few = rates.filter(F.col("n_matched") < F.floor(least * F.col("n_spots")))
+    message = F.concat(F.lit("label match rate too low: "), "n_matched", F.lit(" of "), "n_spots")
+    joined, _ = coord_label_join(labels, spots)
+    return joined.join(few, KEY, "left_anti"), rates, few.withColumns({"failure_type": F.lit("label_match"), "error_message": message})
+
+
 def gray(red, green, blue):
     return 0.2989 * red + 0.5870 * green + 0.1140 * blue
 

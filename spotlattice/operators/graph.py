@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotlattice.operators.lineage import cut
+from spotlattice.operators.lineage import cut, tidy
 from spotlattice.operators.normalize import dot, unit
 
 KEY = "sample_id"
@@ -55,6 +55,7 @@ def _nearest(queries: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     return near.withColumn("sure", (F.col("c") >= F.col("extent")) | F.coalesce(reach < F.col("c") * F.col("c"), F.lit(False)))
 
 
+@tidy
 def knn(spots: DataFrame, k: int, per_cell: float | None = None) -> DataFrame:
     """(sample_id, spot, other, rank, d2): the exact k nearest other spots, ties by spot id.
 
@@ -116,6 +117,12 @@ def edge_weights(graph: DataFrame, embedding: DataFrame) -> DataFrame:
     return e.select(KEY, "src", "dst", F.greatest(F.lit(0.0), (1 + dot(F.col("ua"), F.col("ub"))) / 2).alias("w"))
 
 
+def edge_failures(spots: DataFrame, edges: DataFrame) -> DataFrame:
+    """A failure row for each sample without an edge between two of its spots."""
+    none = spots.select(KEY).distinct().join(edges.filter("src <> dst").select(KEY).distinct(), KEY, "left_anti")
+    return none.withColumns({"failure_type": F.lit("no_edges"), "error_message": F.lit("the graph has no edges")})
+
+
 def lattice_neighbours(lists: DataFrame, spots: DataFrame) -> DataFrame:
     """(sample_id, src, dst) of comma lists ``(sample_id, spot, neighbours)``; what is no spot goes."""
     e = lists.select(KEY, F.col("spot").alias("src"), F.explode(F.split("neighbours", ",")).alias("t")).select(KEY, "src", F.trim("t").try_cast("bigint").alias("dst")).filter("dst IS NOT NULL")
@@ -149,6 +156,7 @@ def _masses(pairs: DataFrame, grid: DataFrame, n: DataFrame) -> DataFrame:
     return grid.join(mass, [KEY, "l"], "left").join(n, KEY).select(KEY, "l", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mass"))
 
 
+@tidy
 def bandwidth_search(spots: DataFrame, target: float, low: float = 0.01, high: float = 1000.0, tolerance: float = 0.01, width: int = 8, rounds: int = 8) -> DataFrame:
     """(sample_id, l, mass): the length whose mass is nearest to ``target``, all samples at once.
 

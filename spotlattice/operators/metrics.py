@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotlattice.functions.expr import hash_number
 from spotlattice.operators.graph import KEY, coherence_neighbours
-from spotlattice.operators.lineage import cut
 from spotlattice.operators.ranks import numbered
 
 
@@ -99,38 +100,77 @@ def _overlap(labels: DataFrame, reference: int) -> DataFrame:
     return a.join(b, [KEY, "spot"]).groupBy(KEY, "seed", "cur", "ref").agg(F.count(F.lit(1)).alias("n"))
 
 
+def first_best_assignment(overlap: np.ndarray) -> list[int]:
+    """For each row of a square table the column, all different, with the largest sum; of equal ones the first in lexicographic order.
+
+    Shortest augmenting paths give one best assignment and the prices that prove it. Every best one
+    uses only cells without slack at those prices, so the first of them is found by giving each row
+    in turn its smallest such column that leaves the later rows one.
+    """
+    k = len(overlap)
+    cost = (overlap.max(initial=0) - overlap).astype(np.int64)
+    u, v, row_of = np.zeros(k, np.int64), np.zeros(k + 1, np.int64), np.full(k + 1, -1)
+    for i in range(k):
+        row_of[k], j = i, k
+        least, via, done = np.full(k, np.iinfo(np.int64).max), np.full(k, k), np.zeros(k + 1, bool)
+        while row_of[j] >= 0:
+            done[j] = True
+            r = row_of[j]
+            slack = cost[r] - u[r] - v[:k]
+            better = ~done[:k] & (slack < least)
+            least[better], via[better] = slack[better], j
+            near = np.where(done[:k], np.iinfo(np.int64).max, least)
+            j = int(near.argmin())
+            step = near[j]
+            u[row_of[done]] += step
+            v[done] -= step
+            least[~done[:k]] -= step
+        while j != k:
+            row_of[j], j = row_of[via[j]], via[j]
+    column = np.empty(k, int)
+    column[row_of[:k]] = np.arange(k)
+    tight = cost == u[:, None] + v[None, :k]
+    owner, fixed = row_of[:k].copy(), np.zeros(k, bool)
+
+    def move(r: int, seen: np.ndarray) -> bool:
+        """Finds row ``r`` another column by moving later rows on."""
+        for j in np.flatnonzero(tight[r] & ~fixed & ~seen):
+            seen[j] = True
+            if owner[j] < 0 or move(int(owner[j]), seen):
+                owner[j], column[r] = r, j
+                return True
+        return False
+
+    for i in range(k):
+        for j in np.flatnonzero(tight[i] & ~fixed):
+            if column[i] == j:
+                break
+            before = owner.copy(), column.copy()
+            other = int(owner[j])
+            owner[column[i]], owner[j], column[i] = -1, i, j
+            fixed[j] = True
+            if move(other, np.zeros(k, bool)):
+                break
+            fixed[j] = False
+            owner[:], column[:] = before
+        fixed[column[i]] = True
+    return column.tolist()
+
+
 def align(labels: DataFrame, reference: int, k: int) -> DataFrame:
-    """(sample, seed, cur, ref): the relabelling to the reference seed with most overlap.
+    """(sample, seed, cur, ref): the relabelling of 0..k-1 to the reference seed with most overlap, the first of equal ones.
 
-    All permutations of 0..k-1 are scored in one join up to 7 labels; with more, the best
-    assignment of the first labels is found for each set of reference labels that they
-    take, label by label. Of equal ones the first in lexicographic order wins.
+    Overlaps are counted by Spark; a task takes the k x k table of one sample and seed.
     """
-    if k > 7:
-        return _align_by_sets(labels, reference, k)
-    spark = labels.sparkSession
-    perms = spark.range(1).select(F.array().cast("array<int>").alias("perm"))
-    for _ in range(k):
-        step = F.explode(F.array_except(F.sequence(F.lit(0), F.lit(k - 1)), F.col("perm")))
-        perms = perms.select("perm", step.alias("next")).select(F.concat("perm", F.array("next")).alias("perm"))
-    places = perms.select("perm", F.posexplode("perm").alias("cur", "ref"))
-    o = _overlap(labels, reference).join(F.broadcast(places), ["cur", "ref"])
-    score = o.groupBy(KEY, "seed", "perm").agg(F.sum("n").alias("s"))
-    best = score.groupBy(KEY, "seed").agg(F.min_by("perm", F.struct((-F.col("s")).alias("s"), F.array_join("perm", ",").alias("t"))).alias("perm"))
-    return best.select(KEY, "seed", F.posexplode("perm").alias("cur", "ref"))
-
-
-def _align_by_sets(labels: DataFrame, reference: int, k: int) -> DataFrame:
-    """``align`` by the sets of reference labels in use: 2^k rows a seed at most, in k rounds."""
-    o = cut(_overlap(labels, reference))
-    every = F.sequence(F.lit(0), F.lit(k - 1))
-    best = o.select(KEY, "seed").distinct().select(KEY, "seed", F.lit(0).cast("bigint").alias("s"), F.array().cast("array<int>").alias("perm"))
-    for cur in range(k):
-        more = best.select(KEY, "seed", "s", "perm", F.explode(F.array_except(every, "perm")).alias("ref")).join(o.filter(F.col("cur") == cur).select(KEY, "seed", "ref", "n"), [KEY, "seed", "ref"], "left")
-        more = more.select(KEY, "seed", (F.col("s") + F.coalesce("n", F.lit(0))).alias("s"), F.concat("perm", F.array("ref")).alias("perm"))
-        first = more.groupBy(KEY, "seed", F.array_sort("perm").alias("used")).agg(F.min(F.struct((-F.col("s")).alias("s"), "perm")).alias("b"))
-        best = cut(first.select(KEY, "seed", (-F.col("b.s")).alias("s"), "b.perm"))
-    return best.select(KEY, "seed", F.posexplode("perm").alias("cur", "ref"))
+    o = _overlap(labels, reference).filter(F.col("cur").between(0, k - 1) & F.col("ref").between(0, k - 1))
+
+    def best(cells: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((k, k), np.int64)
+        table[cells["cur"].to_numpy(), cells["ref"].to_numpy()] = cells["n"].to_numpy()
+        return pd.DataFrame({KEY: cells[KEY].iloc[0], "seed": cells["seed"].iloc[0], "cur": np.arange(k), "ref": first_best_assignment(table)})
+
+    kind = lambda c: labels.schema[c].dataType.simpleString()
+    return o.groupBy(KEY, "seed").applyInPandas(best, f"{KEY} {kind(KEY)}, seed {kind('seed')}, cur int, ref int")
 
 
 def align_greedy(labels: DataFrame, reference: int, k: int) -> DataFrame:
@@ -171,6 +211,15 @@ def boundary(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     return neighbours.select(KEY, "spot", "other").join(a, [KEY, "spot"]).join(b, [KEY, "other"]).groupBy(KEY, "spot").agg(F.max((F.col("la") != F.col("lb")).cast("int")).alias("is_boundary"))
 
 
+def boundary_guard(mask: DataFrame, least: int = 10, keys: tuple[str, ...] = (KEY,)) -> tuple[DataFrame, DataFrame]:
+    """(kept, failures): the spots of the groups with ``least`` boundary and ``least`` interior spots, and a row for each other group."""
+    on = F.col("is_boundary") == 1
+    n = mask.groupBy(*keys).agg(F.count_if(on).alias("n_boundary"), F.count_if(~on).alias("n_interior"))
+    few = n.filter(F.least("n_boundary", "n_interior") < least)
+    message = F.concat(F.lit("too few boundary or interior spots: "), "n_boundary", F.lit(" and "), "n_interior")
+    return mask.join(few, list(keys), "left_anti"), few.withColumns({"failure_type": F.lit("boundary_sides"), "error_message": message})
+
+
 def select_marker(candidates: DataFrame, genes: DataFrame) -> DataFrame:
     """Per category the first candidate that the genes hold; null where none is."""
     c = candidates.select("category", F.posexplode("candidates").alias("place", "name"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotlattice.operators.lineage import cut
+from spotlattice.operators.lineage import cut, tidy
 
 
 def library_size(counts: DataFrame, spots: DataFrame) -> DataFrame:
@@ -87,6 +87,7 @@ def _project(expr: DataFrame, full: DataFrame, basis: DataFrame, means: DataFram
     return full.join(offset, "sample_id").join(y, ["sample_id", "spot"], "left").select("sample_id", "spot", F.zip_with(F.coalesce("y", zero), "o", lambda a, b: a - b).alias("y"))
 
 
+@tidy
 def pca(expr: DataFrame, spots: DataFrame, parts: int = 20, rounds: int = 300, seed: int = 0, spare: int = 20, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
     """(scores, variances) of all samples at once by subspace iteration on the long table.
 

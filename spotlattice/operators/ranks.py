@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotlattice.operators.lineage import cut
+from spotlattice.operators.lineage import cut, tidy
 
 
 def _dealt(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
@@ -28,6 +28,7 @@ def _by_part(rows: DataFrame, parts: DataFrame, keys: tuple[str, ...]) -> DataFr
     return rows.alias("l").join(parts.alias("r"), reduce(Column.__and__, on)).select("l.*", *(F.col(f"r.{c}") for c in more))
 
 
+@tidy
 def running(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], of: str) -> DataFrame:
     """The rows with ``before``, the sum of ``of`` over the rows of the group that come earlier in ``order``, and ``total`` of the group."""
     dealt = _dealt(rows, keys, order)
@@ -55,6 +56,7 @@ def numbered(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) ->
     return running(rows.withColumn("_one", F.lit(1).cast("bigint")), keys, order, "_one").drop("_one")
 
 
+@tidy
 def least_from_here(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], of: str) -> DataFrame:
     """The rows with ``least``, the smallest ``of`` among them and the later ones of the group in ``order``."""
     dealt = _dealt(rows, keys, order)

@@ -254,6 +254,45 @@ def coord_label_join(spark, d):
     return joined.select(K, "spot", "label", "origin")
 
 
+def _mask(spark, d):
+    """Boundaries of labels that leave few spots of the second and third sample on one side."""
+    labels = _labels(spark, d).withColumn("label", F.when(F.col(K) == "ASIA", 0).when(F.col(K) == "EUROPE", F.when(F.col("spot") % 400 == 7, 1).otherwise(0)).otherwise(F.col("label")))
+    return Q.boundary(G.knn(_spots(spark, d), 6), labels)
+
+
+def boundary_guard(spark, d):
+    """Boundary and interior spots of the samples that have ten of both; a sample that has not gives its failure row."""
+    kept, failures = Q.boundary_guard(_mask(spark, d))
+    good = kept.groupBy(K).agg(F.sum("is_boundary").alias("n_boundary"), F.count_if(F.col("is_boundary") == 0).alias("n_interior")).withColumn("error_message", F.lit(None).cast("string"))
+    return good.unionByName(failures.select(K, "n_boundary", "n_interior", "error_message"))
+
+
+def domain_heatmap_wide(spark, d):
+    kept, _ = H.heatmap_guard(_expr(spark, d), _HEAT)
+    wide = H.heatmap_wide(H.domain_heatmap(kept, _labels(spark, d), _HEAT), [0, 1, 2, 3])
+    return wide.select(K, "gene", *(r6(F.col(c)).alias(c) for c in wide.columns if c.startswith("domain_")))
+
+
+def heatmap_guard(spark, d):
+    """Failure rows of the samples with fewer than eight of the genes; one sample is given the first five genes only."""
+    e = _expr(spark, d).filter((F.col(K) != "ASIA") | (F.col("gene") <= 5))
+    return H.heatmap_guard(e, _HEAT)[1]
+
+
+def coord_guard(spark, d):
+    """Spots that found a label, per sample, and the failure of those below 95 %."""
+    s = _spots(spark, d)
+    far = F.when(F.col(K) == "ASIA", F.col("spot") % 19 == 0).otherwise(F.col("spot") % 25 == 0)
+    moved = s.select(K, "x", "y", (F.col("spot") % 4).alias("label"), "spot").withColumn("x", F.when(far, F.col("x") + 50000).otherwise(F.col("x"))).drop("spot")
+    _, rates, failures = H.coord_guard(moved, s)
+    return rates.join(failures.select(K, "error_message"), K, "left")
+
+
+def edge_failures(spark, d):
+    e = G.symmetric_graph(G.knn(_spots(spark, d), 6), _spots(spark, d)).filter((F.col(K) != "ASIA") | (F.col("src") == F.col("dst")))
+    return G.edge_failures(_spots(spark, d), e)
+
+
 def _gradient(spark, d):
     return H.image_gradient(_v(spark, d, "pixels"))
 
@@ -288,7 +327,7 @@ QUERIES = {f.__name__: f for f in (
     library_size, lognorm, hvg_select, pca_variance, coords_scaled, spatial_features, knn_exact, knn_rank2to7, graph_symmetric, edges_undirected, edge_weights,
     boundary_mask, neighbor_list_agreement, affinity_mass, bandwidth_search, graph_smooth, edge_attention, spatial_coherence, marker_separation, marker_topn,
     marker_by_domain, ari, ari_seed_pairs, control_random_labels, control_shuffled_coords, label_align, label_align_greedy, unstable_spots, instability_summary,
-    select_marker, signature_score, signature_contrast, signature_seed_median, group_compare, domain_heatmap, coord_label_join, image_gradient, gradient_at_spots,
+    select_marker, signature_score, signature_contrast, signature_seed_median, group_compare, domain_heatmap, domain_heatmap_wide, heatmap_guard, boundary_guard, coord_guard, edge_failures, coord_label_join, image_gradient, gradient_at_spots,
     edge_alignment, patch_features,
 )}
 
@@ -364,6 +403,9 @@ def _greedy_sql(k: int) -> str:
     return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(k))
 
 
+_HM = f"{_LN}, {_L11}, m AS (SELECT l.sample_id, gene, l.label, coalesce(s, 0) / n AS mean FROM (SELECT sample_id, label, count(*) AS n FROM l11 GROUP BY ALL) l CROSS JOIN (SELECT DISTINCT gene FROM ln_ WHERE gene IN {tuple(_HEAT)}) g LEFT JOIN (SELECT sample_id, label, gene, sum(v) AS s FROM ln_ JOIN l11 USING (sample_id, spot) GROUP BY ALL) x USING (sample_id, label, gene)), hm AS (SELECT *, (mean - avg(mean) OVER (PARTITION BY sample_id, gene)) / (stddev_pop(mean) OVER (PARTITION BY sample_id, gene) + 0.000001::DOUBLE) AS z FROM m)"
+_WIDE = "SELECT sample_id, gene, " + ", ".join(f"round(max(mean) FILTER (label = {x}), 6) AS domain_{x}_mean_log1p, round(max(z) FILTER (label = {x}), 6) AS domain_{x}_z" for x in range(4)) + " FROM hm GROUP BY 1, 2"
+
 SQL = {
     "label_align_greedy": with_views(_greedy_sql(4), "labels"),
     "library_size": with_views("SELECT s.sample_id, s.spot, CASE WHEN coalesce(sum(n), 0) = 0 THEN 1 ELSE sum(n) END::BIGINT AS size FROM v_spots s LEFT JOIN v_counts c ON c.sample_id = s.sample_id AND c.spot = s.spot GROUP BY s.sample_id, s.spot", "spots", "counts"),
@@ -398,8 +440,18 @@ sc AS (SELECT sample_id, spot AS src, other AS dst FROM ({_knn_sql('sh', 7)}) WH
     "signature_contrast": with_views(f"WITH {_SIG} SELECT sample_id, spot, round(sum(CASE WHEN signature_id = 'tcell' THEN -score ELSE score END), 6) AS contrast FROM ss GROUP BY 1, 2", "counts"),
     "signature_seed_median": with_views(f"WITH {_SIG}, gp AS (SELECT ss.sample_id, signature_id, seed, avg(score) FILTER (label = 1) - avg(score) FILTER (label <> 1) AS dm FROM ss JOIN v_labels l ON l.sample_id = ss.sample_id AND l.spot = ss.spot GROUP BY ALL) SELECT sample_id, signature_id, round(quantile_cont(dm, 0.5), 6) AS median_delta FROM gp GROUP BY 1, 2", "counts", "labels"),
     "group_compare": with_views(f"WITH g AS (SELECT sample_id, {_GC} FROM (SELECT sample_id, segment = 'BUILDING' AS inside, x / 7 - 300 AS v FROM v_spots) GROUP BY 1) SELECT sample_id, n_a, n_b, {', '.join(f'round({m}_{s}, 6) AS {m}_{s}' for m in ('mean', 'median', 'positive') for s in 'ab')}, {', '.join(f'round({m}_b - {m}_a, 6) AS delta_{m}' for m in ('mean', 'median', 'positive'))} FROM g", "spots"),
-    "domain_heatmap": with_views(f"WITH {_LN}, {_L11}, m AS (SELECT l.sample_id, gene, l.label, coalesce(s, 0) / n AS mean FROM (SELECT sample_id, label, count(*) AS n FROM l11 GROUP BY ALL) l CROSS JOIN (SELECT DISTINCT gene FROM ln_ WHERE gene IN {tuple(_HEAT)}) g LEFT JOIN (SELECT sample_id, label, gene, sum(v) AS s FROM ln_ JOIN l11 USING (sample_id, spot) GROUP BY ALL) x USING (sample_id, label, gene)) SELECT sample_id, gene, label, round(mean, 6) AS mean, round((mean - avg(mean) OVER (PARTITION BY sample_id, gene)) / (stddev_pop(mean) OVER (PARTITION BY sample_id, gene) + 0.000001::DOUBLE), 6) AS z FROM m", "counts", "labels"),
+    "domain_heatmap": with_views(f"WITH {_HM} SELECT sample_id, gene, label, round(mean, 6) AS mean, round(z, 6) AS z FROM hm", "counts", "labels"),
     "coord_label_join": with_views("SELECT a.sample_id, b.spot, a.spot % 4 AS label, a.spot AS origin FROM (SELECT *, CASE WHEN spot % 20 = 0 THEN x + 50000 ELSE x END AS mx FROM v_spots) a JOIN v_spots b ON a.sample_id = b.sample_id AND round_even(a.mx, 0)::BIGINT = round_even(b.x, 0)::BIGINT AND round_even(a.y, 0)::BIGINT = round_even(b.y, 0)::BIGINT", "spots"),
+    "domain_heatmap_wide": with_views(f"WITH {_HM}, {_WIDE}", "counts", "labels"),
+    "heatmap_guard": with_views(f"WITH {_LN}, n AS (SELECT sample_id, count(DISTINCT gene) FILTER (gene IN {tuple(_HEAT)} AND (sample_id <> 'ASIA' OR gene <= 5)) AS n_genes FROM ln_ WHERE sample_id <> 'ASIA' OR gene <= 5 GROUP BY 1) SELECT sample_id, n_genes, 'marker_genes' AS failure_type, 'too few marker genes found: ' || n_genes AS error_message FROM n WHERE n_genes < 8", "counts"),
+    "boundary_guard": with_views(f"""WITH {_L11}, l2 AS (SELECT sample_id, spot, CASE sample_id WHEN 'ASIA' THEN 0 WHEN 'EUROPE' THEN (spot % 400 = 7)::INT ELSE label END AS label FROM l11),
+b AS (SELECT k.sample_id, k.spot, max((a.label <> b.label)::INT) AS o FROM ({_knn_sql('v_spots', 6)}) k JOIN l2 a ON a.sample_id = k.sample_id AND a.spot = k.spot JOIN l2 b ON b.sample_id = k.sample_id AND b.spot = k.other GROUP BY 1, 2),
+n AS (SELECT sample_id, count(*) FILTER (o = 1) AS n_boundary, count(*) FILTER (o = 0) AS n_interior FROM b GROUP BY 1)
+SELECT *, CASE WHEN least(n_boundary, n_interior) < 10 THEN 'too few boundary or interior spots: ' || n_boundary || ' and ' || n_interior END AS error_message FROM n""", "spots", "labels"),
+    "coord_guard": with_views("""WITH p AS (SELECT DISTINCT sample_id, round_even(CASE WHEN spot % CASE sample_id WHEN 'ASIA' THEN 19 ELSE 25 END = 0 THEN x + 50000 ELSE x END, 0)::BIGINT AS ix, round_even(y, 0)::BIGINT AS iy FROM v_spots),
+n AS (SELECT s.sample_id, count(*) AS n_spots, count(p.ix) AS n_matched FROM v_spots s LEFT JOIN p ON p.sample_id = s.sample_id AND p.ix = round_even(s.x, 0)::BIGINT AND p.iy = round_even(s.y, 0)::BIGINT GROUP BY 1)
+SELECT *, CASE WHEN n_matched < floor(0.95::DOUBLE * n_spots) THEN 'label match rate too low: ' || n_matched || ' of ' || n_spots END AS error_message FROM n""", "spots"),
+    "edge_failures": with_views("SELECT DISTINCT sample_id, 'no_edges' AS failure_type, 'the graph has no edges' AS error_message FROM v_spots WHERE sample_id = 'ASIA'", "spots"),
     "image_gradient": with_views(f"WITH {_GRAD} SELECT px, py, round(grad, 6) AS grad FROM gr", "pixels"),
     "gradient_at_spots": with_views(f"WITH {_AT} SELECT sample_id, spot, px, py, round(grad, 6) AS grad FROM at_", "pixels", "spots"),
     "edge_alignment": with_views(f"""WITH {_AT}, {_UND}, {_L11}, sv AS (SELECT l.sample_id, l.spot, label, CASE WHEN l.sample_id <> 'ASIA' THEN grad END AS g FROM l11 l LEFT JOIN at_ ON at_.sample_id = l.sample_id AND at_.spot = l.spot),
