@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotlattice.functions.expr import hash_number, squared_distance
-from spotlattice.operators.graph import KEY
+from spotlattice.operators.graph import KEY, components, connect
 from spotlattice.operators.lineage import cut, tidy
+from spotlattice.operators.ranks import numbered
 
 
 def _mean(c: str, n: int):
@@ -94,32 +95,33 @@ def ward_round(costs: DataFrame, spread: bool = False) -> DataFrame:
 def ward_fit(points: DataFrame, edges: DataFrame, k: int, size: int) -> DataFrame:
     """(sample, spot, label) with exactly k labels (or one a spot): rounds of reciprocal merges over the edges.
 
-    The cheapest merges of a round go first, as many as still leave k clusters.
-    A sample whose clusters have no edges left may merge across. Ends when no
-    sample has spare clusters: each round merges a pair in every other one.
+    Parts of the graph without an edge between them are first tied by the shortest ones (``connect``, by
+    x and y, or by the first two features where the points have none). The cheapest merges of a round go
+    first, as many as still leave k clusters. Ends when no sample has spare clusters:
+    each round merges a pair in every other one.
     """
+    place = points.select(KEY, "spot", *((F.col(c) if c in points.columns else F.col("f")[i]).alias(c) for i, c in enumerate("xy")))
     member = cut(points.select(KEY, "spot", F.col("spot").alias("id")))
-    adjacency = cut(edges.select(KEY, "a", "b").filter("a < b").distinct())
+    adjacency = cut(connect(place, edges))
     while True:
         clusters = member.join(points.select(KEY, "spot", "f"), [KEY, "spot"]).groupBy(KEY, "id").agg(F.count(F.lit(1)).alias("n"), _mean("f", size).alias("f"))
         clusters = cut(clusters)
         left = clusters.groupBy(KEY).agg((F.count(F.lit(1)) - k).alias("spare")).filter("spare > 0")
         if left.isEmpty():
             break
-        stuck = cut(left.join(adjacency.select(KEY).distinct(), KEY, "left_anti").select(KEY))
-        near = adjacency
-        if not stuck.isEmpty():
-            ids = clusters.join(stuck, KEY, "left_semi").select(KEY, "id")
-            near = near.unionByName(ids.select(KEY, F.col("id").alias("a")).join(ids.select(KEY, F.col("id").alias("b")), KEY).filter("a < b"))
-        merges = ward_round(ward_costs(clusters, near), spread=True).join(left, KEY)
-        w = Window.partitionBy(KEY).orderBy("cost", "a")
-        merges = cut(merges.withColumn("r", F.row_number().over(w)).filter("r <= spare").select(KEY, F.col("b").alias("id"), F.col("a").alias("into")))
+        merges = cut(ward_round(ward_costs(clusters, adjacency), spread=True).join(left, KEY).select(KEY, "a", "b", "cost", "spare"))
+        # only samples with more merges than they can spare have to put them in order
+        over = merges.groupBy(KEY).agg((F.count(F.lit(1)) > F.max("spare")).alias("over")).filter("over").select(KEY)
+        some = numbered(merges.join(over, KEY, "left_semi"), (KEY,), ("cost", "a")).filter("before < spare")
+        taken = merges.join(over, KEY, "left_anti").select(KEY, "a", "b").unionByName(some.select(KEY, "a", "b"))
+        merges = cut(taken.select(KEY, F.col("b").alias("id"), F.col("a").alias("into")))
         member = cut(member.join(merges, [KEY, "id"], "left").select(KEY, "spot", F.coalesce("into", "id").alias("id")))
         for c in "ab":
             adjacency = adjacency.join(merges.select(KEY, F.col("id").alias(c), "into"), [KEY, c], "left").withColumn(c, F.coalesce("into", c)).drop("into")
         adjacency = cut(adjacency.select(KEY, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    order = Window.partitionBy(KEY).orderBy("id")
-    return member.select(KEY, "spot", (F.dense_rank().over(order) - 1).alias("label"))
+    # the clusters are numbered, not their spots
+    label = member.select(KEY, "id").distinct().withColumn("label", F.row_number().over(Window.partitionBy(KEY).orderBy("id")) - 1)
+    return member.join(label, [KEY, "id"]).select(KEY, "spot", "label")
 
 
 # --- communities ---------------------------------------------------------------
@@ -140,81 +142,66 @@ def rb_modularity(edges: DataFrame, labels: DataFrame, gamma: float) -> DataFram
     return s.join(m, KEY).join(inner, KEY, "left").select(KEY, (F.coalesce("inner", F.lit(0.0)) - gamma * F.col("ss") / (4 * F.col("m"))).alias("modularity"))
 
 
-def _class(name: Column, turn: int) -> Column:
-    """0 or 1, dealt anew each turn."""
-    return F.pmod(F.xxhash64(name, F.lit(turn)), F.lit(2))
+def _taken(wish: DataFrame, group: list[str]) -> DataFrame:
+    """(group, node, to): of the moves ``(group, node, k, m, c, to, g)`` those that raise the modularity taken one after the other.
 
-
-def _earlier(rows: DataFrame, group: list[str], by: str) -> Column:
-    """Strength of the rows that come before in the order of falling gain, among those with the same ``by``."""
-    w = Window.partitionBy(*group, by).orderBy(F.desc("g"), "node").rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("k").over(w), F.lit(0.0))
+    In the order of falling gain a move stands if nothing earlier leaves its goal or enters
+    what it leaves, and if its gain outlasts the strength of what earlier enters its goal or leaves with it. The first
+    move always stands; of two that are in each other's way the later one waits.
+    """
+    # each move touches two communities: it enters one and leaves the other
+    side = lambda c, enters: F.struct(F.col(c).alias("x"), F.lit(enters).alias("enters"))
+    touch = wish.withColumn("t", F.explode(F.array(side("to", True), side("c", False)))).select(*group, "node", "to", "k", "m", "g", "t.x", "t.enters")
+    earlier = Window.partitionBy(*group, "x").orderBy(F.desc("g"), "node").rowsBetween(Window.unboundedPreceding, -1)
+    came, went = (F.sum(F.when(F.col("enters") == yes, F.col("k"))).over(earlier) for yes in (True, False))
+    touch = touch.withColumns({"came": came, "went": went})
+    alike, against = F.when(F.col("enters"), F.col("came")).otherwise(F.col("went")), F.when(F.col("enters"), F.col("went")).otherwise(F.col("came"))
+    moves = touch.groupBy(*group, "node").agg(*(F.max(c).alias(c) for c in ("to", "k", "m", "g")), F.coalesce(F.sum(alike), F.lit(0.0)).alias("before"), F.count(against).alias("clashes"))
+    return moves.filter((F.col("clashes") == 0) & (F.col("g") > F.col("gamma") * F.col("k") * F.col("before") / (2 * F.col("m")))).select(*group, "node", "to")
 
 
-def _move_round(both: DataFrame, comm: DataFrame, m: DataFrame, group: list[str], turn: int) -> DataFrame:
-    """(group, node, k, c, moved, open): nodes of one half of the communities move into the other half.
+def _move_round(both: DataFrame, comm: DataFrame, group: list[str]) -> DataFrame:
+    """(group, node, k, m, c, moved): nodes go to the neighbouring community of largest gain, as far as ``_taken`` lets them.
 
-    A node goes to the neighbouring community of largest gain, if the gain outlasts
-    the strength of all that move before it into that community or out of its own. Then every
-    move taken one after the other raises the modularity, and none has to be undone. ``open``
-    tells whether any move, of whatever half, would raise it.
+    Every round raises the modularity of each sample in which any single move would.
     """
-    s = comm.groupBy(*group, "c").agg(F.sum("k").alias("s"))
-    to = both.join(comm.select(*group, F.col("node").alias("other"), F.col("c").alias("to")), [*group, "other"]).select(*group, "node", "to", "w")
-    own = comm.select(*group, "node", F.col("c").alias("to"), F.lit(0.0).alias("w"))
-    options = to.unionByName(own).groupBy(*group, "node", "to").agg(F.sum("w").alias("w")).join(comm.select(*group, "node", "k", "c"), [*group, "node"]).join(s.withColumnRenamed("c", "to"), [*group, "to"]).join(m, KEY)
+    named = comm.select(*group, "node", "k", "m", "c")
+    own = named.join(named.groupBy(*group, "c").agg(F.sum("k").alias("s")), [*group, "c"])
+    other = own.select(*group, F.col("node").alias("other"), F.col("c").alias("to"), F.col("s").alias("to_s"))
+    options = both.join(other, [*group, "other"]).groupBy(*group, "node", "to").agg(F.sum("w").alias("w"), F.max("to_s").alias("to_s")).join(own, [*group, "node"])
+    price = F.col("gamma") * F.col("k") / (2 * F.col("m"))
     stays = F.col("to") == F.col("c")
-    gain = F.round(F.col("w") - F.col("gamma") * F.col("k") * (F.col("s") - F.when(stays, F.col("k")).otherwise(0.0)) / (2 * F.col("m")), 9)
-    options = options.withColumn("gain", gain)
-    turns = ~stays & (_class(F.col("c"), turn) == 0) & (_class(F.col("to"), turn) == 1)
-    best = options.groupBy(*group, "node").agg(
-        F.max("k").alias("k"), F.max("c").alias("c"), F.max("m").alias("m"), F.max(F.when(stays, F.col("gain"))).alias("stay"),
-        F.max(F.when(~stays, F.col("gain"))).alias("most"), F.max(F.when(turns, F.struct("gain", (-F.col("to")).alias("t")))).alias("b"),
+    gain = F.round(F.col("w") - price * F.when(stays, F.col("s") - F.col("k")).otherwise(F.col("to_s")), 9)
+    best = options.withColumn("gain", gain).groupBy(*group, "node").agg(
+        *(F.max(c).alias(c) for c in ("k", "m", "c", "s")), F.max(F.when(stays, F.col("gain"))).alias("stay"), F.max(F.when(~stays, F.struct("gain", (-F.col("to")).alias("t")))).alias("b")
     )
-    wish = best.filter(F.col("b.gain") > F.col("stay")).select(*group, "node", "k", "c", "m", (-F.col("b.t")).alias("to"), (F.col("b.gain") - F.col("stay")).alias("g"))
-    before = _earlier(wish, group, "to") + _earlier(wish, group, "c")
-    taken = wish.withColumn("before", before).filter(F.col("g") > F.col("gamma") * F.col("k") * F.col("before") / (2 * F.col("m"))).select(*group, "node", "to")
-    return best.join(taken, [*group, "node"], "left").select(*group, "node", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved"), (F.coalesce(F.col("most") > F.col("stay"), F.lit(False))).alias("open"))
+    best = best.withColumn("stay", F.coalesce("stay", F.round(-price * (F.col("s") - F.col("k")), 9)))
+    wish = best.filter(F.col("b.gain") > F.col("stay")).select(*group, "node", "k", "m", "c", (-F.col("b.t")).alias("to"), (F.col("b.gain") - F.col("stay")).alias("g"))
+    return named.join(_taken(wish, group), [*group, "node"], "left").select(*group, "node", "k", "m", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved"))
 
 
-def _refine_round(inside: DataFrame, parts: DataFrame, m: DataFrame, group: list[str], turn: int) -> DataFrame:
-    """(group, node, k, c, part, open): nodes that are still alone join well-connected parts of their community.
+def _refine_round(inside: DataFrame, parts: DataFrame, group: list[str]) -> DataFrame:
+    """(group, node, k, m, c, part, joined): nodes that are still alone join well-connected parts of their community.
 
     ``inside`` has the edges within communities, in both directions. A part is well
-    connected if its weight to the rest of the community reaches what chance would give it. Parts of
-    several nodes stay, of the single ones one half moves and the other half waits, so a node always joins
-    a part that keeps the neighbour through which it came: parts are connected.
+    connected if its weight to the rest of the community reaches what chance would give it. Only single
+    nodes move, and none while another one joins it (``_taken``), so a node always joins a
+    part that keeps the neighbour through which it came: parts are connected.
     """
-    sizes = parts.groupBy(*group, "c", "part").agg(F.sum("k").alias("s"), F.count(F.lit(1)).alias("n"))
+    parts = parts.select(*group, "node", "k", "m", "c", "part")
+    sizes = parts.groupBy(*group, "c", "part").agg(F.sum("k").alias("s"), F.count(F.lit(1)).alias("n"), F.max("m").alias("m"))
     whole = parts.groupBy(*group, "c").agg(F.sum("k").alias("all"))
     at = lambda node, name: parts.select(*group, F.col("node").alias(node), F.col("part").alias(name))
-    ends = inside.join(at("node", "part"), [*group, "node"]).join(at("other", "to"), [*group, "other"]).filter("part <> to")
+    ends = inside.join(at("node", "part"), [*group, "node"]).join(at("other", "to"), [*group, "other"]).filter("part <> to").groupBy(*group, "part", "to").agg(F.sum("w").alias("w"))
     outward = ends.groupBy(*group, "part").agg(F.sum("w").alias("out"))
     by_chance = F.col("gamma") * F.col("s") * (F.col("all") - F.col("s")) / (2 * F.col("m"))
-    well = sizes.join(whole, [*group, "c"]).join(outward, [*group, "part"]).join(m, KEY).filter(F.round(F.col("out") - by_chance, 9) >= 0).select(*group, "part", "s", "n", "m")
-    alone = well.filter("n = 1").select(*group, "part", F.col("s").alias("k"))
-    options = ends.groupBy(*group, "part", "to").agg(F.sum("w").alias("w")).join(alone, [*group, "part"]).join(well.select(*group, F.col("part").alias("to"), "s", "n", "m"), [*group, "to"])
+    well = sizes.join(whole, [*group, "c"]).join(outward, [*group, "part"]).filter(F.round(F.col("out") - by_chance, 9) >= 0)
+    alone = well.filter("n = 1").select(*group, "part", F.col("s").alias("k"), "m")
+    options = ends.join(alone, [*group, "part"]).join(well.select(*group, F.col("part").alias("to"), "s"), [*group, "to"])
     options = options.withColumn("gain", F.round(F.col("w") - F.col("gamma") * F.col("k") * F.col("s") / (2 * F.col("m")), 9)).filter("gain > 0")
-    turns = (_class(F.col("part"), turn) == 0) & ((F.col("n") > 1) | (_class(F.col("to"), turn) == 1))
-    best = options.groupBy(*group, F.col("part").alias("node")).agg(F.max("k").alias("k"), F.max("m").alias("m"), F.max(F.when(turns, F.struct("gain", (-F.col("to")).alias("t")))).alias("b"))
-    wish = best.select(*group, "node", "k", "m", (-F.col("b.t")).alias("to"), F.col("b.gain").alias("g"))
-    taken = wish.filter("to IS NOT NULL").withColumn("before", _earlier(wish, group, "to")).filter(F.col("g") > F.col("gamma") * F.col("k") * F.col("before") / (2 * F.col("m")))
-    named = wish.select(*group, "node").join(taken.select(*group, "node", "to"), [*group, "node"], "left")
-    return parts.select(*group, "node", "k", "c", "part").join(named.withColumn("open", F.lit(True)), [*group, "node"], "left").select(*group, "node", "k", "c", F.coalesce("to", "part").alias("part"), F.coalesce("open", F.lit(False)).alias("open"))
-
-
-def _components(inside: DataFrame, nodes: DataFrame, group: list[str]) -> DataFrame:
-    """(group, node, part): the least node of each connected piece of the edges ``inside``; names spread and are followed to their own."""
-    named = cut(nodes.select(*group, "node", F.col("node").alias("part")))
-    while True:
-        other = named.select(*group, F.col("node").alias("other"), F.col("part").alias("near"))
-        least = inside.join(other, [*group, "other"]).groupBy(*group, "node").agg(F.min("near").alias("near"))
-        spread = named.join(least, [*group, "node"], "left").select(*group, "node", F.col("part").alias("before"), F.least("part", "near").alias("part"))
-        far = spread.select(*group, F.col("node").alias("part"), F.col("part").alias("farther"))
-        new = cut(spread.join(far, [*group, "part"], "left").select(*group, "node", "before", F.least("part", "farther").alias("part")))
-        named = new.drop("before")
-        if new.filter("part <> before").isEmpty():
-            return named
+    best = options.groupBy(*group, F.col("part").alias("node")).agg(F.max("k").alias("k"), F.max("m").alias("m"), F.max(F.struct("gain", (-F.col("to")).alias("t"))).alias("b"))
+    wish = best.select(*group, "node", "k", "m", F.col("node").alias("c"), (-F.col("b.t")).alias("to"), F.col("b.gain").alias("g"))
+    return parts.join(_taken(wish, group), [*group, "node"], "left").select(*group, "node", "k", "m", "c", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("joined"))
 
 
 @tidy
@@ -235,44 +222,45 @@ def community_fit(edges: DataFrame, gammas: list[float] | DataFrame, levels: int
     else:
         grid, on = edges.sparkSession.createDataFrame([(g,) for g in gammas], "gamma double"), None
     edges = cut(edges.select(KEY, "src", "dst", "w"))
-    m = cut(edges.groupBy(KEY).agg(F.sum("w").alias("m")))
     e = edges.join(grid, on) if on else edges.crossJoin(F.broadcast(grid))  # a list of resolutions is a parameter
-    e = cut(e.filter("src <> dst").groupBy(*group, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w")))
-    node = strengths(edges)
-    comm = cut((node.join(grid, on) if on else node.crossJoin(F.broadcast(grid))).select(*group, "node", "k", F.col("node").alias("c")))
-    where = cut(comm.select(*group, F.col("node").alias("spot"), "node"))
+    e = e.filter("src <> dst").select(*group, "src", "dst", "w")
+    both = e.toDF(*group, "node", "other", "w").unionByName(e.toDF(*group, "other", "node", "w")).groupBy(*group, "node", "other").agg(F.sum("w").alias("w"))
+    m = edges.groupBy(KEY).agg(F.sum("w").alias("m"))
+    node = strengths(edges).join(m, KEY)
+    comm = cut((node.join(grid, on) if on else node.crossJoin(F.broadcast(grid))).select(*group, "node", "k", "m", F.col("node").alias("c")))
+    where = comm.select(*group, F.col("node").alias("spot"), "node")
     for level in itertools.count():
-        both = cut(e.select(*group, F.col("src").alias("node"), F.col("dst").alias("other"), "w").unionByName(e.select(*group, F.col("dst").alias("node"), F.col("src").alias("other"), "w")))
+        both = cut(both)
         start = comm
-        for turn in itertools.count():
-            comm = cut(_move_round(both, comm, m, group, turn))
-            if turn + 1 == rounds or comm.filter("open").isEmpty():
+        for turn in itertools.count(1):
+            comm = cut(_move_round(both, comm, group))
+            if turn == rounds or comm.filter("moved").isEmpty():
                 break
         at = lambda n, name: comm.select(*group, F.col("node").alias(n), F.col("c").alias(name))  # noqa: B023, E731
         inside = cut(both.join(at("node", "ca"), [*group, "node"]).join(at("other", "cb"), [*group, "other"]).filter("ca = cb").select(*group, "node", "other", "w"))
         last = level + 1 == levels
-        parts = comm.select(*group, "node", "k", "c", F.col("node").alias("part"))
-        for turn in itertools.count():
-            if last:
-                break
-            parts = cut(_refine_round(inside, parts, m, group, turn))
-            if parts.filter("open").isEmpty():
+        parts = comm.select(*group, "node", "k", "m", "c", F.col("node").alias("part"))
+        while not last and not inside.isEmpty():
+            parts = cut(_refine_round(inside, parts, group))
+            if parts.filter("joined").isEmpty():
                 break
         state = parts.join(start.select(*group, "node", F.col("c").alias("before")), [*group, "node"]).groupBy(*group).agg(
             F.max((F.col("c") != F.col("before")).cast("int")).alias("moved"), F.max((F.col("part") != F.col("node")).cast("int")).alias("merged"), (F.count_distinct("c") < F.count(F.lit(1))).alias("several")
         )
         state = cut(state)
-        still = state.filter("moved = 0 AND merged = 0" if not last else "true")
-        pieces = _components(inside.join(still, group, "left_semi"), comm.join(still, group, "left_semi"), group)
-        pieces = pieces.select(*group, "node", F.col("part").alias("piece"))
-        named = cut(parts.join(pieces, [*group, "node"], "left").select(*group, "node", "k", F.coalesce("piece", "part").alias("name"), F.coalesce("piece", "c").alias("c")))
+        still = state.filter("true" if last else "moved = 0 AND merged = 0 AND several")
+        named = parts.withColumn("name", F.col("part"))
+        if not still.isEmpty():
+            pieces = components(inside.join(still, group, "left_semi"), comm.join(still, group, "left_semi"), group).select(*group, "node", F.col("part").alias("piece"))
+            named = parts.join(pieces, [*group, "node"], "left").withColumns({"name": F.coalesce("piece", "part"), "c": F.coalesce("piece", "c")})
+        named = cut(named.select(*group, "node", "k", "m", "name", "c"))
         where = cut(where.join(named.select(*group, "node", "name"), [*group, "node"]).select(*group, "spot", F.col("name").alias("node")))
         if last or state.filter("moved = 1 OR merged = 1 OR several").isEmpty():
             break
-        comm = cut(named.groupBy(*group, F.col("name").alias("node")).agg(F.sum("k").alias("k"), F.max("c").alias("c")))
-        for c in ("src", "dst"):
-            e = e.join(named.select(*group, F.col("node").alias(c), "name"), [*group, c]).drop(c).withColumnRenamed("name", c)
-        e = cut(e.filter("src <> dst").groupBy(*group, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w")))
+        comm = cut(named.groupBy(*group, F.col("name").alias("node")).agg(F.sum("k").alias("k"), F.max("m").alias("m"), F.max("c").alias("c")))
+        for c in ("node", "other"):
+            both = both.join(named.select(*group, F.col("node").alias(c), "name"), [*group, c]).drop(c).withColumnRenamed("name", c)
+        both = both.filter("node <> other").groupBy(*group, "node", "other").agg(F.sum("w").alias("w"))
     # the communities are numbered, not their spots
     label = where.select(*group, "node").distinct().withColumn("label", F.row_number().over(Window.partitionBy(*group).orderBy("node")) - 1)
     return where.join(label, [*group, "node"]).select(*group, "spot", "label")

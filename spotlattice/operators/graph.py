@@ -109,6 +109,95 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(KEY, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a < b").distinct()
 
 
+@tidy
+def components(inside: DataFrame, nodes: DataFrame, group: list[str]) -> DataFrame:
+    """(group, node, part): the least node of each connected piece of the edges ``inside``; names spread and are followed to their own."""
+    named = cut(nodes.select(*group, "node", F.col("node").alias("part")))
+    while True:
+        other = named.select(*group, F.col("node").alias("other"), F.col("part").alias("near"))
+        least = inside.join(other, [*group, "other"]).groupBy(*group, "node").agg(F.min("near").alias("near"))
+        spread = named.join(least, [*group, "node"], "left").select(*group, "node", F.col("part").alias("before"), F.least("part", "near").alias("part"))
+        far = spread.select(*group, F.col("node").alias("part"), F.col("part").alias("farther"))
+        new = cut(spread.join(far, [*group, "part"], "left").select(*group, "node", "before", F.least("part", "farther").alias("part")))
+        named = new.drop("before")
+        if new.filter("part <> before").isEmpty():
+            return named
+
+
+#: Cells of this many spots or fewer are not cut further: their spots are compared one by one.
+_FEW = 16
+#: The finest cells have this share of the extent, as a power of two.
+_DEEPEST = 40
+
+
+def _between(low: str, high: str, at: str) -> tuple[Column, Column]:
+    """Least and largest distance along one axis of two intervals, of the own box and of the cell's box ``at``."""
+    a0, a1, b0, b1 = F.col(f"a.{low}"), F.col(f"a.{high}"), F.col(f"{at}.{low}"), F.col(f"{at}.{high}")
+    return F.greatest(F.lit(0.0), b0 - a1, a0 - b1), F.greatest(b1 - a0, a1 - b0)
+
+
+def _shortest_ties(spots: DataFrame) -> DataFrame:
+    """(sample, comp, a, b, d2): of spots ``(sample, spot, x, y, comp)`` the shortest tie of each component to a spot of another.
+
+    Pairs of a component's cell and a cell with other components are halved level by level, all components at
+    once. The least of the largest distances of its pairs bounds a component's shortest tie from above; pairs farther
+    apart go. When no cell that is left has many spots, the spots are compared.
+    """
+    size = spots.groupBy(KEY).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent"))
+    fine = lambda c: F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.when(F.col("extent") > 0, F.col("extent")).otherwise(1.0) * float(2**_DEEPEST)), F.lit(2**_DEEPEST - 1))
+    s = cut(spots.join(size, KEY).select(KEY, "spot", "x", "y", "comp", fine("x").cast("bigint").alias("fx"), fine("y").cast("bigint").alias("fy")))
+    box = [f(c).alias(n) for c in "xy" for f, n in ((F.min, f"{c}_low"), (F.max, f"{c}_high"))]
+    several = s.groupBy(KEY).agg((F.min("comp") < F.max("comp")).alias("more")).filter("more").select(KEY)
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("ax", "ay", "bx", "by")]
+    live = s.join(several, KEY, "left_semi").select(KEY, "comp").distinct().select(KEY, "comp", *zero)
+    for level in range(1, _DEEPEST + 1):
+        cell = lambda c: F.shiftright(F.col(c), _DEEPEST - level)  # noqa: B023, E731
+        up = lambda c: F.shiftright(F.col(c), 1)
+        at = s.withColumns({"cx": cell("fx"), "cy": cell("fy")})
+        own = at.groupBy(KEY, "comp", "cx", "cy").agg(*box)
+        all_ = at.groupBy(KEY, "cx", "cy").agg(*box, F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n"))
+        a = own.select(KEY, "comp", F.col("cx").alias("nx"), F.col("cy").alias("ny"), up("cx").alias("ax"), up("cy").alias("ay"), F.struct("x_low", "x_high", "y_low", "y_high").alias("a"))
+        b = all_.select(KEY, F.col("cx").alias("mx"), F.col("cy").alias("my"), up("cx").alias("bx"), up("cy").alias("by"), F.struct("x_low", "x_high", "y_low", "y_high").alias("b"), "least", "most", "n")
+        pairs = live.join(a, [KEY, "comp", "ax", "ay"]).join(b, [KEY, "bx", "by"]).filter("least <> comp OR most <> comp")
+        (dx0, dx1), (dy0, dy1) = _between("x_low", "x_high", "b"), _between("y_low", "y_high", "b")
+        pairs = pairs.select(KEY, "comp", F.col("nx").alias("ax"), F.col("ny").alias("ay"), F.col("mx").alias("bx"), F.col("my").alias("by"), "n", (dx0 * dx0 + dy0 * dy0).alias("near"), (dx1 * dx1 + dy1 * dy1).alias("far"))
+        pairs = cut(pairs)
+        bound = pairs.groupBy(KEY, "comp").agg((F.min("far") * (1 + 1e-12)).alias("bound"))
+        live = cut(pairs.join(bound, [KEY, "comp"]).filter("near <= bound").select(KEY, "comp", "ax", "ay", "bx", "by", "n"))
+        most = live.agg(F.max("n")).first()[0]
+        if most is None or most <= _FEW:
+            break
+        live = live.drop("n")
+    place = s.select(KEY, "spot", "x", "y", "comp", F.shiftright("fx", _DEEPEST - level).alias("cx"), F.shiftright("fy", _DEEPEST - level).alias("cy"))
+    a = place.select(KEY, "comp", F.col("spot").alias("a"), "x", "y", F.col("cx").alias("ax"), F.col("cy").alias("ay"))
+    b = place.select(KEY, F.col("comp").alias("other"), F.col("spot").alias("b"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
+    d2 = (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v"))
+    pairs = live.join(a, [KEY, "comp", "ax", "ay"]).join(b, [KEY, "bx", "by"]).filter("comp <> other")
+    best = F.min(F.struct(d2.alias("d2"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return pairs.groupBy(KEY, "comp").agg(best.alias("t")).select(KEY, "comp", "t.a", "t.b", "t.d2")
+
+
+@tidy
+def connect(spots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sample_id, a, b): the undirected edges, and the shortest ties that make each sample's graph one piece.
+
+    Each round every piece takes its shortest tie to another one, ties of equal
+    length by their spots, so the number of pieces is halved at least.
+    """
+    spots = cut(spots.select(KEY, "spot", "x", "y"))
+    found = cut(edges.select(KEY, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    both = lambda e: e.select(KEY, F.col("a").alias("node"), F.col("b").alias("other")).unionByName(e.select(KEY, F.col("b").alias("node"), F.col("a").alias("other")))
+    comp = components(both(found), spots.select(KEY, F.col("spot").alias("node")), [KEY]).select(KEY, F.col("node").alias("spot"), F.col("part").alias("comp"))
+    while not comp.groupBy(KEY).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").isEmpty():
+        ties = cut(_shortest_ties(spots.join(comp, [KEY, "spot"])).select(KEY, "a", "b").distinct())
+        found = found.unionByName(ties)
+        at = lambda c: comp.select(KEY, F.col("spot").alias(c), F.col("comp").alias(f"c{c}"))  # noqa: B023, E731
+        tied = ties.join(at("a"), [KEY, "a"]).join(at("b"), [KEY, "b"]).select(KEY, F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = components(both(tied), comp.select(KEY, F.col("comp").alias("node")).distinct(), [KEY])
+        comp = cut(comp.join(merged.select(KEY, F.col("node").alias("comp"), "part"), [KEY, "comp"]).select(KEY, "spot", F.col("part").alias("comp")))
+    return found
+
+
 def edge_weights(graph: DataFrame, embedding: DataFrame) -> DataFrame:
     """Edges src < dst with weight max(0, (1 + cosine) / 2)."""
     f = embedding.select(KEY, "spot", unit(F.col("f")).alias("u"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from spotlattice.operators import cluster
+from spotlattice.operators import cluster, graph
 
 
 def modularity(edges, label, gamma):
@@ -121,5 +121,5 @@ def test_components_follow_long_chains(spark):
     chain = [("s", 1.0, i, i + 1) for i in range(64)] + [("s", 1.0, 100, 101)]
     inside = spark.createDataFrame([(s, g, x, y) for s, g, a, b in chain for x, y in ((a, b), (b, a))], "sample_id string, gamma double, node long, other long")
     nodes = inside.select("sample_id", "gamma", "node").distinct()
-    got = {r.node: r.part for r in cluster._components(inside, nodes, ["sample_id", "gamma"]).collect()}
+    got = {r.node: r.part for r in graph.components(inside, nodes, ["sample_id", "gamma"]).collect()}
     assert got == {**dict.fromkeys(range(65), 0), 100: 100, 101: 100}
