@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,20 +59,108 @@ def _nearest(queries: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     return near.withColumn("sure", (F.col("c") >= F.col("extent")) | F.coalesce(reach < F.col("c") * F.col("c"), F.lit(False)))
 
 
+#: Spots that a block is meant to hold, and from how many on it is left to the search by places.
+_BLOCK, _CROWD = 512, 4096
+_CHUNK = 512
+
+
+def _order_of(d2: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` least numbers of each row in their order, equal ones by column."""
+    n = d2.shape[1]
+    some = min(k + 8, n)
+    few = np.argpartition(d2, some - 1, axis=1)[:, :some] if some < n else np.broadcast_to(np.arange(n), d2.shape)
+    value = np.take_along_axis(d2, few, 1)
+    order = np.lexsort((few, value), axis=1)
+    few, value = np.take_along_axis(few, order, 1)[:, :k], np.take_along_axis(value, order, 1)
+    if some < n:  # more numbers may equal the last one than were looked at
+        doubtful = np.flatnonzero(value[:, -1] == value[:, min(k, some) - 1])
+        few[doubtful] = np.argsort(d2[doubtful], axis=1, kind="stable")[:, :k]
+    return few
+
+
+def _block_search(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The nearest of a block's own spots among those of the block and of the margin about it."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("spot", kind="stable")
+        x, y, spot = (rows[c].to_numpy() for c in ("x", "y", "spot"))
+        own = np.flatnonzero(rows["own"].to_numpy())
+        one = rows.iloc[0]
+        # beyond these distances there may be spots that the block does not see; past the sample's ends there are none
+        sides = []
+        for u, at, extent in (("u", one["bx"], one["ex"]), ("v", one["by"], one["ey"])):
+            low, high = at * one["side"] - one["margin"], (at + 1) * one["side"] + one["margin"]
+            place = rows[u].to_numpy()[own]
+            sides += [place - low if low > 0 else np.full(len(own), np.inf), high - place if high <= extent else np.full(len(own), np.inf)]
+        sees = np.minimum.reduce(sides) * (1 - 1e-9)
+        take = min(k, len(x) - 1)
+        others, distances, sure = [], [], []
+        for i in range(0, len(own), _CHUNK):
+            q = own[i : i + _CHUNK]
+            dx, dy = x[q][:, None] - x, y[q][:, None] - y
+            d2 = dx * dx + dy * dy
+            d2[np.arange(len(q)), q] = np.inf
+            near = _order_of(d2, take) if take else np.empty((len(q), 0), int)
+            value = np.take_along_axis(d2, near, 1)
+            reach = np.sqrt(value[:, -1]) if take == k else np.full(len(q), np.inf)
+            others += list(spot[near])
+            distances += list(value)
+            sure.append((reach < sees[i : i + _CHUNK]) | np.isinf(sees[i : i + _CHUNK]))
+        return pd.DataFrame({KEY: rows[KEY].to_numpy()[own], "spot": spot[own], "others": pd.Series(others, dtype=object), "d2": pd.Series(distances, dtype=object), "sure": np.concatenate([np.empty(0, bool), *sure])})
+
+    return work
+
+
 @tidy
 def knn(spots: DataFrame, k: int, per_cell: float | None = None) -> DataFrame:
     """(sample_id, spot, other, rank, d2): the exact k nearest other spots, ties by spot id.
 
+    Spots are dealt to square blocks of about ``_BLOCK``, and to the blocks in whose margin
+    they lie; a block is searched in one task, in one shuffle for all of them. A spot whose last
+    neighbour is nearer than the margin's far side has its answer. Spots of crowded
+    blocks and those left without proof are searched by places (``_by_places``). Samples with
+    k spots or fewer give all there are.
+    """
+    kind = spots.schema["spot"].dataType
+    spots = spots.select(KEY, F.col("spot").cast("bigint").alias("spot"), *(F.col(c).cast("double").alias(c) for c in "xy"))
+    e = spots.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), *(f for c in "xy" for f in (F.min(c).alias(f"{c}0"), (F.max(c) - F.min(c)).alias(f"e{c}"))))
+    even = F.greatest(F.sqrt(F.col("ex") * F.col("ey") * _BLOCK / F.col("n")), F.greatest("ex", "ey") * _BLOCK / F.col("n"))
+    side = F.when(even > 0, even).otherwise(1.0)
+    # the margin is twice and a half the distance at which the last neighbour is expected
+    margin = F.least(side * 2.5 * (((k + 1) / (3.141592653589793 * _BLOCK)) ** 0.5), side * 0.49)
+    sizes = cut(e.select(KEY, "x0", "y0", "ex", "ey", side.alias("side"), margin.alias("margin")))
+    at = spots.join(sizes, KEY).withColumns({"u": F.col("x") - F.col("x0"), "v": F.col("y") - F.col("y0")})
+    block = lambda c: F.floor(c / F.col("side"))
+    about = lambda c: F.explode(F.sequence(block(F.col(c) - F.col("margin")), block(F.col(c) + F.col("margin"))))
+    at = at.withColumn("bx", about("u")).withColumn("by", about("v"))
+    at = at.withColumn("own", (F.col("bx") == block(F.col("u"))) & (F.col("by") == block(F.col("v"))))
+    crowded = cut(at.groupBy(KEY, "bx", "by").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _CROWD).select(KEY, "bx", "by"))
+    calm = at
+    rest = spots.limit(0)
+    if not crowded.isEmpty():
+        calm = at.join(crowded, [KEY, "bx", "by"], "left_anti")
+        rest = at.filter("own").join(crowded, [KEY, "bx", "by"], "left_semi").select(KEY, "spot", "x", "y")
+    columns = f"{KEY} {spots.schema[KEY].dataType.simpleString()}, spot bigint, others array<bigint>, d2 array<double>, sure boolean"
+    found = cut(calm.select(KEY, "spot", "x", "y", "u", "v", "bx", "by", "own", "side", "margin", "ex", "ey").groupBy(KEY, "bx", "by").applyInPandas(_block_search(k), columns))
+    rest = rest.unionByName(spots.join(found.filter("NOT sure").select(KEY, "spot"), [KEY, "spot"], "left_semi"))
+    out = found.filter("sure").select(KEY, "spot", F.posexplode(F.arrays_zip(F.col("others").alias("other"), F.col("d2").alias("d2"))).alias("rank", "n")).select(KEY, "spot", "n.other", (F.col("rank") + 1).alias("rank"), "n.d2")
+    rest = cut(rest)
+    if not rest.isEmpty():
+        out = out.unionByName(_by_places(spots, rest, k, per_cell or max(2.0, 0.7 * k)))
+    return out.select(KEY, F.col("spot").cast(kind).alias("spot"), F.col("other").cast(kind).alias("other"), "rank", "d2")
+
+
+def _by_places(spots: DataFrame, asked: DataFrame, k: int, per_cell: float) -> DataFrame:
+    """``knn`` of the spots ``asked``, whatever their density.
+
     Places, not spots, are searched, so any number of spots at one place costs one
     search. Grid cells turn it into an equi join; every place has a cell size of its own.
     A place next to a cell of more than ``32 per_cell`` places is searched in cells
     of an eighth of the size; one whose last neighbour is not proven by the cell size, in
-    cells eight times as large. Each pass is written once; evenly spread spots take two,
-    clusters and outliers a few more. Samples with k spots or fewer give all there are.
+    cells eight times as large. Each pass is written once.
     """
-    per_cell = per_cell or max(2.0, 0.7 * k)
     places = cut(_places(spots, k))
-    open_ = places.select(KEY, F.col("ox").alias("x"), F.col("oy").alias("y")).join(_first_cells(places, per_cell), KEY).withColumn("full", F.lit(False))
+    open_ = asked.select(KEY, "x", "y").distinct().join(_first_cells(places, per_cell), KEY).withColumn("full", F.lit(False))
     found = None
     while True:
         sizes = open_.select(KEY, "c").distinct()
@@ -87,10 +179,10 @@ def knn(spots: DataFrame, k: int, per_cell: float | None = None) -> DataFrame:
         open_ = step.filter("NOT sure").select(KEY, "x", "y", "c", "extent", "full")
         if open_.isEmpty():
             break
-    both = spots.select(KEY, "spot", "x", "y").join(found, [KEY, "x", "y"])
+    both = asked.select(KEY, "spot", "x", "y").join(found, [KEY, "x", "y"])
     others = F.slice(F.filter("near", lambda s: s["other"] != F.col("spot")), 1, k)
     out = both.select(KEY, "spot", F.posexplode(others).alias("rank", "n"))
-    return out.select(KEY, "spot", F.col("n.other").cast(spots.schema["spot"].dataType).alias("other"), (F.col("rank") + 1).alias("rank"), F.col("n.d2").alias("d2"))
+    return out.select(KEY, "spot", "n.other", (F.col("rank") + 1).alias("rank"), "n.d2")
 
 
 def coherence_neighbours(spots: DataFrame) -> DataFrame:
