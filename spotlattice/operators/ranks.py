@@ -3,6 +3,7 @@
 A window over a whole group sorts it in one task. Here the rows are dealt by ranges of
 (group, order) into as many parts as the session has shuffle partitions and written
 once; sums run within a part, and what lies before a part is added from one small row a part.
+Only where the whole table has no more than ``ONE_TASK`` rows, so that no group can, a window does the same.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from spotlattice.operators.lineage import cut, tidy
 
 
+#: So many rows one task may sort.
+ONE_TASK = 1_000_000
+
+
 def _dealt(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """The rows with ``_part``, the number of their range. Written, for a range's borders are sampled anew each time it is made."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -31,9 +36,12 @@ def _by_part(rows: DataFrame, parts: DataFrame, keys: tuple[str, ...]) -> DataFr
 @tidy
 def running(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], of: str) -> DataFrame:
     """The rows with ``before``, the sum of ``of`` over the rows of the group that come earlier in ``order``, and ``total`` of the group."""
-    dealt = _dealt(rows, keys, order)
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
+    zero, rows = F.lit(0).cast("bigint"), cut(rows)
+    if rows.count() <= ONE_TASK:
+        group = Window.partitionBy(*keys)
+        return rows.withColumns({"before": F.coalesce(F.sum(of).over(earlier(group.orderBy(*order))), zero), "total": F.sum(of).over(group)})
+    dealt = _dealt(rows, keys, order)
     within = earlier(Window.partitionBy(*keys, "_part").orderBy(*order))
     parts = dealt.groupBy(*keys, "_part").agg(F.sum(of).alias("_sum"))
     group = Window.partitionBy(*keys)
@@ -59,8 +67,11 @@ def numbered(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) ->
 @tidy
 def least_from_here(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], of: str) -> DataFrame:
     """The rows with ``least``, the smallest ``of`` among them and the later ones of the group in ``order``."""
-    dealt = _dealt(rows, keys, order)
     later = lambda w, first: w.rowsBetween(first, Window.unboundedFollowing)
+    rows = cut(rows)
+    if rows.count() <= ONE_TASK:
+        return rows.withColumn("least", F.min(of).over(later(Window.partitionBy(*keys).orderBy(*order), Window.currentRow)))
+    dealt = _dealt(rows, keys, order)
     within = later(Window.partitionBy(*keys, "_part").orderBy(*order), Window.currentRow)
     parts = dealt.groupBy(*keys, "_part").agg(F.min(of).alias("_least"))
     parts = parts.select(*keys, "_part", F.min("_least").over(later(Window.partitionBy(*keys).orderBy("_part"), 1)).alias("_beyond"))

@@ -17,7 +17,12 @@ def rows(spark):
     return spark.createDataFrame(some, "g string, v double, id long")
 
 
-def test_ranks_equal_the_window(spark, rows):
+@pytest.fixture(params=[0, 1_000_000])
+def one_task(request, monkeypatch):
+    monkeypatch.setattr(ranks, "ONE_TASK", request.param)
+
+
+def test_ranks_equal_the_window(spark, rows, one_task):
     w = Window.partitionBy("g").orderBy("v")
     want = rows.select("g", "v", (F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy("g", "v")) - 1) / 2.0).alias("mid")).distinct()
     got = ranks.distinct_ranks(rows, ("g",), F.col("v")).select("g", F.col("x").alias("v"), "mid")
@@ -36,7 +41,7 @@ def test_one_group_lies_in_many_parts(spark, rows):
     assert len(sizes) == 4 and max(sizes) < 2 * 3000 / 4
 
 
-def test_false_discovery_equals_the_window(spark, rows):
+def test_false_discovery_equals_the_window(spark, rows, one_task):
     p = rows.select("g", "id", (F.col("v") / 41.0).alias("p")).unionByName(spark.createDataFrame([("big", 9000, None)], "g string, id long, p double"))
     w = Window.partitionBy("g").orderBy("p", "id")
     some = p.filter("p IS NOT NULL").withColumn("raw", F.col("p") * F.count("p").over(Window.partitionBy("g")) / F.row_number().over(w))
