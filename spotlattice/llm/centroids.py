@@ -76,7 +76,7 @@ def first_centroids(rows: DataFrame, k: int, salt: str = SALT) -> np.ndarray:
         some = hashed if share >= 1 else hashed.filter(F.col("h") < f"{int(share * 2**64):016x}")
         found = some.orderBy("h", "v").limit(k).collect()
         if len(found) == k or share >= 1:
-            return np.array([r.v for r in found], np.int64).reshape(len(found), -1)
+            return np.array([r.v for r in found], np.int64)
         share *= 8
 
 
