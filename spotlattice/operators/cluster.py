@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotlattice.functions.expr import hash_number, squared_distance
+from spotlattice.functions.expr import squared_distance
 from spotlattice.operators.graph import KEY, components, connect
 from spotlattice.operators.lineage import cut, tidy
 from spotlattice.operators.ranks import numbered
@@ -20,14 +23,20 @@ def _mean(c: str, n: int):
 # --- k-means -------------------------------------------------------------------
 
 
+def _assigned(points: DataFrame, centroids: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, spot, label, d2, f): a group's centroids come to a point as one array, so nothing is gathered by spot."""
+    c = centroids.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("label", F.col("f").alias("c")))).alias("cs"))
+    pairs = points.select(KEY, "spot", "f").join(c, KEY)
+    best = F.array_min(F.transform("cs", lambda s: F.struct(squared_distance(F.col("f"), s["c"]).alias("d2"), s["label"].alias("label"))))
+    return pairs.withColumn("b", best).select(*keys, "spot", "b.label", "b.d2", "f")
+
+
 def kmeans_assign(points: DataFrame, centroids: DataFrame, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
     """(keys, spot, label, d2): the nearest centroid of each point in every group; ties to the lower label.
 
     Centroids are few, K of each group; the join is on the sample and Spark picks its kind by their size.
     """
-    pairs = points.select(KEY, "spot", "f").join(centroids.select(*keys, "label", F.col("f").alias("c")), KEY)
-    best = pairs.groupBy(*keys, "spot").agg(F.min(F.struct(squared_distance(F.col("f"), F.col("c")).alias("d2"), F.col("label").alias("label"))).alias("b"))
-    return best.select(*keys, "spot", "b.label", "b.d2")
+    return _assigned(points, centroids, keys).drop("f")
 
 
 def kmeans_update(points: DataFrame, assigned: DataFrame, size: int, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
@@ -35,36 +44,189 @@ def kmeans_update(points: DataFrame, assigned: DataFrame, size: int, keys: tuple
     return assigned.join(points.select(KEY, "spot", "f"), [KEY, "spot"]).groupBy(*keys, "label").agg(_mean("f", size).alias("f"))
 
 
+#: Points drawn in each round of the seeding, as a multiple of K, and how many rounds there are.
+OVERSAMPLE, DRAWS = 2, 2
+_BLOCK = 2048
+_GROUP = ("K", "seed", "init")
+
+
+def _hashed(spots: np.ndarray, *salt: int) -> np.ndarray:
+    """A number below 2^64 for each spot, the same wherever the spot lies."""
+    with np.errstate(over="ignore"):
+        x = spots.astype(np.int64).view(np.uint64).copy()
+        for s in salt:
+            x = (x ^ np.uint64(s & (2**64 - 1))) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+    return x
+
+
+def _packed(points: DataFrame, size: int) -> DataFrame:
+    """(sample, spots, x): points of one sample packed into matrices, as they lie; nothing is shuffled."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, rows in batch.groupby(KEY, sort=False):
+                for i in range(0, len(rows), _BLOCK):
+                    some = rows.iloc[i : i + _BLOCK]
+                    x = np.vstack(some["f"].to_numpy()).astype(np.float64).reshape(-1, size)
+                    yield pd.DataFrame({KEY: [key], "spots": [some["spot"].to_numpy().astype(np.int64).tobytes()], "x": [x.tobytes()]})
+
+    return points.select(KEY, "spot", "f").mapInPandas(work, f"{KEY} {points.schema[KEY].dataType.simpleString()}, spots binary, x binary")
+
+
+def _each_group(blocks: DataFrame, centres: DataFrame, size: int, work: Callable, columns: str) -> DataFrame:
+    """``work(spots, x, (K, seed, init), centres, note)`` on every block and group of its sample; it gives rows without sample and group.
+
+    ``centres`` has one row a group with its vectors one after the other in ``c`` and a number in ``note``.
+    A sample's groups come to a block as one row, so a pass over the points takes no shuffle of theirs while Spark can broadcast the centres.
+    """
+    per = centres.groupBy(KEY).agg(F.collect_list(F.struct(*_GROUP, "c", "note")).alias("groups"))
+    key = f"{KEY} {blocks.schema[KEY].dataType.simpleString()}"
+    names = [c.split()[0] for c in f"{key}, K int, seed int, init int, {columns}".split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                spots, x = np.frombuffer(row.spots, np.int64), np.frombuffer(row.x, np.float64).reshape(-1, size)
+                out = []
+                for g in row.groups:
+                    c = np.asarray(g["c"], np.float64).reshape(-1, size)
+                    name = (g["K"], g["seed"], g["init"])
+                    out += [(getattr(row, KEY), *name, *r) for r in work(spots, x, name, c, g["note"])]
+                yield pd.DataFrame(out, columns=names)
+
+    return blocks.join(per, KEY).mapInPandas(run, f"{key}, K int, seed int, init int, {columns}")
+
+
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1), 0.0)
+
+
+def _joined(rows: DataFrame, note: Column | None = None) -> DataFrame:
+    """(sample, K, seed, init, c, note): vectors ``f`` of each group one after the other in the order of ``label``."""
+    c = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("label", "f"))), lambda s: s["f"]))
+    return rows.groupBy(KEY, *_GROUP).agg(c.alias("c"), (note if note is not None else F.lit(0.0)).alias("note"))
+
+
+def _first_points(spots, x, name, c, note):
+    """The K points of least hash in a block."""
+    h = _hashed(spots, 1, name[1], name[2])
+    for i in np.lexsort((spots, h))[: name[0]]:
+        yield int(spots[i]), float(h[i] >> np.uint64(11)), x[i].tolist()
+
+
+def _cost(spots, x, name, c, note):
+    yield (float(_distances(x, c).min(1).sum()),)
+
+
+def _drawn(turn: int) -> Callable:
+    def work(spots, x, name, c, note):
+        """Points drawn in proportion to their squared distance from what was drawn before; ``note`` is its sum over the sample."""
+        if note <= 0:
+            return
+        chance = OVERSAMPLE * name[0] * _distances(x, c).min(1) / note
+        for i in np.flatnonzero(_hashed(spots, 2 + turn, name[1], name[2]) / 2.0**64 < chance):
+            yield int(spots[i]), x[i].tolist()
+
+    return work
+
+
+def _weights(spots, x, name, c, note):
+    """How many points of a block are nearest to each candidate."""
+    for j, n in enumerate(np.bincount(_distances(x, c).argmin(1), minlength=len(c))):
+        yield j, int(n)
+
+
+def _reduced(size: int) -> Callable:
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        """K of a group's candidates: the next one is the best of a few, drawn by weight times squared distance."""
+        rows = rows.sort_values("label", kind="stable")
+        c, w = np.vstack(rows["f"].to_numpy()).astype(float), rows["n"].to_numpy(float)
+        k, seed, init = (int(rows[g].iloc[0]) for g in _GROUP)
+        r = np.random.default_rng([k, seed & (2**63 - 1), init])
+        chosen: list[int] = []
+        d = np.full(len(c), 1.0)
+        for _ in range(min(k, len(c))):
+            p = w * d
+            if p.sum() <= 0:
+                left = [i for i in range(len(c)) if i not in chosen]
+                best = left[0]
+            else:
+                tries = r.choice(len(c), 2 + int(np.log(k)), p=p / p.sum())
+                near = [np.minimum(d if chosen else np.inf, ((c - c[i]) ** 2).sum(1)) for i in tries]
+                best = int(tries[int(np.argmin([(w * n).sum() for n in near]))])
+            away = ((c - c[best]) ** 2).sum(1)
+            d = np.minimum(d, away) if chosen else away
+            chosen.append(best)
+        one = rows.iloc[[0] * len(chosen)][[KEY, *_GROUP]].reset_index(drop=True)
+        return one.assign(label=np.arange(len(chosen), dtype=np.int32), f=[c[i].tolist() for i in chosen])
+
+    return work
+
+
+def _sums(spots, x, name, c, note):
+    """Per cluster of a block how many points it has, their sum, and their squared distances."""
+    label = _distances(x, c).argmin(1)
+    for j in np.unique(label):
+        mine = x[label == j]
+        yield int(j), len(mine), mine.sum(0).tolist(), float(((mine - c[j]) ** 2).sum())
+
+
+def _labelled(spots, x, name, c, note):
+    yield from zip(spots.tolist(), _distances(x, c).argmin(1).tolist(), strict=True)
+
+
+def kmeans_starts(blocks: DataFrame, plan: DataFrame, size: int, inits: int) -> DataFrame:
+    """(sample, K, seed, init, label, f): first centroids of every start.
+
+    Each start takes K points by hash, draws about ``OVERSAMPLE`` K more in proportion to their
+    squared distance, ``DRAWS`` times, weights all of them by the points nearest to them, and keeps K of these
+    candidates. All starts of all samples go on together.
+    """
+    starts = plan.select("K", "seed", F.explode(F.sequence(F.lit(0), F.lit(inits - 1))).alias("init"))
+    every = blocks.select(KEY).distinct().crossJoin(F.broadcast(starts)).select(KEY, *(F.col(g).cast("int").alias(g) for g in _GROUP), F.array().cast("array<double>").alias("c"), F.lit(0.0).alias("note"))
+    first = _each_group(blocks, every, size, _first_points, "spot bigint, h double, f array<double>")
+    w = Window.partitionBy(KEY, *_GROUP).orderBy("h", "spot")  # K points of each block
+    found = cut(first.withColumn("r", F.row_number().over(w)).filter("r <= K").select(KEY, *_GROUP, F.col("spot").alias("label"), "f"))
+    for turn in range(DRAWS):
+        cost = _each_group(blocks, _joined(found), size, _cost, "cost double").groupBy(KEY, *_GROUP).agg(F.sum("cost").alias("cost"))
+        more = _each_group(blocks, _joined(found.join(cost, [KEY, *_GROUP]), F.max("cost")), size, _drawn(turn), "label bigint, f array<double>")
+        found = cut(found.unionByName(more).groupBy(KEY, *_GROUP, "label").agg(F.first("f").alias("f")))
+    weight = _each_group(blocks, _joined(found), size, _weights, "place int, n bigint").groupBy(KEY, *_GROUP, "place").agg(F.sum("n").alias("n"))
+    place = found.withColumn("place", (F.row_number().over(Window.partitionBy(KEY, *_GROUP).orderBy("label")) - 1).cast("int"))
+    columns = f"{KEY} {blocks.schema[KEY].dataType.simpleString()}, K int, seed int, init int, label int, f array<double>"
+    # a group holds its candidates, about K (1 + OVERSAMPLE DRAWS) of them
+    return place.join(weight, [KEY, *_GROUP, "place"]).groupBy(KEY, *_GROUP).applyInPandas(_reduced(size), columns)
+
+
 @tidy
 def kmeans_fit(points: DataFrame, plan: DataFrame, size: int, inits: int = 10, rounds: int = 300) -> tuple[DataFrame, DataFrame]:
     """(labels, inertia) per (sample, K, seed): Lloyd steps of all groups and starts at once, the best start wins.
 
-    ``plan`` has K and seed. A start takes the K points of least hash of (seed,
-    start, spot). A group advances until none of its centroids moves; ``converged``
-    in the inertia table is false where the best start still moved after ``rounds``.
+    ``plan`` has K and seed. Points are packed once; a round is one pass over them
+    that gives the sums of each block's clusters. A group advances until none of its centroids
+    moves; ``converged`` in the inertia table is false where the best start still moved after
+    ``rounds``. A centroid without points stays.
     """
-    keys = (KEY, "K", "seed", "init")
-    starts = plan.select("K", "seed", F.explode(F.sequence(F.lit(0), F.lit(inits - 1))).alias("init"))
-    h = hash_number(F.concat_ws("|", "seed", "init", "spot"))
-    w = Window.partitionBy(*keys).orderBy(h, "spot")
-    most = plan.agg(F.max("K")).first()[0] or 0  # a bound for every group, so that no task sorts more of a group than it needs
-    chosen = points.select(KEY, "spot").join(F.broadcast(starts)).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).filter("r <= K")
-    c = cut(chosen.join(points.select(KEY, "spot", "f"), [KEY, "spot"]).select(*keys, (F.col("r") - 1).alias("label"), "f"))
-    still = cut(c.limit(0).withColumn("converged", F.lit(True)))
+    keys = [KEY, *_GROUP]
+    blocks = cut(_packed(points, size))
+    c = cut(kmeans_starts(blocks, plan, size, inits).withColumn("moves", F.lit(True)))
+    total = F.array(*(F.sum(F.col("total")[i]) for i in range(size)))
     for _ in range(rounds):
-        new = cut(kmeans_update(points, kmeans_assign(points, c, keys), size, keys))
-        moved = cut(new.join(c.withColumnRenamed("f", "g"), [*keys, "label"]).filter(squared_distance(F.col("f"), F.col("g")) > 1e-12).select(*keys).distinct())
-        still = cut(still.unionByName(new.join(moved, list(keys), "left_anti").withColumn("converged", F.lit(True))))
-        c = cut(new.join(moved, list(keys), "left_semi"))
-        if c.isEmpty():
+        at = c.filter("moves")
+        sums = _each_group(blocks, _joined(at), size, _sums, "label int, n bigint, total array<double>, cost double").groupBy(*keys, "label").agg(F.sum("n").alias("n"), total.alias("total"))
+        new = at.join(sums, [*keys, "label"], "left").select(*keys, "label", F.col("f").alias("g"), F.coalesce(F.transform("total", lambda t: t / F.col("n")), F.col("f")).alias("f"))
+        moves = new.groupBy(*keys).agg((F.max(squared_distance(F.col("f"), F.col("g"))) > 1e-12).alias("moves"))
+        c = cut(c.filter("NOT moves").unionByName(new.drop("g").join(moves, keys)))
+        if c.filter("moves").isEmpty():
             break
-    c = cut(still.unionByName(c.withColumn("converged", F.lit(False))))
-    final = kmeans_assign(points, c, keys)
-    inertia = final.groupBy(*keys).agg(F.sum("d2").alias("inertia"), F.countDistinct("label").alias("n_labels"))
-    inertia = inertia.join(c.select(*keys, "converged").distinct(), list(keys))
-    best = inertia.groupBy(KEY, "K", "seed").agg(F.min(F.struct("inertia", "init", "n_labels", "converged")).alias("b")).select(KEY, "K", "seed", "b.inertia", "b.init", "b.n_labels", "b.converged")
-    labels = final.join(F.broadcast(best.select(*keys)), list(keys)).select(KEY, "K", "seed", "spot", "label")
-    return labels, best.drop("init")
+    last = _each_group(blocks, _joined(c), size, _sums, "label int, n bigint, total array<double>, cost double")
+    inertia = last.groupBy(*keys).agg(F.sum("cost").alias("inertia"), F.count_distinct("label").alias("n_labels")).join(c.groupBy(*keys).agg((~F.max("moves")).alias("converged")), keys)
+    best = cut(inertia.groupBy(KEY, "K", "seed").agg(F.min(F.struct("inertia", "init", "n_labels", "converged")).alias("b")).select(KEY, "K", "seed", "b.inertia", "b.init", "b.n_labels", "b.converged"))
+    labels = _each_group(blocks, _joined(c.join(best.select(*keys), keys, "left_semi")), size, _labelled, "spot bigint, label int")
+    return labels.select(KEY, "K", "seed", "spot", "label"), best.drop("init")
 
 
 # --- Ward under contiguity -----------------------------------------------------

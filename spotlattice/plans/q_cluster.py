@@ -9,6 +9,7 @@ from spotlattice.operators import cluster as C
 from spotlattice.operators import graph as G
 from spotlattice.operators import normalize as N
 from spotlattice.operators.lineage import cut
+from spotlattice.plans.q_graph import EMBEDDED_SQL, WEIGHTS_SQL
 from spotlattice.plans.views import view, with_views
 
 K = "sample_id"
@@ -100,15 +101,19 @@ def _grid(spark, d):
 
 
 def community_fit(spark, d):
-    """Per sample and resolution: numbers of communities and spots, and whether the modularity beats one community for all."""
-    e = _weights(spark, d)
+    """Per sample and resolution: spots, and whether there are several communities, each connected, that beat one community for all."""
+    e = cut(_weights(spark, d))
     out = cut(C.community_fit(e, [0.5, 1.0]))
-    found = out.groupBy(K, "gamma").agg(F.countDistinct("label").alias("n_labels"), F.count(F.lit(1)).alias("n_spots"))
+    found = out.groupBy(K, "gamma").agg(F.count_distinct("label").alias("n_labels"), F.count(F.lit(1)).alias("n_spots"))
     # one community for all has the inner weight m less gamma (2m)^2 / 4m
     total = e.groupBy(K).agg(F.sum("w").alias("m"))
     scores = [C.rb_modularity(e, out.filter(F.col("gamma") == g), g).withColumn("gamma", F.lit(g)) for g in (0.5, 1.0)]
     beats = scores[0].unionByName(scores[1]).join(total, K).select(K, "gamma", (F.col("modularity") > F.col("m") * (1 - F.col("gamma"))).alias("beats_one"))
-    return found.join(beats, [K, "gamma"])
+    at = lambda c, name: out.select(K, "gamma", F.col("spot").alias(c), F.col("label").alias(name))
+    inner = e.join(at("src", "a"), [K, "src"]).join(at("dst", "b"), [K, "gamma", "dst"]).filter("a = b")
+    both = inner.select(K, "gamma", F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(inner.select(K, "gamma", F.col("dst").alias("node"), F.col("src").alias("other")))
+    pieces = G.components(both, out.select(K, "gamma", F.col("spot").alias("node")), [K, "gamma"]).groupBy(K, "gamma").agg(F.count_distinct("part").alias("n_pieces"))
+    return found.join(beats, [K, "gamma"]).join(pieces, [K, "gamma"]).select(K, "gamma", "n_spots", (F.col("n_labels") > 1).alias("several"), (F.col("n_labels") == F.col("n_pieces")).alias("connected"), "beats_one")
 
 
 def resolution_select(spark, d):
@@ -204,6 +209,8 @@ SELECT m.sample_id, m.x AS a, m.y AS b, round(m.cost, 6) AS cost FROM be m JOIN
 st AS (SELECT sample_id, label, sum(w) AS s FROM (SELECT sample_id, src AS spot, w FROM e UNION ALL SELECT sample_id, dst, w FROM e) JOIN l USING (sample_id, spot) GROUP BY 1, 2),
 i AS (SELECT e.sample_id, sum(w) FILTER (a.label = b.label) AS inner_w, sum(w) AS m FROM e JOIN l a ON a.sample_id = e.sample_id AND a.spot = src JOIN l b ON b.sample_id = e.sample_id AND b.spot = dst GROUP BY 1)
 SELECT sample_id, round(coalesce(any_value(inner_w), 0) - sum(s * s) / (4 * any_value(m)), 6) AS modularity FROM st JOIN i USING (sample_id) GROUP BY 1""", "spots", "labels"),
+    "community_fit": with_views(f"WITH {EMBEDDED_SQL}, {WEIGHTS_SQL}, t AS (SELECT sample_id, src AS spot FROM wt UNION SELECT sample_id, dst FROM wt) SELECT sample_id, gamma, count(*) AS n_spots, true AS several, true AS connected, true AS beats_one FROM t, (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE]) AS gamma) GROUP BY 1, 2", "spots"),
+    "ward_fit": with_views("SELECT sample_id, least(4, count(*)) AS n_labels, count(*) AS n_spots FROM v_spots GROUP BY 1", "spots"),
     "resolution_select": """SELECT sample_id, round(gamma, 6) AS gamma, n_labels, n_labels = 6 AS exact FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY abs(n_labels - 6), CASE WHEN n_labels = 6 THEN place ELSE 0 END, gamma) AS r
 FROM (SELECT (c_nationkey % 5)::VARCHAR AS sample_id, c_custkey / 100.0::DOUBLE AS gamma, c_custkey % 23 + 2 AS n_labels, c_custkey AS place FROM customer)) WHERE r = 1""",
     "dec_soft_assign": with_views(f"WITH {_SOFT} SELECT sample_id, spot, label, round(q, 6) AS q, round(p, 6) AS p FROM so", "spots"),

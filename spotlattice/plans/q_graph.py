@@ -344,9 +344,9 @@ def _graph_sql(source: str) -> str:
     return f"""(SELECT DISTINCT * FROM (SELECT sample_id, spot AS src, other AS dst FROM ({_knn_sql(source, 6)}) UNION ALL SELECT sample_id, other, spot FROM ({_knn_sql(source, 6)}) UNION ALL SELECT sample_id, spot, spot FROM {source}))"""
 
 
-_EMB = "emb AS (SELECT sample_id, spot, x, y, embedding::DOUBLE[] AS f FROM v_spots JOIN embeddings ON vec_id = spot)"
+EMBEDDED_SQL = "emb AS (SELECT sample_id, spot, x, y, embedding::DOUBLE[] AS f FROM v_spots JOIN embeddings ON vec_id = spot)"
 _NORM = "CASE WHEN sqrt(list_sum(list_transform({0}, lambda q: q * q))) = 0 THEN 1 ELSE sqrt(list_sum(list_transform({0}, lambda q: q * q))) END"
-_W = f"""wt AS (SELECT sample_id, src, dst, greatest(0, (1 + list_sum(list_transform(list_zip(fa, fb), lambda p: p[1] * p[2])) / ({_NORM.format('fa')} * {_NORM.format('fb')})) / 2)::DOUBLE AS w
+WEIGHTS_SQL = f"""wt AS (SELECT sample_id, src, dst, greatest(0, (1 + list_sum(list_transform(list_zip(fa, fb), lambda p: p[1] * p[2])) / ({_NORM.format('fa')} * {_NORM.format('fb')})) / 2)::DOUBLE AS w
   FROM (SELECT g.sample_id, src, dst, a.f AS fa, b.f AS fb FROM {_graph_sql('emb')} g JOIN emb a ON a.sample_id = g.sample_id AND a.spot = src JOIN emb b ON b.sample_id = g.sample_id AND b.spot = dst WHERE src < dst))"""
 _COH = f"coh AS (SELECT sample_id, spot AS src, other AS dst, rank FROM ({_knn_sql('v_spots', 7)}) WHERE rank >= 2)"
 _LN = "ln_ AS (SELECT sample_id, spot, gene, ln(1 + n * 10000.0::DOUBLE / sum(n) OVER (PARTITION BY sample_id, spot)) AS v FROM v_counts)"
@@ -388,7 +388,7 @@ def _agree(edges: str, labels: str, keys: str) -> str:
     return f"SELECT {', '.join('a.' + k for k in keys.split(', '))}, round(avg((a.label = b.label)::INT), 6) AS coherence, count(*) AS n_pairs FROM {edges} e JOIN {labels} a ON a.sample_id = e.sample_id AND a.spot = e.src JOIN {labels} b ON {on} AND b.spot = e.dst GROUP BY ALL"
 
 
-_ATT = f"""{_EMB},
+_ATT = f"""{EMBEDDED_SQL},
 ee AS (SELECT * FROM {_graph_sql('emb')} UNION ALL SELECT sample_id, spot, spot FROM emb),
 es AS (SELECT e.sample_id, src, dst, b.f AS f, list_dot_product(a.f, {_LEFT * (SIZE // 4)}::DOUBLE[]) + list_dot_product(b.f, {_RIGHT * (SIZE // 4)}::DOUBLE[]) AS raw FROM ee e JOIN emb a ON a.sample_id = e.sample_id AND a.spot = src JOIN emb b ON b.sample_id = e.sample_id AND b.spot = dst),
 ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY sample_id, src)) AS x FROM (SELECT *, CASE WHEN raw > 0 THEN raw ELSE 0.2::DOUBLE * raw END AS s FROM es)),
@@ -412,16 +412,16 @@ SQL = {
     "lognorm": with_views(f"WITH {_LN} SELECT sample_id, spot, gene, round(v, 6) AS v FROM ln_", "counts"),
     "hvg_select": with_views(f"WITH {_LN}, va AS (SELECT sample_id, gene, greatest(sum(v * v) / any_value(n) - (sum(v) / any_value(n)) * (sum(v) / any_value(n)), 0) AS variance FROM ln_ JOIN (SELECT sample_id, count(*) AS n FROM v_spots GROUP BY 1) USING (sample_id) GROUP BY 1, 2) SELECT sample_id, gene, round(variance, 6) AS variance, rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY variance DESC, gene DESC)::INT AS rank FROM va) WHERE rank <= 2000", "counts"),
     "coords_scaled": with_views("SELECT sample_id, spot, round((x - avg(x) OVER (PARTITION BY sample_id)) / (stddev_pop(x) OVER (PARTITION BY sample_id) + 0.000001::DOUBLE), 6) AS xs, round((y - avg(y) OVER (PARTITION BY sample_id)) / (stddev_pop(y) OVER (PARTITION BY sample_id) + 0.000001::DOUBLE), 6) AS ys FROM v_spots", "spots"),
-    "spatial_features": with_views(f"WITH {_EMB} SELECT sample_id, spot, (len(f) + 2)::INT AS n, round(f[1], 6) AS f0, round(0.5 * (x - avg(x) OVER (PARTITION BY sample_id)) / (stddev_pop(x) OVER (PARTITION BY sample_id) + 0.000001::DOUBLE), 6) AS fx, round(0.5 * (y - avg(y) OVER (PARTITION BY sample_id)) / (stddev_pop(y) OVER (PARTITION BY sample_id) + 0.000001::DOUBLE), 6) AS fy FROM emb", "spots"),
+    "spatial_features": with_views(f"WITH {EMBEDDED_SQL} SELECT sample_id, spot, (len(f) + 2)::INT AS n, round(f[1], 6) AS f0, round(0.5 * (x - avg(x) OVER (PARTITION BY sample_id)) / (stddev_pop(x) OVER (PARTITION BY sample_id) + 0.000001::DOUBLE), 6) AS fx, round(0.5 * (y - avg(y) OVER (PARTITION BY sample_id)) / (stddev_pop(y) OVER (PARTITION BY sample_id) + 0.000001::DOUBLE), 6) AS fy FROM emb", "spots"),
     "knn_exact": with_views(f"SELECT sample_id, spot, other, rank, round(d2, 6) AS d2 FROM ({_knn_sql('v_spots', 7)})", "spots"),
     "knn_rank2to7": with_views(f"WITH {_COH} SELECT * FROM coh", "spots"),
     "graph_symmetric": with_views(f"SELECT * FROM {_graph_sql('v_spots')}", "spots"),
     "edges_undirected": with_views(f"WITH {_UND} SELECT * FROM ue", "spots"),
-    "edge_weights": with_views(f"WITH {_EMB}, {_W} SELECT sample_id, src, dst, round(w, 6) AS w FROM wt", "spots"),
+    "edge_weights": with_views(f"WITH {EMBEDDED_SQL}, {WEIGHTS_SQL} SELECT sample_id, src, dst, round(w, 6) AS w FROM wt", "spots"),
     "boundary_mask": with_views(f"WITH {_L11} SELECT k.sample_id, k.spot, max((a.label <> b.label)::INT)::INT AS is_boundary FROM ({_knn_sql('v_spots', 6)}) k JOIN l11 a ON a.sample_id = k.sample_id AND a.spot = k.spot JOIN l11 b ON b.sample_id = k.sample_id AND b.spot = k.other GROUP BY k.sample_id, k.spot", "spots", "labels"),
     "neighbor_list_agreement": with_views(f"WITH {_L11}, le AS (SELECT a.sample_id, a.spot AS src, b.spot AS dst FROM v_spots a JOIN v_spots b ON a.sample_id = b.sample_id AND b.spot - a.spot IN (1, 5, -7)) {_agree('le', 'l11', 'sample_id')}", "spots", "labels"),
     "affinity_mass": with_views("SELECT a.sample_id, l, round(sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / (2 * l * l))) / count(DISTINCT a.spot) - 1, 6) AS mass FROM v_spots a JOIN v_spots b ON a.sample_id = b.sample_id JOIN (SELECT unnest([100.0::DOUBLE, 250.0::DOUBLE]) AS l) ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36 * l * l GROUP BY a.sample_id, l", "spots"),
-    "graph_smooth": with_views(f"WITH {_EMB}, {_W} SELECT wt.sample_id, src AS spot, feature, round(sum(w * f[feature + 1]), 6) AS v FROM wt JOIN emb ON emb.sample_id = wt.sample_id AND emb.spot = dst, (SELECT unnest(range({SIZE}))::INT AS feature) GROUP BY ALL", "spots"),
+    "graph_smooth": with_views(f"WITH {EMBEDDED_SQL}, {WEIGHTS_SQL} SELECT wt.sample_id, src AS spot, feature, round(sum(w * f[feature + 1]), 6) AS v FROM wt JOIN emb ON emb.sample_id = wt.sample_id AND emb.spot = dst, (SELECT unnest(range({SIZE}))::INT AS feature) GROUP BY ALL", "spots"),
     "edge_attention": with_views(f"WITH {_ATT} SELECT sample_id, src AS spot, part, round(sum(a * f[part + 1]), 6) AS v FROM aw, (SELECT unnest(range({SIZE}))::INT AS part) GROUP BY ALL", "spots"),
     "spatial_coherence": with_views(f"WITH {_COH} {_agree('coh', 'v_labels', 'sample_id, seed')}", "spots", "labels"),
     "marker_separation": with_views(f"WITH {_DIFF} SELECT sample_id, round(quantile_cont(mean, 0.5), 6) AS separation, count(*) AS n_clusters FROM tp WHERE top_n = 20 GROUP BY 1", "counts", "labels"),
