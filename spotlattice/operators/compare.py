@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotlattice.operators.graph import KEY
+from spotlattice.operators.ranks import quantiles
 
 
 def signature_score(expr: DataFrame, spots: DataFrame, signatures: DataFrame, genes: DataFrame) -> DataFrame:
@@ -29,11 +32,13 @@ def signature_contrast(scores: DataFrame, plus: tuple[str, ...], minus: tuple[st
 def group_compare(rows: DataFrame, keys: tuple[str, ...], side: str, value: str) -> DataFrame:
     """Mean, median and share above zero on both sides and their differences, true side less false side."""
     one = lambda yes: F.when(F.col(side) if yes else ~F.col(side), F.col(value))
+    sides = (("b", True), ("a", False))
     g = rows.groupBy(*keys).agg(
-        *(x for name, yes in (("b", True), ("a", False)) for x in (
-            F.count(one(yes)).alias(f"n_{name}"), F.avg(one(yes)).alias(f"mean_{name}"), F.percentile(one(yes), 0.5).alias(f"median_{name}"), F.avg((one(yes) > 0).cast("double")).alias(f"positive_{name}"),
-        ))
+        *(x for name, yes in sides for x in (F.count(one(yes)).alias(f"n_{name}"), F.avg(one(yes)).alias(f"mean_{name}"), F.avg((one(yes) > 0).cast("double")).alias(f"positive_{name}")))
     )
+    middle = quantiles(rows.filter(F.col(side).isNotNull()).select(*keys, F.col(side).alias("_side"), F.col(value).alias("_value")), (*keys, "_side"), "_value", {"m": 0.5})
+    middle = middle.groupBy(*keys).agg(*(F.max(F.when(F.col("_side") == yes, F.col("m"))).alias(f"median_{name}") for name, yes in sides))
+    g = g.alias("g").join(middle.alias("m"), reduce(Column.__and__, (F.col(f"g.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys)), "left").select("g.*", "median_b", "median_a")
     return g.withColumns({f"delta_{m}": F.col(f"{m}_b") - F.col(f"{m}_a") for m in ("mean", "median", "positive")})
 
 
@@ -118,26 +123,31 @@ def edge_alignment(edges: DataFrame, labels: DataFrame, values: DataFrame, least
     return out.withColumns({"delta_edge": F.col("edge_boundary") - F.col("edge_within"), "delta_spot": F.col("spot_boundary") - F.col("spot_interior"), "status": F.when(F.col("n_valued") > 0, "ok").otherwise("missing_image")})
 
 
-def patch_features(spots: DataFrame, pixels: DataFrame, half: int = 24, least: int = 25) -> DataFrame:
+def patch_features(spots: DataFrame, pixels: DataFrame, half: int = 24, least: int = 25, keys: tuple[str, ...] = ()) -> DataFrame:
     """Gray mean, deviation, mean and 95 % quantile of the un-halved inner gradient of the patch about each spot.
 
+    ``keys`` name the columns that tell which image of ``pixels`` a spot lies on; without them there is one image.
+
     A range join by tiles of the patch's width: a spot looks in the tiles that its
     patch touches. Grays are added as decimals of six places, so a mean is the same in any order. Spots outside the image and patches with fewer than ``least`` pixels go.
     """
     width = 2 * half + 1
     tile = lambda c: F.floor(c / width)
-    size = pixels.agg(F.max("px").alias("mx"), F.max("py").alias("my"))
+    keys = list(keys)
+    size = pixels.groupBy(*keys).agg(F.max("px").alias("mx"), F.max("py").alias("my"))
     # the neighbours of a pixel are the same in every patch that holds them
-    row, col = Window.partitionBy("py").orderBy("px"), Window.partitionBy("px").orderBy("py")
+    row, col = Window.partitionBy(*keys, "py").orderBy("px"), Window.partitionBy(*keys, "px").orderBy("py")
     beside = {"x0": F.lag("px").over(row), "x1": F.lead("px").over(row), "y0": F.lag("py").over(col), "y1": F.lead("py").over(col)}
     steep = {"gx": F.lead("gray").over(row) - F.lag("gray").over(row), "gy": F.lead("gray").over(col) - F.lag("gray").over(col)}
-    p = pixels.select("px", "py", "gray").withColumns(beside | steep)
-    p = p.select("px", "py", "gray", *beside, F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("steep"), tile(F.col("px")).alias("tx"), tile(F.col("py")).alias("ty"))
-    c = spots.select(KEY, "spot", F.rint("x").cast("bigint").alias("cx"), F.rint("y").cast("bigint").alias("cy")).crossJoin(F.broadcast(size)).filter("cx >= 0 AND cy >= 0 AND cx <= mx AND cy <= my")
+    p = pixels.select(*keys, "px", "py", "gray").withColumns(beside | steep)
+    p = p.select(*keys, "px", "py", "gray", *beside, F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("steep"), tile(F.col("px")).alias("tx"), tile(F.col("py")).alias("ty"))
+    c = spots.select(KEY, "spot", *(k for k in keys if k != KEY), F.rint("x").cast("bigint").alias("cx"), F.rint("y").cast("bigint").alias("cy"))
+    # one image has one row of sizes
+    c = (c.join(size, keys) if keys else c.crossJoin(F.broadcast(size))).filter("cx >= 0 AND cy >= 0 AND cx <= mx AND cy <= my")
     tiles = lambda v: F.explode(F.sequence(tile(F.col(v) - half), tile(F.col(v) + half)))
     c = c.withColumn("tx", tiles("cx")).withColumn("ty", tiles("cy"))
     inside = (F.abs(F.col("px") - F.col("cx")) <= half) & (F.abs(F.col("py") - F.col("cy")) <= half)
     whole = (F.col("x0") >= F.col("cx") - half) & (F.col("x1") <= F.col("cx") + half) & (F.col("y0") >= F.col("cy") - half) & (F.col("y1") <= F.col("cy") + half)
-    patch = c.join(p, ["tx", "ty"]).filter(inside).select(KEY, "spot", "gray", F.when(whole, F.col("steep")).alias("g"))
+    patch = c.join(p, [*keys, "tx", "ty"]).filter(inside).select(KEY, "spot", "gray", F.when(whole, F.col("steep")).alias("g"))
     g = patch.groupBy(KEY, "spot").agg(F.count(F.lit(1)).alias("n_pixels"), F.avg(F.col("gray").cast("decimal(18,6)")).cast("double").alias("gray_mean"), F.stddev_pop("gray").alias("gray_sd"), F.avg("g").alias("grad_mean"), F.percentile("g", 0.95).alias("grad_q95"))
     return g.filter(F.col("n_pixels") >= least)

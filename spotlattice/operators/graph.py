@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spotlattice.operators.lineage import cut, tidy
 from spotlattice.operators.normalize import dot, unit
+from spotlattice.operators.ranks import quantiles
 
 KEY = "sample_id"
 
@@ -377,7 +378,8 @@ def bandwidth_search(spots: DataFrame, target: float, low: float = 0.01, high: f
     a = spots.join(F.broadcast(missed), KEY, "left_semi")
     b = a.select(KEY, F.col("spot").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    fallback = a.join(b, KEY).select(KEY, d2.alias("d2")).filter("d2 > 0").groupBy(KEY).agg(F.percentile(F.sqrt("d2"), 0.05).alias("q"))
+    fallback = a.join(b, KEY).select(KEY, F.sqrt(d2).alias("d")).filter("d > 0")
+    fallback = quantiles(fallback, (KEY,), "d", {"q": 0.05})
     return near.join(fallback, KEY, "left").select(KEY, F.coalesce("q", "l").alias("l"), "mass")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spotlattice.functions.expr import hash_number
 from spotlattice.operators.graph import KEY, coherence_neighbours
-from spotlattice.operators.ranks import numbered
+from spotlattice.operators.ranks import numbered, quantiles
 
 
 def agreement(edges: DataFrame, labels: DataFrame, by: tuple[str, ...] = (KEY,)) -> DataFrame:
@@ -201,7 +201,11 @@ def instability_summary(unstable: DataFrame, values: DataFrame, columns: tuple[s
     """Medians of marker values and of their sum, for stable and unstable spots; missing values are skipped."""
     rows = unstable.join(values, [KEY, "spot"])
     total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
-    return rows.groupBy(KEY, "unstable").agg(F.count(F.lit(1)).alias("n"), *(F.percentile(c, 0.5).alias(f"median_{c}") for c in columns), F.percentile(total, 0.5).alias("median_sum"))
+    n = rows.groupBy(KEY, "unstable").agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns), F.struct(F.lit("sum").alias("name"), total.cast("double").alias("v"))))
+    middle = quantiles(rows.select(KEY, "unstable", each.alias("e")).select(KEY, "unstable", "e.name", "e.v"), (KEY, "unstable", "name"), "v", {"m": 0.5})
+    middle = middle.groupBy(KEY, "unstable").agg(*(F.max(F.when(F.col("name") == c, F.col("m"))).alias(f"median_{c}") for c in (*columns, "sum")))
+    return n.join(middle, [KEY, "unstable"], "left")
 
 
 def boundary(neighbours: DataFrame, labels: DataFrame) -> DataFrame:

@@ -77,3 +77,25 @@ def least_from_here(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ..
     parts = parts.select(*keys, "_part", F.min("_least").over(later(Window.partitionBy(*keys).orderBy("_part"), 1)).alias("_beyond"))
     out = _by_part(dealt.withColumn("_inner", F.min(of).over(within)), parts, keys)
     return out.withColumn("least", F.least("_inner", "_beyond")).drop("_inner", "_beyond", "_part")
+
+
+@tidy
+def quantiles(rows: DataFrame, keys: tuple[str, ...], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, one column a share): exact quantiles with linear interpolation, as ``percentile`` gives them; null values do not count.
+
+    The values at the two places about each quantile are looked up among the ranks, so a group's values never meet in one buffer.
+    """
+    ranked = distinct_ranks(rows.filter(F.col(value).isNotNull()), keys, F.col(value).cast("double"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("x")))
+
+    def one(share: float) -> Column:
+        place = (F.col("total") - 1) * F.lit(share)
+        low = F.floor(place)
+        a, b = at(low), at(F.least(low + 1, F.col("total") - 1))
+        part = F.max(place - low)
+        # the same sum as ``percentile``: equal neighbours give their value as it is
+        return F.when(a == b, a).otherwise((1 - part) * a + part * b)
+
+    return ranked.groupBy(*keys).agg(*(one(share).alias(name) for name, share in shares.items()))

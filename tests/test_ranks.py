@@ -85,3 +85,11 @@ def test_small_sides_without_ties_take_the_exact_distribution(spark):
     assert of((1, 2, 3), range(10, 60)).p == pytest.approx(2 * 6 / (53 * 52 * 51))
     alone = of((1, 2), ())
     assert (alone.n1, alone.n2, alone.z, alone.p) == (2, 0, None, 1.0)
+
+
+def test_quantiles_equal_percentile(spark, rows, one_task):
+    some = rows.unionByName(spark.createDataFrame([("big", None, 1), ("none", None, 2), ("one", 3.5, 3)], "g string, v double, id long"))
+    shares = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.975, "e": 1.0}
+    want = some.filter("v IS NOT NULL").groupBy("g").agg(*(F.percentile("v", s).alias(c) for c, s in shares.items()))
+    show = lambda df: sorted(str([r.g, *(None if r[c] is None else round(r[c], 12) for c in shares)]) for r in df.collect())
+    assert show(ranks.quantiles(some, ("g",), "v", shares)) == show(want)
