@@ -262,7 +262,7 @@ def ward_fit(points: DataFrame, edges: DataFrame, k: int, size: int) -> DataFram
     first, as many as still leave k clusters. Ends when no sample has spare clusters:
     each round merges a pair in every other one.
     """
-    place = points.select(KEY, "spot", *((F.col(c) if c in points.columns else F.col("f")[i]).alias(c) for i, c in enumerate("xy")))
+    place = points.select(KEY, "spot", *((F.col(c) if c in points.columns else F.coalesce(F.get("f", F.lit(i)), F.lit(0.0))).alias(c) for i, c in enumerate("xy")))
     member = cut(points.select(KEY, "spot", F.col("spot").alias("id")))
     adjacency = cut(connect(place, edges))
     while True:
