@@ -7,6 +7,9 @@ its rarest one. The index is a constant map ``token -> rules`` inside the
 projection: the tokens of a URL fetch candidate rules from it, and only those run
 their regular expression. No row moves, so a hot host costs nothing extra.
 
+The default rules name a few public networks and kinds of sites by their words, no host of any
+table; a user gives rules of their own as an argument or as a table.
+
 Up to ``MAX_RULES`` rules go into the projection. More of them, or rules that come as a
 table, are joined instead (``judge_by_table``): each distinct URL meets the rules filed
 under its tokens in an equi join, and the longest that fits comes back to the pages.
@@ -67,32 +70,12 @@ BASE_RULES = (
     Rule("org", "/es/", "block"),
 )
 
-# Host patterns of advertising, tracking, gambling, adult, spam and piracy sites.
-SITE_RULES = (
-    Rule("doubleclick.net", "", "block", False),
-    Rule("googlesyndication.com", "", "block", False),
-    Rule("googleadservices.com", "", "block", False),
-    Rule("google-analytics.com", "", "block", False),
-    Rule("scorecardresearch.com", "", "block", False),
-    Rule("adnxs.com", "", "block", False),
-    Rule("taboola.com", "", "block", False),
-    Rule("outbrain.com", "", "block", False),
-    Rule("criteo.*.*", "", "block", False),
-    Rule("ads.*.*", "", "block", False),
-    Rule("adserver.*.*", "", "block", False),
-    Rule("tracker.*.*", "", "block", False),
-    Rule("casino.*.*", "", "block", False),
-    Rule("poker.*.*", "", "block", False),
-    Rule("betting.*.*", "", "block", False),
-    Rule("porn.*.*", "", "block", False),
-    Rule("warez.*.*", "", "block", False),
-    Rule("torrent.*.*", "", "block", False),
-    Rule("ads-track.*.*", "", "block", False),
-    Rule("casino-win.*.*", "", "block", False),
-    Rule("spam-farm.*.*", "", "block", False),
-    Rule("adult-x.*.*", "", "block", False),
-    Rule("cheap-pills.*.*", "", "block", False),
-    Rule("free-bets.*.*", "", "block", False),
+# Sites of advertising and tracking networks, and words that name a kind of unwanted site in its host.
+SITES = ("doubleclick.net", "googlesyndication.com", "googleadservices.com", "google-analytics.com", "scorecardresearch.com", "adnxs.com", "taboola.com", "outbrain.com", "criteo.*.*")
+WORDS = ("ads", "adserver", "adult", "bets", "betting", "casino", "pills", "poker", "porn", "spam", "torrent", "tracker", "viagra", "warez", "xxx")
+# A word is a label of the host, or stands at the start or the end of a label with a hyphen; the label is the last or the last but one before the end.
+SITE_RULES = tuple(Rule(site, "", "block", False) for site in SITES) + tuple(
+    Rule(f"{label}{end}", "", "block", False) for w in WORDS for label in (w, f"{w}-*", f"*-{w}") for end in (".*", ".*.*")
 )
 RULES = BASE_RULES + SITE_RULES
 

@@ -196,3 +196,16 @@ def test_labels_that_do_not_suffice(spark, odd):
     # a few documents of each label: too few to train a dictionary on, the texts themselves are the dictionaries
     few = compressed.fit(odd, label([(4, 1), (8, 0), (6, 1), (6, 1), (7, 0)]))
     assert all(0 <= q.score <= 1 for q in compressed.score(odd, few).collect())
+
+
+# --- URL rules by kind of site -------------------------------------------------
+
+
+def test_hosts_that_no_rule_was_made_from(spark):
+    from spotlattice.llm import urls
+
+    blocked = ["http://mega-casino.biz/", "https://www.casino-royal.example.org/x", "http://poker.site.io/a", "http://cheap-xxx.tv", "http://cdn.ads-hub.co.uk/p", "http://best-pills.shop/q?x=1"]
+    allowed = ["http://adsorption.org/", "http://example.com/casino", "http://spamalot.com/", "http://mypoker.club/", "http://news.example.com/adult-learning", "", None, "no scheme"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(blocked + allowed)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages).collect()}
+    assert [got[i] for i in range(len(got))] == ["block"] * len(blocked) + ["allow"] * len(allowed)
