@@ -20,7 +20,7 @@ one number follow each other by text; roles other than the known names are not
 learned from but still recovered; ties go to the role first in ``ROLES``; if
 nothing can be learned all probabilities are even; a null conversation is one
 conversation; ids of conversations may be of any type that has an order; very long turns
-are rendered whole; an empty table gives an empty result; extra columns are ignored,
+are rendered whole; marks of turns inside a text are escaped; an empty table gives an empty result; extra columns are ignored,
 whatever their names.
 """
 
@@ -202,7 +202,19 @@ def recover(spark: SparkSession, turns: DataFrame, model: Model) -> DataFrame:
 
     found = both.select("rows", "i", "j").mapInArrow(paths, "place long, role_pred string")
     out = placed.select("place", "conv_id", "turn", "text").join(found, "place")
-    return out.select("conv_id", F.col("turn").cast("long"), "role_pred", F.concat(F.lit("<|"), "role_pred", F.lit("|>\n"), body(F.col("text")), F.lit("\n<|end|>")).alias("rendered"))
+    return out.select("conv_id", F.col("turn").cast("long"), "role_pred", rendered(F.col("role_pred"), body(F.col("text"))).alias("rendered"))
+
+
+def rendered(role: Column, text: Column) -> Column:
+    """The canonical turn. Where a text has ``<`` and ``|`` with nothing or only backslashes between them, one backslash more is set there, so that no text forges a mark."""
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|"), F.lit("\n<|end|>"))
+
+
+def parsed(conversation: Column) -> Column:
+    """Roles and texts of the rendered turns of a conversation, in their order, as ``rendered`` was given them."""
+    turn = r"<\|([a-z]+)\|>\n([\s\S]*?)\n<\|end\|>"
+    pairs = F.arrays_zip(F.regexp_extract_all(conversation, F.lit(turn), F.lit(1)).alias("role"), F.regexp_extract_all(conversation, F.lit(turn), F.lit(2)).alias("text"))
+    return F.transform(pairs, lambda t: F.struct(t["role"].alias("role"), F.regexp_replace(t["text"], r"<(\\*)\\\|", r"<$1|").alias("text")))
 
 
 def turns_of(transcripts: DataFrame) -> DataFrame:
