@@ -59,7 +59,7 @@ class Alphabet:
         seen = np.unique(np.concatenate([np.empty(0, np.uint32), *map(_points, texts)]))
         seen = seen[_letters()[seen]]
         self.size = len(seen) + 2
-        self.code = np.where(_letters(), _OTHER, _SPACE).astype(np.int16)
+        self.code = np.where(_letters(), _OTHER, _SPACE).astype(np.int32)
         self.code[seen] = np.arange(2, self.size)
 
     def encode(self, text: str) -> np.ndarray:
@@ -132,8 +132,8 @@ class Model:
         place = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         length = np.minimum(BLOCK, sizes[owner] - place * BLOCK)
         order = np.argsort(-length, kind="stable")
-        grid = np.zeros((len(owner), BLOCK), np.int16)
-        flat = np.concatenate([np.empty(0, np.int16), *texts])
+        grid = np.zeros((len(owner), BLOCK), np.int32)
+        flat = np.concatenate([np.empty(0, np.int32), *texts])
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         row = np.repeat(rank, length)
