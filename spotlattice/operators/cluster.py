@@ -435,6 +435,7 @@ def resolution_select(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy(KEY).agg(F.min_by(F.struct("gamma", "n_labels"), best).alias("b")).select(KEY, "b.gamma", "b.n_labels", (F.col("b.n_labels") == k).alias("exact"))
 
 
+# The resolutions that are tried first.
 CANDIDATES = (0.01, 0.02, 0.05, 0.10, 0.20, 0.50, 1.0, 2.0, 5.0, 10.0)
 
 

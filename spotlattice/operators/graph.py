@@ -340,14 +340,14 @@ def _masses(pairs: DataFrame, grid: DataFrame, n: DataFrame) -> DataFrame:
 
 @tidy
 def bandwidth_search(spots: DataFrame, target: float, low: float = 0.01, high: float = 1000.0, tolerance: float = 0.01, width: int = 8, rounds: int = 8) -> DataFrame:
-    """(sample_id, l, mass): the length whose mass is nearest to ``target``, all samples at once.
+    """(sample_id, l, mass, reached): the length whose mass is nearest to ``target``, all samples at once.
 
     Mass grows with length and is about ``2 pi l^2`` times the density, which
     gives each sample its first bounds and a reach of a few spots. Bounds that do
     not enclose the target are widened, and the reach with them, until they do or
     are ``low`` and ``high``. Each round then evaluates ``width`` lengths in equal
     ratios between the bounds and narrows them. A sample that misses the target by
-    more than the tolerance takes the 5 % quantile of all its positive distances;
+    more than the tolerance is not ``reached`` and takes the 5 % quantile of all its positive distances;
     only for such samples are all pairs made.
     """
     e = spots.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("dx"), (F.max("y") - F.min("y")).alias("dy"))
@@ -380,7 +380,7 @@ def bandwidth_search(spots: DataFrame, target: float, low: float = 0.01, high: f
     d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
     fallback = a.join(b, KEY).select(KEY, F.sqrt(d2).alias("d")).filter("d > 0")
     fallback = quantiles(fallback, (KEY,), "d", {"q": 0.05})
-    return near.join(fallback, KEY, "left").select(KEY, F.coalesce("q", "l").alias("l"), "mass")
+    return near.join(fallback, KEY, "left").select(KEY, F.coalesce("q", "l").alias("l"), "mass", (F.abs(F.col("mass") - target) <= tolerance).alias("reached"))
 
 
 def smooth(edges: DataFrame, features: DataFrame) -> DataFrame:
