@@ -65,7 +65,7 @@ class Rule(NamedTuple):
 BASE_RULES = (
     Rule("com", "/en/", "block"),
     Rule("example.com", "/en/7", "allow"),
-    Rule("net", "/de/", "block"),
+    Rule("net", "/de/", "allow"),
     Rule("example.net", "/de/8", "block"),
     Rule("org", "/es/", "block"),
 )
