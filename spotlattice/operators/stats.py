@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -113,20 +115,37 @@ def _indexed(rows: DataFrame, keys: tuple[str, ...], value: str, order: str) ->
     return numbered(some, keys, ("x", "_o")).select(*keys, "x", F.col("before").alias("i"), F.col("total").alias("n"))
 
 
+#: Tasks that the rounds of a resampling are dealt to.
+DEALT = 256
+
+
+def _middles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each round's hashes, for each size n, the two middle ones of the first n numbers modulo n."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            drawn = np.asarray(row.drawn, np.int64)
+            out = []
+            for n in row.sizes:
+                low, high = (n - 1) // 2, n // 2
+                middle = np.partition(drawn[:n] % n, [low, high])
+                out.append((row.b, n, [int(middle[low]), int(middle[high])]))
+            yield pd.DataFrame(out, columns=["b", "n", "i"])
+
+
 def _medians(rows: DataFrame, keys: tuple[str, ...], rounds: int, seed: int) -> DataFrame:
     """(keys, b, m): the median of each of ``rounds`` resamples, each of n values drawn by a portable hash of (seed, round, place).
 
     Values are numbered in their order, so the median of a resample is at the median of the
-    numbers drawn. A draw is one row with n numbers; only its middle ones meet the values.
+    numbers drawn. These depend on the round and on n alone: a round is hashed once, as often as the largest group
+    has values, and gives the middle numbers for every size; only those meet the values.
     """
     groups = rows.groupBy(*keys).agg(F.first("n").alias("n"))
-    drawn = groups.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
-    # dealt out before the draws are made, for a few groups give many rounds
-    drawn = drawn.repartition(*keys, "b")
-    number = lambda i: hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("b"), i)) % F.col("n")
-    drawn = drawn.select(*keys, "n", "b", F.sort_array(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), number)).alias("drawn"))
-    at = lambda shift: F.get("drawn", F.floor((F.col("n") - shift) / 2).cast("int"))
-    middle = drawn.select(*keys, "b", F.explode(F.array(at(1), at(0))).alias("i"))
+    sizes = groups.agg(F.sort_array(F.collect_set("n")).alias("sizes")).filter(F.size("sizes") > 0)
+    each = rows.sparkSession.range(0, rounds, 1, min(rounds, DEALT)).select(F.col("id").cast("int").alias("b"))
+    number = lambda i: hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("b"), i))
+    # one row of sizes
+    drawn = each.crossJoin(F.broadcast(sizes)).select("b", "sizes", F.transform(F.sequence(F.lit(0).cast("bigint"), F.array_max("sizes") - 1), number).alias("drawn"))
+    middle = groups.join(drawn.mapInPandas(_middles, "b int, n bigint, i array<bigint>"), "n").select(*keys, "b", F.explode("i").alias("i"))
     return middle.join(rows.select(*keys, "i", "x"), [*keys, "i"]).groupBy(*keys, "b").agg(F.avg("x").alias("m"))
 
 
