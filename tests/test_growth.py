@@ -1,9 +1,12 @@
 """What a task or a search takes must not grow with the number of rows that share it."""
 
 import hashlib
+import time
 
 import numpy as np
-from spotlattice.operators import stats
+from pyspark.sql import functions as F
+
+from spotlattice.operators import compare, stats
 
 
 def test_rounds_are_hashed_once_for_all_groups(spark):
@@ -19,3 +22,15 @@ def test_rounds_are_hashed_once_for_all_groups(spark):
         x = sorted(float((i * 7919) % 1009) for i in range(n))
         drawn = [int(hashlib.md5(f"11|{b}|{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)]
         assert m == np.median([x[i] for i in drawn])
+
+
+def test_spots_about_one_pixel_share_a_patch(spark):
+    pixels = spark.range(100 * 100).select((F.col("id") % 100).alias("px"), F.floor(F.col("id") / 100).alias("py"), (F.col("id") * 31 % 17 + 0.5).alias("gray"))
+    spots = spark.range(200_000).select(F.lit("s").alias("sample_id"), F.col("id").alias("spot"), (50.0 + F.col("id") % 2).alias("x"), F.lit(50.2).alias("y"))
+    start = time.perf_counter()
+    out = compare.patch_features(spots, pixels)
+    one = out.drop("spot").distinct().collect()
+    # one search a spot would meet 480 million pixels
+    assert time.perf_counter() - start < 60 and len(one) == 2 and out.count() == 200_000
+    few = compare.patch_features(spots.filter("spot < 2"), pixels).drop("spot").collect()
+    assert sorted(map(str, one)) == sorted(map(str, few))
