@@ -9,7 +9,7 @@ from spotlattice.functions.parse import config, first_integer, noted_count
 from spotlattice.operators import ledger as L
 from spotlattice.operators.lineage import shared_dir
 from spotlattice.sources import io
-from spotlattice.plans.views import view, with_views
+from spotlattice.plans.views import tasks_for, view, with_views
 
 FOCAL = "purchase"
 METRICS = ("coherence", "marker")
@@ -147,26 +147,24 @@ CASE WHEN n_nationkey % 5 = 0 OR n_nationkey % 3 = 0 THEN '/data/x/h5/S' || n_na
 
 
 def mtx_read(spark, d):
-    """Writes each sample's counts as MatrixMarket text, one file a sample, and reads them back."""
-    c = view(spark, d, "counts")
+    """Writes each sample's counts as MatrixMarket text, in files of some of its spots each, and reads them back."""
+    n = tasks_for(spark, d)
+    c = view(spark, d, "counts").withColumn("block", F.pmod(F.xxhash64("spot"), F.lit(-(-n // 5))))
     line = F.concat_ws(" ", F.col("gene") + 1, F.col("spot") + 1, "n")
-    head = c.groupBy("sample_id").agg(F.concat(F.lit("%%MatrixMarket matrix coordinate integer general\n%\n"), F.concat_ws(" ", F.max("gene") + 1, F.max("spot") + 1, F.count(F.lit(1)))).alias("value")).select("sample_id", F.lit(0).alias("o"), "value")
-    body = c.select("sample_id", F.lit(1).alias("o"), line.alias("value"))
+    head = c.groupBy("sample_id", "block").agg(F.concat(F.lit("%%MatrixMarket matrix coordinate integer general\n%\n"), F.concat_ws(" ", F.max("gene") + 1, F.max("spot") + 1, F.count(F.lit(1)))).alias("value")).select("sample_id", "block", F.lit(0).alias("o"), "value")
+    body = c.select("sample_id", "block", F.lit(1).alias("o"), line.alias("value"))
     folder = _folder(spark)
-    head.unionByName(body).repartition("sample_id").sortWithinPartitions("sample_id", "o", "value").drop("o").write.partitionBy("sample_id").text(folder)
-    triplets, _ = io.read_mtx(spark, f"{folder}/*")
+    head.unionByName(body).repartition(n, "sample_id", "block").sortWithinPartitions("sample_id", "block", "o", "value").drop("o").write.partitionBy("sample_id", "block").text(folder)
+    triplets, _ = io.read_mtx(spark, f"{folder}/*/*")
     return triplets.select(F.url_decode(F.regexp_extract("path", "sample_id=([^/]+)", 1)).alias("sample_id"), "gene", "spot", "n")
 
 
 def csc_to_triplets(spark, d):
     """Counts of each spot's 16 neighbours in number as one small matrix, and back."""
     c = view(spark, d, "counts").withColumns({"block": F.floor(F.col("spot") / 16), "column": F.col("spot") % 16})
-    col = c.groupBy("sample_id", "block", "column").agg(F.sort_array(F.collect_list(F.struct("gene", "n"))).alias("v"))
-    full = c.select("sample_id", "block").distinct().select("sample_id", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))).alias("column")).join(col, ["sample_id", "block", "column"], "left")
-    m = full.groupBy("sample_id", "block").agg(F.sort_array(F.collect_list(F.struct("column", F.coalesce("v", F.array().cast("array<struct<gene:bigint,n:bigint>>")).alias("v")))).alias("m"))
-    flat = F.flatten(F.transform("m", lambda x: x["v"]))
-    ptr = F.transform(F.sequence(F.lit(0), F.size("m")), lambda i: F.aggregate(F.slice("m", 1, i), F.lit(0), lambda acc, x: acc + F.size(x["v"])))
-    arrays = m.select(F.concat_ws("|", "sample_id", "block").alias("sample_id"), F.transform(flat, lambda x: x["n"]).alias("data"), F.transform(flat, lambda x: x["gene"]).alias("indices"), ptr.alias("indptr"))
+    m = c.repartition(tasks_for(spark, d), "sample_id", "block").groupBy("sample_id", "block").agg(F.sort_array(F.collect_list(F.struct("column", "gene", "n"))).alias("m"))
+    ptr = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.size(F.filter("m", lambda x: x["column"] < i)))
+    arrays = m.select(F.concat_ws("|", "sample_id", "block").alias("sample_id"), F.col("m.n").alias("data"), F.col("m.gene").alias("indices"), ptr.alias("indptr"))
     t = io.csc_to_triplets(arrays)
     parts = F.split("sample_id", r"\|")
     return t.select(parts[0].alias("sample_id"), "gene", (parts[1].cast("bigint") * 16 + F.col("spot")).alias("spot"), "n")

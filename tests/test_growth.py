@@ -7,6 +7,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from spotlattice.operators import compare, stats
+from spotlattice.plans import q_ledger, views
+
+DIR = "/root/testdata/sf0.001"
 
 
 def test_rounds_are_hashed_once_for_all_groups(spark):
@@ -34,3 +37,23 @@ def test_spots_about_one_pixel_share_a_patch(spark):
     assert time.perf_counter() - start < 60 and len(one) == 2 and out.count() == 200_000
     few = compare.patch_features(spots.filter("spot < 2"), pixels).drop("spot").collect()
     assert sorted(map(str, one)) == sorted(map(str, few))
+
+
+def test_tasks_of_the_counts_grow_with_the_lines(spark, monkeypatch):
+    lines = views.view(spark, DIR, "lineitem").count()
+    monkeypatch.setattr(views, "PER_TASK", 100)
+    counts = views.view(spark, DIR, "counts")
+    assert counts.rdd.getNumPartitions() == -(-lines // 100)
+    by_sql = spark.sql(views.VIEWS["counts"], **{x: views.view(spark, DIR, x) for x in ("orders", "lineitem", "spots")})
+    rows = lambda df: sorted(map(tuple, df.select("sample_id", "spot", "gene", "n").collect()))
+    want = rows(by_sql)
+    assert rows(counts) == want
+    for query in (q_ledger.mtx_read, q_ledger.csc_to_triplets):
+        assert rows(query(spark, DIR)) == want
+
+
+def test_a_sample_is_written_in_several_files(spark, monkeypatch):
+    monkeypatch.setattr(views, "PER_TASK", 1000)
+    out = q_ledger.mtx_read(spark, DIR)
+    per_sample = [sum(f"sample_id={s}/" in f for f in out.inputFiles()) for s in ("ASIA", "EUROPE")]
+    assert min(per_sample) > 1
