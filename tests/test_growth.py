@@ -6,7 +6,8 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from spotlattice.operators import compare, stats
+from spotlattice.operators import compare, normalize, stats
+from spotlattice.operators.lineage import cut
 from spotlattice.plans import q_ledger, views
 
 DIR = "/root/testdata/sf0.001"
@@ -57,3 +58,17 @@ def test_a_sample_is_written_in_several_files(spark, monkeypatch):
     out = q_ledger.mtx_read(spark, DIR)
     per_sample = [sum(f"sample_id={s}/" in f for f in out.inputFiles()) for s in ("ASIA", "EUROPE")]
     assert min(per_sample) > 1
+
+
+def test_rounds_of_the_components_do_not_read_the_spots(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(normalize, "cut", lambda df: passes.append(df) or cut(df))
+    x = np.random.default_rng(1).random((40, 45))
+    e = spark.createDataFrame([(s, i, 7 * j, float(x[i, j]) * k) for k, s in ((1, "a"), (2, "b")) for i in range(40) for j in range(45)], "sample_id string, spot long, gene long, v double")
+    _, variance = normalize.pca(e, e.select("sample_id", "spot").distinct())
+    got = {(r.sample_id, r.part): r.variance for r in variance.collect()}
+    want = np.sort(np.linalg.eigvalsh(np.cov(x.T, bias=True)))[::-1][:20]
+    for k, s in ((1, "a"), (2, "b")):
+        assert np.allclose([got[s, i] for i in range(20)], want * k * k, rtol=1e-6)
+    # one round more read the spots once more
+    assert len(passes) <= 3
