@@ -6,7 +6,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from spotlattice.operators import compare, normalize, stats
+from spotlattice.operators import compare, graph, normalize, stats
 from spotlattice.operators.lineage import cut
 from spotlattice.plans import q_ledger, views
 
@@ -72,3 +72,23 @@ def test_rounds_of_the_components_do_not_read_the_spots(spark, monkeypatch):
         assert np.allclose([got[s, i] for i in range(20)], want * k * k, rtol=1e-6)
     # one round more read the spots once more
     assert len(passes) <= 3
+
+
+def test_affinities_of_near_spots_are_never_rows(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    at = {"wide": r.uniform(0, 50, (400, 2)), "clump": np.concatenate([r.normal(0, 0.1, (300, 2)), r.uniform(0, 50, (50, 2))]), "equal": np.zeros((90, 2)), "one": np.ones((1, 2))}
+    spots = spark.createDataFrame([(s, i, float(x), float(y)) for s, p in at.items() for i, (x, y) in enumerate(p)], "sample_id string, spot long, x double, y double")
+    monkeypatch.setattr(graph, "_SUMMED", 16)
+    out = graph.affinity_mass(spots, [0.5, 2.0])
+    got = {(q.sample_id, q.l): q.mass for q in out.collect()}
+    for s, p in at.items():
+        d2 = ((p[:, None] - p) ** 2).sum(2)
+        for length in (0.5, 2.0):
+            want = np.where(d2 <= 36 * length * length, np.exp(-d2 / (2 * length * length)), 0.0).sum() / len(p) - 1
+            assert abs(got[s, length] - want) < 1e-9
+    assert len(got) == 2 * len(at)
+    monkeypatch.setattr(graph, "_SUMMED", 4096)
+    start = time.perf_counter()
+    many = spark.range(60_000).select(F.lit("s").alias("sample_id"), F.col("id").alias("spot"), (F.col("id") % 251 / 251).alias("x"), (F.col("id") % 257 / 257).alias("y"))
+    # 3.6 thousand million pairs
+    assert graph.affinity_mass(many, [10.0]).first().mass > 59_000 and time.perf_counter() - start < 240
