@@ -123,3 +123,15 @@ def test_components_follow_long_chains(spark):
     nodes = inside.select("sample_id", "gamma", "node").distinct()
     got = {r.node: r.part for r in graph.components(inside, nodes, ["sample_id", "gamma"]).collect()}
     assert got == {**dict.fromkeys(range(65), 0), 100: 100, 101: 100}
+
+
+def test_small_groups_take_the_same_steps_in_one_task(spark, monkeypatch):
+    e = spark.createDataFrame([("c", a, b, w) for a, b, w in FIXTURES["c"]], "sample_id string, src long, dst long, w double")
+    rounds, move = [], cluster._move_round
+    monkeypatch.setattr(cluster, "_move_round", lambda *args: rounds.append(1) or move(*args))
+    label = lambda: {r.spot: r.label for r in cluster.community_fit(e, [1.0]).collect()}
+    one_task = label()
+    assert not rounds
+    # larger ones go round by round over the tables
+    monkeypatch.setattr(cluster, "_SMALL", 0)
+    assert label() == one_task and rounds
