@@ -135,3 +135,19 @@ def test_small_groups_take_the_same_steps_in_one_task(spark, monkeypatch):
     # larger ones go round by round over the tables
     monkeypatch.setattr(cluster, "_SMALL", 0)
     assert label() == one_task and rounds
+
+
+def test_pieces_shrink_the_graph_instead_of_spreading_names(spark, monkeypatch):
+    # a shuffled grid of 30 x 30 without one of its columns, and a chain in order
+    name = random.Random(4).sample(range(900), 900)
+    grid = [(i, j) for i in range(900) for j in ([i + 30] if i < 870 else []) + ([i + 1] if i % 30 not in (14, 29) else [])]
+    pairs = [("g", name[a], name[b]) for a, b in grid] + [("h", i, i + 1) for i in range(40)]
+    inside = spark.createDataFrame([(s, x, y) for s, a, b in pairs for x, y in ((a, b), (b, a))], "sample_id string, node long, other long")
+    nodes = inside.select("sample_id", "node").distinct()
+    want = {("g", name[i]): min(name[j] for j in range(900) if (j % 30 < 15) == (i % 30 < 15)) for i in range(900)} | {("h", i): 0 for i in range(41)}
+    tables, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: tables.append(1) or cut(df))
+    part = lambda: {(r.sample_id, r.node): r.part for r in graph.components(inside, nodes, ["sample_id"]).collect()}
+    assert part() == want and len(tables) <= 8
+    monkeypatch.setattr(graph, "_SMALL", 0)
+    assert part() == want
