@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from spotlattice.operators import cluster
+from spotlattice.operators.lineage import cut
 
 BLOBS = {
     "even": (np.random.default_rng(1), [(12, 0, 60), (0, 12, 60), (-12, 0, 60), (0, -12, 60), (25, 25, 60), (-25, 25, 60)]),
@@ -72,3 +73,18 @@ def test_few_and_equal_points(fitted):
     assert few.loc[(6, 11)].inertia == 0 and few.loc[(6, 11)].n_labels == 3 and few.loc[(2, 11)].n_labels == 2
     same = best[best.sample_id == "same"]
     assert (same.inertia == 0).all() and (labels[labels.sample_id == "same"].groupby(["K", "seed"]).size() == 20).all()
+
+
+def test_rows_of_a_round_do_not_grow_with_the_points(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(600, 2))
+    points = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "sample_id string, spot long, f array<double>").coalesce(1)
+    monkeypatch.setattr(cluster, "_BLOCK", 8)
+    blocks = cut(cluster._packed(points, 2))
+    assert blocks.count() == 75
+    centres = spark.createDataFrame([("s", k, 11, 0, x[:k].ravel().tolist()) for k in (2, 3)], "sample_id string, K int, seed int, init int, c array<double>")
+    rows = cluster._totals(blocks.coalesce(1), centres, 2).collect()
+    assert sorted(r.K for r in rows) == [2, 3]
+    for r in rows:
+        label = ((x[:, None] - x[: r.K]) ** 2).sum(2).argmin(1)
+        assert r.n == [(label == j).sum() for j in range(r.K)]
+        assert np.allclose(np.reshape(r.total, (r.K, 2)), [x[label == j].sum(0) for j in range(r.K)])
