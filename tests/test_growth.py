@@ -4,6 +4,7 @@ import hashlib
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spotlattice.operators import compare, graph, normalize, stats
@@ -92,3 +93,20 @@ def test_affinities_of_near_spots_are_never_rows(spark, monkeypatch):
     many = spark.range(60_000).select(F.lit("s").alias("sample_id"), F.col("id").alias("spot"), (F.col("id") % 251 / 251).alias("x"), (F.col("id") % 257 / 257).alias("y"))
     # 3.6 thousand million pairs
     assert graph.affinity_mass(many, [10.0]).first().mass > 59_000 and time.perf_counter() - start < 240
+
+
+def test_pairs_of_the_bandwidth_search_are_never_rows(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(graph, "cut", lambda df: rows.append((out := cut(df)).count()) or out)
+    p = np.random.default_rng(3).random((900, 2)) * 100
+    p[:15] = p[0] + p[:15] / 1e4
+    monkeypatch.setattr(graph, "_MET", 16, raising=False)
+    spots = spark.createDataFrame([("s", i, float(x), float(y)) for i, (x, y) in enumerate(p)], "sample_id string, spot long, x double, y double")
+    got = graph.bandwidth_search(spots, 0.5).first()
+    assert max(rows) <= 900
+    d2 = ((p[:, None] - p[None]) ** 2).sum(-1)
+    assert np.exp(-d2 / (2 * got.l**2)).sum() / len(p) - 1 == pytest.approx(got.mass, abs=1e-6)
+    near = graph._within(spots, spark.createDataFrame([("s", 20.0)], "sample_id string, c double")).collect()
+    found = np.sort(np.concatenate([np.frombuffer(r.d2) for r in near]))
+    want = np.sort(d2[np.triu_indices(900, 1)])
+    assert np.allclose(found, want[want <= 400.0])
